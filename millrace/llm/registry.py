@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.neardup import op2_minhash_near_dedup
+from millrace.llm.packing import op9_packing
 from millrace.llm.quality import op5_quality_rules
+from millrace.llm.sharding import op7_sharding
 from millrace.llm.substrings import OP10_SQL, op10_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_quality_rules, op7_sharding, op9_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
