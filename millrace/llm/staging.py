@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,10 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again, so that its lineage ends there."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # the driver's cleaner drops shuffle files once nothing refers to them
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
