@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.bpe import op6_byte_bpe
+from millrace.llm.chat import OP8_SQL, op8_chat_trees
+from millrace.llm.language import op1_language_id
 from millrace.llm.neardup import op2_minhash_near_dedup
+from millrace.llm.neighbours import op4_hilbert_neighbours
 from millrace.llm.packing import op9_packing
 from millrace.llm.quality import op5_quality_rules
 from millrace.llm.sharding import op7_sharding
 from millrace.llm.substrings import OP10_SQL, op10_substring_dedup
 
+OPERATORS = (
+    op1_language_id,
+    op2_minhash_near_dedup,
+    op4_hilbert_neighbours,
+    op5_quality_rules,
+    op6_byte_bpe,
+    op7_sharding,
+    op8_chat_trees,
+    op9_packing,
+    op10_substring_dedup,
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_quality_rules, op7_sharding, op9_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_dedup": OP10_SQL}
+    return {"op8_chat_trees": OP8_SQL, "op10_substring_dedup": OP10_SQL}
