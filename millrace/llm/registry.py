@@ -15,10 +15,12 @@ from millrace.llm.packing import op9_packing
 from millrace.llm.quality import op5_quality_rules
 from millrace.llm.sharding import op7_sharding
 from millrace.llm.substrings import OP10_SQL, op10_substring_dedup
+from millrace.llm.toxicity import op3_toxicity
 
 OPERATORS = (
     op1_language_id,
     op2_minhash_near_dedup,
+    op3_toxicity,
     op4_hilbert_neighbours,
     op5_quality_rules,
     op6_byte_bpe,
