@@ -66,7 +66,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(offs: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges holding about `limit` bytes; a longer row stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -106,11 +106,12 @@ class Words:
         return self.buf[at], offs
 
 
-def words_of(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, Words]]:
-    """The words of a column, a bounded run of rows at a time."""
+def words_of(column: pa.Array, limit: int = 2 << 20, table: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
+    """The words of a column, a bounded run of rows at a time; bytes are first replaced by a table, if one is given."""
     buf, offs = utf8(column)
     for i, j in chunks(offs, limit):
-        yield i, j, Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        part = buf[offs[i] : offs[j]]
+        yield i, j, Words(part if table is None else table[part], offs[i : j + 1] - offs[i])
 
 
 def windows(hashes: np.ndarray, offs: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

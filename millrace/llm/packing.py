@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.arrays import words_of
+from millrace.llm.arrays import Words, ranges, words_of
 
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[list(b".!?")] = True
@@ -62,28 +62,80 @@ def boundaries(ends: np.ndarray, doc_ends: np.ndarray, capacity: int, sentence_p
     return both[order], penalty[order]
 
 
+# the vocabulary lowers all letters, and parts a full stop or comma from the letter before it
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+LETTER = np.zeros(256, bool)
+LETTER[ord("a") : ord("z") + 1] = True
+STOP = np.zeros(256, bool)
+STOP[list(b".,")] = True
+
+
 class _Tokens:
-    """Ids of all words of a run of texts, each distinct word encoded once."""
+    """Ids of all words of a run of texts; each distinct word is encoded once while it is among those held."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, held: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer, self.held = Tokenizer.from_str(vocabulary), held
         self.tokenizer.encode_special_tokens = True
+        self.forget()
 
-    def __call__(self, w) -> tuple[np.ndarray, np.ndarray]:
-        """Ids end to end, and the number of ids of each word."""
-        _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    def forget(self) -> None:
+        self.key, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def learn(self, w: Words, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encodes new words, given by their hashes and bytes."""
+        if len(self.key) + len(key) > self.held:
+            self.forget()
         data = w.buf.tobytes()
-        texts = [data[s:e].decode() for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        texts = [data[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        count = size[which]
-        stop = np.cumsum(count)
-        return flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[which] - stop + count, count)], count
+        begin = np.cumsum(size) - size + len(self.pool)
+        self.pool = np.concatenate([self.pool, flat])
+        keys = np.concatenate([self.key, key])
+        order = np.argsort(keys, kind="stable")
+        self.key, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and the number of ids of each word. The words' bytes are in lower case (LOWER)."""
+        tail = (w.end - w.start > 1) & STOP[w.buf[w.end - 1]]
+        tail[tail] = LETTER[w.buf[w.end[tail] - 2]]
+        word = np.repeat(np.arange(len(w.start)), 1 + tail)
+        last = np.append(word[1:] != word[:-1], True)[: len(word)]
+        second = last & tail[word]
+        start, end = np.where(second, w.end[word] - 1, w.start[word]), np.where(tail[word] & ~second, w.end[word] - 1, w.end[word])
+        kinds, first, which = np.unique(ranges(w.prefix, start, end), return_index=True, return_inverse=True)
+        for _ in range(2):
+            at = np.minimum(np.searchsorted(self.key, kinds), max(len(self.key) - 1, 0))
+            new = self.key[at] != kinds if len(self.key) else np.ones(len(kinds), bool)
+            if not new.any():
+                break
+            if len(self.key) + new.sum() > self.held:
+                new[:] = True
+            self.learn(w, kinds[new], start[first[new]], end[first[new]])
+        else:
+            at = np.searchsorted(self.key, kinds)
+        begin, size = self.begin[at][which], self.size[at][which]
+        stop = np.cumsum(size)
+        flat = self.pool[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - stop + size, size)]
+        return flat, np.bincount(word, size, minlength=len(w.start)).astype(np.int64)
+
+
+_held: dict[int, _Tokens] = {}
+
+
+def _tokens(vocabulary: str) -> _Tokens:
+    """The encoder of this worker, kept between its tasks."""
+    key = zlib.crc32(vocabulary.encode())
+    if key not in _held:
+        _held.clear()
+        _held[key] = _Tokens(vocabulary)
+    return _held[key]
 
 
 def pack(
@@ -104,7 +156,8 @@ def pack(
     (hard_penalty), so that padding plus penalties is least. There is no shuffle. sequence_id is unique but not
     gapless.
 
-    White space separates tokens of this vocabulary, so each distinct word of a run of texts is encoded once.
+    The vocabulary must lower letters and part tokens at white space; then each distinct word is encoded once
+    while it is among those a worker holds.
     A null or empty text has end_id alone; a null or repeated doc_id is kept as it is; a document of any length
     is cut like others (one longer than block_tokens is a block of its own). An empty table gives no rows.
     """
@@ -112,7 +165,7 @@ def pack(
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens(shared.value)
+        tokens = _tokens(shared.value)
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[list, np.ndarray, np.ndarray, np.ndarray]] = []
         amount = 0
@@ -138,7 +191,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in numbers)], [c.split()[0] for c in PIECE.split(", ")])
 
         for batch in batches:
-            for i, j, w in words_of(batch.column(1)):
+            for i, j, w in words_of(batch.column(1), table=LOWER):
                 flat, count = tokens(w)
                 before = np.zeros(len(count) + 1, np.int64)
                 np.cumsum(count, out=before[1:])
@@ -158,9 +211,13 @@ def pack(
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, PIECE)
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_vocabulary() -> str:
+    """The text of the public vocabulary that the query packs with."""
     import public_tokenizers
 
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        vocabulary = f.read()
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary)
+        return f.read()
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), op9_vocabulary())
