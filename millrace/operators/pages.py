@@ -1,13 +1,158 @@
-"""Web pages to records (placeholder head, see below)."""
+"""Web pages to records; every page is parsed once, and all outputs come from what that gives."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import attachment_kind, chunk_id, empty_if_null, null_if_empty
+from millrace.operators import html
+
+# fixed values
+LINK_GROUPS = (
+    (10, r"(?i)졸업\s*요건|졸업요건"),
+    (9, r"(?i)이수\s*기준|학위\s*수여|학위수여"),
+    (8, r"(?i)교육\s*과정|교과\s*과정|교과과정"),
+    (7, r"(?i)graduation|requirement"),
+    (6, r"(?i)curriculum|coursework"),
+    (5, r"(?i)학과\s*교육|전공\s*과목"),
+)
+BAD_LINK = r"(?i)인사말|연혁|역사|소개|찾아오는|위치|수여식|시상식|행사\s*안내|개최|모집\s*안내|공고|articleNo="
+
+PARSED = (
+    "page_id long, url string, title string, container string, n_raw int, n_text int, h1 array<string>, h2 array<string>, h3 array<string>, "
+    "sections array<struct<path: string, text: string>>, links array<struct<text: string, href: string>>, table_rows array<array<string>>, "
+    "divs array<struct<n: int, link_ratio: double>>"
+)
+_SECTIONS = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
+_LINKS = pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))
+_DIVS = pa.list_(pa.struct([("n", pa.int32()), ("link_ratio", pa.float64())]))
+_STRINGS = pa.list_(pa.string())
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), _STRINGS, _STRINGS, _STRINGS, _SECTIONS, _LINKS, pa.list_(_STRINGS), _DIVS]
+
+
+def _read(page_id: int, url: str, source: str) -> tuple:
+    root = html.parse(source)
+    name, box = html.container(root)
+    title = root.first(lambda n: n.tag == "title")
+    heads = {tag: [n.text(" ") for n in root.walk() if n.tag == tag] for tag in ("h1", "h2", "h3")}
+    links, divs = [], []
+    for n in root.walk():
+        if n.tag == "a" and n.attrs.get("href"):
+            links.append({"text": n.text(" "), "href": urljoin(url or "", n.attrs["href"]) if not n.attrs["href"].startswith(("javascript:", "mailto:", "tel:", "#")) else n.attrs["href"]})
+        elif n.tag == "div":
+            length = len(n.text())
+            if length >= 100:
+                divs.append({"n": length, "link_ratio": sum(len(a.text()) for a in n.walk() if a.tag == "a") / length})
+    body = root.first(lambda n: n.tag == "body") or root
+    return (
+        page_id, url, title.text(" ") if title else None, name, len(source or ""), len(body.text()), heads["h1"][:10], heads["h2"][:20], heads["h3"][:30],
+        [{"path": p, "text": t} for p, t in html.sections(box)], links, html.table_rows(root), divs,
+    )
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in PARSED.split(", ") if not c.startswith(("text:", "href:", "link_ratio:"))]
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            rows = [_read(*x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names)
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """What is read from pages(page_id, url, html), one row a page (columns of PARSED). A null page is an empty one."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, PARSED)
+
+
+def inspect(parsed: DataFrame, top: int = 15) -> DataFrame:
+    """Title, headings, lengths, container, and the longest divs, those that are mostly links last."""
+    order = F.transform("divs", lambda d: F.struct((d["link_ratio"] > 0.8).alias("linky"), (-d["n"]).alias("m"), d["link_ratio"].alias("r")))
+    divs = F.transform(F.slice(F.array_sort(order), 1, top), lambda d: F.struct((-d["m"]).alias("n"), F.round(d["r"], 4).alias("link_ratio")))
+    return parsed.select("page_id", "title", "container", "n_raw", "n_text", F.size("h1").alias("n_h1"), F.size("h2").alias("n_h2"), F.size("h3").alias("n_h3"), divs.alias("divs"))
+
+
+def page_sections(parsed: DataFrame) -> DataFrame:
+    return parsed.select("page_id", "url", F.coalesce(null_if_empty(F.col("title")), "url").alias("title"), F.posexplode("sections").alias("chunk_index", "s")).select("page_id", "url", "title", "chunk_index", F.col("s.path").alias("section_path"), F.col("s.text").alias("text"))
+
+
+def page_chunks(parsed: DataFrame, least: int = 30) -> DataFrame:
+    """Sections of `least` characters or more as records of type T1."""
+    rows = page_sections(parsed).where(F.length("text") >= least)
+    return rows.select(chunk_id(F.col("url"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), "page_id", F.col("url").alias("source_url"), F.col("title").alias("source_title"), F.lit("T1").alias("source_type"), "chunk_index", "section_path", "text", F.length("text").alias("char_count"), F.lit("static").alias("freshness"))
+
+
+def attachments(parsed: DataFrame, mark: str = "download", fold: bool = False) -> DataFrame:
+    """(page_id, attachments): links whose address holds the mark, once each, with the kind of file."""
+    found = F.filter("links", lambda x: F.contains(x["href"], F.lit(mark)))
+    ending = lambda x: attachment_kind(x["text"], x["href"], fold)
+    listed = F.transform(found, lambda x: F.struct(F.substring(x["text"], 1, 160).alias("name"), x["href"].alias("url"), ending(x).alias("kind")))
+    return parsed.select("page_id", F.array_distinct(listed).alias("attachments"))
+
+
+def post_chunks(parsed: DataFrame, mark: str = "download", least: int = 30, placeholder: str = "(attachments only)") -> DataFrame:
+    """One record a page: its sections if long enough, else a placeholder if it has attachments; attachments as JSON in notes."""
+    body = F.array_join(F.transform("sections", lambda s: s["text"]), "\n")
+    rows = parsed.join(attachments(parsed, mark).withColumnRenamed("page_id", "at"), F.col("page_id") == F.col("at"))
+    rows = rows.select("page_id", "url", F.coalesce(null_if_empty(F.col("title")), "url").alias("source_title"), body.alias("body"), "attachments")
+    text = F.when(F.length("body") >= least, F.col("body")).when(F.size("attachments") > 0, placeholder)
+    notes = F.when(F.size("attachments") > 0, F.to_json(F.struct("attachments")))
+    return rows.select("page_id", F.col("url").alias("source_url"), "source_title", text.alias("text"), notes.alias("notes")).where("text is not null")
+
+
+def table_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.select("page_id", F.posexplode("table_rows").alias("row", "cells"))
+
+
+def link_score(text: Column) -> Column:
+    """The score of the best group that a link's text names; 0 for none, and for texts that name something else."""
+    score = F.when(empty_if_null(text).rlike(BAD_LINK), 0)
+    for points, pattern in LINK_GROUPS:
+        score = score.when(text.rlike(pattern), points)
+    return score.otherwise(0)
+
+
+def link_candidates(parsed: DataFrame, score: Column | None = None, top: int = 3) -> DataFrame:
+    """(page_id, href, text, score, status): of each page the best distinct links that score; no_candidate without one.
+
+    score is an expression over the link's text, link_score() if none is given.
+    """
+    links = parsed.select("page_id", F.posexplode("links").alias("ord", "link")).select("page_id", "ord", "link.text", "link.href").where(~F.col("href").rlike("^(javascript:|mailto:|tel:|#)"))
+    scored = links.withColumn("score", link_score(F.col("text")) if score is None else score).where("score > 0")
+    once = scored.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "href").orderBy("ord"))).where("nth = 1")
+    best = once.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))).where(F.col("nth") <= top)
+    return parsed.select("page_id").join(best.drop("ord", "nth"), "page_id", "left").withColumn("status", F.when(F.col("href").isNull(), "no_candidate").otherwise("ok"))
+
+
+def attachment_queue(chunks: DataFrame, kinds: tuple[str, ...] = ("pdf", "hwp", "hwpx")) -> DataFrame:
+    """Attachments in the JSON notes of records, of the given kinds, each address once (the first by seq), with what they take over."""
+    listed = F.from_json("notes", "attachments array<struct<name: string, url: string, kind: string>>")["attachments"]
+    rows = chunks.select("seq", "domains", "categories", "posted_at", "parent_post_id", F.posexplode(listed).alias("ord", "a"))
+    rows = rows.where(F.col("a.kind").isin(*kinds)).select("seq", "ord", "domains", "categories", "posted_at", "parent_post_id", F.col("a.name").alias("name"), F.col("a.url").alias("url"), F.col("a.kind").alias("kind"))
+    nth = F.row_number().over(Window.partitionBy("url").orderBy("seq", "ord"))
+    parent = F.coalesce(null_if_empty(F.col("parent_post_id")), F.expr("right(url, 32)"))
+    return rows.withColumn("nth", nth).where("nth = 1").drop("nth", "ord").withColumn("parent_post_id", parent)
+
+
+def detect_cms(parsed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(page_id, cms, n_text): the system that a page's container tells of, else unknown."""
+    found = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("container")]
+    return parsed.select("page_id", F.coalesce(found, F.lit("unknown")).alias("cms"), "n_text")
+
+
+def text_page_chunks(rows: DataFrame, least: int = 30) -> DataFrame:
+    """Pages of extracted text (doc_url, page, text, posted_at) of `least` characters or more as records of type T3."""
+    kept = rows.where(F.length("text") >= least)
+    freshness = F.when(F.col("posted_at").isNotNull(), "dated").otherwise("static")
+    return kept.select(chunk_id(F.col("doc_url"), F.col("page"), F.col("text")).alias("chunk_id"), "doc_url", F.concat(F.lit("page:"), F.col("page").cast("string")).alias("section_path"), F.lit("T3").alias("source_type"), freshness.alias("freshness"), F.length("text").cast("long").alias("char_count"))
+
 
 def list_pages(lists: DataFrame, pages: int) -> DataFrame:
-    """(…, page_url): the addresses of the first pages of each list, by its GotoPage key."""
+    """(page_id, page_url): the addresses of the first pages of each list, by its GotoPage key."""
     page = F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("n")
     bare = F.regexp_replace("url", r"([?&])GotoPage=\d+&?", "$1")
     glue = F.when(F.col("url").contains("?"), "&").otherwise("?")
