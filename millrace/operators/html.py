@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # an opening tag of the first kind ends an open one of the second
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "h1": {"p"}, "h2": {"p"}, "h3": {"p"}, "div": {"p"}, "ul": {"p"}, "table": {"p"}, "article": {"p"}, "footer": {"p"}}
+INLINE = frozenset("a b i u em strong span font small".split())
 NOISE = frozenset("header footer nav script style noscript iframe".split())
 CONTAINERS = ("id=contents", "id=content", "class=contents", "class=content", "class=sub_contents", "class=sub_content", "class=sub_con")
 
@@ -50,9 +51,11 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        ends = ENDS.get(tag, ())
-        while self.at.tag in ends:
-            self.at = self.at.parent
+        ends, node = ENDS.get(tag, ()), self.at
+        while ends and (node.tag in INLINE or node.tag in ends):
+            if node.tag in ends:
+                self.at = node.parent
+            node = node.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.items.append(node)
         if tag not in VOID:
