@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -52,7 +52,11 @@ FROM conversations WHERE role = 'assistant'"""
 VIEWS["v_judged"] = """
 SELECT *, CASE WHEN is_fallback_expected AND used_fallback THEN 2 WHEN is_fallback_expected OR used_fallback THEN 0 WHEN (conv_id + 2 * turn) % 7 > 2 THEN -1 ELSE CAST((conv_id + 2 * turn) % 7 AS INT) END AS judge_score,
   CASE WHEN is_fallback_expected OR used_fallback THEN 'auto' ELSE 'llm' END AS judge_source FROM v_answers"""
-RAW = F.concat(F.lit("\n score "), ((F.col("conv_id") + 2 * F.col("turn")) % 7).cast("string"), F.lit("\n\n because \n of it"))
+
+
+def raw() -> Column:
+    """A judge's raw output, by rule."""
+    return F.concat(F.lit("\n score "), ((F.col("conv_id") + 2 * F.col("turn")) % 7).cast("string"), F.lit("\n\n because \n of it"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +67,14 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers(spark, sf_dir)
-    return E.judge_rows(rows, rows.select("qa_id", RAW.alias("judge_raw")), rows.limit(0))
+    return E.judge_rows(rows, rows.select("qa_id", raw().alias("judge_raw")), rows.limit(0))
 
 
 @query("""SELECT qa_id, judge_score, judge_source, CASE WHEN judge_source = 'llm' THEN 'because of it' END AS judge_reason FROM v_judged WHERE conv_id % 2 = 1""")
 def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those not judged yet: here, of conversations with an odd number."""
     rows = answers(spark, sf_dir)
-    found = E.judge_rows(rows, rows.select("qa_id", RAW.alias("judge_raw")), rows.where("conv_id % 2 = 0"))
+    found = E.judge_rows(rows, rows.select("qa_id", raw().alias("judge_raw")), rows.where("conv_id % 2 = 0"))
     return found.select("qa_id", "judge_score", "judge_source", "judge_reason")
 
 
