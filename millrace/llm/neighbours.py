@@ -242,5 +242,5 @@ WITH v AS (
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 20
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -10,9 +10,9 @@ from millrace.llm.bpe import op6_byte_bpe
 from millrace.llm.chat import OP8_SQL, op8_chat_trees
 from millrace.llm.language import op1_language_id
 from millrace.llm.neardup import op2_minhash_near_dedup
-from millrace.llm.neighbours import op4_hilbert_neighbours
+from millrace.llm.neighbours import OP4_SQL, op4_hilbert_neighbours
 from millrace.llm.packing import op9_packing
-from millrace.llm.quality import op5_quality_rules
+from millrace.llm.quality import OP5_SQL, op5_quality_rules
 from millrace.llm.sharding import op7_sharding
 from millrace.llm.substrings import OP10_SQL, op10_substring_dedup
 from millrace.llm.toxicity import op3_toxicity
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_trees": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_hilbert_neighbours": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_chat_trees": OP8_SQL, "op10_substring_dedup": OP10_SQL}
