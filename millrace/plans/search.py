@@ -103,7 +103,7 @@ def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_topk(query_vectors(spark, sf_dir), vectors).withColumn("score", F.round("score", 9))
 
 
-@query("SELECT qa_id, chunk_id, round(score, 6) AS score, rank FROM v_dense_pool")
+@query("SELECT qa_id, chunk_id, round(round(score, 9), 6) AS score, rank FROM v_dense_pool")
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = R.ranked_pool(dense_scores(spark, sf_dir), R.DENSE_POOL)
     return pool.select("qa_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
