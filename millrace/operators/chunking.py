@@ -109,6 +109,14 @@ def merge_small(rows: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
     return kept.unionByName(merged)
 
 
+def merge_stats(rows: DataFrame, merged: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
+    """One row: records before and after merge_small, joined ones, short ones before and after, mean and longest after."""
+    n = F.length(empty_if_null(F.col("text")))
+    before = rows.agg(F.count("*").alias("n_before"), F.count_if(n < least).alias("short_before"))
+    after = merged.agg(F.count("*").alias("n_after"), F.count_if(F.col("n_merged") > 1).alias("n_joined"), F.count_if(n < least).alias("short_after"), F.avg(n).alias("mean_chars"), F.max(n).alias("max_chars"))
+    return before.join(F.broadcast(after), F.lit(True))
+
+
 def merge_by_section(rows: DataFrame, depth: int = 2, most: int = MAX_LENGTH) -> DataFrame:
     """Rows of one section prefix (the first `depth` parts of section_path) as one text headed by it.
 

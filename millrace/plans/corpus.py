@@ -307,6 +307,15 @@ def merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("source_file", "parent_post_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", F.md5("text").alias("text_md5"), F.col("n_merged").cast("long").alias("n_merged"))
 
 
+@query(MERGE_SQL.split("\nSELECT source_file")[0] + """, z AS (SELECT text, n_merged FROM g UNION ALL SELECT text, 1 FROM v_lines WHERE parent_post_id IS NULL)
+SELECT (SELECT count(*) FROM v_lines) AS n_before, (SELECT count(*) FROM v_lines WHERE length(text) < 50) AS short_before, count(*) AS n_after, count(*) FILTER (n_merged > 1) AS n_joined,
+  count(*) FILTER (length(text) < 50) AS short_after, round(avg(length(text)), 6) AS mean_chars, CAST(max(length(text)) AS BIGINT) AS max_chars FROM z""")
+def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    found = chunking.merge_stats(rows, chunking.merge_small(rows))
+    return found.withColumn("mean_chars", F.round("mean_chars", 6)).withColumn("max_chars", F.col("max_chars").cast("long"))
+
+
 VIEWS["v_stats"] = """
 SELECT r_name AS college, n_name AS dept, o_orderpriority AS stat, year(o_orderdate) AS y, count(*) AS val, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS val2
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
