@@ -98,14 +98,24 @@ def repeated_lines(w: Words) -> np.ndarray:
     return np.bincount(text[again], minlength=len(w.offs) - 1)
 
 
-def quality_report(
-    docs: DataFrame,
-    min_words: int = 50,
-    max_repeat_percent: int = 50,
-    min_repeat: int = 16,
-    max_covered: float = 0.3,
-    max_longest: int = 50,
-) -> DataFrame:
+def _reports(column: pa.Array, min_words: int, max_repeat_percent: int, min_repeat: int, max_covered: float, max_longest: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """For runs of texts the columns of REPORT after doc_id."""
+    for i, j, w in words_of(column):
+        n_words = np.diff(w.word_offs)
+        lcp = longest_shared(w.hash, w.word_offs)
+        total = len(lcp)
+        three, long = np.flatnonzero(lcp >= 3), np.flatnonzero(lcp >= min_repeat)
+        n_repeat = sums(covered(three, np.full(len(three), 3), total), w.word_offs)
+        n_covered = sums(covered(long, lcp[long], total), w.word_offs)
+        longest = np.zeros(j - i, np.int64)
+        np.maximum.at(longest, np.repeat(np.arange(j - i), n_words), lcp)
+        failed = (n_words < min_words) | (100 * n_repeat > max_repeat_percent * n_words)
+        kept = ~failed & (n_covered <= max_covered * n_words) & (longest <= max_longest)
+        chars = sums(~w.space & ((w.buf & 0xC0) != 0x80), w.offs)
+        yield i, j, [n_words, chars, sums(SYMBOL[w.buf], w.offs), repeated_lines(w), n_repeat, n_covered, longest, failed, kept]
+
+
+def quality_report(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 16, max_covered: float = 0.3, max_longest: int = 50) -> DataFrame:
     """One row per document with base counts, repetition and the verdict (columns of REPORT).
 
     Words are `[^\\x20\\x09-\\x0D]+`. n_covered_words counts the words in the union of all maximal repeated
@@ -114,40 +124,57 @@ def quality_report(
     has at most max_longest words.
 
     A null or empty text has no words, so it fails the base rules. A text of any length is one unit of work in a
-    task; equal rows give equal reports. Other columns of docs are not read. An empty table gives no rows.
+    task; equal rows give equal reports, null ids too. Other columns of docs are not read. An empty table gives no rows.
     """
+    limits = (min_words, max_repeat_percent, min_repeat, max_covered, max_longest)
+    names = [c.split()[0] for c in REPORT.split(", ")]
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in words_of(batch.column(1)):
-                n_words = np.diff(w.word_offs)
-                lcp = longest_shared(w.hash, w.word_offs)
-                total = len(lcp)
-                three, long = np.flatnonzero(lcp >= 3), np.flatnonzero(lcp >= min_repeat)
-                n_repeat = sums(covered(three, np.full(len(three), 3), total), w.word_offs)
-                n_covered = sums(covered(long, lcp[long], total), w.word_offs)
-                longest = np.zeros(j - i, np.int64)
-                np.maximum.at(longest, np.repeat(np.arange(j - i), n_words), lcp)
-                failed = (n_words < min_words) | (100 * n_repeat > max_repeat_percent * n_words)
-                kept = ~failed & (n_covered <= max_covered * n_words) & (longest <= max_longest)
-                chars = sums(~w.space & ((w.buf & 0xC0) != 0x80), w.offs)
-                numbers = (n_words, chars, sums(SYMBOL[w.buf], w.offs), repeated_lines(w), n_repeat, n_covered, longest)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *(pa.array(x, pa.int64()) for x in numbers), pa.array(failed), pa.array(kept)],
-                    [c.split()[0] for c in REPORT.split(", ")],
-                )
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(report, REPORT)
-
-
-def quality_filter(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that quality_report keeps, with all their columns.
-
-    doc_id must not be null; rows that share a doc_id are kept only if every one of them is kept.
-    """
-    rejected = quality_report(docs, **limits).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+            for i, j, columns in _reports(batch.column(1), *limits):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, columns)], names)
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, REPORT)
+
+
+def quality_filter(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 16, max_covered: float = 0.3, max_longest: int = 50) -> DataFrame:
+    """The rows of docs that quality_report keeps, with all their columns; each row is judged by itself, without a shuffle."""
+    limits = (min_words, max_repeat_percent, min_repeat, max_covered, max_longest)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [columns[-1] for _, _, columns in _reports(batch.column(at), *limits)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, s.size, unnest(range(1, len(words) - s.size + 2)) AS i, words FROM w, (VALUES (3), (16), (51)) AS s(size) WHERE len(words) >= s.size
+), k AS (
+  SELECT doc_id, size, i, md5(array_to_string(list_slice(words, i, i + size - 1), ' ')) AS h FROM p
+), r AS (
+  SELECT doc_id, size, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, size, h) AS n FROM k) WHERE n > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT CASE WHEN size = 3 THEN pos END) AS c3, count(DISTINCT CASE WHEN size = 16 THEN pos END) AS c16, count(*) FILTER (size = 51) AS c51
+  FROM (SELECT doc_id, size, unnest(range(i, i + size)) AS pos FROM r) GROUP BY doc_id
+), b AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(c3, 0) AS n_repeat_words, coalesce(c16, 0) AS n_covered_words, coalesce(c51, 0) AS c51
+  FROM w LEFT JOIN c ON w.doc_id = c.doc_id
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_covered_words, base_failed,
+  NOT base_failed AND n_covered_words <= 0.3 * n_words AND c51 = 0 AS kept FROM f
+"""
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("longest_repeat")
