@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -46,9 +47,12 @@ def _unpack(payload: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def _explode(pattern: str, buckets: int, block_bytes: int):
-    """Of each block of texts: its documents with the places of their pre-tokens (kind 0), and its distinct
-    pre-tokens (kind 1) by bucket of their hash, in the order in which the places number them."""
+def _explode(pattern: str, buckets: int, block_bytes: int, kind: int):
+    """Of each block of texts: its documents with the places of their pre-tokens (kind 0), or its distinct
+    pre-tokens (kind 1) by bucket of their hash, in the order in which the places number them.
+
+    A block is named by its place in the scan and a digest of its documents, so that both kinds of another block never meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -64,26 +68,34 @@ def _explode(pattern: str, buckets: int, block_bytes: int):
                 for text in batch.column(1).slice(i, j - i).to_pylist():
                     found = find(text) if text else []
                     size.append(len(found))
-                    codes.append(np.fromiter([number(x, len(seen)) for x in found], np.uint32, len(found)))
+                    if kind == 0:
+                        codes.append(np.fromiter([number(x, len(seen)) for x in found], np.uint32, len(found)))
+                    else:
+                        seen.update(dict.fromkeys(found, 0))
                 words = [x.encode() for x in seen]
                 # a stable hash by which all blocks deal a word to the same bucket
-                to = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") % buckets for x in words], np.int64)
+                to = np.array([zlib.crc32(x) for x in words], np.int64) % buckets
                 order = np.argsort(to, kind="stable")
                 renumber = np.empty(len(words), np.uint32)
                 renumber[order] = np.arange(len(words), dtype=np.uint32)
-                flat = renumber[np.concatenate(codes)] if words else np.zeros(0, np.uint32)
-                ids = batch.column(0).slice(i, j - i)
-                block = f"{task}-{serial}"
+                ids = batch.column(0).slice(i, j - i).fill_null(0).to_numpy()
+                counts = np.array(size, np.int64)
+                block = f"{task}-{serial}-{hashlib.blake2b(ids.tobytes() + counts.tobytes(), digest_size=8).hexdigest()}"
                 serial += 1
-                planes = flat.view(np.uint8).reshape(-1, 4).T.copy()  # one plane a byte, for compression
-                rows = [(block, 0, int.from_bytes(hashlib.blake2b(block.encode(), digest_size=4).digest(), "little") % buckets, _pack(
-                    ids.fill_null(0).to_numpy().tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), np.array(size, np.int64).tobytes(), planes.tobytes()))]
-                cut = np.searchsorted(to[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    part = [words[k] for k in order[cut[b] : cut[b + 1]].tolist()]
-                    rows.append((block, 1, b, _pack(b"".join(part), np.array([len(x) for x in part], np.uint32).tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)][:1] + [
-                    pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], ["block", "kind", "bucket", "payload"])
+                if kind == 0:
+                    valid = batch.column(0).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False)
+                    flat = renumber[np.concatenate(codes)] if words else np.zeros(0, np.uint32)
+                    planes = flat.view(np.uint8).reshape(-1, 4).T.copy()  # one plane a byte, for compression
+                    rows = [(0, _pack(ids.tobytes(), valid.tobytes(), counts.tobytes(), np.array([len(words)]).tobytes(), planes.tobytes()))]
+                else:
+                    cut, rows = np.searchsorted(to[order], np.arange(buckets + 1)), []
+                    for b in np.flatnonzero(np.diff(cut)).tolist():
+                        part = [words[k] for k in order[cut[b] : cut[b + 1]].tolist()]
+                        rows.append((b, _pack(b"".join(part), np.array([len(x) for x in part], np.uint32).tobytes())))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block] * len(rows)), pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "kind", "bucket", "payload"]
+                    )
 
     return run
 
@@ -99,12 +111,8 @@ def _encode(vocabulary, held: int = 200_000):
         known: OrderedDict[bytes, list[int]] = OrderedDict()
         for batch in batches:
             out = []
-            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
-                payload = payload.as_py()
-                if kind == 0:
-                    out.append(payload)
-                    continue
-                data, size = _unpack(payload)
+            for payload in batch.column(3):
+                data, size = _unpack(payload.as_py())
                 end = np.cumsum(np.frombuffer(size, np.uint32), dtype=np.int64)
                 ids = []
                 for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True):
@@ -129,13 +137,15 @@ def _reassemble(table, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = table.value
         for block in _blocks(batches):
-            ids, valid, size, planes = _unpack(block[0])
+            ids, valid, size, n_words, planes = _unpack(block[0])
             ids, valid, size = np.frombuffer(ids, np.int64), np.frombuffer(valid, bool), np.frombuffer(size, np.int64)
             n = int(size.sum())
             flat = np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel() if n else np.zeros(0, np.uint32)
             parts = [_unpack(x) for x in block[1:]]
             count = np.concatenate([np.frombuffer(c, np.uint32) for _, c in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
             word_ids = np.concatenate([np.frombuffer(x, np.uint32) for x, _ in parts]) if parts else np.zeros(0, np.uint32)
+            if len(count) != int(np.frombuffer(n_words, np.int64)[0]):
+                raise ValueError("the table gave other rows when it was read again; write it down first")
             del parts, block
             end = np.cumsum(count).tolist()
             texts = [str(x) for x in word_ids.tolist()]
@@ -189,9 +199,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 8
 
     Texts are cut into pre-tokens by the pattern, each match separately, without special tokens. Each block of
     about block_bytes of text sends its distinct pre-tokens to the bucket of their hash, where each is encoded
-    once for all blocks (while it is among those held last), and its documents, as numbers of pre-tokens by
-    position, past them; both meet again by block, where ids are put in place of the numbers. Rows of a block and
-    bucket travel packed and compressed. Decoding looks every id up in the token-byte table, which is broadcast:
+    once for all blocks (while it is among those held last); its documents, as numbers of pre-tokens by position, come
+    from a second reading of the table, which costs less than moving them along. Both meet by block, where ids are
+    put in place of the numbers; if the table gives other rows when read again, that is an error. Rows of a block
+    and bucket travel packed and compressed. Decoding looks every id up in the token-byte table, which is broadcast:
     its size is that of the vocabulary.
 
     A null or empty text has no ids. Null and repeated ids keep their rows; a text longer than a block is a block;
@@ -201,9 +212,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 8
     ranks = read_ranks(ranks_path)
     vocabulary, table = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(token_bytes(ranks))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_explode(pattern, buckets, block_bytes), PART)
-    coded = parts.repartition(F.col("bucket")).mapInArrow(_encode(vocabulary), PART)
-    return coded.repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket").mapInArrow(_reassemble(table, keep_ids), ENCODED)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    places, words = (rows.mapInArrow(_explode(pattern, buckets, block_bytes, kind), PART) for kind in (0, 1))
+    coded = words.repartition(F.col("bucket")).mapInArrow(_encode(vocabulary), PART)
+    return places.unionByName(coded).repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket").mapInArrow(_reassemble(table, keep_ids), ENCODED)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
