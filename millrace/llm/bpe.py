@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import chunks, utf8
+from millrace.llm.staging import bounded_batches
 
 PART = "block string, kind int, bucket int, payload binary"
 ENCODED = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -212,7 +213,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 8
     ranks = read_ranks(ranks_path)
     vocabulary, table = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(token_bytes(ranks))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    rows = bounded_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     places, words = (rows.mapInArrow(_explode(pattern, buckets, block_bytes, kind), PART) for kind in (0, 1))
     coded = words.repartition(F.col("bucket")).mapInArrow(_encode(vocabulary), PART)
     return places.unionByName(coded).repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket").mapInArrow(_reassemble(table, keep_ids), ENCODED)

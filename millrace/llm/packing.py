@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.arrays import Words, ranges, words_of
+from millrace.llm.staging import bounded_batches
 
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[list(b".!?")] = True
@@ -208,7 +209,7 @@ def pack(
         if held:
             yield flush()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, PIECE)
+    return bounded_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, PIECE)
 
 
 def op9_vocabulary() -> str:

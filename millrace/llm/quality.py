@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.arrays import Words, ranges, mix, sums, words_of
+from millrace.llm.staging import bounded_batches
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -134,7 +135,7 @@ def quality_report(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
             for i, j, columns in _reports(batch.column(1), *limits):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, columns)], names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, REPORT)
+    return bounded_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, REPORT)
 
 
 def quality_filter(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 16, max_covered: float = 0.3, max_longest: int = 50) -> DataFrame:
@@ -148,7 +149,7 @@ def quality_filter(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 OP5_SQL = r"""

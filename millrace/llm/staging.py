@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """df; in its session Arrow batches hold `rows` rows at most from now on, since texts make wide rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again, so that its lineage ends there."""
     spark, schema = df.sparkSession, df.schema

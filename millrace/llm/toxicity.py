@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrays import Words, chunks, mix, prefix, ranges, utf8
 from millrace.llm.language import remainder
+from millrace.llm.staging import bounded_batches
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 15, 1 << 14, 8, 8, 8
@@ -268,7 +269,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                     found = net.score(net.documents(t, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCORED)
+    return bounded_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCORED)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
