@@ -173,33 +173,73 @@ def _lead(estimate: float, least: float):
 
 
 def _rest(estimate: float, least: float, most: int | None):
-    """Pairs of an open row and a row of another component of its bucket that look alike: of each component the
-    `most` nearest, or all. A pair is given in the first of the sketches that it shares."""
+    """Pairs of a tile's rows of different components that look alike: for each two components the `most` nearest, or
+    all. Rows of side 0 meet each other, those of side 1 meet those of side 2. A pair is given in the first of the
+    sketches that it shares; all buckets that hold both have tiles for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            is_open = np.flatnonzero(t.column("open").to_numpy(zero_copy_only=False))
-            if not len(is_open):
-                continue
             ids, size, sig = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
-            part, band = t.column("component").to_numpy(), t.column("band").to_numpy()[0]
+            part, side, band = t.column("component").to_numpy(), t.column("side").to_numpy(), t.column("band").to_numpy()[0]
             bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :band]
-            one, two = [], []
-            for row in is_open:
-                hit, near = _alike(sig, size, row, np.flatnonzero(part != part[row]), estimate, least)
+            other = np.flatnonzero(side == 2)
+            one, two, close, held = [], [], [], 0
+            for row in np.flatnonzero(side < 2):
+                rest = other if side[row] else np.arange(row + 1, len(ids))
+                hit, near = _alike(sig, size, row, rest[part[rest] != part[row]], estimate, least)
                 first = ~(bands[hit] == bands[row]).any(axis=1)
                 hit, near = hit[first], near[first]
                 if most is not None and len(hit) > most:
                     order = np.lexsort((-near, part[hit]))
                     own = part[hit][order]
-                    hit = hit[order][np.arange(len(own)) - np.searchsorted(own, own) < most]
-                one.append(np.full(len(hit), ids[row]))
-                two.append(ids[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], ["leader", "doc_id"])
+                    order = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
+                    hit, near = hit[order], near[order]
+                one.append(np.full(len(hit), row))
+                two.append(hit)
+                close.append(near)
+                held += len(hit)
+                if most is None and held > 100_000:
+                    yield _pairs(ids, one, two)
+                    one, two, close, held = [], [], [], 0
+            if most is not None and held > most:
+                x, y, near = np.concatenate(one), np.concatenate(two), np.concatenate(close)
+                low, high = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
+                order = np.lexsort((-near, high, low))
+                new = np.ones(held, bool)
+                new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+                place = np.arange(held)
+                order = order[place - np.maximum.accumulate(np.where(new, place, 0)) < most]
+                one, two = [x[order]], [y[order]]
+            if held:
+                yield _pairs(ids, one, two)
 
     return run
 
 
+def _pairs(ids: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(one)]), pa.array(ids[np.concatenate(two)])], ["leader", "doc_id"])
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """rows(bucket, doc_id, component, ...) with tile and side, such that every two rows of a bucket and of different
+    components meet in a tile of about two BLOCKs of rows at most, or one. A component of BLOCK rows or more has blocks of its
+    own; smaller ones share blocks, each in one."""
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    small = parts.where(F.col("c") < BLOCK).groupBy("bucket").agg(F.sum("c").alias("n"))
+    parts = parts.join(small, "bucket", "left").withColumn("own", F.col("c") >= BLOCK)
+    rows = rows.join(parts, ["bucket", "component"])
+    nth = F.when(F.col("own"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("n") / BLOCK)))
+    rows = rows.withColumn("owner", F.when(F.col("own"), F.col("component"))).withColumn("nth", nth.cast("long")).drop("c", "n", "own")
+    rows = rows.withColumn("block", F.xxhash64("bucket", F.coalesce(F.col("owner").cast("string"), F.lit("")), "nth"))
+    blocks = rows.groupBy("block", "bucket", "owner").agg((F.min("component") < F.max("component")).alias("mixed"))
+    alone = blocks.where("mixed").select("block", F.col("block").alias("tile"), F.lit(0).alias("side"))
+    other = blocks.select("bucket", F.col("block").alias("to"), F.col("owner").alias("its"))
+    # a row for every two blocks of a bucket, without their texts
+    two = blocks.join(other, "bucket").where("block < to and (owner is null or its is null or owner <> its)").select("block", "to", F.xxhash64("block", "to").alias("tile"))
+    two = two.select(F.explode(F.array(F.struct("block", "tile", F.lit(1).alias("side")), F.struct(F.col("to").alias("block"), "tile", F.lit(2).alias("side")))).alias("x")).select("x.*")
+    return rows.drop("owner", "nth", "bucket").join(alone.unionByName(two), "block").drop("block")
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Shared labelled shingles on an order-keeping alignment, over all of both.
 
@@ -267,9 +307,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, repeats: in
     Texts of equal words are one text. Each distinct text has `repeats` sketches: its `keep` least
     occurrence-labelled k-word shingles under a hash order, in text order. Texts that agree in a sketch share a
     bucket; in a bucket, texts are compared with leaders by a signature of `size` hashes, and pairs whose estimate is at
-    least `least - margin` are verified by aligning their shingles. A text that fails against its leader is
-    compared with the rest of its bucket, first the nearest few of each other class and then all of them, unless
-    it is linked otherwise. Links join texts to classes.
+    least `least - margin` are verified by aligning their shingles. Then all texts of a bucket that are not linked
+    otherwise are compared, in tiles of blocks; first the nearest few of every two classes are verified, and then
+    all pairs. Links join texts to classes.
 
     At a similarity of 0.8 a pair shares no sketch with a probability below 1e-5, and is estimated too low with one of
     about 2e-3; both fall steeply above.
@@ -301,15 +341,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, repeats: in
     tried = verified(pairs)
     near = F.col("similarity") >= least
     parts = components(tried.where(near))
+    # a bucket whose texts all lead has had all its pairs compared, if it was led in one block
+    sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
+    partly = staged(led.where("leader <> doc_id").select("bucket").unionByName(sizes.where(F.col("n") > BLOCK).select("bucket")).distinct())
     for most in (4, None):
         label = bucketed.select("doc_id").distinct().join(parts, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        of_leader = label.select(F.col("doc_id").alias("leader"), F.col("component").alias("led_by"))
-        open_rows = staged(led.where("leader <> doc_id").join(label, "doc_id").join(of_leader, "leader").where("component <> led_by").select("bucket", "doc_id").distinct())
-        if open_rows.isEmpty():
+        inside = bucketed.select("bucket", "doc_id").join(partly, "bucket", "left_semi").join(label, "doc_id")
+        mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        inside = staged(inside.join(mixed, "bucket", "left_semi"))
+        if inside.isEmpty():
             break
-        again = bucketed.join(open_rows.select("bucket").distinct(), "bucket", "left_semi").join(label, "doc_id").join(open_rows.withColumn("open", F.lit(True)), ["bucket", "doc_id"], "left")
-        again = again.join(reps.select("doc_id", "bands"), "doc_id").select("bucket", "band", "doc_id", "n_shingles", "least", "component", "bands", F.coalesce("open", F.lit(False)).alias("open"))
-        again = again.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+        again = bucketed.join(inside, ["bucket", "doc_id"]).join(reps.select("doc_id", "bands"), "doc_id").select("bucket", "band", "doc_id", "n_shingles", "least", "component", "bands")
+        again = _tiles(again).select("tile", "side", "band", "doc_id", "n_shingles", "least", "component", "bands").repartition("tile").sortWithinPartitions("tile", "doc_id")
         more = again.mapInArrow(_rest(estimate, least, most), "leader long, doc_id long").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = verified(more)
         tried = tried.unionByName(new)

@@ -80,6 +80,46 @@ def test_near_duplicates_against_brute_force(spark, docs, seed):
     assert got == classes(rows)
 
 
+def sketched(texts):
+    from millrace.llm.arrays import words_of
+
+    import pyarrow as pa
+
+    _, _, w = next(iter(words_of(pa.array(texts))))
+    value, cuts = neardup.labelled(w.hash, w.word_offs, 5)
+    return neardup.sketches(value, cuts, 1, 1), neardup.signature(value, cuts, 160)
+
+
+def chain(seed):
+    """A hub, light variants of it, a text about 0.85 from the hub, and one about 0.85 from that and 0.7 from the hub."""
+    rng = random.Random(seed)
+    hub = words(rng, 400)
+
+    def changed(text, places):
+        other = list(text)
+        for at in places:
+            other[at] = f"new{at}"
+        return other
+
+    light = [changed(hub, [rng.randrange(400)]) for _ in range(8)]
+    middle = changed(hub, range(5, 200, 27))
+    far = changed(middle, range(210, 400, 26))
+    return [" ".join(t) for t in (hub, *light, middle, far)]
+
+
+def test_members_of_one_leader_meet_later_leaders(spark, docs):
+    for seed in range(500):
+        texts = chain(seed)
+        bands, least = sketched(texts)
+        alike = (least[[0, 0, -2]] == least[[-2, -1, -1]]).mean(axis=1)
+        if len(set(bands[:, 0])) == 1 and alike[0] >= 0.73 and alike[1] < 0.7 and alike[2] >= 0.73:
+            break
+    rows = list(enumerate(texts))
+    assert set(classes(rows).values()) == {0}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(rows), repeats=1, keep=1).collect()}
+    assert got == classes(rows)
+
+
 def test_near_duplicates_odd_rows(spark, docs):
     rng = random.Random(9)
     base = " ".join(words(rng, 60))
