@@ -145,7 +145,7 @@ def _alike(sig: np.ndarray, size: np.ndarray, row: int, rest: np.ndarray, estima
 
 
 def _lead(estimate: float, least: float):
-    """Leaders of each bucket and the members that look like them: (bucket, leader, doc_id); leader rows name themselves.
+    """Leaders of each block of a bucket and the members that look like them: (bucket, leader, doc_id); leader rows name themselves.
 
     The next leader is the text nearest to what most of the rest have in each place of the signature, so that a text from
     which others were made leads them.
@@ -167,7 +167,7 @@ def _lead(estimate: float, least: float):
                 leader.append(np.full(len(hit) + 1, ids[row]))
                 member.append(np.append(ids[row], ids[hit]))
             a, b = np.concatenate(leader), np.concatenate(member)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t.column(0)[0].as_py())), pa.array(a), pa.array(b)], ["bucket", "leader", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t.column("bucket")[0].as_py())), pa.array(a), pa.array(b)], ["bucket", "leader", "doc_id"])
 
     return run
 
@@ -283,22 +283,21 @@ def _verify(k: int, least: float):
 
 def _led(rows: DataFrame, estimate: float, least: float) -> DataFrame:
     """(bucket, leader, doc_id) over rows(bucket, doc_id, n_shingles, least); large buckets are led in blocks, then
-    their leaders among themselves, as long as that makes them fewer."""
-    out, before = None, None
+    their leaders among themselves, as long as that makes them fewer. No task holds more than a block."""
+    out, turn = None, 0
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     schema = "bucket long, leader long, doc_id long"
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-        top = sizes.agg(F.max("n")).first()[0] or 0
-        last = top <= BLOCK or (before is not None and top > 0.9 * before)
-        part = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", F.lit(before or 0)), F.ceil(F.col("n") / BLOCK).cast("long"))
-        keyed = rows.join(sizes, "bucket").withColumn("block", F.when(part == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", part)))
-        back = keyed.select("block", "bucket").distinct()
-        led = keyed.select("block", "doc_id", "n_shingles", "least").repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_lead(estimate, least), schema)
-        led = staged(led.join(back.withColumnRenamed("bucket", "whole"), led["bucket"] == back["block"]).select(F.col("whole").alias("bucket"), "leader", "doc_id") if not last else led)
+        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("n") / BLOCK).cast("long"))
+        keyed = rows.join(sizes, "bucket").withColumn("block", F.xxhash64("bucket", part)).select("block", "bucket", "doc_id", "n_shingles", "least")
+        led = staged(keyed.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_lead(estimate, least), schema))
         out = led if out is None else out.unionByName(led)
-        if last:
+        heads = led.where("leader = doc_id").select("bucket", "doc_id")
+        fewer = heads.groupBy("bucket").agg(F.count("*").alias("k")).join(sizes.where(F.col("n") > BLOCK), "bucket")
+        sizes = staged(fewer.where(F.col("k") <= 0.9 * F.col("n")).select("bucket", F.col("k").alias("n")))
+        if sizes.isEmpty():
             return out
-        rows, before = led.where("leader = doc_id").select("bucket", "doc_id").distinct().join(rows, ["bucket", "doc_id"]), top
+        rows, turn = rows.join(heads.join(sizes.select("bucket"), "bucket"), ["bucket", "doc_id"], "left_semi"), turn + 1
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, repeats: int = 24, keep: int = 4, size: int = 160, margin: float = 0.09) -> DataFrame:

@@ -120,6 +120,32 @@ def test_members_of_one_leader_meet_later_leaders(spark, docs):
     assert got == classes(rows)
 
 
+def test_no_task_holds_a_large_bucket(spark, docs, monkeypatch):
+    """Unlike texts with one sketch, and a few copies of some of them."""
+    for seed in range(20):
+        rng = random.Random(seed)
+        passage = words(rng, 60)
+        texts = [passage + words(rng, 60) for _ in range(300)]
+        texts += [t[:115] for t in texts[:100]]
+        rows = list(enumerate(" ".join(t) for t in texts))
+        bands = sketched([t for _, t in rows])[0][:, 0].tolist()
+        common = Counter(bands).most_common(1)[0][0]
+        rows = [r for r, b in zip(rows, bands, strict=True) if b == common]
+        if len(rows) > 150:
+            break
+    groups = neardup._groups
+
+    def small_groups(batches):
+        for t in groups(batches):
+            assert t.num_rows <= 64, t.num_rows
+            yield t
+
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "_groups", small_groups)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(rows), repeats=1, keep=1).collect()}
+    assert got == classes(rows) and len(set(got.values())) < len(rows)
+
+
 def test_near_duplicates_odd_rows(spark, docs):
     rng = random.Random(9)
     base = " ".join(words(rng, 60))
