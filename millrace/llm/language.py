@@ -160,27 +160,20 @@ class Model:
         return np.add.reduceat(found, p.offs[:-1], axis=0), p.size + 1, p.letter
 
 
-def train(labelled: DataFrame, order: int = 5, min_count: int = 2, max_ngrams: int = 1_000_000) -> Model | None:
+def train(labelled: DataFrame, order: int = 5) -> Model | None:
     """Character models from all rows of labelled(lang, text); null langs and texts are passed over.
 
     All texts are counted, partially in each batch and then by a shuffle on (lang, n-gram); lower orders follow
-    from the highest (continuation counts). The model is held whole by every task, so n-grams counted less often
-    than min_count are left out after counting, and if more than max_ngrams are left, so are the rarest of them, all
-    below one threshold; the discount is that of all counts. None without any n-gram.
+    from the highest (continuation counts). No n-gram is left out, however rare, so the counts of a language do not
+    depend on the others or on the size of the table; the model grows with the distinct n-grams and is held whole by the
+    driver and every task. The discount is that of all counts. None without any n-gram.
     """
     rows = bounded_batches(labelled).where("lang is not null and text is not null").select(labelled["lang"].alias("lang"), labelled["text"].alias("text"))
     counts = staged(rows.mapInArrow(_count(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    by_count = sorted(((r.c, r.k) for r in counts.groupBy(F.least("n", F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    total, least = 0, 1000
-    for c, k in by_count:
-        if total and (c < min_count or total + k > max_ngrams):
-            break
-        total, least = total + k, c
-    if not by_count:
+    n1, n2 = counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    table = counts.toArrow().combine_chunks()
+    if not table.num_rows:
         return None
-    table = counts.where(F.col("n") >= least).toArrow().combine_chunks()
-    of_count = dict(by_count)
-    n1, n2 = of_count.get(1, 0), of_count.get(2, 0)
     langs = table["lang"].combine_chunks().dictionary_encode()
     code, n = langs.indices.to_numpy(), table["n"].to_numpy()
     points = np.frombuffer(utf8(table["gram"].combine_chunks())[0].tobytes().decode().encode("utf-32-le"), np.uint32).reshape(-1, order)

@@ -69,6 +69,14 @@ def sample_languages(n=60):
     return [(i, " ".join(rng.choice(words[x]) for _ in range(40)), x) for i in range(n) for x in [("aa", "bb")[i % 2]]]
 
 
+def test_rare_language_keeps_its_ngrams(spark, docs):
+    rows = [*sample_languages(), (1000, "quixotic jumble", "cc")]
+    model = language.train(docs(rows))
+    assert model.langs == ["aa", "bb", "cc"]
+    grams = {(" " * 4 + w + " ")[i : i + 5] for _, t, _ in rows for w in t.split() for i in range(len(w) + 1)}
+    assert len(model.key) == len(grams)
+
+
 def test_language_predicts_and_rejects(spark, docs):
     rows = [*sample_languages(), (1000, None), (1001, "12 34 %"), (1002, "ЖЩЪ ЫЭЮ ЯЖЩ ЪЫЭ " * 30), (1003, "the weather"), (1003, "the weather"), (None, "hand thing")]
     got = defaultdict(list)
