@@ -94,14 +94,18 @@ def _order(curves: int, dim: int, top: float, seed: int):
     return run
 
 
-def _best(score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the `keep` largest of each row."""
+def _best(score: np.ndarray, keep: int, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the `keep` largest of each row; of equal scores those with the smaller rep."""
     n, m = score.shape
-    if m > keep:
-        at = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-    else:
+    if m <= keep:
         at = np.broadcast_to(np.arange(m), (n, m))
-    return np.repeat(np.arange(n), at.shape[1]), at.ravel()
+        return np.repeat(np.arange(n), m), at.ravel()
+    at = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+    cut = np.take_along_axis(score, at, axis=1).min(axis=1)
+    for row in np.flatnonzero((score >= cut[:, None]).sum(axis=1) > keep):
+        col = np.flatnonzero(score[row] >= cut[row])
+        at[row] = col[np.lexsort((rep[col], -score[row, col]))[:keep]]
+    return np.repeat(np.arange(n), keep), at.ravel()
 
 
 FOUND = pa.schema([("asked", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
@@ -113,8 +117,8 @@ def _search(keep: int):
             return FOUND.empty_table()
         q, v = _matrix(left.column("q").combine_chunks()), _matrix(right.column("v").combine_chunks())
         score = q @ v.T
-        row, col = _best(score, keep)
         asked, rep = left.column("asked").to_numpy(), right.column("rep").to_numpy()
+        row, col = _best(score, keep, rep)
         return pa.table([asked[row], rep[col], score[row, col]], schema=FOUND)
 
     return run
@@ -134,7 +138,7 @@ def _complete(keep: int):
                 if not open_.any():
                     continue
                 score = q[open_] @ v.T
-                row, col = _best(score, keep)
+                row, col = _best(score, keep, rep)
                 good = score[row, col] >= floor[open_][row] - 1e-9
                 row, col = row[good], col[good]
                 yield pa.RecordBatch.from_arrays([pa.array(asked[open_][row]), pa.array(rep[col]), pa.array(score[row, col])], schema=FOUND)

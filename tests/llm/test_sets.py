@@ -222,6 +222,15 @@ def test_hilbert_curve_steps_to_neighbours():
     assert np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1).max() == 1
 
 
+def test_best_gives_ties_to_smaller_ids():
+    rep = np.random.default_rng(3).permutation(500)
+    score = np.zeros((2, 500))
+    score[0, 7], score[1, :] = 1.0, np.arange(500) % 2
+    row, col = neighbours._best(score, 5, rep)
+    assert set(rep[col[row == 0]]) == {rep[7], *np.sort(np.delete(rep, 7))[:4]}
+    assert set(rep[col[row == 1]]) == set(np.sort(rep[1::2])[:5])
+
+
 def test_nearest_is_exact_with_odd_vectors(spark):
     rng = np.random.default_rng(1)
     m = rng.standard_normal((300, 8)).round(2)
