@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.staging import staged
+from millrace.llm.staging import Rounds, staged
 
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 # what could be read as control loses its first character to an escape; no control string is left in a text
@@ -61,32 +61,39 @@ def _formatter(loss_roles: frozenset[str]):
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
-    """(tree_id, leaf_id, node_id, up): every node of every root-to-leaf path, and its distance from the leaf.
+    """(tree_id, leaf_id, node_id, up, score): every node of every root-to-leaf path, its distance from the leaf and its score.
 
-    nodes has tree_id, node_id and parent_id. Round k joins the paths found so far with the ancestors 2**k above
-    each node, and those with themselves, so that the rounds grow with the logarithm of the depth. A node whose
-    parent is null or missing is a root. Paths that never reach a root, as in a loop of parents, are left out.
+    nodes has tree_id, node_id, parent_id and score. Round k joins the paths found so far with the ancestors 2**k above
+    each node, and those with themselves, so that the rounds grow with the logarithm of the depth. All rounds are one
+    table, so that no plan grows with the depth; what is known of an ancestor travels with the step that leads to it,
+    so that the many paths below a node never meet that node's row again. A node whose parent is null or missing is a
+    root. Paths that never reach a root, as in a loop of parents, are left out.
     """
-    nodes = nodes.select("tree_id", "node_id", "parent_id").where("tree_id is not null and node_id is not null").dropDuplicates(["tree_id", "node_id"])
-    ids = nodes.select("tree_id", F.col("node_id").alias("parent_id"))
-    up = nodes.join(ids, ["tree_id", "parent_id"], "left_semi").select("tree_id", "node_id", F.col("parent_id").alias("above"))
-    parents = up.select("tree_id", F.col("above").alias("node_id")).distinct()
-    leaves = nodes.join(parents, ["tree_id", "node_id"], "left_anti")
-    roots = nodes.join(up, ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id")
-    up = staged(up)
-    most = nodes.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    paths = staged(leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up")))
+    key = ["tree_id", "node_id"]
+    nodes = nodes.select(*key, "parent_id", "score").where("tree_id is not null and node_id is not null").dropDuplicates(key)
+    above = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("score").alias("above_score"))
+    up = staged(nodes.join(above, ["tree_id", "parent_id"]).select(*key, F.col("parent_id").alias("above"), "above_score"))
+    inner = up.select(*key).withColumn("inner", F.lit(True))
+    parents = up.select("tree_id", F.col("above").alias("node_id")).distinct().withColumn("parent", F.lit(True))
+    roles = nodes.join(inner, key, "left").join(parents, key, "left")
+    roles = staged(roles.select(*key, "score", F.col("inner").isNull().alias("root"), F.col("parent").isNull().alias("leaf")))
+    roots = roles.where("root").select("tree_id", F.col("node_id").alias("above")).withColumn("root", F.lit(True))
+    up = staged(up.join(roots, ["tree_id", "above"], "left").select(*key, "above", "above_score", F.coalesce("root", F.lit(False)).alias("root")))
+    most = roles.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    paths = Rounds(nodes.sparkSession)
+    paths.add(roles.where("leaf").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("up"), "score", "root"))
     step = 1
     while step < most:
-        more = staged(paths.join(up, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("above").alias("node_id"), (F.col("up") + step).alias("up")))
+        below = paths.rows().where("not root").select("tree_id", "leaf_id", "node_id", "up").join(up, key)
+        more = paths.add(below.select("tree_id", "leaf_id", F.col("above").alias("node_id"), (F.col("up") + step).alias("up"), F.col("above_score").alias("score"), "root"))
         if more.isEmpty():
             break
-        paths = paths.unionByName(more)
-        next_ = up.select("tree_id", F.col("node_id").alias("above"), F.col("above").alias("far"))
-        up = staged(up.join(next_, ["tree_id", "above"]).select("tree_id", "node_id", F.col("far").alias("above")))
         step *= 2
-    whole = paths.join(roots, ["tree_id", "node_id"], "left_semi").select("tree_id", "leaf_id").distinct()
-    return paths.join(whole, ["tree_id", "leaf_id"], "left_semi")
+        if step < most:
+            next_ = up.select("tree_id", F.col("node_id").alias("above"), F.col("above").alias("far"), F.col("above_score").alias("far_score"), F.col("root").alias("far_root"))
+            up = staged(up.where("not root").drop("root", "above_score").join(next_, ["tree_id", "above"]).select(*key, F.col("far").alias("above"), F.col("far_score").alias("above_score"), F.col("far_root").alias("root")))
+    whole = paths.rows().where("root").select("tree_id", "leaf_id")
+    return staged(paths.rows().join(whole, ["tree_id", "leaf_id"], "left_semi").select("tree_id", "leaf_id", "node_id", "up", "score"))
 
 
 def format_trees(nodes: DataFrame, branches: int = 1, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -102,9 +109,9 @@ def format_trees(nodes: DataFrame, branches: int = 1, loss_roles: tuple[str, ...
     rows = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     rows = staged(rows.where("tree_id is not null and node_id is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"))
     paths = tree_paths(rows)
-    scored = paths.join(rows.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id").agg(F.avg("score").alias("score"))
+    scored = paths.groupBy("tree_id", "leaf_id").agg(F.avg("score").alias("score"))
     best = Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf_id")
-    chosen = scored.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches).select("tree_id", "leaf_id", "branch")
+    chosen = staged(scored.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches).select("tree_id", "leaf_id", "branch"))
     turns = paths.join(chosen, ["tree_id", "leaf_id"]).join(rows.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
     down = F.struct((-F.col("up")).alias("down"), "role", "text")
     grouped = turns.groupBy("tree_id", "leaf_id", "branch").agg(F.sort_array(F.collect_list(down)).alias("turns"))

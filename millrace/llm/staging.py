@@ -40,6 +40,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Rounds:
+    """A staged table that grows by whole rounds; its rows are one scan, however many rounds there are."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.schema = spark, [], None
+        self.folder = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes a round of rows, and gives them back as a table."""
+        self.schema = self.schema or df.schema
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        """All rounds so far."""
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

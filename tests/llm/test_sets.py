@@ -304,6 +304,63 @@ def test_reply_trees_rank_branches(spark):
     assert chat.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_chat_plans_do_not_grow_with_depth(spark, monkeypatch):
+    joins = []
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return df
+
+    staged, add = chat.staged, chat.Rounds.add
+    monkeypatch.setattr(chat, "staged", lambda df: staged(counted(df)))
+    monkeypatch.setattr(chat.Rounds, "add", lambda self, df: add(self, counted(df)))
+    most = []
+    for depth in (8, 64, 512):
+        joins.clear()
+        nodes = spark.range(depth).selectExpr("1L as tree_id", "id as node_id", "if(id > 0, id - 1, null) as parent_id", "'user' as role", "cast(id as string) as text", "0D as score")
+        made = counted(chat.format_trees(nodes)).collect()
+        assert len(made) == 1 and [t for _, t in chat.parse_turns(made[0]["formatted"])] == [str(k) for k in range(depth)]
+        most.append((max(joins), joins[-1]))
+    assert most[0] == most[1] == most[2] and most[0][0] <= 3
+
+
+def brute_branches(rows, branches):
+    """Chosen branches of trees by walking up from every leaf."""
+    nodes = {(t, n): (p, s or 0.0) for t, n, p, s in rows}
+    parents = {(t, p) for (t, _), (p, _) in nodes.items() if (t, p) in nodes}
+    found = defaultdict(list)
+    for t, n in nodes:
+        if (t, n) in parents:
+            continue
+        path, at = [], n
+        while (t, at) in nodes and at not in path:
+            path.append(at)
+            at = nodes[t, at][0]
+        if (t, at) not in nodes:
+            found[t].append((-sum(nodes[t, x][1] for x in path) / len(path), n, path[::-1]))
+    return {(t, k + 1): (leaf, path) for t, v in found.items() for k, (_, leaf, path) in enumerate(sorted(v)[:branches])}
+
+
+def test_reply_trees_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(t, n, rng.choice([None, *range(max(0, n - 6), n)]) if n else None, rng.randint(0, 16) / 16) for t in range(12) for n in range(60)]
+    rows += [(50, n, 0 if n else None, rng.randint(0, 4) / 4) for n in range(500)]  # many answers to one row
+    rows += [(51, n, n + 1 if n < 9 else 4, 0.5) for n in range(10)]  # a tail into a loop
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, score double").selectExpr("*", "'user' as role", "cast(node_id as string) as text")
+    got = {(r["tree_id"], r["branch"]): (r["leaf_id"], [int(t) for _, t in chat.parse_turns(r["formatted"])]) for r in chat.format_trees(nodes, branches=3).collect()}
+    assert got == brute_branches(rows, 3)
+
+
+def test_conversations_with_odd_rows(spark):
+    """Null ids and turns, empty and very long texts, ties, repeated rows, and columns named like those inside."""
+    rows = [(1, 2, "user", "b"), (1, None, "user", "first"), (1, 2, "user", "b"), (1, 1, None, None), (None, 1, "user", "lost"), (2, 1, "assistant", ""), (3, 1, "assistant", "word " * 60_000), (4, 1, "user", "z"), (4, 1, "assistant", "y")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "9L as tree_id", "9L as node_id", "9L as parent_id", "'x' as score", "1 as branch", "1 as up", "true as root")
+    made = {r["tree_id"]: (chat.parse_turns(r["formatted"]), r["formatted"], r["loss"]) for r in chat.format_trees(chat.linear_trees(table)).collect()}
+    assert {k: v[0] for k, v in made.items()} == {1: [("user", "first"), ("", ""), ("user", "b"), ("user", "b")], 2: [("assistant", "")], 3: [("assistant", "word " * 60_000)], 4: [("assistant", "y"), ("user", "z")]}
+    assert [made[3][1][s["start"] : s["stop"]] for s in made[3][2]] == ["word " * 60_000] and made[2][2] == []
+    assert chat.read_back(chat.format_trees(chat.linear_trees(table.limit(0)))).count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, docs, tmp_path):
     import corpus_pipeline
 
