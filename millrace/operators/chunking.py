@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +13,10 @@ from millrace.functions.text import empty_if_null, null_if_empty, piece_id, sha1
 
 # fixed values
 MAX_LENGTH, WINDOW_SIZE, OVERLAP, MIN_LENGTH = 2000, 1500, 200, 50
-ARTICLE = r"(?U)(?=제\s*\d+\s*조(?:의\s*\d+)?\s*\()"
-ARTICLE_MARK = r"(?U)(?=\s*제\s*\d+\s*조(?:의\s*\d+)?\s*\()"
-NUMBERED = r"(?=\n\s*\d{1,2}[.)]\s)"
+ARTICLE = r"(?U)(?=제\s*\d+\s*조(?:의\s*\d+)?\s*[(（])"
+ARTICLE_MARK = r"(?U)(?=\s*제\s*\d+\s*조(?:의\s*\d+)?\s*[(（])"
+PARAGRAPH = r"\n{2,}"
+NUMBERED = r"(?U)(?=\n\s*\d{1,2}[.)]\s)"
 
 
 def windows(text: Column, most: int = MAX_LENGTH, size: int = WINDOW_SIZE, overlap: int = OVERLAP) -> Column:
@@ -31,37 +36,44 @@ def articles(text: Column, pattern: str = ARTICLE) -> Column:
     return F.when(F.size(pieces) < 3, windows(text)).otherwise(F.flatten(F.transform(pieces, lambda p: windows(p))))
 
 
-def _numbered(text: Column) -> Column:
-    """Numbered items, if there are two or more and none is over-long; else windows."""
+def _numbered(text: Column) -> tuple[Column, Column]:
+    """Numbered items, if there are two or more and none is over-long, else windows; and whether they are items."""
     items = _pieces(text, NUMBERED)
-    return F.when((F.size(items) >= 2) & F.forall(items, lambda p: F.length(p) <= MAX_LENGTH), items).otherwise(windows(text))
+    numbered = (F.size(items) >= 2) & F.forall(items, lambda p: F.length(p) <= MAX_LENGTH)
+    return F.when(numbered, items).otherwise(windows(text)), numbered
+
 
+def general_pieces(text: Column) -> tuple[Column, Column]:
+    """Paragraphs, over-long ones by numbered items or windows; a text of one paragraph by numbered items or windows.
 
-def general_pieces(text: Column) -> Column:
-    """Paragraphs, over-long ones by numbered items or windows; a text of one paragraph by numbered items or windows."""
-    paragraphs = _pieces(text, r"\n\s*\n")
-    each = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= MAX_LENGTH, F.array(p)).otherwise(_numbered(p))))
-    return F.when(F.size(paragraphs) >= 2, each).otherwise(_numbered(text))
+    The second column is the strategy: window where the whole text falls into windows, else separator.
+    """
+    paragraphs = _pieces(text, PARAGRAPH)
+    each = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= MAX_LENGTH, F.array(p)).otherwise(_numbered(p)[0])))
+    whole, numbered = _numbered(text)
+    many = F.size(paragraphs) >= 2
+    return F.when(many, each).otherwise(whole), F.when(many | numbered, "separator").otherwise("window")
 
 
 def split_records(rows: DataFrame) -> DataFrame:
-    """Records of over MAX_LENGTH characters in pieces; shorter ones as they are. strategy is none, article or general.
+    """Records of over MAX_LENGTH characters in pieces; shorter ones as they are. strategy is none, article, separator or window.
 
     Three or more marks of articles, counted at every white space before them too, choose articles. Pieces take over the
     record's fields, but for chunk_id, chunk_index, parent_post_id (the record's, else its id) and notes.
     """
     text = empty_if_null(F.col("text"))
     article = F.regexp_count(F.concat(F.lit("\n"), text), F.lit(ARTICLE_MARK)) >= 3
-    strategy = F.when(F.length(text) <= MAX_LENGTH, "none").when(article, "article").otherwise("general")
-    rows = rows.withColumn("strategy", strategy)
-    pieces = F.when(F.col("strategy") == "none", F.array(text)).when(F.col("strategy") == "article", articles(text)).otherwise(general_pieces(text))
-    cut = rows.withColumn("pieces", pieces).withColumn("n_pieces", F.size("pieces")).select("*", F.posexplode("pieces").alias("piece", "piece_text")).drop("pieces")
+    general, kind = general_pieces(text)
+    short = F.length(text) <= MAX_LENGTH
+    cut = F.when(short, F.struct(F.array(text).alias("pieces"), F.lit("none").alias("strategy"))).when(article, F.struct(articles(text).alias("pieces"), F.lit("article").alias("strategy"))).otherwise(F.struct(general.alias("pieces"), kind.alias("strategy")))
+    cut = rows.withColumn("cut", cut).withColumn("strategy", F.col("cut.strategy")).withColumn("n_pieces", F.size("cut.pieces"))
+    cut = cut.select("*", F.posexplode("cut.pieces").alias("piece", "piece_text")).drop("cut")
     many = F.col("n_pieces") > 1
     return cut.withColumns(
         {
             "text": F.col("piece_text"),
             "parent_post_id": F.when(many, F.coalesce(null_if_empty(F.col("parent_post_id")), F.col("chunk_id"))).otherwise(F.col("parent_post_id")),
-            "notes": F.when(many, F.concat_ws(" | ", null_if_empty(F.col("notes")), F.concat(F.lit("split_from="), F.col("chunk_id")))).otherwise(F.col("notes")),
+            "notes": F.when(many, _noted(F.col("notes"), F.concat(F.lit("split_from="), F.col("chunk_id")))).otherwise(F.col("notes")),
             "chunk_index": F.when(many, F.col("piece")).otherwise(F.col("chunk_index")),
             "char_count": F.length("piece_text"),
             "chunk_id": F.when(many, piece_id(F.col("chunk_id"), F.col("piece"))).otherwise(F.col("chunk_id")),
@@ -69,44 +81,100 @@ def split_records(rows: DataFrame) -> DataFrame:
     ).drop("piece", "piece_text", "n_pieces")
 
 
+def _noted(notes: Column, addition: Column) -> Column:
+    return F.concat_ws(" | ", null_if_empty(notes), addition)
+
+
 def _glue(a: Column, b: Column) -> Column:
     return F.concat(a, F.when(a.endswith("\n"), "").otherwise("\n\n"), b)
 
 
-def merge_small(rows: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
-    """Rows of a (source_file, parent_post_id), by chunk_index, joined until each has `least` characters.
+def _parts(least: int):
+    """Numbers the outputs of each run of rows sorted by (file, parent, run, place); holds one output's length at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part, size, ends = None, 0, 0, False
+        for batch in batches:
+            names = batch.schema.names
+            keys = zip(*(batch.column(names.index(c)).to_pylist() for c in ("file", "parent", "run")), strict=True)
+            rows = zip(keys, *(batch.column(names.index(c)).to_pylist() for c in ("n_chars", "ends")), strict=True)
+            out = np.empty(batch.num_rows, np.int32)
+            for k, (key, n, newline) in enumerate(rows):
+                if key != last:
+                    last, part, size, ends = key, 0, n, newline
+                elif size < least:
+                    size, ends = size + (0 if ends else 2) + n, newline or n == 0
+                else:
+                    part, size, ends = part + 1, n, newline
+                out[k] = part
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "part"])
 
-    rows has source_file, parent_post_id, chunk_index, chunk_id and text. A short row at the end joins the output before
-    it; alone it stays (orphan). A merged id is the SHA-1 start of "left|m+right", chained; index and first_id are those of the
-    leftmost row. Rows without a parent pass untouched. Only groups with a short row are gathered.
+    return run
+
+
+def merge_small(rows: DataFrame, least: int = MIN_LENGTH, span: int = 4096) -> DataFrame:
+    """Rows of a (source_file, parent_post_id), by chunk_index and chunk_id, joined until each has `least` characters.
+
+    A short row at the end joins the output before it; alone it stays (an orphan). A joined row has the fields of its leftmost
+    row, but for text, chunk_id (the SHA-1 start of "left|m+right", chained), and, where rows has them, char_count,
+    domains and categories (sorted unions) and notes (merged_with=, chained); n_merged counts its rows. Rows without a parent
+    (null or empty) pass untouched.
+
+    A row of `least` characters or more always ends an output. So a parent is cut behind each such row into runs, which
+    are numbered by counts over spans of `span` indexes, and only runs with a short row are put together; no task holds a parent.
     """
-    key = ["source_file", "parent_post_id"]
-    short = F.length(empty_if_null(F.col("text"))) < least
-    groups = rows.where(short & F.col("parent_post_id").isNotNull()).select(*key).distinct()
-    out = rows.select(*key, "chunk_index", "chunk_id", "text", F.lit(1).alias("n_merged"))
-    kept = out.join(groups, key, "left_anti")
-    row = F.struct(F.col("chunk_index"), F.col("chunk_id"), empty_if_null(F.col("text")).alias("text"), F.lit(1).alias("n_merged"))
-    gathered = out.join(groups, key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    kind = "array<struct<chunk_index: int, chunk_id: string, text: string, n_merged: int>>"
-
-    def joined(a: Column, b: Column) -> Column:
-        return F.struct(
-            a["chunk_index"].cast("int").alias("chunk_index"), sha16(F.concat(a["chunk_id"], F.lit("|m+"), b["chunk_id"])).alias("chunk_id"), _glue(a["text"], b["text"]).alias("text"), (a["n_merged"] + b["n_merged"]).cast("int").alias("n_merged")
-        )
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        before = F.slice(done, 1, F.size(done) - 1)
-        return F.when((F.size(done) > 0) & (F.length(F.try_element_at(done, F.lit(-1))["text"]) < least), F.concat(before, F.array(joined(last, x)))).otherwise(F.concat(done, F.array(x))).cast(kind)
-
-    def close(done: Column) -> Column:
-        tail, before = F.element_at(done, -1), F.try_element_at(done, F.lit(-2))
-        cut = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 2, F.lit(0))), F.array(joined(before, tail)))
-        return F.when((F.size(done) > 1) & (F.length(tail["text"]) < least), cut).otherwise(done).cast(kind)
-
-    empty = F.array().cast(kind)
-    merged = gathered.select(*key, F.explode(F.aggregate(F.col("rows").cast(kind), empty, step, close)).alias("r")).select(*key, "r.chunk_index", "r.chunk_id", "r.text", "r.n_merged")
-    return kept.unionByName(merged)
+    names, key = rows.columns, ["file", "parent"]
+    parent = null_if_empty(F.col("parent_post_id"))
+    alone = rows.where(parent.isNull()).withColumn("n_merged", F.lit(1))
+    text = empty_if_null(F.col("text"))
+    placed = rows.where(parent.isNotNull()).withColumns({"file": empty_if_null(F.col("source_file").cast("string")), "parent": F.col("parent_post_id").cast("string"), "at": F.coalesce(F.col("chunk_index"), F.lit(0)), "n_chars": F.length(text), "ends": text.endswith("\n")})
+    placed = placed.withColumn("text", text).withColumn("span", F.floor(F.col("at") / span))
+    long = (F.col("n_chars") >= least).cast("int")
+    order = ["at", "chunk_id", "text"]
+    spans = placed.groupBy(*key, "span").agg(F.sum(long).alias("n"))
+    upto = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*key, "span", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*key, "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.withColumn("longs", F.coalesce(F.sum(long).over(inside), F.lit(0))).join(spans, [*key, "span"]).withColumn("run", F.col("base") + F.col("longs")).drop("base", "longs", "span")
+    runs = runs.withColumn("n_short", F.sum(1 - long).over(Window.partitionBy(*key, "run")))
+    kept = runs.where("n_short = 0").select(*key, "run", F.lit(0).alias("part"), *names, F.lit(1).alias("n_merged"), F.lit(True).alias("closed"))
+    short = runs.where("n_short > 0").drop("n_short").repartition(*key, "run").sortWithinPartitions(*key, "run", *order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema)
+    short = short.mapInArrow(_parts(least), f"{kinds}, part int")
+    gathered = short.groupBy(*key, "run", "part").agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*names).alias("row")))).alias("x"), (F.max("n_chars") >= least).alias("closed"))
+    first, rest = F.col("x")[0]["row"], F.expr("transform(slice(x, 2, size(x)), e -> e.row)")
+    made = gathered.select(*key, "run", "part", *[_joined(c, first, rest).alias(c) for c in names], F.size("x").alias("n_merged"), "closed")
+    made = kept.unionByName(made)
+    # an output that is still short ends its parent, and joins the output before it
+    left = (F.length("text") < least) & ((F.col("run") > 0) | (F.col("part") > 0))
+    tail = made.where(left).select(*[F.col(c).alias(f"t_{c}") for c in key], F.struct(*names, "n_merged").alias("tail"), F.when(F.col("part") > 0, F.col("run")).otherwise(F.col("run") - 1).alias("to_run"), (F.col("part") - 1).alias("to_part"))
+    before = (F.col("part") == F.col("to_part")) | ((F.col("to_part") < 0) & F.col("closed"))
+    on = (F.col("file") == F.col("t_file")) & (F.col("parent") == F.col("t_parent")) & (F.col("run") == F.col("to_run")) & before
+    met = made.where(~left).join(tail, on, "left")
+    whole, end = F.struct(*names), F.when(F.col("tail").isNotNull(), F.array("tail")).otherwise(F.array().cast(_array_of(met, "tail")))
+    met = met.withColumn("first", whole).withColumn("rest", end)
+    done = met.select(*[_joined(c, F.col("first"), F.col("rest")).alias(c) for c in names], (F.col("n_merged") + F.coalesce("tail.n_merged", F.lit(0))).alias("n_merged"))
+    return alone.unionByName(done)
+
+
+def _array_of(df: DataFrame, name: str) -> str:
+    return f"array<{df.schema[name].dataType.simpleString()}>"
+
+
+def _joined(name: str, first: Column, rest: Column) -> Column:
+    """A field of the row that joins `first` and the rows of the array `rest`."""
+    if name == "text":
+        return F.aggregate(rest, first["text"], lambda a, r: _glue(a, r["text"]))
+    if name == "char_count":
+        return F.length(_joined("text", first, rest))
+    if name == "chunk_id":
+        return F.aggregate(rest, first["chunk_id"], lambda a, r: sha16(F.concat(empty_if_null(a), F.lit("|m+"), empty_if_null(r["chunk_id"]))))
+    if name == "notes":
+        return F.aggregate(rest, first["notes"], lambda a, r: _noted(a, F.concat(F.lit("merged_with="), r["chunk_id"])))
+    if name in ("domains", "categories"):
+        all_ = F.concat(F.array(first[name]), F.transform(rest, lambda r: r[name]))
+        return F.when(F.size(rest) == 0, first[name]).otherwise(F.array_sort(F.array_distinct(F.flatten(F.filter(all_, lambda x: x.isNotNull())))))
+    return first[name]
 
 
 def merge_stats(rows: DataFrame, merged: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
@@ -117,23 +185,73 @@ def merge_stats(rows: DataFrame, merged: DataFrame, least: int = MIN_LENGTH) ->
     return before.join(F.broadcast(after), F.lit(True))
 
 
-def merge_by_section(rows: DataFrame, depth: int = 2, most: int = MAX_LENGTH) -> DataFrame:
-    """Rows of one section prefix (the first `depth` parts of section_path) as one text headed by it.
+def merge_by_section(rows: DataFrame, depth: int = 2, most: int = MAX_LENGTH, title: str = "") -> DataFrame:
+    """One record for the rows of one section: the first `depth` parts of section_path, parted by ">" and stripped.
 
-    Texts are ordered by section_path and chunk_id and the whole is cut at `most` characters; domains and categories are
-    sorted unions; source_url is that of the first row.
+    A path of fewer parts is taken as it is. The text is "[section]" and the texts, a line each, by section_path and
+    chunk_id, cut at `most` characters; of a section only the first `most` rows can show in it, and no more are gathered. domains and
+    categories are sorted unions of all rows; source_url, posted_at, crawled_at and freshness are those of the first.
     """
-    key = F.substring_index(empty_if_null(F.col("section_path")), " > ", depth)
-    order = F.struct(empty_if_null(F.col("section_path")).alias("s"), F.col("chunk_id"))
-    grouped = rows.groupBy(key.alias("section")).agg(
-        F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("text")))).alias("x"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("categories")))).alias("categories"),
-        F.min_by("source_url", order).alias("source_url"),
+    path = empty_if_null(F.col("section_path"))
+    parts = F.transform(F.split(path, ">"), strip)
+    rows = rows.withColumn("section", F.when(F.size(parts) >= depth, F.array_join(F.slice(parts, 1, depth), " > ")).otherwise(path)).withColumn("path", path)
+    order = F.struct(F.col("path").alias("s"), empty_if_null(F.col("chunk_id")).alias("id"))
+    of_first = [c for c in ("source_url", "posted_at", "crawled_at", "freshness") if c in rows.columns]
+    facts = rows.groupBy("section").agg(
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("domains", "categories")],
+        F.min_by(F.struct(*of_first), order).alias("first"),
         F.count("*").alias("n_rows"),
     )
-    text = F.concat(F.lit("["), F.col("section"), F.lit("]\n"), F.array_join(F.transform("x", lambda r: r["text"]), "\n"))
-    return grouped.select("section", F.substring(text, 1, most).alias("text"), "domains", "categories", "source_url", "n_rows")
+    nth = F.row_number().over(Window.partitionBy("section").orderBy("path", "chunk_id", "text"))
+    shown = rows.select("section", "path", "chunk_id", F.substring(empty_if_null(F.col("text")), 1, most).alias("text")).withColumn("nth", nth).where(F.col("nth") <= most)
+    texts = shown.groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    whole = F.substring(F.concat(F.lit("["), F.col("section"), F.lit("]\n"), F.col("text")), 1, most)
+    chunk = sha16(F.concat(F.col("section"), F.lit("|dept_merged")))
+    return facts.join(texts, "section").select(
+        chunk.alias("chunk_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("dept_merged_"), chunk).alias("parent_post_id"), F.concat(F.lit(title), F.col("section")).alias("source_title"), F.lit("T6").alias("source_type"),
+        "section", F.col("section").alias("section_path"), whole.alias("text"), F.length(whole).alias("char_count"), F.lit("ko").alias("lang"), *[F.col(f"first.{c}").alias(c) for c in of_first],
+        "domains", "categories", F.concat(F.lit("dept_merged from "), F.col("n_rows").cast("string"), F.lit(" cells")).alias("notes"), "n_rows",
+    )
+
+
+def route_cells(rows: DataFrame, is_cell: Column) -> tuple[DataFrame, DataFrame]:
+    """(all but cells, cells); a null condition is false."""
+    cell = F.coalesce(is_cell, F.lit(False))
+    return rows.where(~cell), rows.where(cell)
+
+
+def rechunk(rows: DataFrame, is_cell: Column, title: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(split, merged, sections): all records split; small ones joined but for cells, which stay; and cells by section too."""
+    split = split_records(rows)
+    others, cells = route_cells(split, is_cell)
+    merged = merge_small(others).unionByName(cells.withColumn("n_merged", F.lit(1)))
+    return split, merged, merge_by_section(cells, title=title)
+
+
+def rechunk_stats(rows: DataFrame, split: DataFrame, merged: DataFrame, sections: DataFrame, is_cell: Column, least: int = MIN_LENGTH, most: int = MAX_LENGTH) -> DataFrame:
+    """One row of counts and lengths over what rechunk() took and gave: inputs, records split by strategy and their pieces,
+    short records joined and what came of their parents, orphans, cells, sections, and outputs with their lengths."""
+    n = F.length(empty_if_null(F.col("text")))
+    cell, parted = F.coalesce(is_cell, F.lit(False)), null_if_empty(F.col("parent_post_id")).isNotNull()
+    before = rows.agg(F.count("*").alias("n_in"), F.avg(n).alias("mean_in"), F.max(n).alias("max_in"))
+    by = [F.count_if((F.col("strategy") == k) & (F.col("first"))).alias(f"split_{k}") for k in ("article", "separator", "window")]
+    cut = split.withColumn("first", F.col("chunk_index") == 0).agg(*by, F.count_if(F.col("strategy") != "none").alias("split_pieces"))
+    grouped, short = ~cell & parted, n < least
+    joined = F.when(grouped, F.col("n_merged") - 1 + (short & (F.col("n_merged") > 1)).cast("int")).otherwise(0)
+    after = merged.agg(F.sum(joined).alias("merge_sources"), F.count_if(grouped).alias("merge_results"), F.count_if(grouped & short).alias("orphans"), F.count_if(cell).alias("n_cells"))
+    out = merged.select(n.alias("n"), F.lit(0).alias("s")).unionByName(sections.select(n.alias("n"), F.lit(1).alias("s")))
+    out = out.agg(F.sum("s").alias("n_sections"), F.count("*").alias("n_out"), F.avg("n").alias("mean_out"), F.max("n").alias("max_out"), F.count_if((F.col("n") < least) & (F.col("s") == 0)).alias("short_out"), F.count_if((F.col("n") > most) & (F.col("s") == 0)).alias("long_out"))
+    for one in (cut, after, out):  # one row each
+        before = before.join(F.broadcast(one), F.lit(True))
+    return before
+
+
+def domain_flow(rows: DataFrame, *after: DataFrame) -> DataFrame:
+    """(domain, n_in, n_out): records of each domain before and after; a record of several domains counts in each."""
+    counted = rows.select(F.explode("domains").alias("domain"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+    for df in after:
+        counted = counted.unionByName(df.select(F.explode("domains").alias("domain"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    return counted.groupBy("domain").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
 def neighbour_context(rows: DataFrame, hits: DataFrame, reach: int = 1) -> DataFrame:

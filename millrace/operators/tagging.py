@@ -15,10 +15,11 @@ def has_any(text: Column, words: Column) -> Column:
 def cross_tag(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """A copy of a row for every rule whose prefix is one of its categories or a dotted start of one.
 
-    rules (few, held by every task) has rule, prefix, add_domains and add_categories. Copies have the united, sorted domains and categories, and the rule in section_path.
+    rules has rule, prefix, add_domains and add_categories. Copies have the united, sorted domains and categories, and the
+    rule in section_path. Rows meet rules on the dotted starts of their categories, each start once.
     """
-    match = F.exists("categories", lambda c: (c == F.col("prefix")) | c.startswith(F.concat(F.col("prefix"), F.lit("."))))
-    return rows.join(rules, match).select(
+    starts = F.transform("categories", lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda n: F.array_join(F.slice(F.split(c, r"\."), 1, n), ".")))
+    return rows.withColumn("prefix", F.explode(F.array_distinct(F.flatten(starts)))).join(rules, "prefix").select(
         *[c for c in rows.columns if c not in ("domains", "categories", "section_path")],
         "rule",
         F.array_sort(F.array_union("domains", "add_domains")).alias("domains"),

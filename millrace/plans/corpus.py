@@ -208,10 +208,26 @@ SELECT seq, chunk_id, text, d1, d2, category, CASE WHEN seq % 3 = 1 THEN 'cross_
 
 VIEWS["v_long"] = """
 SELECT doc_id AS seq, substring(sha1(CAST(doc_id AS STRING)), 1, 16) AS chunk_id,
-  CASE WHEN doc_id % 3 = 1 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END AS text
+  CASE WHEN doc_id % 4 = 1 THEN replace(text, '. ', '.' || chr(10) || chr(10)) WHEN doc_id % 4 = 2 THEN replace(text, '. ', '.' || chr(10) || ' ' || chr(10))
+    WHEN doc_id % 4 = 3 THEN replace(replace(text, chr(10), ' '), '. ', '.' || chr(10) || CAST(doc_id % 20 AS STRING) || ') ') ELSE text END AS text
 FROM documents"""
 SQL_WINDOWS = lambda x: f"CASE WHEN length({x}) <= 2000 THEN [{x}] ELSE list_transform(range(0, CAST(ceil((length({x}) - 1500) / 1300.0) AS BIGINT) + 1), lambda k: substring({x}, k * 1300 + 1, 1500)) END"
-SQL_PARAGRAPHS = f"list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: {STRIP('p')}), lambda p: p <> '')"
+SQL_PARTS = lambda x, sep: f"list_filter(list_transform({sep.format(x=x)}, lambda e: {STRIP('e')}), lambda e: e <> '')"
+SQL_PARAGRAPHS = lambda x: SQL_PARTS(x, "regexp_split_to_array({x}, '\\n{{2,}}')")
+# the items begin at a line of one or two digits, a point or bracket, and white space, however many blank lines stand before it
+SQL_NUMBERS = lambda x: SQL_PARTS(x, "string_split(regexp_replace({x}, '(\\n\\s*\\d{{1,2}}[.)]\\s)', chr(1) || '\\1', 'g'), chr(1))")
+SQL_ARTICLES = lambda x: SQL_PARTS(x, "string_split(regexp_replace({x}, '(제\\s*\\d+\\s*조(의\\s*\\d+)?\\s*[(（])', chr(1) || '\\1', 'g'), chr(1))")
+SQL_FIT = lambda x: f"(len({x}) >= 2 AND len(list_filter({x}, lambda e: length(e) > 2000)) = 0)"
+
+
+def sql_pieces(source: str) -> str:
+    """seq, chunk_id, text, the pieces w and the strategy of a view's records, by the splitting rules."""
+    flat = f"flatten(list_transform(paragraphs, lambda p: CASE WHEN length(p) <= 2000 THEN [p] WHEN {SQL_FIT(SQL_NUMBERS('p'))} THEN {SQL_NUMBERS('p')} ELSE {SQL_WINDOWS('p')} END))"
+    return f"""SELECT *, CASE WHEN length(text) <= 2000 THEN [text] WHEN marks >= 3 THEN CASE WHEN len(articles) < 3 THEN {SQL_WINDOWS('text')} ELSE flatten(list_transform(articles, lambda x: {SQL_WINDOWS('x')})) END
+    WHEN len(paragraphs) >= 2 THEN {flat} WHEN {SQL_FIT('numbers')} THEN numbers ELSE {SQL_WINDOWS('text')} END AS w,
+  CASE WHEN length(text) <= 2000 THEN 'none' WHEN marks >= 3 THEN 'article' WHEN len(paragraphs) >= 2 OR {SQL_FIT('numbers')} THEN 'separator' ELSE 'window' END AS strategy
+FROM (SELECT *, {SQL_PARAGRAPHS('text')} AS paragraphs, {SQL_NUMBERS('text')} AS numbers, {SQL_ARTICLES('text')} AS articles,
+  coalesce(list_sum(list_transform(regexp_extract_all(chr(10) || text, '(\\s*)제\\s*\\d+\\s*조(의\\s*\\d+)?\\s*[(（]', 1), lambda m: length(m) + 1)), 0) AS marks FROM {source})"""
 
 
 @query(f"SELECT seq, CAST(unnest(range(len(w))) AS BIGINT) AS piece, md5(unnest(w)) AS piece_md5 FROM (SELECT seq, {SQL_WINDOWS('text')} AS w FROM v_long)")
@@ -220,70 +236,83 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("seq", F.col("piece").cast("long").alias("piece"), F.md5("t").alias("piece_md5"))
 
 
-@query(f"""SELECT seq, CAST(len(w) AS BIGINT) AS n_pieces, md5(array_to_string(w, chr(1))) AS pieces_md5 FROM (
-  SELECT seq, CASE WHEN length(text) <= 2000 THEN [text] WHEN len(p) < 2 THEN {SQL_WINDOWS('text')}
-    ELSE flatten(list_transform(p, lambda x: {SQL_WINDOWS('x')})) END AS w FROM (SELECT seq, text, {SQL_PARAGRAPHS} AS p FROM v_long))""")
+@query(f"SELECT seq, strategy, CAST(len(w) AS BIGINT) AS n_pieces, md5(array_to_string(w, chr(1))) AS pieces_md5 FROM ({sql_pieces('v_long')})")
 def general_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    pieces = F.when(F.length(text) <= chunking.MAX_LENGTH, F.array(text)).otherwise(chunking.general_pieces(text))
-    return view(spark, sf_dir, "v_long").select("seq", F.size(pieces).cast("long").alias("n_pieces"), F.md5(F.array_join(pieces, "\u0001")).alias("pieces_md5"))
+    general, kind = chunking.general_pieces(text)
+    short = F.length(text) <= chunking.MAX_LENGTH
+    pieces, strategy = F.when(short, F.array(text)).otherwise(general), F.when(short, "none").otherwise(kind)
+    return view(spark, sf_dir, "v_long").select("seq", strategy.alias("strategy"), F.size(pieces).cast("long").alias("n_pieces"), F.md5(F.array_join(pieces, "\u0001")).alias("pieces_md5"))
 
 
+# regulations with brackets of both widths, marked or not, paragraphs, plain texts, and cells of one report
 VIEWS["v_rules"] = """
-SELECT doc_id AS seq, substring(sha1(CAST(doc_id AS STRING)), 1, 16) AS chunk_id,
-  CASE WHEN doc_id % 2 = 0 THEN replace(text, '. ', '.' || chr(10) || '제' || CAST(doc_id % 40 AS STRING) || '조(') ELSE text END AS text,
-  CAST(NULL AS STRING) AS parent_post_id, CAST(NULL AS STRING) AS notes, 0 AS chunk_index
+SELECT doc_id AS seq, substring(sha1(CAST(doc_id AS STRING)), 1, 16) AS chunk_id, CASE WHEN doc_id % 10 = 8 THEN 'day1/dept_info.jsonl' ELSE 'day' || CAST(doc_id % 3 AS STRING) || '/rules.jsonl' END AS source_file,
+  CASE WHEN doc_id % 4 = 0 THEN replace(text, '. ', '.' || chr(10) || '제' || CAST(doc_id % 40 AS STRING) || '조(')
+    WHEN doc_id % 4 = 1 THEN replace(text, '. ', '. ' || chr(10) || ' 제 ' || CAST(doc_id % 40 AS STRING) || '조의2 （')
+    WHEN doc_id % 4 = 2 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END AS text,
+  CASE WHEN doc_id % 5 = 0 THEN 'p' || CAST(doc_id - doc_id % 15 AS STRING) WHEN doc_id % 5 = 1 THEN '' END AS parent_post_id, CASE WHEN doc_id % 7 = 0 THEN 'seen' END AS notes, CAST(doc_id % 15 AS INT) AS chunk_index,
+  CAST(1 + doc_id % 9 AS INT) AS d1, CAST(1 + doc_id % 6 AS INT) AS d2, CAST(1 + doc_id % 9 AS STRING) || '.' || CAST(doc_id % 6 AS STRING) AS category,
+  'c' || CAST(doc_id % 3 AS STRING) || CASE WHEN doc_id % 20 = 8 THEN '' ELSE ' >d' || CAST(doc_id % 70 AS STRING) || ' > ' || lang END AS section_path, source AS source_url, '2024-01-0' || CAST(1 + doc_id % 9 AS STRING) AS posted_at
 FROM documents"""
+CELLS = "source_file LIKE '%dept_info%'"
 
 
-@query(f"""SELECT seq, CAST(len(w) AS BIGINT) AS n_pieces, md5(array_to_string(w, chr(1))) AS pieces_md5 FROM (
-  SELECT seq, CASE WHEN len(p) < 3 THEN {SQL_WINDOWS('text')} ELSE flatten(list_transform(p, lambda x: {SQL_WINDOWS('x')})) END AS w FROM (
-    SELECT seq, text, list_filter(list_transform(string_split(regexp_replace(text, '(제\\s*\\d+\\s*조(의\\s*\\d+)?\\s*\\()', chr(1) || '\\1', 'g'), chr(1)), lambda x: {STRIP('x')}), lambda x: x <> '') AS p FROM v_rules))""")
+def rules_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_rules")
+    return rows.select("*", F.array_sort(F.array_distinct(F.array("d1", "d2"))).alias("domains"), F.array("category").alias("categories"))
+
+
+@query(f"SELECT seq, CAST(len(w) AS BIGINT) AS n_pieces, md5(array_to_string(w, chr(1))) AS pieces_md5 FROM (SELECT seq, CASE WHEN len(p) < 3 THEN {SQL_WINDOWS('text')} ELSE flatten(list_transform(p, lambda x: {SQL_WINDOWS('x')})) END AS w FROM (SELECT seq, text, {SQL_ARTICLES('text')} AS p FROM v_rules))")
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = chunking.articles(F.col("text"))
     return view(spark, sf_dir, "v_rules").select("seq", F.size(pieces).cast("long").alias("n_pieces"), F.md5(F.array_join(pieces, "\u0001")).alias("pieces_md5"))
 
 
-@query()
-def rechunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.split_records(view(spark, sf_dir, "v_rules")).select("seq", "chunk_id", "parent_post_id", "chunk_index", "char_count", "strategy", "notes")
+VIEWS["v_pieces"] = f"""
+SELECT seq, source_file, strategy, d1, d2, category, section_path, source_url, posted_at, i, n, CASE WHEN n > 1 THEN i ELSE chunk_index END AS chunk_index, piece AS text,
+  CASE WHEN n > 1 THEN substring(sha1(chunk_id || '|p' || CASE WHEN i < 10 THEN '0' ELSE '' END || CAST(i AS STRING)), 1, 16) ELSE chunk_id END AS chunk_id,
+  CASE WHEN n > 1 THEN coalesce(nullif(parent_post_id, ''), chunk_id) ELSE parent_post_id END AS parent_post_id,
+  CASE WHEN n > 1 THEN CASE WHEN coalesce(notes, '') = '' THEN '' ELSE notes || ' | ' END || 'split_from=' || chunk_id ELSE notes END AS notes
+FROM (SELECT *, len(w) AS n, CAST(unnest(range(len(w))) AS INT) AS i, unnest(w) AS piece FROM ({sql_pieces('v_rules')}))"""
 
 
-@query()
-def rechunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per strategy: sources, pieces, their lengths, and how many are short or over-long."""
-    cut = chunking.split_records(view(spark, sf_dir, "v_rules"))
-    n = F.col("char_count")
-    return cut.groupBy("strategy").agg(
-        F.countDistinct("seq").alias("n_sources"), F.count("*").alias("n_pieces"), F.avg(n).alias("mean_chars"), F.max(n).alias("max_chars"),
-        F.count_if(n < chunking.MIN_LENGTH).alias("n_short"), F.count_if(n > chunking.MAX_LENGTH).alias("n_long"),
-    )
+@query("SELECT seq, chunk_id, parent_post_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(length(text) AS BIGINT) AS char_count, strategy, notes, md5(text) AS text_md5 FROM v_pieces")
+def rechunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = chunking.split_records(rules_view(spark, sf_dir))
+    return cut.select("seq", "chunk_id", "parent_post_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("char_count").cast("long").alias("char_count"), "strategy", "notes", F.md5("text").alias("text_md5"))
 
 
 VIEWS["v_lines"] = """
-SELECT 'f' || CAST(doc_id % 3 AS STRING) AS source_file, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE 'p' || CAST(doc_id AS STRING) END AS parent_post_id,
+SELECT 'f' || CAST(doc_id % 3 AS STRING) AS source_file, CASE WHEN doc_id % 4 = 1 THEN 'kept' END AS notes, @DS@ AS @DOMAINS@, @CS@ AS @CATEGORIES@, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE 'p' || CAST(doc_id AS STRING) END AS parent_post_id,
   i AS chunk_index, substring(sha1(CAST(doc_id AS STRING) || '|' || CAST(i AS STRING)), 1, 16) AS chunk_id, line AS text
 FROM (SELECT doc_id, CAST(i AS INT) AS i, line FROM (@LINES@))"""
 SPARK_LINES = "SELECT doc_id, posexplode(split(text, chr(10))) AS (i, line) FROM documents"
 DUCK_LINES = "SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents"
-VIEWS["v_lines"] = VIEWS["v_lines"].replace("@LINES@", DUCK_LINES)
+_LINES = VIEWS["v_lines"]
+VIEWS["v_lines"] = _LINES.replace("@LINES@", DUCK_LINES).replace("@DS@", "[CAST(1 + i % 9 AS INT)]").replace("@CS@", "[CAST(i % 7 AS STRING)]").replace("@DOMAINS@", "ds").replace("@CATEGORIES@", "cs")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
-    return spark.sql(VIEWS["v_lines"].replace(DUCK_LINES, SPARK_LINES))
+    text = _LINES.replace("@LINES@", SPARK_LINES).replace("@DS@", "array(CAST(1 + i % 9 AS INT))").replace("@CS@", "array(CAST(i % 7 AS STRING))")
+    return spark.sql(text.replace("@DOMAINS@", "domains").replace("@CATEGORIES@", "categories"))
 
 
-MERGE_SQL = """
+def sql_merged(source: str) -> str:
+    """Common tables up to g: the outputs of the left-to-right joining of a view's records that have a parent."""
+    return f"""
 WITH RECURSIVE o AS (
-  SELECT *, row_number() OVER (PARTITION BY source_file, parent_post_id ORDER BY chunk_index, chunk_id) AS k, count(*) OVER (PARTITION BY source_file, parent_post_id) AS n
-  FROM v_lines WHERE parent_post_id IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY source_file, parent_post_id ORDER BY chunk_index, chunk_id) AS k, count(*) OVER (PARTITION BY source_file, parent_post_id) AS n_rows
+  FROM {source} WHERE coalesce(parent_post_id, '') <> ''
 ), r AS (
-  SELECT source_file, parent_post_id, n, k, chunk_index, chunk_id, text, 1 AS n_merged, 1 AS part FROM o WHERE k = 1
+  SELECT source_file, parent_post_id, n_rows, k, chunk_index, chunk_id, text, notes, ds, cs, 1 AS n_merged, 1 AS part FROM o WHERE k = 1
   UNION ALL
-  SELECT o.source_file, o.parent_post_id, o.n, o.k, CASE WHEN length(r.text) < 50 THEN r.chunk_index ELSE o.chunk_index END,
+  SELECT o.source_file, o.parent_post_id, o.n_rows, o.k, CASE WHEN length(r.text) < 50 THEN r.chunk_index ELSE o.chunk_index END,
     CASE WHEN length(r.text) < 50 THEN substring(sha1(r.chunk_id || '|m+' || o.chunk_id), 1, 16) ELSE o.chunk_id END,
     CASE WHEN length(r.text) < 50 THEN r.text || CASE WHEN r.text LIKE '%' || chr(10) THEN '' ELSE chr(10) || chr(10) END || o.text ELSE o.text END,
+    CASE WHEN length(r.text) < 50 THEN CASE WHEN coalesce(r.notes, '') = '' THEN '' ELSE r.notes || ' | ' END || 'merged_with=' || o.chunk_id ELSE o.notes END,
+    CASE WHEN length(r.text) < 50 THEN list_sort(list_distinct(list_concat(r.ds, o.ds))) ELSE o.ds END, CASE WHEN length(r.text) < 50 THEN list_sort(list_distinct(list_concat(r.cs, o.cs))) ELSE o.cs END,
     CASE WHEN length(r.text) < 50 THEN r.n_merged + 1 ELSE 1 END, CASE WHEN length(r.text) < 50 THEN r.part ELSE r.part + 1 END
   FROM r JOIN o ON r.source_file = o.source_file AND r.parent_post_id = o.parent_post_id AND o.k = r.k + 1
 ), e AS (
@@ -291,23 +320,31 @@ WITH RECURSIVE o AS (
 ), f AS (
   SELECT * FROM e WHERE z = 1
 ), g AS (
-  SELECT a.source_file, a.parent_post_id, a.chunk_index, CASE WHEN b.chunk_id IS NOT NULL THEN substring(sha1(a.chunk_id || '|m+' || b.chunk_id), 1, 16) ELSE a.chunk_id END AS chunk_id,
+  SELECT a.source_file, a.parent_post_id, a.n_rows, a.chunk_index, CASE WHEN b.chunk_id IS NOT NULL THEN substring(sha1(a.chunk_id || '|m+' || b.chunk_id), 1, 16) ELSE a.chunk_id END AS chunk_id,
     CASE WHEN b.chunk_id IS NOT NULL THEN a.text || CASE WHEN a.text LIKE '%' || chr(10) THEN '' ELSE chr(10) || chr(10) END || b.text ELSE a.text END AS text,
+    CASE WHEN b.chunk_id IS NOT NULL THEN CASE WHEN coalesce(a.notes, '') = '' THEN '' ELSE a.notes || ' | ' END || 'merged_with=' || b.chunk_id ELSE a.notes END AS notes,
+    CASE WHEN b.chunk_id IS NOT NULL THEN list_sort(list_distinct(list_concat(a.ds, b.ds))) ELSE a.ds END AS ds, CASE WHEN b.chunk_id IS NOT NULL THEN list_sort(list_distinct(list_concat(a.cs, b.cs))) ELSE a.cs END AS cs,
     a.n_merged + coalesce(b.n_merged, 0) AS n_merged
   FROM f a LEFT JOIN f b ON a.source_file = b.source_file AND a.parent_post_id = b.parent_post_id AND b.part = a.part + 1 AND b.part = b.parts AND length(b.text) < 50
   WHERE NOT (a.part = a.parts AND a.parts > 1 AND length(a.text) < 50)
-)
-SELECT source_file, parent_post_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_id, md5(text) AS text_md5, CAST(n_merged AS BIGINT) AS n_merged FROM g
-UNION ALL SELECT source_file, parent_post_id, CAST(chunk_index AS BIGINT), chunk_id, md5(text), 1 FROM v_lines WHERE parent_post_id IS NULL"""
+)"""
+
 
+LINES_SQL = sql_merged("v_lines")
 
-@query(MERGE_SQL)
+
+@query(LINES_SQL + """
+SELECT source_file, parent_post_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_id, md5(text) AS text_md5, CAST(n_merged AS BIGINT) AS n_merged, notes, array_to_string(ds, ',') AS domains, array_to_string(cs, ',') AS categories FROM g
+UNION ALL SELECT source_file, parent_post_id, CAST(chunk_index AS BIGINT), chunk_id, md5(text), 1, notes, array_to_string(ds, ','), array_to_string(cs, ',') FROM v_lines WHERE parent_post_id IS NULL""")
 def merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = chunking.merge_small(lines(spark, sf_dir))
-    return merged.select("source_file", "parent_post_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", F.md5("text").alias("text_md5"), F.col("n_merged").cast("long").alias("n_merged"))
+    return merged.select(
+        "source_file", "parent_post_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", F.md5("text").alias("text_md5"), F.col("n_merged").cast("long").alias("n_merged"),
+        "notes", F.array_join(F.col("domains").cast("array<string>"), ",").alias("domains"), F.array_join("categories", ",").alias("categories"),
+    )
 
 
-@query(MERGE_SQL.split("\nSELECT source_file")[0] + """, z AS (SELECT text, n_merged FROM g UNION ALL SELECT text, 1 FROM v_lines WHERE parent_post_id IS NULL)
+@query(LINES_SQL + """, z AS (SELECT text, n_merged FROM g UNION ALL SELECT text, 1 FROM v_lines WHERE parent_post_id IS NULL)
 SELECT (SELECT count(*) FROM v_lines) AS n_before, (SELECT count(*) FROM v_lines WHERE length(text) < 50) AS short_before, count(*) AS n_after, count(*) FILTER (n_merged > 1) AS n_joined,
   count(*) FILTER (length(text) < 50) AS short_after, round(avg(length(text)), 6) AS mean_chars, CAST(max(length(text)) AS BIGINT) AS max_chars FROM z""")
 def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,19 +353,75 @@ def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("mean_chars", F.round("mean_chars", 6)).withColumn("max_chars", F.col("max_chars").cast("long"))
 
 
+VIEWS["v_uncelled"] = f"SELECT *, list_sort(list_distinct([d1, d2])) AS ds, [category] AS cs FROM v_pieces WHERE NOT {CELLS}"
+VIEWS["v_celled"] = f"""SELECT *, CASE WHEN contains(section_path, '>') THEN trim(string_split(section_path, '>')[1]) || ' > ' || trim(string_split(section_path, '>')[2]) ELSE section_path END AS section FROM v_pieces WHERE {CELLS}"""
+VIEWS["v_sections"] = """SELECT section, substring('[' || section || ']' || chr(10) || string_agg(text, chr(10) ORDER BY section_path, chunk_id), 1, 2000) AS text, count(*) AS n_rows,
+  arg_min(source_url, section_path || chr(1) || chunk_id) AS source_url, arg_min(posted_at, section_path || chr(1) || chunk_id) AS posted_at FROM v_celled GROUP BY section"""
+RULES_SQL = sql_merged("v_uncelled") + """, m AS (
+  SELECT source_file, parent_post_id, chunk_id, text, notes, ds, cs, n_merged, true AS parted, false AS cell FROM g
+  UNION ALL SELECT source_file, parent_post_id, chunk_id, text, notes, ds, cs, 1, false, false FROM v_uncelled WHERE coalesce(parent_post_id, '') = ''
+  UNION ALL SELECT source_file, parent_post_id, chunk_id, text, notes, list_sort(list_distinct([d1, d2])), [category], 1, false, true FROM v_celled
+)"""
+
+
+def rechunked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = rules_view(spark, sf_dir)
+    return rows, *chunking.rechunk(rows, F.expr(CELLS))
+
+
+@query(RULES_SQL + " SELECT source_file, parent_post_id, chunk_id, md5(text) AS text_md5, notes, array_to_string(ds, ',') AS domains, CAST(n_merged AS BIGINT) AS n_merged FROM m")
+def rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = rechunked(spark, sf_dir)[2]
+    return merged.select("source_file", "parent_post_id", "chunk_id", F.md5("text").alias("text_md5"), "notes", F.array_join(F.col("domains").cast("array<string>"), ",").alias("domains"), F.col("n_merged").cast("long").alias("n_merged"))
+
+
+@query("""SELECT CASE WHEN source_file LIKE '%dept_info%' THEN 'cells' ELSE 'others' END AS route, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM v_pieces GROUP BY 1
+UNION ALL SELECT 'sections', count(*), CAST(sum(length(text)) AS BIGINT) FROM v_sections""")
+def route_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is joined, what stays as cells, and what the cells give by section."""
+    split = chunking.split_records(rules_view(spark, sf_dir))
+    others, cells = chunking.route_cells(split, F.expr(CELLS))
+    parts = {"others": others, "cells": cells, "sections": chunking.merge_by_section(cells)}
+    counted = [df.groupBy(F.lit(k).alias("route")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars")) for k, df in parts.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query(RULES_SQL + """, i AS (SELECT count(*) AS n_in, round(avg(length(text)), 6) AS mean_in, CAST(max(length(text)) AS BIGINT) AS max_in FROM v_rules),
+c AS (SELECT count(*) FILTER (i = 0 AND strategy = 'article') AS split_article, count(*) FILTER (i = 0 AND strategy = 'separator') AS split_separator, count(*) FILTER (i = 0 AND strategy = 'window') AS split_window, count(*) FILTER (strategy <> 'none') AS split_pieces FROM v_pieces),
+p AS (SELECT CAST(coalesce(sum(n_merged - 1 + CASE WHEN length(text) < 50 AND n_merged > 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS merge_sources, count(*) AS merge_results, count(*) FILTER (length(text) < 50) AS orphans FROM m WHERE parted),
+t AS (SELECT length(text) AS n, 0 AS s FROM m UNION ALL SELECT length(text), 1 FROM v_sections)
+SELECT * FROM i, c, p, (SELECT count(*) AS n_cells FROM v_celled), (SELECT CAST(sum(s) AS BIGINT) AS n_sections, count(*) AS n_out, round(avg(n), 6) AS mean_out, CAST(max(n) AS BIGINT) AS max_out, count(*) FILTER (n < 50 AND s = 0) AS short_out, count(*) FILTER (n > 2000 AND s = 0) AS long_out FROM t)""")
+def rechunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunking.rechunk_stats(*rechunked(spark, sf_dir), F.expr(CELLS))
+    return found.select(*[F.round(c, 6).alias(c) if c.startswith("mean") else F.col(c).cast("long").alias(c) for c in found.columns])
+
+
+@query(RULES_SQL + """, b AS (SELECT unnest(list_distinct([d1, d2])) AS domain, 1 AS i, 0 AS o FROM v_rules UNION ALL SELECT unnest(ds), 0, 1 FROM m
+  UNION ALL SELECT DISTINCT ON (section, domain) domain, 0, 1 FROM (SELECT section, unnest([d1, d2]) AS domain FROM v_celled))
+SELECT domain, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM b GROUP BY domain""")
+def domain_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each domain before and after splitting, joining and the sections."""
+    rows, _, merged, sections = rechunked(spark, sf_dir)
+    return chunking.domain_flow(rows, merged, sections)
+
+
 VIEWS["v_stats"] = """
 SELECT r_name AS college, n_name AS dept, o_orderpriority AS stat, year(o_orderdate) AS y, count(*) AS val, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS val2
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 GROUP BY r_name, n_name, o_orderpriority, year(o_orderdate)"""
 SQL_SENTENCE = """college || ' ' || dept || ' (daily) ' || CAST(y AS STRING) || '년 ' || stat || ' ' || CAST(val AS STRING) || '명' || CASE WHEN val2 > 0 THEN ' (val2=' || CAST(val2 AS STRING) || ')' ELSE '' END || ' [출처: orders, flag=' || substring(stat, 1, 1) || ']'"""
-VIEWS["v_cells"] = f"SELECT college || ' > ' || dept || ' > ' || stat AS section_path, substring(sha1(dept || stat || CAST(y AS STRING)), 1, 16) AS chunk_id, {SQL_SENTENCE} AS text, 'u' || CAST(y AS STRING) AS source_url, CAST(substring(stat, 1, 1) AS INT) AS domain, stat AS category FROM v_stats"
+VIEWS["v_cells"] = f"SELECT college || ' > ' || dept || ' > ' || stat AS section_path, substring(sha1(dept || stat || CAST(y AS STRING)), 1, 16) AS chunk_id, {SQL_SENTENCE} AS text, 'u' || CAST(y AS STRING) AS source_url, CAST(substring(stat, 1, 1) AS INT) AS domain, stat AS category, CAST(y AS STRING) || '-01-01' AS posted_at, CASE WHEN y % 2 = 0 THEN 'dated' ELSE 'static' END AS freshness FROM v_stats"
 
 
 @query("""SELECT section, md5(substring('[' || section || ']' || chr(10) || string_agg(text, chr(10) ORDER BY section_path, chunk_id), 1, 2000)) AS text_md5, count(*) AS n_rows,
-  arg_min(source_url, section_path || chr(1) || chunk_id) AS source_url FROM (SELECT *, string_split(section_path, ' > ')[1] || ' > ' || string_split(section_path, ' > ')[2] AS section FROM v_cells) GROUP BY section""")
+  arg_min(source_url, section_path || chr(1) || chunk_id) AS source_url, substring(sha1(section || '|dept_merged'), 1, 16) AS chunk_id, 'dept_merged_' || substring(sha1(section || '|dept_merged'), 1, 16) AS parent_post_id,
+  'dept_merged from ' || CAST(count(*) AS STRING) || ' cells' AS notes, array_to_string(list_sort(list(DISTINCT domain)), ',') AS domains, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories,
+  arg_min(posted_at, section_path || chr(1) || chunk_id) AS posted_at, arg_min(freshness, section_path || chr(1) || chunk_id) AS freshness
+FROM (SELECT *, string_split(section_path, ' > ')[1] || ' > ' || string_split(section_path, ' > ')[2] AS section FROM v_cells) GROUP BY section""")
 def dept_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "v_cells").select("*", F.array("domain").alias("domains"), F.array("category").alias("categories"))
-    return chunking.merge_by_section(rows).select("section", F.md5("text").alias("text_md5"), "n_rows", "source_url")
+    found = chunking.merge_by_section(rows)
+    return found.select("section", F.md5("text").alias("text_md5"), "n_rows", "source_url", "chunk_id", "parent_post_id", "notes", F.array_join(F.col("domains").cast("array<string>"), ",").alias("domains"), F.array_join("categories", ",").alias("categories"), "posted_at", "freshness")
 
 
 @query("""SELECT chunk_id, md5(context) AS context_md5 FROM (SELECT chunk_id,

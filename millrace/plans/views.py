@@ -8,7 +8,7 @@ VIEWS: dict[str, str] = {}
 
 # documents as records: noise of every kind put in by rule, repeated ids, addresses with fragments and empty keys
 VIEWS["v_chunks"] = """
-SELECT doc_id AS seq, substring(sha1(lang || '|' || CAST(doc_id % 700 AS STRING)), 1, 16) AS chunk_id,
+SELECT doc_id AS seq, substring(sha1(lang || '|' || CAST(doc_id - doc_id % 3 AS STRING)), 1, 16) AS chunk_id,
   CASE WHEN doc_id % 5 = 0 THEN replace(text, '. ', '. <표> ')
        WHEN doc_id % 5 = 1 THEN replace(text, ', ', ',' || chr(160) || '  ')
        WHEN doc_id % 5 = 2 THEN replace(text, '. ', '.' || chr(10) || ' - 3 - ' || chr(10))
