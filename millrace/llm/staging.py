@@ -37,7 +37,9 @@ def staged(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     spark._jvm.System.gc()  # the driver's cleaner drops shuffle files once nothing refers to them
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.staged_at = path
+    return table
 
 
 class Rounds:
@@ -60,9 +62,9 @@ class Rounds:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.staged_at
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

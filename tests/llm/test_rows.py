@@ -69,48 +69,81 @@ def sample_languages(n=60):
     return [(i, " ".join(rng.choice(words[x]) for _ in range(40)), x) for i in range(n) for x in [("aa", "bb")[i % 2]]]
 
 
-def test_rare_language_keeps_its_ngrams(spark, docs):
-    rows = [*sample_languages(), (1000, "quixotic jumble", "cc")]
-    model = language.train(docs(rows))
-    assert model.langs == ["aa", "bb", "cc"]
-    grams = {(" " * 4 + w + " ")[i : i + 5] for _, t, _ in rows for w in t.split() for i in range(len(w) + 1)}
-    assert len(model.key) == len(grams)
+def brute_kneser_ney(texts, order):
+    """p(last character | those before) of an n-gram in every language, by the recursion on plain counts."""
+    counts = {}
+    for lang in {x for _, x in texts}:
+        top = Counter()
+        for text, x in texts:
+            for word in text.lower().split() if x == lang else []:
+                padded = " " * (order - 1) + word + " "
+                top.update(padded[k : k + order] for k in range(len(padded) - order + 1))
+        counts[lang] = {order: top}
+        for k in range(order - 1, 0, -1):
+            counts[lang][k] = Counter(g[1:] for g in counts[lang][k + 1])
+    alphabet = 1 + len({g for c in counts.values() for g in c[1]})
+
+    def p(lang, gram):
+        k = len(gram)
+        below = p(lang, gram[1:]) if k > 1 else 1 / alphabet
+        table = counts[lang][k]
+        n1, n2 = sum(v == 1 for v in table.values()), sum(v == 2 for v in table.values())
+        d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+        total, types = sum(v for g, v in table.items() if g[:-1] == gram[:-1]), sum(g[:-1] == gram[:-1] for g in table)
+        return (max(table[gram] - d, 0) + d * types * below) / total if total else below
+
+    return p, sorted(counts)
+
+
+def test_kneser_ney_against_brute_force(spark, docs):
+    texts = [("the weather there", "aa"), ("other things", "aa"), ("there Éther", "aa"), ("ungebein schaft über", "bb"), ("keit keit", "bb"), ("quixotic", "cc")]
+    table = docs([(k, t, x) for k, (t, x) in enumerate(texts)] + [(50, "thunder übel zzz", None), (51, None, "dd")])
+    tallied = language.tally(table, order=3, block_bytes=40)
+    assert tallied.blocks > 2
+    model = language.Model(tallied)
+    p, langs = brute_kneser_ney(texts, 3)
+    assert model.langs == [*langs, "dd"]
+    got = {r["gram"]: r["p"] for r in model.probabilities(tallied.rows.select("gram").distinct()).collect()}
+    assert " th" in got and "übe" in got and "zzz" in got
+    for gram, values in got.items():
+        assert values[:3] == pytest.approx([p(x, gram) for x in langs], rel=1e-9, abs=1e-12), gram
+    # all that can follow a context, known or not, shares the whole probability
+    chars = sorted({g for t, _ in texts for g in t.lower() if g != " "} | {" "})
+    follow = spark.createDataFrame([("th" + c,) for c in [*chars, "~"]], "gram string")
+    sums = np.array([r["p"] for r in model.probabilities(follow).collect()]).sum(axis=0)
+    assert sums[:3] == pytest.approx([1, 1, 1], rel=1e-9)
 
 
 def test_language_predicts_and_rejects(spark, docs):
-    rows = [*sample_languages(), (1000, None), (1001, "12 34 %"), (1002, "ЖЩЪ ЫЭЮ ЯЖЩ ЪЫЭ " * 30), (1003, "the weather"), (1003, "the weather"), (None, "hand thing")]
+    clean = [*sample_languages(2000), (100_000, "quixotic jumble of quorum " * 3, "cc")]
+    odd = [(200_000, None), (200_001, "12 34 %"), (200_002, "ЖЩЪ ЫЭЮ ЯЖЩ ЪЫЭ " * 30), (200_003, "the weather"), (200_003, "the weather"), (None, "hand thing"), (200_004, ""), (200_005, "weather hand " * 20_000)]
+    rows = clean + odd
     got = defaultdict(list)
-    for r in language.identify(docs(rows)).collect():
-        got[r["doc_id"]].append(r)
-    assert all(got[i][0]["lang_pred"] == lang and not got[i][0]["rejected"] and got[i][0]["score"] > 0.9 for i, _, lang in rows[:60])
-    assert [got[k][0]["lang_pred"] for k in (1000, 1001)] == ["und", "und"] and got[1001][0]["rejected"]
-    assert got[1002][0]["lang_pred"] in ("aa", "bb") and got[1002][0]["rejected"]
-    assert len(got[1003]) == 2 and got[1003][0]["lang_pred"] == "aa" and got[None][0]["lang_pred"] == "aa"
-    kept = language.language_filter(docs(rows))
-    assert {r["doc_id"] for r in kept.collect()} >= set(range(60)) and kept.where("doc_id in (1000, 1001, 1002)").count() == 0
-    assert language.identify(docs([])).count() == 0
-    assert language.identify(docs([(1, "no language")])).first()["lang_pred"] == "und"
-
-
-def test_language_probabilities_sum_to_one(spark):
-    texts = ["abab abba", "aabb", "ba"]
-    counts = Counter()
-    for t in texts:
-        for w in t.split():
-            padded = "  " + w + " "
-            counts.update(padded[i : i + 3] for i in range(len(padded) - 2))
-    points = np.array([[ord(c) for c in g] for g in counts], np.uint32)
-    model = language.Model(3, {"x": (points, np.array(list(counts.values())))})
-    levels = model.levels[0]
-    for context in ("ab", "ba", "  ", "zz"):
-        grams = np.array([[ord(c) for c in context] + [ord(x)] for x in "ab "], np.uint32)
-        flat = language.prefix(language.mix(grams.astype(np.uint64)).ravel())
-        key = language.ranges(flat, np.arange(3) * 3, np.arange(3) * 3 + 3)
-        known = levels[-1].probability(levels, key, grams).sum()
-        other = np.array([[ord(c) for c in context] + [0x416]], np.uint32)
-        flat = language.prefix(language.mix(other.astype(np.uint64)).ravel())
-        unknown = levels[-1].probability(levels, language.ranges(flat, np.array([0]), np.array([3])), other)[0]
-        assert abs(known + unknown - 1) < 1e-9
+    for r in language.identify(docs(rows), block_bytes=200_000).collect():
+        got[r["doc_id"]].append((r["lang_pred"], r["rejected"]))
+    assert sum(map(len, got.values())) == len(rows)
+    assert all(got[i][0][0] == x for i, _, x in clean)
+    assert sum(got[i][0][1] for i, _, _ in clean) <= 0.005 * len(clean)
+    assert got[200_000] == got[200_001] == got[200_004] == [("und", True)] and got[200_002][0][1]
+    assert [x for x, _ in got[200_003]] == ["aa", "aa"] and got[200_005] == [("aa", False)]
+    table = docs(rows)
+    kept = language.language_filter(table, block_bytes=200_000)
+    assert kept.columns == table.columns
+    left = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
+    assert not {200_000, 200_001, 200_002, 200_004} & set(left) and left[200_003] in (0, 2) and left[200_005] == 1
+    assert language.identify(docs([])).count() == 0 and language.language_filter(docs([])).count() == 0
+    unlabelled = docs([(1, "no language"), (2, None)])
+    assert language.identify(unlabelled).first()["lang_pred"] == "und" and language.language_filter(unlabelled).count() == 2
+
+
+def test_noise_is_rejected_and_clean_text_kept(spark, docs):
+    rng = random.Random(3)
+    vocabulary = {x: ["".join(rng.choice(c) for _ in range(rng.randint(2, 9))) for _ in range(300)] for x, c in (("aa", "etaoinshrdl"), ("bb", "enirsatdhulcgäö"))}
+    rows = [(k, " ".join(rng.choice(vocabulary[x]) for _ in range(rng.randint(20, 120))), x) for k in range(3000) for x in [("aa", "bb")[k % 2]]]
+    noise = [(10_000 + k, " ".join("".join(rng.choice("zxqjkvw0123456789etaoin") for _ in range(6)) for _ in range(40))) for k in range(200)]
+    found = {r["doc_id"]: r["rejected"] for r in language.identify(docs(rows + noise)).collect()}
+    assert sum(found[k] for k, *_ in noise) >= 195
+    assert sum(found[k] for k, *_ in rows) <= 0.01 * len(rows)
 
 
 def test_packing_round_trip_and_least_cost(spark, docs):
