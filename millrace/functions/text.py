@@ -127,7 +127,7 @@ def bm25_text(c: Column) -> Column:
 def first_date(*columns: Column) -> Column:
     """The first year-month-day of the columns, in their order, in ISO form; null without one."""
     found = F.transform(F.array(*columns), lambda x: F.regexp_extract(empty_if_null(x), r"(\d{4}[-./]\d{2}[-./]\d{2})", 1))
-    return F.regexp_replace(F.element_at(F.filter(found, lambda x: x != ""), 1), "[./]", "-")
+    return F.regexp_replace(F.get(F.filter(found, lambda x: x != ""), F.lit(0)), "[./]", "-")
 
 
 def post_id(url: Column, keys: tuple[str, ...] = POST_ID_KEYS) -> Column:

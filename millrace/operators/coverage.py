@@ -74,6 +74,11 @@ def enrich_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def group_files(rows: DataFrame) -> DataFrame:
+    """(source_file, _retrieval_group, n): the group that each file's records are in."""
+    return rows.groupBy("source_file", "_retrieval_group").agg(F.count("*").alias("n"))
+
+
 def bracket_summary(rows: DataFrame) -> DataFrame:
     """Rows, characters and distinct addresses by the key in a title's leading brackets; UNKNOWN without one."""
     found = F.regexp_extract(empty_if_null(F.col("source_title")), r"^\s*\[([^\]]+)\]", 1)
@@ -81,12 +86,22 @@ def bracket_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy(key.alias("dept")).agg(F.count("*").alias("n_chunks"), F.sum(chars()).alias("n_chars"), F.countDistinct("source_url").alias("n_urls"))
 
 
+def _counts(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """(source_file, name): how often each key stands in a file, as text."""
+    counted = rows.groupBy("source_file", key.cast("string").alias("key")).agg(F.count("*").alias("k")).where("key is not null")
+    return counted.groupBy("source_file").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "key", F.col("k").cast("string")))), ",").alias(name))
+
+
 def inventory(rows: DataFrame) -> DataFrame:
-    """Per file: records, characters in all, truncated mean, most and least, and counts of types as text."""
-    types = rows.groupBy("source_file", "source_type").agg(F.count("*").alias("k")).groupBy("source_file").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "source_type", F.col("k").cast("string")))), ",").alias("types"))
+    """Per file: records, characters in all, truncated mean, most and least, fields that any record fills, and counts of
+    types and domains as text; a record counts once in each of its domains."""
     n = chars()
-    totals = rows.groupBy("source_file").agg(F.count("*").alias("n"), F.sum(n).alias("n_chars"), F.floor(F.avg(n)).alias("mean_chars"), F.max(n).cast("long").alias("max_chars"), F.min(n).cast("long").alias("min_chars"))
-    return totals.join(types, "source_file")
+    used = [F.when(F.count(c) > 0, c) for c in sorted(rows.columns) if c != "source_file"]
+    totals = rows.groupBy("source_file").agg(
+        F.count("*").alias("n"), F.sum(n).alias("n_chars"), F.floor(F.avg(n)).alias("mean_chars"), F.max(n).cast("long").alias("max_chars"), F.min(n).cast("long").alias("min_chars"), F.concat_ws(",", *used).alias("fields")
+    )
+    domains = _counts(rows.select("source_file", F.explode(F.array_distinct("domains")).alias("d")), F.col("d"), "domains")
+    return totals.join(_counts(rows, F.col("source_type"), "types"), "source_file", "left").join(domains, "source_file", "left")
 
 
 def validate_chunks(rows: DataFrame) -> DataFrame:

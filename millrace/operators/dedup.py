@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import empty_if_null, sha16, strip
+from millrace.functions.text import clean_text, empty_if_null, normalize_url, null_if_empty, piece_id, sha16, strip
+from millrace.operators.chunking import windows
 
 # fixed values
 TYPE_RANK = {"T1": 0, "T2": 1, "T3": 2, "T6": 3}
@@ -60,13 +61,48 @@ def dedup_by_text(rows: DataFrame) -> DataFrame:
     return rows.join(wins, "seq", "left_semi")
 
 
-def aliases(rows: DataFrame) -> DataFrame:
-    """(winner_chunk_id, alias_count, aliases): for each final winner the rows that it replaced, by arrival."""
-    lost = duplicate_map(rows).where("seq <> text_win")
+def aliases(rows: DataFrame, exact: bool = False) -> DataFrame:
+    """(winner_chunk_id, alias_count, aliases): for each final winner the rows that it replaced, by arrival.
+
+    With exact, the rows that an id's winner replaced follow it to the winner of its text only if it was the best of that
+    text so far when it came; else they stay with it, so that a row that is no winner of its text may be listed too.
+    """
+    mapped = duplicate_map(rows)
+    lost = mapped.where("seq <> text_win")
+    to = F.col("text_win")
+    if exact:
+        best = _text_pass(rows).select(F.col("seq").alias("id_win"), "best_so_far")
+        lost = lost.join(best, "id_win")
+        to = F.when((F.col("seq") == F.col("id_win")) | F.col("best_so_far"), F.col("text_win")).otherwise(F.col("id_win"))
+    lost = lost.where(F.col("seq") != to).select("seq", to.alias("to"))
     alias = F.struct("seq", "source_url", "parent_post_id", "chunk_id", "source_type", "source_file")
-    winner = rows.select(F.col("seq").alias("text_win"), F.col("chunk_id").alias("winner_chunk_id"))
-    listed = lost.join(rows, "seq").groupBy("text_win").agg(F.sort_array(F.collect_list(alias)).alias("aliases"))
-    return listed.join(winner, "text_win").select("winner_chunk_id", F.size("aliases").alias("alias_count"), "aliases")
+    winner = rows.select(F.col("seq").alias("to"), F.col("chunk_id").alias("winner_chunk_id"))
+    listed = lost.join(rows, "seq").groupBy("to").agg(F.sort_array(F.collect_list(alias)).alias("aliases"))
+    return listed.join(winner, "to").select("winner_chunk_id", F.size("aliases").alias("alias_count"), "aliases")
+
+
+def _text_pass(rows: DataFrame) -> DataFrame:
+    """The rows of the second pass (seq, key, best, place), and whether each was better than all earlier ones of its text."""
+    ranked = _ranked(rows)
+    by_id = ranked.groupBy("id_key").agg(F.min("best").alias("best"), F.min("seq").alias("place"))
+    first = by_id.select(F.col("best.seq").alias("seq"), "best", "place").join(ranked.select("seq", F.col("hash_key").alias("key")), "seq")
+    return running_best(first)
+
+
+def dedup_counts(rows: DataFrame) -> DataFrame:
+    """One row: of each pass how often a repeated row was dropped (keep) and how often it took the place of the one held (swap)."""
+    by_id = running_best(_ranked(rows).select("seq", F.col("id_key").alias("key"), "best", F.col("seq").alias("place")))
+    both = by_id.select(F.lit("id").alias("pass_"), "first", "best_so_far").unionByName(_text_pass(rows).select(F.lit("text").alias("pass_"), "first", "best_so_far"))
+    of = lambda name, test: F.count_if((F.col("pass_") == name) & ~F.col("first") & test)
+    swap = F.col("best_so_far")
+    return both.agg(of("id", ~swap).alias("id_keep"), of("id", swap).alias("id_swap"), of("text", ~swap).alias("text_keep"), of("text", swap).alias("text_swap"))
+
+
+def with_bypass(kept: DataFrame, bypass: DataFrame) -> DataFrame:
+    """The kept rows and those that pass by de-duplication: cleaned, their addresses normalised, empty ones dropped."""
+    text = clean_text(F.col("text"))
+    clean = bypass.withColumns({"text": text, "source_url": normalize_url(empty_if_null(F.col("source_url")))}).withColumn("char_count", F.length("text")).where("text <> ''")
+    return kept.unionByName(clean, allowMissingColumns=True)
 
 
 def alias_urls(aliased: DataFrame) -> DataFrame:
@@ -97,14 +133,53 @@ def merge_same_id(rows: DataFrame, mark: str = "cross_tag") -> DataFrame:
     )
 
 
-def upsert(rows: DataFrame, new: DataFrame, noise: str = "articleNo=") -> DataFrame:
-    """Rows whose source_url is among the new ones are replaced by those; new rows with a noisy address are dropped."""
-    fresh = new.where(~empty_if_null(F.col("source_url")).contains(noise))
-    return rows.join(fresh.select("source_url").distinct(), "source_url", "left_anti").unionByName(fresh)
+def prepare_new(new: DataFrame, noise: str = "articleNo=", note: str = "added") -> DataFrame:
+    """New records for upsert(): noisy addresses dropped, long texts in windows, ids, notes and passages of the pieces.
 
-
-def running_best(rows: DataFrame, key: str) -> DataFrame:
-    """Marks rows that are better than all earlier ones of their key (best_so_far)."""
-    rank = priority().dropFields("seq")
-    before = F.min(rank).over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("best_so_far", before.isNull() | (rank < before))
+    A record of one piece keeps its chunk_id and has no parent; pieces of one are named by their number, and its id is
+    their parent. The passage is the title, if there is one, and the text.
+    """
+    text, many = empty_if_null(F.col("text")), F.col("n_pieces") > 1
+    cut = new.where(~empty_if_null(F.col("source_url")).contains(noise)).withColumn("pieces", windows(text)).withColumn("n_pieces", F.size("pieces"))
+    cut = cut.select("*", F.posexplode("pieces").alias("piece", "piece_text")).drop("pieces")
+    title = null_if_empty(empty_if_null(F.col("source_title")))
+    passage = F.concat(F.coalesce(F.concat(title, F.lit("\n")), F.lit("")), F.col("piece_text"))
+    return cut.withColumns(
+        {
+            "text": F.col("piece_text"), "chunk_index": F.col("piece"), "char_count": F.length("piece_text"), "parent_post_id": F.when(many, F.col("chunk_id")),
+            "notes": F.when(many, F.concat(F.lit("split_from="), F.col("chunk_id"), F.lit(f"|{note}"))).otherwise(F.lit(note)),
+            "chunk_id": F.when(many, piece_id(F.col("chunk_id"), F.col("piece"))).otherwise(F.col("chunk_id")), "_passage": passage, "_text_for_bm25": passage,
+        }
+    ).drop("piece", "piece_text", "n_pieces")
+
+
+def upsert(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows whose source_url is among the new ones are replaced by those; columns that one side lacks are null there."""
+    return rows.join(new.select("source_url").distinct(), "source_url", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def upsert_counts(before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
+    """(facet, value, n_before, n_after): rows by each column, before and after."""
+    out = None
+    for name in columns:
+        for df, side in ((before, 0), (after, 1)):
+            part = df.groupBy(F.lit(name).alias("facet"), F.col(name).cast("string").alias("value")).agg(*[(F.count("*") if side == k else F.lit(0).cast("long")).alias(c) for k, c in enumerate(("n_before", "n_after"))])
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("facet", "value").agg(F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"))
+
+
+def running_best(rows: DataFrame, span: int = 65_536) -> DataFrame:
+    """rows(key, place, best, ...) with first and best_so_far: whether a row is the first of its key, and better than all before.
+
+    best is a priority(), of which the last field, the arrival, does not count; place orders the rows. Minima are taken
+    over spans of places first, so that no task goes through a whole key.
+    """
+    rank = F.col("best").dropFields("seq")
+    cut = rows.withColumn("span", F.floor(F.col("place") / span)).withColumn("rank", rank)
+    spans = cut.groupBy("key", "span").agg(F.min("rank").alias("low"))
+    upto = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("key", "span", F.min("low").over(upto).alias("earlier"))
+    inside = Window.partitionBy("key", "span").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.join(spans, ["key", "span"]).withColumn("inside", F.min("rank").over(inside))
+    known = F.when(F.col("earlier").isNull(), F.col("inside")).when(F.col("inside").isNull() | (F.col("earlier") <= F.col("inside")), F.col("earlier")).otherwise(F.col("inside"))
+    return cut.withColumn("before", known).withColumns({"first": F.col("before").isNull(), "best_so_far": F.col("before").isNull() | (F.col("rank") < F.col("before"))}).drop("span", "rank", "earlier", "inside", "before")

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, judged_reason, judged_score
+from millrace.operators.sizes import few
 
 # fixed values
 KS = (1, 5, 10, 20)
+QUESTION_FIELDS = (
+    "qa_id", "question", "answer_gold", "domain", "categories", "question_type", "expected_source_urls", "is_fallback_expected",
+    "tags", "created_by", "reviewed_by", "created_at", "reviewed_at", "gen_prompt_version", "notes",
+)
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -110,7 +115,7 @@ def threshold_sweep(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """
     blocked = rows.where("used_fallback and top_rerank_score is not null")
     won, lost = F.count_if((F.col("judge_score") == 0) & F.col("gold_in_sources")), F.count_if(F.col("is_fallback_expected"))
-    freed = blocked.join(F.broadcast(thresholds), F.col("top_rerank_score") >= F.col("t")).groupBy("t").agg(F.count("*").alias("unblocked"), won.alias("recovery"), lost.alias("regression"))
+    freed = blocked.join(few(thresholds, "thresholds"), F.col("top_rerank_score") >= F.col("t")).groupBy("t").agg(F.count("*").alias("unblocked"), won.alias("recovery"), lost.alias("regression"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return thresholds.join(freed, "t", "left").select("t", zero("unblocked"), zero("recovery"), zero("regression"), (F.coalesce("recovery", F.lit(0)) - F.coalesce("regression", F.lit(0))).alias("net"))
 
@@ -134,7 +139,29 @@ def validate_questions(rows: DataFrame, existing: DataFrame) -> DataFrame:
         wrong(empty_if_null(F.col("qa_id")) == "", "no id"), wrong(empty_if_null(F.col("question")) == "", "no question"), wrong(~F.col("domain").between(1, 9), "domain"),
         wrong(~F.col("question_type").isin("A", "B", "C", "D"), "type"), wrong(F.size(F.coalesce("tags", F.array())) == 0, "no tag"), wrong(F.col("is_fallback_expected").isNull(), "fallback"),
     ))
-    checked = rows.withColumn("own", own)
+    return _taken(rows.withColumn("own", own), existing)
+
+
+def validate_raw(rows: DataFrame, existing: DataFrame, fields: tuple[str, ...] = QUESTION_FIELDS) -> DataFrame:
+    """(seq, qa_id, errors) for questions as JSON text, rows(seq, raw): fields that are missing or too many, fields of a
+    wrong type, values out of range, and ids taken as in validate_questions()."""
+    typed = F.from_json("raw", "qa_id string, domain int, question_type string, is_fallback_expected boolean, expected_source_urls array<string>, categories array<string>, tags array<string>").alias("q")
+    keys = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
+    parsed = rows.select("seq", typed, keys.alias("keys"))
+    wanted = F.array(*map(F.lit, fields))
+    missing, extra = (F.array_join(F.array_sort(x), ",") for x in (F.array_except(wanted, "keys"), F.array_except("keys", wanted)))
+    q = lambda c: F.col(f"q.{c}")
+    wrong = lambda test, name: F.when(F.coalesce(test, F.lit(True)), name)
+    own = F.array_compact(F.array(
+        F.when(missing != "", F.concat(F.lit("missing "), missing)), F.when(extra != "", F.concat(F.lit("extra "), extra)), wrong(empty_if_null(q("qa_id")) == "", "no id"),
+        wrong(~q("domain").between(1, 9), "domain"), wrong(~q("question_type").isin("A", "B", "C", "D"), "type"), F.when(q("expected_source_urls").isNull(), "urls no list"), F.when(q("categories").isNull(), "categories no list"),
+        wrong(F.size(q("tags")) < 1, "no tag"), F.when(q("is_fallback_expected").isNull(), "fallback"),
+    ))
+    return _taken(parsed.select("seq", q("qa_id").alias("qa_id"), own.alias("own")), existing)
+
+
+def _taken(checked: DataFrame, existing: DataFrame) -> DataFrame:
+    """(seq, qa_id, errors): an id belongs to the first row without an error, or to an existing question."""
     nth = F.row_number().over(Window.partitionBy("qa_id", F.size("own") == 0).orderBy("seq"))
     known = existing.select("qa_id").distinct().withColumn("known", F.lit(True))
     again = checked.withColumn("nth", nth).join(known, "qa_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, null_if_empty, sha16, strip
+from millrace.operators.sizes import hinted
 
 # fixed values
 HEADER_WORDS = (
@@ -18,41 +19,42 @@ YEAR_KEY = "기준연도"
 PAGE = ["report_id", "page"]
 
 
-def _slots(cells: DataFrame, start: str, size: str, name: str) -> DataFrame:
-    """Successive lines of one axis of each page, their middles and numbers."""
-    edges = cells.select(*PAGE, F.explode(F.array(F.col(start), F.col(start) + F.col(size))).alias("line")).distinct()
-    w = Window.partitionBy(*PAGE).orderBy("line")
-    slots = edges.withColumn("next", F.lead("line").over(w)).where("next is not null")
-    return slots.select(*PAGE, F.col("line").alias(name), ((F.col("line") + F.col("next")) / 2).alias(f"{name}_mid"), (F.row_number().over(w) - 1).alias(f"{name}_no"))
-
-
 def build_grid(cells: DataFrame) -> DataFrame:
     """(report_id, page, row, col, text): what covers the middle of each slot between the lines of a page's cells.
 
     A cell whose corner is the slot's comes first (the first in document order), then the uppermost, leftmost one.
-    Cells and slots meet by page, within the range of their row before that of their column.
+    Every edge of a cell is a line of its page, so the lines are numbered, and each cell is laid on the slots between the
+    numbers of its own edges; the work grows with the grid, not with cells times slots. Cells of no width or height cover nothing.
     """
-    rows, cols = _slots(cells, "y", "h", "y"), _slots(cells, "x", "w", "x")
-    body = cells.select(*PAGE, "ord", F.col("x").alias("cx"), F.col("y").alias("cy"), "w", "h", "text")
-    in_row = rows.join(body, PAGE).where((F.col("cy") <= F.col("y_mid")) & (F.col("y_mid") < F.col("cy") + F.col("h")))
-    hit = in_row.join(cols, PAGE).where((F.col("cx") <= F.col("x_mid")) & (F.col("x_mid") < F.col("cx") + F.col("w")))
-    other = F.when((F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y")), 0).otherwise(1)
-    rank = F.struct(other, F.when(other == 0, F.col("ord")), F.col("cy"), F.col("cx"), F.col("ord"))
-    return hit.groupBy(*PAGE, F.col("y_no").alias("row"), F.col("x_no").alias("col")).agg(F.min_by(empty_if_null(F.col("text")), rank).alias("text"))
+    own = [*PAGE, "ord", "x", "y", "w", "h"]
+    edge = lambda axis, end, at: F.struct(F.lit(axis).alias("axis"), F.lit(end).alias("end"), at.alias("line"))
+    ends = F.array(edge("x", "from", F.col("x")), edge("x", "to", F.col("x") + F.col("w")), edge("y", "from", F.col("y")), edge("y", "to", F.col("y") + F.col("h")))
+    edges = cells.select(*own, empty_if_null(F.col("text")).alias("text"), F.explode(ends).alias("e")).select(*own, "text", "e.*")
+    numbered = edges.withColumn("no", F.dense_rank().over(Window.partitionBy(*PAGE, "axis").orderBy("line")) - 1)
+    at = lambda axis, end: F.max(F.when((F.col("axis") == axis) & (F.col("end") == end), F.col("no")))
+    placed = numbered.groupBy(*own).agg(F.min("text").alias("text"), at("x", "from").alias("x0"), at("x", "to").alias("x1"), at("y", "from").alias("y0"), at("y", "to").alias("y1")).where("x0 < x1 and y0 < y1")
+    rows = placed.withColumn("row", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("col", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    other = F.when((F.col("col") == F.col("x0")) & (F.col("row") == F.col("y0")), 0).otherwise(1)
+    rank = F.struct(other, F.when(other == 0, F.col("ord")), "y", "x", "ord")
+    return rows.groupBy(*PAGE, "row", "col").agg(F.min_by("text", rank).alias("text"))
+
+
+def _headed(grid: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """The grid with its page's header row; all windows are of a page or parts of it."""
+    hits = F.sum(F.col("text").isin(*words).cast("int")).over(Window.partitionBy(*PAGE, "row"))
+    best = F.max(F.when(F.col("hits") >= 2, F.struct("hits", (-F.col("row")).alias("up")))).over(Window.partitionBy(*PAGE))
+    return grid.repartition(*PAGE).withColumn("hits", hits).withColumn("header", F.coalesce(-best["up"], F.lit(0))).drop("hits")
 
 
 def header_rows(grid: DataFrame, words: tuple[str, ...] = HEADER_WORDS) -> DataFrame:
     """(report_id, page, header): the row with most header words, two at least, the first of equal ones; else row 0."""
-    hits = grid.groupBy(*PAGE, "row").agg(F.sum(F.col("text").isin(*words).cast("int")).alias("hits"))
-    best = F.max(F.when(F.col("hits") >= 2, F.struct(F.col("hits"), -F.col("row")))).alias("b")
-    return hits.groupBy(*PAGE).agg(best).select(*PAGE, F.coalesce(-F.col("b")["col2"], F.lit(0)).alias("header"))
+    return _headed(grid, words).groupBy(*PAGE).agg(F.max("header").alias("header"))
 
 
-def grid_records(grid: DataFrame) -> DataFrame:
+def grid_records(grid: DataFrame, words: tuple[str, ...] = HEADER_WORDS) -> DataFrame:
     """(report_id, page, row, record): rows below the header as maps; empty heads are left out, of equal ones the last holds, blank rows go."""
-    heads = grid.join(header_rows(grid), PAGE)
-    names = heads.where("row = header and text <> ''").select(*PAGE, "col", F.col("text").alias("name"))
-    cells = heads.where("row > header").select(*PAGE, "row", "col", "text").join(names, [*PAGE, "col"])
+    name = F.max(F.when(F.col("row") == F.col("header"), F.col("text"))).over(Window.partitionBy(*PAGE, "col"))
+    cells = _headed(grid, words).withColumn("name", name).where("row > header and name <> ''")
     last = cells.groupBy(*PAGE, "row", "name").agg(F.max_by("text", "col").alias("value"))
     record = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value"))))
     rows = last.groupBy(*PAGE, "row").agg(record.alias("record"), F.max(strip(F.col("value")) != "").alias("told"))
@@ -101,14 +103,23 @@ def stat_sentences(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     label = F.concat_ws(" ", "entity", F.concat(F.lit("("), null_if_empty(F.col("qualifiers")), F.lit(")")))
     value = F.concat_ws(" ", F.concat(strip(F.col("val")), F.coalesce("unit", F.lit(""))), F.when(extras != "", F.concat(F.lit("("), extras, F.lit(")"))))
     sentence = F.concat(F.concat_ws(" ", label, F.concat(F.col("year"), F.lit("년")), F.coalesce("name", "flag"), value), F.lit(" [출처: "), F.col("source"), F.lit(", flag="), F.col("flag"), F.lit("]"))
-    told = rows.where(strip(empty_if_null(F.col("val"))) != "").join(F.broadcast(kinds), "flag", "left")
+    told = rows.where(strip(empty_if_null(F.col("val"))) != "").join(hinted(kinds), "flag", "left")
     return told.select("entity", "flag", "year", sentence.alias("sentence"), "domain", "category")
 
 
-def stat_chunks(sentences: DataFrame) -> DataFrame:
-    """Sentences as records, numbered within each entity and flag by year."""
+def stat_chunks(sentences: DataFrame, url: Column | None = None, title: Column | None = None) -> DataFrame:
+    """Sentences as records, numbered within each entity and flag by year.
+
+    url and title are expressions over entity and flag; an address has the flag in its fragment, so that addresses that
+    lose their fragments fall together.
+    """
     nth = F.row_number().over(Window.partitionBy("entity", "flag").orderBy("year")) - 1
-    return sentences.select(F.col("sentence").alias("text"), "entity", "flag", nth.alias("chunk_index"), F.array(F.coalesce("domain", F.lit(9))).alias("domains"), F.concat(F.col("year"), F.lit("-01-01")).alias("posted_at"), F.concat_ws(" > ", "entity", "flag").alias("section_path"), F.lit("T6").alias("source_type"))
+    url = F.concat(F.lit("#flag="), F.col("flag")) if url is None else url
+    title = F.concat_ws(" ", "entity", "flag") if title is None else title
+    return sentences.select(
+        F.col("sentence").alias("text"), "entity", "flag", nth.alias("chunk_index"), url.alias("source_url"), title.alias("source_title"), F.array(F.coalesce("domain", F.lit(9))).alias("domains"),
+        F.filter(F.array("category"), lambda c: c.isNotNull()).alias("categories"), F.concat(F.col("year"), F.lit("-01-01")).alias("posted_at"), F.concat_ws(" > ", "entity", "flag").alias("section_path"), F.lit("T6").alias("source_type"), F.lit("dated").alias("freshness"),
+    )
 
 
 def stat_manifest(rows: DataFrame) -> DataFrame:
@@ -116,6 +127,13 @@ def stat_manifest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("flag").agg(F.count("*").alias("n_tried"), F.count_if(F.col("n_entries") > 0).alias("n_with_data"), F.count_if(empty_if_null(F.col("error")) != "").alias("n_errors"))
 
 
+def report_counts(chunks: DataFrame, pids: DataFrame) -> DataFrame:
+    """(pid, n_chunks): records whose notes name each report as pid=..., none for one without."""
+    named = chunks.select(F.explode(F.array_distinct(F.regexp_extract_all("notes", F.lit(r"pid=(\w+)"), 1))).alias("pid")).groupBy("pid").agg(F.count("*").alias("n"))
+    wanted = pids.select(F.col("pid").cast("string").alias("pid")).distinct()
+    return wanted.join(named, "pid", "left").select("pid", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
 def label_lookup(wanted: DataFrame, labels: DataFrame) -> DataFrame:
     """(pid, year, label): the label of that year, else of the first other year of the pid, else the hint."""
     met = wanted.join(labels.select("pid", F.col("year").alias("of"), F.col("label").alias("named")), "pid", "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import attachment_kind, chunk_id, empty_if_null, null_if_empty
+from millrace.functions.text import attachment_kind, chunk_id, empty_if_null, null_if_empty, post_id
 from millrace.operators import html
 
 # fixed values
@@ -26,18 +26,22 @@ BAD_LINK = r"(?i)인사말|연혁|역사|소개|찾아오는|위치|수여식|
 PARSED = (
     "page_id long, url string, title string, container string, n_raw int, n_text int, h1 array<string>, h2 array<string>, h3 array<string>, "
     "sections array<struct<path: string, text: string>>, links array<struct<text: string, href: string>>, table_rows array<array<string>>, "
-    "divs array<struct<n: int, link_ratio: double>>"
+    "divs array<struct<n: int, link_ratio: double>>, body string, boxes array<struct<name: string, n: int, h2: int, h3: int>>"
 )
 _SECTIONS = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
 _LINKS = pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))
 _DIVS = pa.list_(pa.struct([("n", pa.int32()), ("link_ratio", pa.float64())]))
+_BOXES = pa.list_(pa.struct([("name", pa.string()), ("n", pa.int32()), ("h2", pa.int32()), ("h3", pa.int32())]))
 _STRINGS = pa.list_(pa.string())
-_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), _STRINGS, _STRINGS, _STRINGS, _SECTIONS, _LINKS, pa.list_(_STRINGS), _DIVS]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), _STRINGS, _STRINGS, _STRINGS, _SECTIONS, _LINKS, pa.list_(_STRINGS), _DIVS, pa.string(), _BOXES]
+# fixed values: where the text of a post stands, in the order of trying
+POST_CONTAINERS = ("id=txt", "id=contents", "id=content", "id=jwxe_main_content", "class=detail_con", "id=divContent", "class=content")
+SHORT_BODY = "(본문 짧음 - 첨부 참조)"
 
 
-def _read(page_id: int, url: str, source: str) -> tuple:
+def _read(page_id: int, url: str, source: str, wanted: tuple[str, ...]) -> tuple:
     root = html.parse(source)
-    name, box = html.container(root)
+    name, box = html.container(root, wanted)
     title = root.first(lambda n: n.tag == "title")
     heads = {tag: [n.text(" ") for n in root.walk() if n.tag == tag] for tag in ("h1", "h2", "h3")}
     links, divs = [], []
@@ -51,29 +55,48 @@ def _read(page_id: int, url: str, source: str) -> tuple:
     body = root.first(lambda n: n.tag == "body") or root
     return (
         page_id, url, title.text(" ") if title else None, name, len(source or ""), len(body.text()), heads["h1"][:10], heads["h2"][:20], heads["h3"][:30],
-        [{"path": p, "text": t} for p, t in html.sections(box)], links, html.table_rows(root), divs,
+        [{"path": p, "text": t} for p, t in html.sections(box)], links, html.table_rows(root), divs, box.text(), _boxes(root, wanted),
     )
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in PARSED.split(", ") if not c.startswith(("text:", "href:", "link_ratio:"))]
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            rows = [_read(*x) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names)
+def _boxes(root: html.Node, wanted: tuple[str, ...]) -> list[dict]:
+    """All elements of the wanted ids and classes: length of text, and headings inside."""
+    out = []
+    for name in wanted:
+        kind, value = name.split("=")
+        for n in root.walk():
+            if value in (n.attrs.get(kind) or "").split():
+                inside = [x.tag for x in n.walk()]
+                out.append({"name": name, "n": len(n.text(" ")), "h2": inside.count("h2"), "h3": inside.count("h3")})
+    return out
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """What is read from pages(page_id, url, html), one row a page (columns of PARSED). A null page is an empty one."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse, PARSED)
+def _parse(wanted: tuple[str, ...]):
+    names = ["page_id", "url", "title", "container", "n_raw", "n_text", "h1", "h2", "h3", "sections", "links", "table_rows", "divs", "body", "boxes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = [_read(*x, wanted) for x in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names)
+
+    return run
+
+
+def parse_pages(pages: DataFrame, containers: tuple[str, ...] = html.CONTAINERS) -> DataFrame:
+    """What is read from pages(page_id, url, html), one row a page (columns of PARSED). A null page is an empty one.
+
+    containers are the ids and classes that may hold the text, in the order of trying; POST_CONTAINERS for posts.
+    """
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parse(containers), PARSED)
 
 
 def inspect(parsed: DataFrame, top: int = 15) -> DataFrame:
-    """Title, headings, lengths, container, and the longest divs, those that are mostly links last."""
+    """Title, headings, lengths, container, all elements that could be one, and the longest divs, those that are mostly links last."""
     order = F.transform("divs", lambda d: F.struct((d["link_ratio"] > 0.8).alias("linky"), (-d["n"]).alias("m"), d["link_ratio"].alias("r")))
     divs = F.transform(F.slice(F.array_sort(order), 1, top), lambda d: F.struct((-d["m"]).alias("n"), F.round(d["r"], 4).alias("link_ratio")))
-    return parsed.select("page_id", "title", "container", "n_raw", "n_text", F.size("h1").alias("n_h1"), F.size("h2").alias("n_h2"), F.size("h3").alias("n_h3"), divs.alias("divs"))
+    return parsed.select("page_id", "title", "container", "n_raw", "n_text", "h1", "h2", "h3", "boxes", F.size("h1").alias("n_h1"), F.size("h2").alias("n_h2"), F.size("h3").alias("n_h3"), divs.alias("divs"))
 
 
 def page_sections(parsed: DataFrame) -> DataFrame:
@@ -94,14 +117,24 @@ def attachments(parsed: DataFrame, mark: str = "download", fold: bool = False) -
     return parsed.select("page_id", F.array_distinct(listed).alias("attachments"))
 
 
-def post_chunks(parsed: DataFrame, mark: str = "download", least: int = 30, placeholder: str = "(attachments only)") -> DataFrame:
-    """One record a page: its sections if long enough, else a placeholder if it has attachments; attachments as JSON in notes."""
-    body = F.array_join(F.transform("sections", lambda s: s["text"]), "\n")
+def post_chunks(parsed: DataFrame, listed: DataFrame | None = None, mark: str = "download", least: int = 30, placeholder: str = SHORT_BODY) -> DataFrame:
+    """One record a post: its text if long enough, else a placeholder if it has attachments; attachments as JSON in notes.
+
+    parsed is of parse_pages(posts, POST_CONTAINERS). listed(url, list_title, list_posted_at) is what a listing told of
+    the posts: its title comes before the page's own, and its date is the record's.
+    """
     rows = parsed.join(attachments(parsed, mark).withColumnRenamed("page_id", "at"), F.col("page_id") == F.col("at"))
-    rows = rows.select("page_id", "url", F.coalesce(null_if_empty(F.col("title")), "url").alias("source_title"), body.alias("body"), "attachments")
+    if listed is None:
+        rows = rows.withColumns({"list_title": F.lit(None).cast("string"), "list_posted_at": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(listed.select("url", "list_title", "list_posted_at").dropDuplicates(["url"]), "url", "left")
     text = F.when(F.length("body") >= least, F.col("body")).when(F.size("attachments") > 0, placeholder)
     notes = F.when(F.size("attachments") > 0, F.to_json(F.struct("attachments")))
-    return rows.select("page_id", F.col("url").alias("source_url"), "source_title", text.alias("text"), notes.alias("notes")).where("text is not null")
+    title = F.coalesce(null_if_empty(F.col("list_title")), null_if_empty(F.col("title")), "url")
+    return rows.select(
+        "page_id", F.col("url").alias("source_url"), title.alias("source_title"), text.alias("text"), F.lit("T2").alias("source_type"), F.lit("dated").alias("freshness"), F.col("list_posted_at").alias("posted_at"),
+        post_id(F.col("url")).alias("parent_post_id"), F.lit("post_body").alias("section_path"), notes.alias("notes"),
+    ).where("text is not null")
 
 
 def table_rows(parsed: DataFrame) -> DataFrame:
@@ -116,16 +149,38 @@ def link_score(text: Column) -> Column:
     return score.otherwise(0)
 
 
-def link_candidates(parsed: DataFrame, score: Column | None = None, top: int = 3) -> DataFrame:
+def link_candidates(parsed: DataFrame, score: Column | None = None, top: int = 3, direct: DataFrame | None = None, same_host: bool = False) -> DataFrame:
     """(page_id, href, text, score, status): of each page the best distinct links that score; no_candidate without one.
 
-    score is an expression over the link's text, link_score() if none is given.
+    score is an expression over the link's text and href, link_score() of the text if none is given. direct(page_id, urls)
+    names pages whose addresses are known: those take the place of what the page links to, at score 10 (ok_direct). With
+    same_host only links to the page's own host count.
     """
-    links = parsed.select("page_id", F.posexplode("links").alias("ord", "link")).select("page_id", "ord", "link.text", "link.href").where(~F.col("href").rlike("^(javascript:|mailto:|tel:|#)"))
-    scored = links.withColumn("score", link_score(F.col("text")) if score is None else score).where("score > 0")
+    links = parsed.select("page_id", "url", F.posexplode("links").alias("ord", "link")).select("page_id", "url", "ord", "link.text", "link.href").where(~F.col("href").rlike("^(javascript:|mailto:|tel:|#)"))
+    if same_host:
+        links = links.where(F.try_parse_url("href", F.lit("HOST")) == F.try_parse_url("url", F.lit("HOST")))
+    scored = links.drop("url").withColumn("score", link_score(F.col("text")) if score is None else score).where("score > 0")
     once = scored.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "href").orderBy("ord"))).where("nth = 1")
     best = once.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))).where(F.col("nth") <= top)
-    return parsed.select("page_id").join(best.drop("ord", "nth"), "page_id", "left").withColumn("status", F.when(F.col("href").isNull(), "no_candidate").otherwise("ok"))
+    pages, known = parsed.select("page_id"), None
+    if direct is not None:
+        known = direct.select("page_id", F.explode("urls").alias("href")).distinct()
+        pages = pages.join(known.select("page_id").distinct(), "page_id", "left_anti")
+    found = pages.join(best.drop("ord", "nth"), "page_id", "left").withColumn("status", F.when(F.col("href").isNull(), "no_candidate").otherwise("ok"))
+    if known is None:
+        return found
+    return found.unionByName(known.select("page_id", "href", F.lit("[direct_url]").alias("text"), F.lit(10).alias("score"), F.lit("ok_direct").alias("status")))
+
+
+# fixed values
+WIDE_LINK = r"(?i)졸업|이수|학위|교과|교육과정|커리큘럼|curriculum|graduation|requirement|학사|학부|학과\s*소개"
+WIDE_BAD_LINK = r"(?i)인사말|연혁|찾아오는|위치|로그인|articleNo="
+
+
+def wide_link_score(text: Column, href: Column) -> Column:
+    """1 for a link whose text or address names what is sought, and neither names something else; else 0."""
+    said = empty_if_null(text)
+    return F.when(said.rlike(WIDE_BAD_LINK) | href.rlike(WIDE_BAD_LINK), 0).when(said.rlike(WIDE_LINK) | href.rlike(WIDE_LINK), 1).otherwise(0)
 
 
 def attachment_queue(chunks: DataFrame, kinds: tuple[str, ...] = ("pdf", "hwp", "hwpx")) -> DataFrame:
@@ -157,3 +212,23 @@ def list_pages(lists: DataFrame, pages: int) -> DataFrame:
     bare = F.regexp_replace("url", r"([?&])GotoPage=\d+&?", "$1")
     glue = F.when(F.col("url").contains("?"), "&").otherwise("?")
     return lists.select("page_id", page, F.concat(F.rtrim(bare, F.lit("?&")), glue).alias("base")).select("page_id", F.concat("base", F.lit("GotoPage="), F.col("n").cast("string")).alias("page_url"))
+
+
+def _site(url: Column) -> Column:
+    return F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1)
+
+
+def view_url(list_url: Column, item: Column) -> Column:
+    """The address of an item's own page, from that of its listing: rule books open it by number, other lists by mode=view."""
+    path = F.regexp_extract(list_url, r"^([^?#]*)", 1)
+    query = F.regexp_replace(F.regexp_extract(list_url, r"\?([^#]*)", 1), r"(^|&)(?:mode|ntt_no)=[^&]*", "")
+    rest = F.concat_ws("&", null_if_empty(F.regexp_replace(query, "^&", "")), F.concat(F.lit("mode=view&ntt_no="), item))
+    return F.when(path.contains("/_prog/rule/"), F.concat(_site(list_url), F.lit("/_prog/rule/view_pop.php?mng_no="), item)).otherwise(F.concat(path, F.lit("?"), rest))
+
+
+def download_urls(list_url: Column, item: Column, numbers: tuple[int, ...] = (1, 2)) -> Column:
+    """Addresses at which an item's attachments may be had: by each code of the listing's query, `rule` without one."""
+    codes = F.filter(F.array(*[F.try_parse_url(list_url, F.lit("QUERY"), F.lit(k)) for k in ("code", "menu_dvs_cd")]), lambda c: c.isNotNull() & (c != ""))
+    codes = F.when(F.size(codes) == 0, F.array(F.lit("rule"))).otherwise(codes)
+    start = F.concat(_site(list_url), F.lit("/_prog/_board/common/download.php?code="))
+    return F.flatten(F.transform(codes, lambda c: F.array(*[F.concat(start, c, F.lit("&ntt_no="), item, F.lit(f"&atch_no={n}")) for n in numbers])))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, strip
+from millrace.operators.sizes import few, hinted
 
 # fixed values
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -32,33 +33,62 @@ def token_stats(rows: DataFrame, tokens: Callable[[Column], Column] = regex_toke
 class Bm25Index:
     """Tables of an index over rows(track, chunk_id, text): postings, doc_stats, term_stats and track_stats.
 
-    Negative idf values are replaced by a quarter of the mean idf over the track's vocabulary.
+    Tracks are the few named parts of an index; their statistics go to every task. A chunk's tokens stay in one array; document frequencies come from its distinct ones, so that only (track, term) is
+    shuffled for them. Negative idf values are replaced by a quarter of the mean idf over the track's vocabulary.
     """
 
     def __init__(self, rows: DataFrame, tokens: Callable[[Column], Column] = regex_tokens):
-        spread = rows.select("track", "chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
-        self.postings = spread.groupBy("track", "chunk_id", "term").agg(F.count("*").alias("tf"))
-        self.doc_stats = rows.select("track", "chunk_id", F.size(tokens(F.col("text"))).alias("dl"))
+        self.docs = rows.select("track", "chunk_id", tokens(F.col("text")).alias("tokens"))
+        self.doc_stats = self.docs.select("track", "chunk_id", F.size("tokens").alias("dl"))
         self.track_stats = self.doc_stats.groupBy("track").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        df = self.postings.groupBy("track", "term").agg(F.count("*").alias("df"))
+        df = self.docs.select("track", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("track", "term").agg(F.count("*").alias("df"))
         raw = df.join(F.broadcast(self.track_stats), "track").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.groupBy("track").agg((F.avg("raw") * FLOOR).alias("low"))
         self.term_stats = raw.join(F.broadcast(mean), "track").select("track", "term", "df", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
 
+    @property
+    def postings(self) -> DataFrame:
+        return self._counted(self.docs.select("track", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))).drop("dl")
+
+    @staticmethod
+    def _counted(spread: DataFrame) -> DataFrame:
+        return spread.groupBy("track", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+
     def scores(self, queries: DataFrame, tokens: Callable[[Column], Column] = regex_tokens) -> DataFrame:
         """(qa_id, chunk_id, score, track) of positive scores, of several tracks the best; terms count as often as a query has them.
 
-        Postings meet only the terms that queries have; sums are partial before the shuffle on (qa_id, chunk_id).
+        Tokens that no query has are dropped where they are read, before any shuffle; sums are partial before the shuffle
+        on (qa_id, chunk_id).
         """
         terms = queries.select("qa_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qa_id", "term").agg(F.count("*").alias("times"))
-        used = self.term_stats.join(terms.select("term").distinct(), "term", "left_semi")
-        hits = self.postings.join(used, ["track", "term"]).join(self.doc_stats, ["track", "chunk_id"]).join(F.broadcast(self.track_stats), "track")
+        wanted = hinted(terms.select("term").distinct())
+        spread = self.docs.select("track", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        counted = self._counted(spread.join(wanted, "term", "left_semi"))
+        used = self.term_stats.join(wanted, "term", "left_semi").select("track", "term", "idf")
+        hits = counted.join(used, ["track", "term"]).join(F.broadcast(self.track_stats), "track")
         tf = F.col("tf")
-        weighted = hits.withColumn("w", F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).select("track", "term", "chunk_id", "w")
-        scored = weighted.join(terms, "term").groupBy("qa_id", "track", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
+        weighted = hits.select("track", "term", "chunk_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
+        scored = weighted.join(hinted(terms), "term").groupBy("qa_id", "track", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
         return scored.groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
 
 
+def holders(rows: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = regex_tokens) -> DataFrame:
+    """(qa_id, columns of rows) where a row's text holds a whole question.
+
+    Text and question meet on the longest token inside the question, between its first and last, which a text that holds
+    it must have whole; questions of fewer than three tokens meet every text.
+    """
+    inner = F.slice(tokens(F.col("question")), 2, F.greatest(F.size(tokens(F.col("question"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    asked = queries.select("qa_id", "question", longest.alias("term"))
+    met = rows.select("*", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(hinted(asked.where("term is not null")), "term")
+    found = met.where(F.contains("text", "question")).select("qa_id", *rows.columns)
+    short = asked.where("term is null").select("qa_id", "question")
+    if short.isEmpty():
+        return found
+    return found.unionByName(rows.join(few(short, "questions of fewer than three tokens"), F.contains(rows["text"], short["question"])).select("qa_id", *rows.columns))
+
+
 def l2_normalized(v: Column) -> Column:
     """The vector as doubles of unit length; a zero vector stays."""
     v = v.cast("array<double>")
@@ -168,10 +198,32 @@ def gold_chunks(rows: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("chunk_id", bare(F.col("source_url")).alias("u")).join(met, "u").select("qa_id", "chunk_id").distinct()
 
 
-def stage_ranks(stages: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per query and stage the rows scored, the gold hits and the best gold rank; stages has qa_id, stage, chunk_id and rank."""
-    marked = stages.join(gold.select("qa_id", "chunk_id").distinct().withColumn("gold", F.lit(True)), ["qa_id", "chunk_id"], "left")
-    return marked.groupBy("qa_id", "stage").agg(F.count("*").alias("n_scored"), F.count("gold").alias("n_gold"), F.min(F.when(F.col("gold"), F.col("rank"))).alias("best_rank"))
+def stage_ranks(stages: DataFrame, gold: DataFrame, queries: DataFrame | None = None, top: int = 5) -> DataFrame:
+    """Per query and stage the rows scored, the gold hits, the best gold rank and the first `top` chunks.
+
+    stages has qa_id, stage, chunk_id and rank. With queries(qa_id), one without a gold chunk has one row, its error
+    `no gold` and nothing else.
+    """
+    golden = gold.select("qa_id", "chunk_id").distinct()
+    marked = stages.join(golden.withColumn("gold", F.lit(True)), ["qa_id", "chunk_id"], "left")
+    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "chunk_id")))), lambda x: x["chunk_id"])
+    ranks = marked.groupBy("qa_id", "stage").agg(F.count("*").alias("n_scored"), F.count("gold").alias("n_gold"), F.min(F.when(F.col("gold"), F.col("rank"))).alias("best_rank"), first.alias("top"))
+    if queries is None:
+        return ranks
+    lost = queries.select("qa_id").join(golden, "qa_id", "left_anti").withColumn("error", F.lit("no gold"))
+    return ranks.join(lost.select("qa_id"), "qa_id", "left_anti").unionByName(lost, allowMissingColumns=True)
+
+
+def compare_variants(bm25: DataFrame, dense: DataFrame, variants: DataFrame, pair_scores: DataFrame, keep: int = 1, pool: int = 30) -> DataFrame:
+    """(variant_id, qa_id, chunk_id, rerank_score, rank): the best hits of each text of a question.
+
+    bm25 and dense are ranked pools whose qa_id is the variant's id; variants has variant_id and qa_id. Each variant's
+    fused pool is put in the order of scores of the original question, pair_scores(qa_id, chunk_id, rerank_score).
+    """
+    fused = rrf_fuse(bm25, dense, top_k=pool).select(F.col("qa_id").alias("variant_id"), "chunk_id", "rrf_score").join(variants.select("variant_id", "qa_id"), "variant_id")
+    scored = fused.join(pair_scores, ["qa_id", "chunk_id"])
+    order = Window.partitionBy("variant_id").orderBy(F.desc("rerank_score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("variant_id", "qa_id", "chunk_id", "rerank_score", "rank")
 
 
 def domain_gate(queries: DataFrame, hits: DataFrame, rows: DataFrame) -> DataFrame:

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, text_score
+from millrace.operators.sizes import few
 
 
 def has_any(text: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.contains(text, w))
 
 
+def url_host(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
+
+
 def cross_tag(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """A copy of a row for every rule whose prefix is one of its categories or a dotted start of one.
 
@@ -40,27 +45,44 @@ def domain_matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     rules (one a domain) has domain, hosts, url_words and title_words. Only short columns meet the rules.
     """
     short = rows.select("chunk_id", "domains", empty_if_null(F.col("source_url")).alias("url"), empty_if_null(F.col("source_title")).alias("title"))
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    by_rule = F.array_contains("hosts", host) | has_any(F.col("url"), F.col("url_words")) | has_any(F.col("title"), F.col("title_words"))
+    by_rule = F.array_contains("hosts", url_host(F.col("url"))) | has_any(F.col("url"), F.col("url_words")) | has_any(F.col("title"), F.col("title_words"))
     tagged = F.array_contains("domains", F.col("domain"))
     match = F.when(tagged, 1).otherwise(0).bitwiseOR(F.when(by_rule, 2).otherwise(0))
-    return short.join(F.broadcast(rules), tagged | by_rule).select("chunk_id", "domain", match.alias("match"))
+    return short.join(few(rules, "rules"), tagged | by_rule).select("chunk_id", "domain", match.alias("match"))
 
 
-def sample_pool(rows: DataFrame, rules: DataFrame, size: int = 80, cut: int = 1500) -> DataFrame:
-    """Per domain the `size` best rows for question writing: five times the match plus the text's score, one row an id."""
+def pool_candidates(rows: DataFrame, rules: DataFrame, extra: tuple[str, tuple[str, ...], int, int] | None = None) -> DataFrame:
+    """(domain, chunk_id, seq, score): each record's best score in each domain: five times the match plus the text's score.
+
+    extra (host, words, domain, score) adds the records of a host whose texts hold one of the words to a domain, at that score.
+    """
     scored = rows.select("chunk_id", "seq", text_score(F.col("text")).alias("text_score"))
-    found = domain_matches(rows, rules).distinct().join(scored, "chunk_id").where("text_score > 0").withColumn("score", 5 * F.col("match") + F.col("text_score"))
+    found = domain_matches(rows, rules).distinct().join(scored, "chunk_id").where("text_score > 0").select("domain", "chunk_id", "seq", (5 * F.col("match") + F.col("text_score")).alias("score"))
+    if extra:
+        host, words, domain, score = extra
+        told = (url_host(empty_if_null(F.col("source_url"))) == host) & has_any(empty_if_null(F.col("text")), F.array(*map(F.lit, words)))
+        found = found.unionByName(rows.where(told).select(F.lit(domain).alias("domain"), "chunk_id", "seq", F.lit(score).alias("score")))
     best = Window.partitionBy("domain", "chunk_id").orderBy(F.desc("score"), "seq")
+    return found.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+
+
+def sample_pool(candidates: DataFrame, rows: DataFrame, size: int = 80, cut: int = 1500, mark: str = " ...[truncated]") -> DataFrame:
+    """Per domain the `size` best of pool_candidates() for question writing, with the starts of their texts."""
     top = Window.partitionBy("domain").orderBy(F.desc("score"), "chunk_id")
-    found = found.withColumn("nth", F.row_number().over(best)).where("nth = 1").withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= size)
-    return found.join(rows.select("seq", F.substring("text", 1, cut).alias("text")), "seq").select("domain", "chunk_id", "score", "text")
+    best = candidates.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= size)
+    text = F.when(F.length("text") > cut, F.concat(F.substring("text", 1, cut), F.lit(mark))).otherwise(F.col("text"))
+    return best.join(rows.select("seq", text.alias("text")), "seq").select("domain", "chunk_id", "score", "text")
+
+
+def pool_summary(candidates: DataFrame, size: int = 80) -> DataFrame:
+    """(domain, n_candidates, n_pool): what each domain has to choose from, and what is chosen."""
+    return candidates.groupBy("domain").agg(F.count("*").alias("n_candidates"), F.least(F.count("*"), F.lit(size)).alias("n_pool"))
 
 
 def keyword_tags(rows: DataFrame, words: DataFrame) -> DataFrame:
     """(chunk_id, tag) for every tag one of whose words is in the text; words (few) has tag and word."""
     lists = words.groupBy("tag").agg(F.collect_list("word").alias("words"))
-    return rows.select("chunk_id", "text").join(F.broadcast(lists), has_any(F.col("text"), F.col("words"))).select("chunk_id", "tag").distinct()
+    return rows.select("chunk_id", "text").join(few(lists, "tags"), has_any(F.col("text"), F.col("words"))).select("chunk_id", "tag").distinct()
 
 
 def tag_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -90,7 +112,7 @@ def expand_queries(queries: DataFrame, aliases: DataFrame, guarded: bool = True)
     """
     used = F.contains(F.col("question"), F.col("alias")) & ~F.col("alias").startswith("_")
     used = used & ~F.contains(F.col("question"), F.col("full")) if guarded else used
-    pair = queries.select("qa_id", "question").join(F.broadcast(aliases), used, "left")
+    pair = queries.select("qa_id", "question").join(few(aliases, "aliases"), used, "left")
     forms = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("ord", "full"))), lambda s: s["full"]), lambda f: f.isNotNull())
     forms = F.array_distinct(forms) if guarded else forms
     return pair.groupBy("qa_id").agg(F.array_join(F.concat(F.array(F.first("question")), forms), " ").alias("expanded"))
@@ -102,4 +124,4 @@ def route_queries(queries: DataFrame, tools: DataFrame) -> DataFrame:
     tools (few) has tool, priority, include and exclude; tool is null if none fits.
     """
     fits = has_any(F.col("question"), F.col("include")) & ~has_any(F.col("question"), F.col("exclude"))
-    return queries.join(F.broadcast(tools), fits, "left").groupBy("qa_id").agg(F.min_by("tool", "priority").alias("tool"))
+    return queries.join(few(tools, "tools"), fits, "left").groupBy("qa_id").agg(F.min_by("tool", "priority").alias("tool"))

@@ -94,10 +94,11 @@ def bm25_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_chunks").select("seq", F.md5(T.bm25_text(F.col("text"))).alias("text_md5"))
 
 
-@query("""SELECT seq, nullif(regexp_extract(replace(posted_at, '-', '.'), '(\\d{4}[-./]\\d{2}[-./]\\d{2})', 1), '') IS NOT NULL AS dated,
-  replace(posted_at, '.', '-') AS iso, CAST(seq % 97 AS STRING) AS post FROM v_chunks""")
+@query("""SELECT seq, seq % 6 <> 0 AS dated, CASE WHEN seq % 6 = 1 THEN '2019-01-02' WHEN seq % 6 <> 0 THEN posted_at END AS iso, CAST(seq % 97 AS STRING) AS post FROM v_chunks""")
 def posted_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iso = T.first_date(F.col("lang"), F.translate("posted_at", "-", "."))
+    first = F.when(F.col("seq") % 6 == 1, "No. 7 (2019/01/02)").otherwise(F.col("lang"))
+    second = F.when(F.col("seq") % 6 == 0, F.expr("substring(posted_at, 1, 7)")).otherwise(F.translate("posted_at", "-", "."))
+    iso = T.first_date(first, second)
     return view(spark, sf_dir, "v_chunks").select("seq", iso.isNotNull().alias("dated"), iso.alias("iso"), T.post_id(F.col("source_url"), ("no", "id")).alias("post"))
 
 
@@ -176,6 +177,42 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("winner_chunk_id", F.col("alias_count").cast("long").alias("alias_count"), F.array_join(F.transform("aliases", lambda a: a["chunk_id"]), ",").alias("lost_ids"))
 
 
+# what the second pass holds when each id's winner comes: the best key of its text so far
+SQL_RANK = "CAST(CASE source_type WHEN 'T1' THEN 0 WHEN 'T2' THEN 1 WHEN 'T3' THEN 2 WHEN 'T6' THEN 3 ELSE 99 END AS BIGINT) * 100000000000 + CASE WHEN freshness IS NULL THEN 10000000000 ELSE 0 END - CASE WHEN char_count > 0 THEN char_count ELSE length(text) END"
+VIEWS["v_pass2"] = f"""
+SELECT *, held IS NULL AS is_first, held IS NULL OR r < held AS was_best FROM (SELECT *, min(r) OVER (PARTITION BY sha1(text) ORDER BY first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM (SELECT *, {SQL_RANK} AS r FROM v_by_id))"""
+VIEWS["v_pass1"] = f"""
+SELECT *, held IS NULL AS is_first, held IS NULL OR r < held AS was_best FROM (SELECT *, min(r) OVER (PARTITION BY chunk_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM (SELECT *, {SQL_RANK} AS r FROM v_chunks))"""
+
+
+@query("""SELECT to_id AS winner_chunk_id, count(*) AS alias_count, string_agg(chunk_id, ',' ORDER BY seq) AS lost_ids FROM (
+  SELECT c.seq, c.chunk_id, CASE WHEN c.seq = i.seq OR i.was_best THEN t.seq ELSE i.seq END AS to_seq, CASE WHEN c.seq = i.seq OR i.was_best THEN t.chunk_id ELSE i.chunk_id END AS to_id
+  FROM v_chunks c JOIN v_pass2 i ON c.chunk_id = i.chunk_id JOIN v_by_text t ON sha1(i.text) = sha1(t.text) WHERE c.seq <> t.seq) WHERE seq <> to_seq GROUP BY to_id""")
+def aliases_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases where a loser that never was the best of its text keeps its own."""
+    found = dedup.aliases(chunks(spark, sf_dir), exact=True)
+    return found.select("winner_chunk_id", F.col("alias_count").cast("long").alias("alias_count"), F.array_join(F.transform("aliases", lambda a: a["chunk_id"]), ",").alias("lost_ids"))
+
+
+@query("""SELECT (SELECT count(*) FILTER (NOT is_first AND NOT was_best) FROM v_pass1) AS id_keep, (SELECT count(*) FILTER (NOT is_first AND was_best) FROM v_pass1) AS id_swap,
+  (SELECT count(*) FILTER (NOT is_first AND NOT was_best) FROM v_pass2) AS text_keep, (SELECT count(*) FILTER (NOT is_first AND was_best) FROM v_pass2) AS text_swap""")
+def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_counts(chunks(spark, sf_dir))
+
+
+SQL_URL = "regexp_replace(regexp_replace(source_url, '#.*$', ''), '&GotoPage=[^&]*&q=$', '')"
+
+
+@query(f"""SELECT seq, source_url AS url, md5(text) AS text_md5, CAST(char_count AS BIGINT) AS char_count FROM v_by_text WHERE source_file <> 'day2.jsonl'
+UNION ALL SELECT seq, {SQL_URL}, md5({SQL_CLEAN}), CAST(length({SQL_CLEAN}) AS BIGINT) FROM v_chunks WHERE source_file = 'day2.jsonl' AND {SQL_CLEAN} <> ''""")
+def bypass_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without repeats, but those of one file, which passes by de-duplication and is only cleaned."""
+    rows = chunks(spark, sf_dir)
+    kept = dedup.dedup_by_text(rows).where("source_file <> 'day2.jsonl'")
+    found = dedup.with_bypass(kept, rows.where("source_file = 'day2.jsonl'"))
+    return found.select("seq", F.col("source_url").alias("url"), F.md5("text").alias("text_md5"), F.col("char_count").cast("long").alias("char_count"))
+
+
 @query("""SELECT winner AS chunk_id, string_agg(source_url, ' ' ORDER BY seq) AS urls
 FROM (SELECT winner, source_url, min(seq) AS seq FROM v_lost GROUP BY winner, source_url) GROUP BY winner""")
 def alias_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,11 +505,28 @@ def domain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.domain_matches(dedup.dedup_by_id(chunks(spark, sf_dir)), domain_rules(spark))
 
 
-@query(f"""SELECT domain, chunk_id, CAST(score AS BIGINT) AS score FROM (SELECT m.domain, m.chunk_id, 5 * m.match + s.ts AS score, row_number() OVER (PARTITION BY m.domain ORDER BY 5 * m.match + s.ts DESC, m.chunk_id) AS nth
-  FROM ({SQL_MATCH}) m JOIN (SELECT seq, {SQL_SCORE} AS ts FROM v_chunks) s USING (seq) WHERE m.match > 0 AND s.ts > 0) WHERE nth <= 80""")
+POOL_EXTRA = ("src3.example.org", ("the ", "zzzz"), 7, 20)
+VIEWS["v_candidates"] = f"""
+SELECT domain, chunk_id, max(score) AS score FROM (
+  SELECT m.domain, m.chunk_id, 5 * m.match + s.ts AS score FROM ({SQL_MATCH}) m JOIN (SELECT seq, {SQL_SCORE} AS ts FROM v_chunks) s USING (seq) WHERE m.match > 0 AND s.ts > 0
+  UNION ALL SELECT 7, chunk_id, 20 FROM v_by_id WHERE regexp_extract(source_url, '^[a-z]+://([^/?#]+)', 1) = 'src3.example.org' AND (contains(text, 'the ') OR contains(text, 'zzzz'))) GROUP BY domain, chunk_id"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = dedup.dedup_by_id(chunks(spark, sf_dir))
+    return rows, tagging.pool_candidates(rows, domain_rules(spark), POOL_EXTRA)
+
+
+@query("""SELECT domain, c.chunk_id, CAST(score AS BIGINT) AS score, md5(CASE WHEN length(text) > 1500 THEN substring(text, 1, 1500) || ' ...[truncated]' ELSE text END) AS text_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, chunk_id) AS nth FROM v_candidates) c JOIN v_by_id i ON c.chunk_id = i.chunk_id WHERE c.nth <= 80""")
 def sample_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = tagging.sample_pool(dedup.dedup_by_id(chunks(spark, sf_dir)), domain_rules(spark))
-    return pool.select("domain", "chunk_id", F.col("score").cast("long").alias("score"))
+    rows, found = candidates(spark, sf_dir)
+    return tagging.sample_pool(found, rows).select("domain", "chunk_id", F.col("score").cast("long").alias("score"), F.md5("text").alias("text_md5"))
+
+
+@query("SELECT domain, count(*) AS n_candidates, least(count(*), 80) AS n_pool FROM v_candidates GROUP BY domain")
+def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagging.pool_summary(candidates(spark, sf_dir)[1])
 
 
 WORDS = [("insult", "idiot"), ("insult", "stupid"), ("licence", "rights reserved"), ("rare", "zzzz")]
@@ -489,12 +543,17 @@ def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags(spark, sf_dir)
 
 
-@query(f"""SELECT f.tag, count(DISTINCT CASE WHEN l.toxic = 1 THEN f.doc_id END) AS hits, count(*) AS n_found, (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1) AS n_true,
-  round(count(DISTINCT CASE WHEN l.toxic = 1 THEN f.doc_id END) / count(*), 6) AS precision, round(count(DISTINCT CASE WHEN l.toxic = 1 THEN f.doc_id END) / (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1), 6) AS recall
-FROM (SELECT DISTINCT doc_id, tag FROM documents JOIN {SQL_WORDS} ON contains(text, word) WHERE tag = 'insult') f LEFT JOIN labels l USING (doc_id) GROUP BY f.tag""")
+SQL_HITS = "count(DISTINCT CASE WHEN t.doc_id IS NOT NULL THEN f.doc_id END)"
+
+
+@query(f"""SELECT g.tag, {SQL_HITS} AS hits, count(f.doc_id) AS n_found, any_value(n.n) AS n_true, round({SQL_HITS} / greatest(count(f.doc_id), 1), 6) AS precision, round({SQL_HITS} / greatest(any_value(n.n), 1), 6) AS recall
+FROM (SELECT DISTINCT tag FROM {SQL_WORDS} WHERE tag <> 'rare') g LEFT JOIN (SELECT DISTINCT doc_id, tag FROM documents JOIN {SQL_WORDS} ON contains(text, word)) f ON f.tag = g.tag
+LEFT JOIN (SELECT DISTINCT doc_id, CASE WHEN toxic = 1 THEN 'insult' END AS tag FROM labels WHERE toxic = 1 UNION SELECT DISTINCT doc_id, 'licence' FROM labels WHERE quality = 0) t ON t.doc_id = f.doc_id AND t.tag = f.tag
+LEFT JOIN (SELECT 'insult' AS tag, count(DISTINCT doc_id) AS n FROM labels WHERE toxic = 1 UNION ALL SELECT 'licence', count(DISTINCT doc_id) FROM labels WHERE quality = 0) n ON n.tag = g.tag GROUP BY g.tag""")
 def tag_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"), F.lit("insult").alias("tag"))
-    found = tagging.tag_quality(tags(spark, sf_dir).where("tag = 'insult'"), truth)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    truth = labels.where("toxic = 1").select(F.col("doc_id").alias("chunk_id"), F.lit("insult").alias("tag")).unionByName(labels.where("quality = 0").select(F.col("doc_id").alias("chunk_id"), F.lit("licence").alias("tag")))
+    found = tagging.tag_quality(tags(spark, sf_dir), truth)
     return found.select("tag", "hits", "n_found", "n_true", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
@@ -509,12 +568,37 @@ def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.stale(rows, {"static": 365, "dated": 30}, "2024-01-01").select("seq", "due")
 
 
-@query("""SELECT source_url, count(*) AS n FROM (SELECT 'old' AS k, source_url FROM v_chunks WHERE source_type <> 'T2' AND source_url NOT IN (SELECT source_url FROM v_chunks WHERE source_type = 'T2')
-  UNION ALL SELECT 'new', source_url FROM v_chunks WHERE source_type = 'T2') GROUP BY source_url""")
+VIEWS["v_fresh"] = f"""
+SELECT seq, n, i, CASE WHEN n > 1 THEN substring(sha1(chunk_id || '|p' || CASE WHEN i < 10 THEN '0' ELSE '' END || CAST(i AS STRING)), 1, 16) ELSE chunk_id END AS chunk_id, piece AS text, source_url, lang,
+  CASE WHEN n > 1 THEN chunk_id END AS parent_post_id, CASE WHEN n > 1 THEN 'split_from=' || chunk_id || '|added' ELSE 'added' END AS notes, source_title || chr(10) || piece AS passage
+FROM (SELECT *, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS piece FROM (SELECT *, {SQL_WINDOWS('text')} AS w FROM v_chunks WHERE source_type = 'T2' AND NOT contains(source_url, 'id=42&')))"""
+VIEWS["v_upserted"] = """
+SELECT seq, chunk_id, text, source_url, lang, parent_post_id, CAST(NULL AS STRING) AS notes, CAST(NULL AS STRING) AS passage FROM v_chunks WHERE source_type <> 'T2' AND source_url NOT IN (SELECT source_url FROM v_fresh)
+UNION ALL SELECT seq, chunk_id, text, source_url, lang, parent_post_id, notes, passage FROM v_fresh"""
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records before, and after those of one type came in as new ones."""
+    rows = chunks(spark, sf_dir)
+    old = rows.where("source_type <> 'T2'").withColumn("notes", F.lit(None).cast("string"))
+    return old, dedup.upsert(old, dedup.prepare_new(rows.where("source_type = 'T2'"), noise="id=42&"))
+
+
+@query("SELECT seq, chunk_id, md5(text) AS text_md5, source_url, parent_post_id, notes, md5(passage) AS passage_md5 FROM v_upserted")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).select("seq", "source_type", "source_url", "text")
-    done = dedup.upsert(rows.where("source_type <> 'T2'"), rows.where("source_type = 'T2'"))
-    return done.groupBy("source_url").agg(F.count("*").alias("n"))
+    done = upserted(spark, sf_dir)[1]
+    return done.select("seq", "chunk_id", F.md5("text").alias("text_md5"), "source_url", "parent_post_id", "notes", F.md5("_passage").alias("passage_md5"))
+
+
+SQL_HOST = "regexp_extract(source_url, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@query(f"""SELECT facet, value, CAST(sum(b) AS BIGINT) AS n_before, CAST(sum(a) AS BIGINT) AS n_after FROM (
+  SELECT 'lang' AS facet, lang AS value, 1 AS b, 0 AS a FROM v_chunks WHERE source_type <> 'T2' UNION ALL SELECT 'lang', lang, 0, 1 FROM v_upserted
+  UNION ALL SELECT 'host', {SQL_HOST}, 1, 0 FROM v_chunks WHERE source_type <> 'T2' UNION ALL SELECT 'host', {SQL_HOST}, 0, 1 FROM v_upserted) GROUP BY facet, value""")
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = (df.withColumn("host", tagging.url_host(F.col("source_url"))) for df in upserted(spark, sf_dir))
+    return dedup.upsert_counts(before, after, "lang", "host")
 
 
 VIEWS["v_questions"] = "SELECT 'q' || CAST(item_id AS STRING) AS qa_id, text AS question FROM benchmark"

@@ -11,6 +11,7 @@ from millrace.operators import dedup
 from millrace.plans.corpus import chunks
 from millrace.plans.registry import query
 from millrace.plans.views import VIEWS, view
+from millrace.sources.files import retrieval_group
 
 SQL_SUMS = "count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars"
 SQL_BY_DOMAIN = f"SELECT tag, {SQL_SUMS} FROM (SELECT d1 AS tag, text FROM v_chunks UNION ALL SELECT d2, text FROM v_chunks WHERE d2 <> d1) GROUP BY tag"
@@ -82,12 +83,28 @@ def dept_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.bracket_summary(chunks(spark, sf_dir).withColumn("source_title", title))
 
 
-@query("""SELECT source_file, CAST(sum(k) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS n_chars, CAST(floor(sum(c) / sum(k)) AS BIGINT) AS mean_chars, max(mx) AS max_chars, min(mn) AS min_chars, string_agg(source_type || '=' || CAST(k AS STRING), ',' ORDER BY source_type) AS types
-FROM (SELECT source_file, source_type, count(*) AS k, sum(length(text)) AS c, max(length(text)) AS mx, min(length(text)) AS mn FROM v_chunks GROUP BY source_file, source_type) GROUP BY source_file""")
+FIELDS = "categories,category,char_count,chunk_id,d1,d2,domains,freshness,lang,parent_post_id,posted_at,section_path,seq,source_title,source_type,source_url,text"
+
+
+@query(f"""SELECT a.*, d.domains, CASE WHEN a.source_file = 'day0.jsonl' THEN replace('{FIELDS}', 'freshness,', '') ELSE '{FIELDS}' END AS fields FROM (SELECT source_file, CAST(sum(k) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS n_chars, CAST(floor(sum(c) / sum(k)) AS BIGINT) AS mean_chars, max(mx) AS max_chars, min(mn) AS min_chars, string_agg(source_type || '=' || CAST(k AS STRING), ',' ORDER BY source_type) AS types
+FROM (SELECT source_file, source_type, count(*) AS k, sum(length(text)) AS c, max(length(text)) AS mx, min(length(text)) AS mn FROM v_chunks GROUP BY source_file, source_type) GROUP BY source_file) a
+JOIN (SELECT source_file, string_agg(CAST(d AS STRING) || '=' || CAST(k AS STRING), ',' ORDER BY d) AS domains FROM (SELECT source_file, unnest(list_distinct([d1, d2])) AS d, count(*) AS k FROM v_chunks GROUP BY 1, 2) GROUP BY source_file) d ON a.source_file = d.source_file""")
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.inventory(chunks(spark, sf_dir))
 
 
+@query("SELECT unnest(list_distinct([d1, d2])) AS domain, count(*) AS n FROM v_by_text GROUP BY 1")
+def enrich_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched records of each domain."""
+    return C.by_tag(dedup.dedup_by_text(chunks(spark, sf_dir)), "domains").select(F.col("tag").alias("domain"), F.col("n_chunks").alias("n"))
+
+
+@query("SELECT source_file, CASE WHEN source_file = 'day1.jsonl' THEN 'almi_cell' ELSE 'general' END AS _retrieval_group, count(*) AS n FROM v_by_text GROUP BY source_file")
+def group_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup.dedup_by_text(chunks(spark, sf_dir))
+    return C.group_files(rows.withColumn("_retrieval_group", retrieval_group(F.col("source_file"), {"day1": "almi_cell"})))
+
+
 @query("""SELECT seq, concat_ws(';', CASE WHEN source_type = 'T9' THEN 'source_type' END, CASE WHEN seq % 8 = 0 THEN 'domains' END, CASE WHEN trim(text) = '' THEN 'text' END) AS errors FROM v_chunks""")
 def validate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir).withColumn("domains", F.when(F.col("seq") % 8 == 0, F.array(F.lit(12))).otherwise(F.col("domains")))

@@ -36,9 +36,12 @@ def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("domain", "n", *[F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in E.KS])
 
 
-@query("""SELECT f.qa_id, domain, t.chunk_id AS top_chunk, round(t.rrf_score, 9) AS top_score FROM v_found f LEFT JOIN v_top t ON f.qa_id = t.qa_id AND t.rank = 1 WHERE NOT is_fallback_expected AND NOT hit_20""")
+@query("""SELECT f.qa_id, f.domain, t.chunk_id AS top_chunk, round(t.rrf_score, 9) AS top_score FROM v_found f JOIN v_qa q ON q.qa_id = f.qa_id LEFT JOIN v_top t ON f.qa_id = t.qa_id AND t.rank = 1 WHERE NOT is_fallback_expected AND (q.item_id % 2 = 0 OR NOT hit_20)""")
 def hard_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions without a hit; those of even items name an address that no document has."""
     rows, found = questions(spark, sf_dir), hits(spark, sf_dir)
+    absent = (F.col("item_id") % 2 == 0) & ~F.col("is_fallback_expected")
+    rows = rows.withColumn("expected_source_urls", F.when(absent, F.array(F.lit("https://none.example.org/"))).otherwise(F.col("expected_source_urls")))
     missed = E.hard_misses(rows, E.hits_at_k(rows, found), found)
     return missed.withColumn("top_score", F.round("top_score", 9))
 
@@ -70,11 +73,10 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.judge_rows(rows, rows.select("qa_id", raw().alias("judge_raw")), rows.limit(0))
 
 
-@query("""SELECT qa_id, judge_score, judge_source, CASE WHEN judge_source = 'llm' THEN 'because of it' END AS judge_reason FROM v_judged WHERE conv_id % 2 = 1""")
+@query("""SELECT qa_id, judge_score, judge_source, CASE WHEN judge_source = 'llm' THEN 'because of it' END AS judge_reason FROM v_judged""")
 def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those not judged yet: here, of conversations with an odd number."""
-    rows = answers(spark, sf_dir)
-    found = E.judge_rows(rows, rows.select("qa_id", raw().alias("judge_raw")), rows.where("conv_id % 2 = 0"))
+    """All answers judged, none having been before."""
+    found = judged(spark, sf_dir)
     return found.select("qa_id", "judge_score", "judge_source", "judge_reason")
 
 
@@ -143,7 +145,7 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # questions with mistakes put in by rule; ids repeat
 VIEWS["v_drafts"] = """
-SELECT doc_id AS seq, 'd' || CAST(doc_id % 600 AS STRING) AS qa_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE substring(text, 1, 80) END AS question, CAST(doc_id % 11 AS INT) AS domain,
+SELECT doc_id AS seq, 'd' || CAST(doc_id % 600 AS STRING) AS qa_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS question, CAST(doc_id % 11 AS INT) AS domain,
   CASE WHEN doc_id % 13 = 0 THEN 'E' WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS question_type, doc_id % 19 = 0 AS untagged, doc_id % 10 = 0 AS is_fallback_expected
 FROM documents"""
 
@@ -161,9 +163,30 @@ def validate_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", "qa_id", F.array_join("errors", ";").alias("errors"))
 
 
-@query("SELECT e.qa_id, count(*) AS n_expected, count(c.url) AS n_known FROM v_expected e LEFT JOIN (SELECT DISTINCT source_url AS url FROM v_corpus WHERE domain < 6) c ON e.url = c.url GROUP BY e.qa_id")
+# the drafts as JSON, with fields left out, added, or of a wrong type by rule
+VIEWS["v_raw"] = """
+SELECT seq, '{"qa_id":"' || qa_id || '","question":"q","answer_gold":"a","domain":' || CAST(domain AS STRING) || ',"categories":' || CASE WHEN seq % 23 = 0 THEN '"1.2"' ELSE '["1.2"]' END || ',"question_type":"' || question_type || '","expected_source_urls":[],"is_fallback_expected":'
+  || CASE WHEN seq % 29 = 0 THEN '"yes"' ELSE 'false' END || ',"tags":' || CASE WHEN untagged THEN '[]' ELSE '["x"]' END || ',"created_by":"r","reviewed_by":null,"created_at":null,"reviewed_at":null,'
+  || CASE WHEN seq % 7 = 3 THEN '"other":1,' WHEN seq % 7 = 5 THEN '"gen_prompt_version":1,' ELSE '"gen_prompt_version":null,' END || '"notes":' || CASE WHEN seq % 31 = 0 THEN '"n","more":2' ELSE 'null' END || '}' AS raw
+FROM v_drafts"""
+
+
+@query("""SELECT seq, qa_id, CASE WHEN own = '' AND (nth > 1 OR qa_id IN ('d3', 'd5')) THEN 'repeated id' ELSE own END AS errors FROM (
+  SELECT seq, qa_id, own, row_number() OVER (PARTITION BY qa_id, own = '' ORDER BY seq) AS nth FROM (
+  SELECT seq, json_extract_string(raw, '$.qa_id') AS qa_id, concat_ws(';', CASE WHEN NOT json_exists(raw, '$.gen_prompt_version') THEN 'missing gen_prompt_version' END,
+    nullif('extra ' || concat_ws(',', CASE WHEN json_exists(raw, '$.more') THEN 'more' END, CASE WHEN json_exists(raw, '$.other') THEN 'other' END), 'extra '), CASE WHEN CAST(json_extract(raw, '$.domain') AS INT) NOT BETWEEN 1 AND 9 THEN 'domain' END,
+    CASE WHEN json_extract_string(raw, '$.question_type') = 'E' THEN 'type' END, CASE WHEN json_type(raw, '$.categories') <> 'ARRAY' THEN 'categories no list' END, CASE WHEN json_array_length(raw, '$.tags') = 0 THEN 'no tag' END,
+    CASE WHEN json_type(raw, '$.is_fallback_expected') <> 'BOOLEAN' THEN 'fallback' END) AS own FROM v_raw))""")
+def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.validate_raw(view(spark, sf_dir, "v_raw"), spark.createDataFrame([("d3",), ("d5",)], "qa_id string"))
+    return found.select("seq", "qa_id", F.array_join("errors", ";").alias("errors"))
+
+
+@query("SELECT e.qa_id, count(*) AS n_expected, count(c.url) AS n_known FROM (SELECT * FROM v_expected UNION ALL SELECT qa_id, 'https://none.example.org/' FROM v_qa) e LEFT JOIN (SELECT DISTINCT source_url AS url FROM v_corpus) c ON e.url = c.url GROUP BY e.qa_id")
 def url_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.url_coverage(questions(spark, sf_dir), corpus(spark, sf_dir).where("domain < 6").select(F.col("source_url").alias("url")))
+    """Addresses that questions name, one of each absent from the corpus."""
+    rows = questions(spark, sf_dir).withColumn("expected_source_urls", F.array_append("expected_source_urls", F.lit("https://none.example.org/")))
+    return E.url_coverage(rows, corpus(spark, sf_dir).select(F.col("source_url").alias("url")))
 
 
 @query("""SELECT domain, """ + ", ".join(f"count(*) FILTER (question_type = '{t}') AS {t}" for t in "ABCD") + """, count(*) FILTER (NOT is_fallback_expected) AS n_standard, count(*) FILTER (is_fallback_expected) AS n_fallback, count(*) AS n FROM v_drafts GROUP BY domain""")

@@ -25,9 +25,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_corpus")
 
 
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qa_id, url): addresses of the documents that hold a question."""
+    return R.holders(corpus(spark, sf_dir), view(spark, sf_dir, "v_qa")).select("qa_id", F.col("source_url").alias("url")).distinct()
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_qa with its expected addresses; a question whose passage no document has expects a fallback."""
-    urls = view(spark, sf_dir, "v_expected").groupBy("qa_id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    urls = expected(spark, sf_dir).groupBy("qa_id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
     rows = view(spark, sf_dir, "v_qa").join(urls, "qa_id", "left")
     return rows.select("qa_id", "question", "domain", "question_type", "item_id", F.coalesce("urls", F.array().cast("array<string>")).alias("expected_source_urls"), F.col("urls").isNull().alias("is_fallback_expected"))
 
@@ -124,11 +129,16 @@ SQL_PAIR = "round(((CAST(substring(chunk_id, 2) AS BIGINT) * 37 + CAST(substring
 VIEWS["v_reranked"] = f"SELECT * FROM (SELECT qa_id, chunk_id, pair AS rerank_score, row_number() OVER (PARTITION BY qa_id ORDER BY pair DESC, chunk_id) AS rank FROM (SELECT *, CAST({SQL_PAIR} AS DOUBLE) AS pair FROM v_top)) WHERE rank <= 20"
 
 
+def pair_scores(hits: DataFrame) -> DataFrame:
+    """Scores of questions and chunks by rule, as a model would give them."""
+    pair = F.round(((F.substring("chunk_id", 2, 20).cast("long") * 37 + F.substring("qa_id", 2, 20).cast("long") * 11) % 101) / 101.0, 6)
+    return hits.select("qa_id", "chunk_id", pair.alias("rerank_score"))
+
+
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused pool in the order of given pair scores."""
     hits = fused(spark, sf_dir)
-    pair = F.round(((F.substring("chunk_id", 2, 20).cast("long") * 37 + F.substring("qa_id", 2, 20).cast("long") * 11) % 101) / 101.0, 6)
-    return R.rerank(hits, hits.select("qa_id", "chunk_id", pair.alias("rerank_score")), 20)
+    return R.rerank(hits, pair_scores(hits), 20)
 
 
 @query("SELECT qa_id, chunk_id, rerank_score, rank FROM v_reranked")
@@ -157,21 +167,24 @@ SELECT DISTINCT e.qa_id, c.chunk_id FROM v_corpus c JOIN v_expected e ON contain
 
 @query("SELECT * FROM v_gold")
 def gold_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.gold_chunks(corpus(spark, sf_dir), view(spark, sf_dir, "v_expected"))
+    return R.gold_chunks(corpus(spark, sf_dir), expected(spark, sf_dir))
 
 
-@query("""SELECT s.qa_id, stage, count(*) AS n_scored, count(g.chunk_id) AS n_gold, min(CASE WHEN g.chunk_id IS NOT NULL THEN rank END) AS best_rank FROM (
+@query("""SELECT s.qa_id, stage, count(*) AS n_scored, count(g.chunk_id) AS n_gold, min(CASE WHEN g.chunk_id IS NOT NULL THEN rank END) AS best_rank, string_agg(CASE WHEN rank <= 5 THEN s.chunk_id END, ',' ORDER BY rank) AS top, CAST(NULL AS STRING) AS error FROM (
   SELECT 'bm25' AS stage, qa_id, chunk_id, rank FROM v_bm25_pool UNION ALL SELECT 'dense', qa_id, chunk_id, rank FROM v_dense_pool
   UNION ALL SELECT 'rrf', qa_id, chunk_id, rank FROM v_top UNION ALL SELECT 'rerank', qa_id, chunk_id, rank FROM v_reranked) s
-LEFT JOIN v_gold g ON s.qa_id = g.qa_id AND s.chunk_id = g.chunk_id GROUP BY s.qa_id, stage""")
+LEFT JOIN v_gold g ON s.qa_id = g.qa_id AND s.chunk_id = g.chunk_id WHERE s.qa_id IN (SELECT qa_id FROM v_gold) GROUP BY s.qa_id, stage
+UNION ALL SELECT qa_id, NULL, NULL, NULL, NULL, NULL, 'no gold' FROM v_qa WHERE qa_id NOT IN (SELECT qa_id FROM v_gold)""")
 def stage_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = R.ranked_pool(bm25_scores(spark, sf_dir), R.BM25_POOL), R.ranked_pool(dense_scores(spark, sf_dir), R.DENSE_POOL)
-    parts = {"bm25": one, "dense": two, "rrf": R.rrf_fuse(one, two, top_k=30), "rerank": reranked(spark, sf_dir)}
+    hits = R.rrf_fuse(one, two, top_k=30)
+    parts = {"bm25": one, "dense": two, "rrf": hits, "rerank": R.rerank(hits, pair_scores(hits), 20)}
     stages = None
     for name, rows in parts.items():
         part = rows.select("qa_id", F.lit(name).alias("stage"), "chunk_id", F.col("rank").cast("long").alias("rank"))
         stages = part if stages is None else stages.unionByName(part)
-    return R.stage_ranks(stages, R.gold_chunks(corpus(spark, sf_dir), view(spark, sf_dir, "v_expected")))
+    ranks = R.stage_ranks(stages, R.gold_chunks(corpus(spark, sf_dir), expected(spark, sf_dir)), view(spark, sf_dir, "v_qa"))
+    return ranks.withColumn("top", F.array_join("top", ","))
 
 
 @query("SELECT q.qa_id, coalesce(bool_or(q.domain = c.domain), false) AS answerable FROM v_qa q LEFT JOIN v_top t ON q.qa_id = t.qa_id LEFT JOIN v_corpus c ON t.chunk_id = c.chunk_id GROUP BY q.qa_id")
@@ -180,15 +193,29 @@ def domain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.domain_gate(view(spark, sf_dir, "v_qa"), fused(spark, sf_dir), rows)
 
 
-@query(f"""SELECT qa_id || '/' || variant AS variant_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qa_id, variant ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
-  SELECT q.qa_id, q.variant, p.track, p.chunk_id, sum(t.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.dl / a.avgdl)) * q.times) AS score
-  FROM (SELECT qa_id, variant, term, count(*) AS times FROM (SELECT qa_id, 'original' AS variant, unnest({SQL_TOKENS('question')}) AS term FROM v_qa
-    UNION ALL SELECT qa_id, 'short', unnest({SQL_TOKENS('substring(question, 1, 40)')}) FROM v_qa) GROUP BY qa_id, variant, term) q
-  JOIN v_postings p ON p.term = q.term JOIN v_terms t ON t.track = p.track AND t.term = p.term JOIN v_lengths l ON l.track = p.track AND l.chunk_id = p.chunk_id
-  JOIN (SELECT track, avg(dl) AS avgdl FROM v_lengths GROUP BY track) a ON a.track = p.track GROUP BY q.qa_id, q.variant, p.track, p.chunk_id)) WHERE rank = 1 AND score > 0""")
+# a question as it is, and with words added; the second asks with the vector of the next item
+VIEWS["v_variants"] = """
+SELECT qa_id || '/original' AS variant_id, qa_id, question AS text, item_id AS vec FROM v_qa
+UNION ALL SELECT qa_id || '/more', qa_id, question || ' of the and more', item_id + 1 FROM v_qa"""
+VIEWS["v_vbm25"] = VIEWS["v_bm25"].replace("q.qa_id", "q.variant_id").replace("SELECT qa_id, chunk_id, max(score)", "SELECT variant_id, chunk_id, max(score)").replace(
+    f"(SELECT qa_id, term, count(*) AS times FROM (SELECT qa_id, unnest({SQL_TOKENS('question')}) AS term FROM v_qa) GROUP BY qa_id, term) q", f"(SELECT variant_id, term, count(*) AS times FROM (SELECT variant_id, unnest({SQL_TOKENS('text')}) AS term FROM v_variants) GROUP BY variant_id, term) q"
+).replace("GROUP BY qa_id, chunk_id", "GROUP BY variant_id, chunk_id")
+
+
+@query(f"""SELECT variant_id, qa_id, chunk_id, CAST({SQL_PAIR} AS DOUBLE) AS rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY CAST({SQL_PAIR} AS DOUBLE) DESC, chunk_id) AS rank FROM (
+  SELECT v.variant_id, v.qa_id, h.chunk_id FROM v_variants v JOIN (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY rrf DESC, chunk_id) AS place FROM (
+    SELECT coalesce(b.variant_id, d.variant_id) AS variant_id, coalesce(b.chunk_id, d.chunk_id) AS chunk_id, coalesce(1.0::DOUBLE / (60 + b.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0) AS rrf FROM
+    (SELECT * FROM (SELECT variant_id, chunk_id, row_number() OVER (PARTITION BY variant_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM v_vbm25) WHERE rank <= 100) b FULL JOIN
+    (SELECT * FROM (SELECT w.variant_id, u.chunk_id, row_number() OVER (PARTITION BY w.variant_id ORDER BY round(list_inner_product(e.emb, u.emb), 9) DESC, u.chunk_id) AS rank FROM v_variants w JOIN v_unit e ON e.vec_id = w.vec JOIN v_unit u ON true) WHERE rank <= 50) d
+    ON b.variant_id = d.variant_id AND b.chunk_id = d.chunk_id)) h ON h.variant_id = v.variant_id WHERE h.place <= 30)) WHERE rank <= 3""")
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hit of each of two texts of every question."""
-    rows = view(spark, sf_dir, "v_qa")
-    texts = rows.select(F.concat("qa_id", F.lit("/original")).alias("qa_id"), "question").unionByName(rows.select(F.concat("qa_id", F.lit("/short")).alias("qa_id"), F.substring("question", 1, 40).alias("question")))
-    scores = R.Bm25Index(corpus(spark, sf_dir)).scores(texts).withColumn("score", F.round("score", 9))
-    return R.ranked_pool(scores, 1).select(F.col("qa_id").alias("variant_id"), "chunk_id", F.round("score", 6).alias("score"))
+    """The first hits of each of two texts of every question, reranked against the question itself."""
+    rows = view(spark, sf_dir, "v_variants")
+    scores = R.Bm25Index(corpus(spark, sf_dir)).scores(rows.select(F.col("variant_id").alias("qa_id"), F.col("text").alias("question"))).withColumn("score", F.round("score", 9))
+    unit = view(spark, sf_dir, "v_vectors").select("vec_id", "track", "chunk_id", R.l2_normalized(F.col("emb")).alias("emb"))
+    asked = rows.select(F.col("variant_id").alias("qa_id"), F.col("vec").alias("vec_id")).join(unit.select("vec_id", "emb"), "vec_id").select("qa_id", "emb")
+    dense_ = R.dense_topk(asked, unit.drop("vec_id")).withColumn("score", F.round("score", 9))
+    one, two = R.ranked_pool(scores, R.BM25_POOL), R.ranked_pool(dense_, R.DENSE_POOL)
+    ids = rows.select("variant_id", "qa_id")
+    pairs = pair_scores(one.select("qa_id", "chunk_id").unionByName(two.select("qa_id", "chunk_id")).distinct().withColumnRenamed("qa_id", "variant_id").join(ids, "variant_id").select("qa_id", "chunk_id").distinct())
+    return R.compare_variants(one, two, ids, pairs, keep=3).withColumn("rank", F.col("rank").cast("long"))

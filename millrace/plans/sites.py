@@ -32,17 +32,43 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def post_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.post_chunks(parsed(spark, sf_dir), mark="/the")
+    read = pages.parse_pages(table(spark, sf_dir, "pages"), pages.POST_CONTAINERS)
+    listed = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select("url", F.concat(F.lit("listed "), F.col("page_id").cast("string")).alias("list_title"), F.lit("2024-05-26").alias("list_posted_at"))
+    return pages.post_chunks(read, listed, mark="/the")
 
 
-@query()
+@query("""SELECT page_id, i AS row, CASE WHEN page_id % 3 = 0 THEN 'a' || CAST(i AS STRING) || ',' || CAST(page_id AS STRING) ELSE 'item ' || CAST(i AS STRING) END AS cells FROM (SELECT page_id, unnest(range(CASE WHEN page_id % 3 = 0 THEN 4 ELSE 2 END)) AS i FROM pages WHERE page_id % 3 < 2)""")
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.table_rows(parsed(spark, sf_dir))
+    """Rows of a table, or of a list where the table has too few rows, set before the text of two pages in three."""
+    n = F.col("page_id")
+    table_ = F.concat(F.lit("<table>"), *[F.concat(F.lit(f"<tr><td>a{k}<td>"), n.cast("string")) for k in range(4)], F.lit("</table>"))
+    list_ = F.lit("<table><tr><td>x</table><ul class='board'><li>item 0<li>item 1</ul>")
+    html = F.concat(F.when(n % 3 == 0, table_).when(n % 3 == 1, list_).otherwise(""), "html")
+    found = pages.table_rows(pages.parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))))
+    return found.where("page_id % 3 < 2").select("page_id", F.col("row").cast("long").alias("row"), F.array_join("cells", ",").alias("cells"))
 
 
 @query()
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.link_candidates(parsed(spark, sf_dir), F.length("text"))
+    direct = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select("page_id", F.array("url").alias("urls"))
+    return pages.link_candidates(parsed(spark, sf_dir), F.length("text"), direct=direct)
+
+
+@query()
+def host_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to a page's own host that its words or addresses make likely."""
+    return pages.link_candidates(parsed(spark, sf_dir), pages.wide_link_score(F.col("text"), F.col("href")) + 1, same_host=True)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/_prog/rule/view_pop.php?mng_no=' || CAST(page_id AS STRING) ELSE regexp_extract(url, '^([^?#]*)', 1) || '?code=b1&mode=view&ntt_no=' || CAST(page_id AS STRING) END AS view_url,
+  regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/_prog/_board/common/download.php?code=' || CASE WHEN page_id % 3 = 0 THEN 'rule' ELSE 'b1' END || '&ntt_no=' || CAST(page_id AS STRING) || '&atch_no=1' AS first_file, 2 AS n_files FROM pages""")
+def item_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the items of a rule book or a board are, and their attachments."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    bare, item = F.regexp_extract("url", "^([^?#]*)", 1), F.col("page_id").cast("string")
+    listing = F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/_prog/rule/?site=1"))).otherwise(F.concat(bare, F.lit("?code=b1&mode=list")))
+    files = pages.download_urls(listing, item)
+    return rows.select("page_id", pages.view_url(listing, item).alias("view_url"), F.get(files, F.lit(0)).alias("first_file"), F.size(files).alias("n_files"))
 
 
 @query()
@@ -50,9 +76,13 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.attachments(parsed(spark, sf_dir), mark="/th")
 
 
-@query("SELECT page_id, 'static' AS cms FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'static' WHEN 1 THEN 'plus' ELSE 'unknown' END AS cms FROM pages")
 def detect_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.detect_cms(parsed(spark, sf_dir), {"article": "static"}).select("page_id", "cms")
+    """Systems of pages, the article element of which is exchanged for another container in two of three."""
+    n = F.col("page_id")
+    html = F.when(n % 3 == 1, F.regexp_replace("html", "<article", "<div id='content'")).when(n % 3 == 2, F.regexp_replace("html", "<article", "<div")).otherwise(F.col("html"))
+    read = pages.parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
+    return pages.detect_cms(read, {"article": "static", "id=content": "plus"}).select("page_id", "cms")
 
 
 VIEWS["v_notes"] = """
@@ -145,10 +175,11 @@ def report_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT r.report_id, row_number() OVER (PARTITION BY r.report_id ORDER BY page, row) - 1 AS chunk_index, coalesce(CAST(CAST(o_orderdate AS DATE) AS STRING), y || '-01-01') AS posted_at,
-  coalesce(CAST(year(o_orderdate) AS STRING) || '년_ [report]', 'lines') AS source_title FROM v_records r LEFT JOIN orders ON CAST(o_orderkey AS STRING) = r.report_id""")
+  coalesce(CAST(year(o_orderdate) AS STRING) || '년_ [report]', 'lines') AS source_title, substring(sha1(r.report_id || '|' || text), 1, 16) AS chunk_id, text
+FROM (SELECT *, concat_ws(' ', name, y || '년', nullif(concat_ws(', ', 'rate ' || nullif(trim(rate), ''), '학생수 ' || n), '')) || ' [출처: lines]' AS text FROM v_records) r LEFT JOIN orders ON CAST(o_orderkey AS STRING) = r.report_id""")
 def record_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grids.record_chunks(grids.grid_records(grid_of(spark, sf_dir)), metas(spark, sf_dir), "lines")
-    return rows.select("report_id", F.col("chunk_index").cast("long").alias("chunk_index"), "posted_at", "source_title")
+    return rows.select("report_id", F.col("chunk_index").cast("long").alias("chunk_index"), "posted_at", "source_title", "chunk_id", "text")
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,9 +200,12 @@ def stat_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(spark, sf_dir).select("entity", "flag", "year", "sentence")
 
 
-@query(f"SELECT {SQL_STAT} AS text, row_number() OVER (PARTITION BY college, dept, stat ORDER BY y) - 1 AS chunk_index, CAST(y AS STRING) || '-01-01' AS posted_at, college || ' ' || dept || ' > ' || trim(stat) AS section_path FROM v_stats")
+@query(f"""SELECT {SQL_STAT} AS text, row_number() OVER (PARTITION BY college, dept, stat ORDER BY y) - 1 AS chunk_index, CAST(y AS STRING) || '-01-01' AS posted_at, college || ' ' || dept || ' > ' || trim(stat) AS section_path,
+  'https://stats.example.org/doInit.do#flag=' || trim(stat) AS source_url, 'orders - ' || college || ' ' || dept || ' ' || trim(stat) AS source_title, CASE trim(stat) WHEN '1-URGENT' THEN '1.7' WHEN '5-LOW' THEN '6.1' ELSE '' END AS categories FROM v_stats""")
 def stat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.stat_chunks(stats(spark, sf_dir)).select("text", F.col("chunk_index").cast("long").alias("chunk_index"), "posted_at", "section_path")
+    url, title = F.concat(F.lit("https://stats.example.org/doInit.do#flag="), "flag"), F.concat_ws(" ", F.lit("orders -"), "entity", "flag")
+    rows = grids.stat_chunks(stats(spark, sf_dir), url, title)
+    return rows.select("text", F.col("chunk_index").cast("long").alias("chunk_index"), "posted_at", "section_path", "source_url", "source_title", F.array_join("categories", ",").alias("categories"))
 
 
 @query("SELECT trim(o_orderpriority) AS flag, count(*) AS n_tried, count(*) FILTER (o_orderkey % 3 > 0) AS n_with_data, count(*) FILTER (o_orderkey % 5 = 0) AS n_errors FROM orders GROUP BY trim(o_orderpriority)")
@@ -180,6 +214,13 @@ def stat_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.stat_manifest(rows)
 
 
+@query("""SELECT CAST(n_nationkey AS STRING) AS pid, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 4 <> 0) AS n_chunks FROM nation""")
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each report, by the number in their notes."""
+    notes = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("source f, pid="), F.col("c_nationkey").cast("string"), F.lit(" year=2024")))
+    return grids.report_counts(table(spark, sf_dir, "customer").select(notes.alias("notes")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pid")))
+
+
 VIEWS["v_labels"] = "SELECT n_regionkey AS pid, 2000 + n_nationkey % 7 AS year, min(n_name) AS label FROM nation GROUP BY n_regionkey, 2000 + n_nationkey % 7"
 VIEWS["v_wanted"] = "SELECT DISTINCT CAST(c_nationkey % 7 AS INT) AS pid, CAST(2000 + c_custkey % 9 AS BIGINT) AS year, 'hint' AS hint FROM customer"
 

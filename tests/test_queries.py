@@ -27,6 +27,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF_DIR)
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     sql = registry.oracle_sql().get(name)

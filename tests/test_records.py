@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, dedup, tagging
+from millrace.operators import chunking, dedup, evaluation, retrieval, tagging
 
 CHUNK = "seq int, chunk_id string, text string, source_type string, freshness string, char_count int, source_url string, parent_post_id string, source_file string"
 
@@ -27,7 +29,7 @@ def test_dedup_by_id_then_text(spark):
 
 def test_running_best(spark):
     rows = chunk(spark, [(0, "a", "x", "T2", None, 1), (1, "a", "x", "T6", None, 9), (2, "a", "x", "T1", None, 1), (3, "a", "x", "T1", None, 1)])
-    assert [r["best_so_far"] for r in dedup.running_best(rows, "chunk_id").orderBy("seq").collect()] == [True, False, True, False]
+    assert [r["best_so_far"] for r in dedup.running_best(rows.withColumns({"key": F.col("chunk_id"), "place": F.col("seq"), "best": dedup.priority()})).orderBy("seq").collect()] == [True, False, True, False]
 
 
 @pytest.mark.parametrize(("n", "pieces"), [(0, 1), (2000, 1), (2001, 2), (2800, 2), (2801, 2), (3300, 3), (81437, 63)])
@@ -47,7 +49,7 @@ def test_split_records_strategies(spark):
     for r in chunking.split_records(spark.createDataFrame(rows, "chunk_id string, text string, parent_post_id string, notes string, chunk_index int").withColumn("orig", F.col("chunk_id"))).collect():
         got.setdefault(r["orig"], []).append(r)
     assert [len(got[k]) for k in "apws"] == [3, 3, 2, 1]
-    assert {r["strategy"] for r in got["a"]} == {"article"} and {r["strategy"] for r in got["p"]} == {"general"}
+    assert {r["strategy"] for r in got["a"]} == {"article"} and {r["strategy"] for r in got["p"]} == {"separator"}
     assert got["a"][0]["parent_post_id"] == "a" and got["p"][0]["parent_post_id"] == "up" and got["p"][0]["notes"] == "n | split_from=p"
     assert got["s"][0]["chunk_index"] == 9 and got["s"][0]["chunk_id"] == "s"
     assert sorted(r["chunk_index"] for r in got["p"]) == [0, 1, 2]
@@ -94,3 +96,59 @@ def test_expand_queries(spark):
     assert got == {"q1": "컴공 졸업 컴퓨터공학", "q2": "기계과 and 기계공학과", "q3": "none"}
     raw = {r["qa_id"]: r["expanded"] for r in tagging.expand_queries(queries, aliases, guarded=False).collect()}
     assert raw["q2"] == "기계과 and 기계공학과 기계공학과"
+
+
+def test_articles_of_both_brackets_and_exact_blank_lines(spark):
+    long = "가" * 400
+    article = "\n".join(f"제{k}조（x） {long}" for k in range(1, 7))
+    loose = ("a" * 1200) + "\n \n" + ("b" * 1200)
+    strict = ("a" * 1200) + "\n\n\n" + ("b" * 1200)
+    items = "\n".join(f"{k}. {long}" for k in range(1, 7))
+    rows = [("r", article), ("l", loose), ("s", strict), ("n", items), ("w", "w" * 2001), ("k", "short")]
+    table = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "chunk_id string, text string, parent_post_id string, notes string, chunk_index int")
+    got = {}
+    for r in chunking.split_records(table).orderBy("chunk_index").collect():
+        got.setdefault(r["notes"][-1] if r["notes"] else r["chunk_id"], []).append((r["strategy"], r["char_count"]))
+    assert [x for x, _ in got["r"]] == ["article"] * 6 and got["s"] == [("separator", 1200)] * 2
+    assert got["l"] == [("window", 1500), ("window", 1103)] and [x for x, _ in got["n"]] == ["separator"] * 6
+    assert got["w"] == [("window", 1500), ("window", 701)] and got["k"] == [("none", 5)]
+
+
+def test_merged_records_unite_what_they_carry(spark):
+    rows = [("f", "p", 0, "a", "x", [3], ["1.2"], None), ("f", "p", 1, "b", "y" * 60, [1, 3], ["1.1"], "seen"), ("f", "p", 2, "c", "z", [9], [], None), ("f", "", 0, "d", "alone", [1], [], None), (None, "q", 0, "e", "", [2], [], None)]
+    table = spark.createDataFrame(rows, "source_file string, parent_post_id string, chunk_index int, chunk_id string, text string, domains array<int>, categories array<string>, notes string")
+    got = {(r["parent_post_id"], r["text"][:1]): r for r in chunking.merge_small(table, span=1).collect()}
+    one = got["p", "x"]
+    assert (one["n_merged"], one["domains"], one["categories"], one["chunk_index"]) == (3, [1, 3, 9], ["1.1", "1.2"], 0)
+    assert one["notes"] == "merged_with=b | merged_with=c" and one["text"] == "x\n\n" + "y" * 60 + "\n\nz"
+    assert got["", "a"]["n_merged"] == 1 and got["q", ""]["chunk_id"] == "e" and len(got) == 3
+
+
+def test_sections_take_loose_separators(spark):
+    rows = [("a>b > c", "2", "two", [2], ["y"], "u2"), (" a > b", "1", "one", [1], ["x"], "u1"), ("alone", "3", "three", [1], [], "u3"), (None, "4", "x" * 3000, [1], [], "u4")]
+    table = spark.createDataFrame(rows, "section_path string, chunk_id string, text string, domains array<int>, categories array<string>, source_url string")
+    got = {r["section"]: r for r in chunking.merge_by_section(table).collect()}
+    assert got["a > b"]["text"] == "[a > b]\none\ntwo" and got["a > b"]["source_url"] == "u1" and got["a > b"]["domains"] == [1, 2]
+    assert got["alone"]["text"] == "[alone]\nthree" and got[""]["char_count"] == 2000
+    others, cells = chunking.route_cells(table, F.col("section_path").contains(">"))
+    assert (others.count(), cells.count()) == (2, 2)
+
+
+def test_running_best_over_spans(spark):
+    rng = random.Random(5)
+    rows = [(k, str(rng.randint(0, 3)), rng.choice(["T1", "T2", "T9"]), rng.choice([None, "static"]), rng.randint(1, 5)) for k in range(400)]
+    table = spark.createDataFrame(rows, "place long, key string, source_type string, freshness string, char_count int").withColumns({"seq": F.col("place"), "text": F.lit("")})
+    got = {r["place"]: (r["first"], r["best_so_far"]) for r in dedup.running_best(table.withColumn("best", dedup.priority()), span=16).collect()}
+    held = {}
+    for place, key, kind, fresh, n in rows:
+        rank = (dedup.TYPE_RANK.get(kind, 99), 0 if fresh else 1, -n)
+        assert got[place] == (key not in held, key not in held or rank < held[key])
+        held[key] = min(rank, held.get(key, rank))
+
+
+def test_holders_meet_on_inner_tokens(spark):
+    rows = spark.createDataFrame([("c1", "say the quick brown fox jumps"), ("c2", "quick brown"), ("c3", None), ("c4", "The Quick Brown fox")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q1", "e quick brown fo"), ("q2", "quick"), ("q3", "brown fox never")], "qa_id string, question string")
+    got = {(r["qa_id"], r["chunk_id"]) for r in retrieval.holders(rows, asked).collect()}
+    assert got == {("q1", "c1"), ("q2", "c1"), ("q2", "c2")}
+    assert evaluation.validate_raw(spark.createDataFrame([(1, "no json")], "seq int, raw string"), spark.createDataFrame([], "qa_id string")).first()["errors"][1:3] == ["no id", "domain"]
