@@ -153,13 +153,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def tally(docs: DataFrame, counted: Column | None = None, order: int = 5, block_bytes: int = BLOCK_BYTES) -> Tally:
     """All n-grams of docs(doc_id, text, lang) by block, counted by lang where `counted` holds and lang is not null.
 
-    A block has about block_bytes of text; rows of one doc_id and text share one.
+    A block has about block_bytes of text, or less so that each core has one; rows of one doc_id and text share one.
     """
     rows = _keyed(docs)
     rows = rows.withColumn("label", F.when(F.lit(True) if counted is None else counted, F.col("lang")))
     langs = sorted(r[0] for r in rows.where("label is not null").select("label").distinct().collect())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
+    blocks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
     code = F.coalesce(F.array_position(F.array(*map(F.lit, langs)), F.col("label")) - 1 if langs else F.lit(-1), F.lit(-1)).cast("int")
     out = Tally(rows, langs, order, blocks)
     texts = bounded_batches(rows).where("text is not null").select(_block(blocks), code.alias("code"), "text")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrays import mix, prefix, ranges, words_of
 from millrace.llm.components import components
-from millrace.llm.staging import bounded_batches, staged
+from millrace.llm.staging import bounded_batches, release, staged
 
 TOP = np.uint64(2**64 - 1)
 BLOCK = 2048
@@ -145,7 +145,7 @@ def _alike(sig: np.ndarray, size: np.ndarray, row: int, rest: np.ndarray, estima
 
 
 def _lead(estimate: float, least: float):
-    """Leaders of each block of a bucket and the members that look like them: (bucket, leader, doc_id); leader rows name themselves.
+    """Leaders of each block of a bucket and the members that look like them: (bucket, leader, doc_id, parts); leader rows name themselves.
 
     The next leader is the text nearest to what most of the rest have in each place of the signature, so that a text from
     which others were made leads them.
@@ -167,7 +167,8 @@ def _lead(estimate: float, least: float):
                 leader.append(np.full(len(hit) + 1, ids[row]))
                 member.append(np.append(ids[row], ids[hit]))
             a, b = np.concatenate(leader), np.concatenate(member)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), t.column("bucket")[0].as_py())), pa.array(a), pa.array(b)], ["bucket", "leader", "doc_id"])
+            same = [pa.array(np.full(len(a), t.column(c)[0].as_py())) for c in ("bucket", "parts")]
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(a), pa.array(b), same[1]], ["bucket", "leader", "doc_id", "parts"])
 
     return run
 
@@ -180,7 +181,7 @@ def _rest(estimate: float, least: float, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             ids, size, sig = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
-            part, side, band = t.column("component").to_numpy(), t.column("side").to_numpy(), t.column("band").to_numpy()[0]
+            part, side, band, parts = t.column("component").to_numpy(), t.column("side").to_numpy(), t.column("band")[0].as_py(), t.column("parts")[0].as_py()
             bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :band]
             other = np.flatnonzero(side == 2)
             one, two, close, held = [], [], [], 0
@@ -199,7 +200,7 @@ def _rest(estimate: float, least: float, most: int | None):
                 close.append(near)
                 held += len(hit)
                 if most is None and held > 100_000:
-                    yield _pairs(ids, one, two)
+                    yield _pairs(ids, one, two, parts)
                     one, two, close, held = [], [], [], 0
             if most is not None and held > most:
                 x, y, near = np.concatenate(one), np.concatenate(two), np.concatenate(close)
@@ -211,33 +212,35 @@ def _rest(estimate: float, least: float, most: int | None):
                 order = order[place - np.maximum.accumulate(np.where(new, place, 0)) < most]
                 one, two = [x[order]], [y[order]]
             if held:
-                yield _pairs(ids, one, two)
+                yield _pairs(ids, one, two, parts)
 
     return run
 
 
-def _pairs(ids: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(one)]), pa.array(ids[np.concatenate(two)])], ["leader", "doc_id"])
+def _pairs(ids: np.ndarray, one: list[np.ndarray], two: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    a, b = ids[np.concatenate(one)], ids[np.concatenate(two)]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), parts))], ["leader", "doc_id", "parts"])
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """rows(bucket, doc_id, component, ...) with tile and side, such that every two rows of a bucket and of different
-    components meet in a tile of about two BLOCKs of rows at most, or one. A component of BLOCK rows or more has blocks of its
-    own; smaller ones share blocks, each in one."""
-    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    small = parts.where(F.col("c") < BLOCK).groupBy("bucket").agg(F.sum("c").alias("n"))
-    parts = parts.join(small, "bucket", "left").withColumn("own", F.col("c") >= BLOCK)
-    rows = rows.join(parts, ["bucket", "component"])
+    """(bucket, doc_id, component, tile, side, parts) for staged rows(bucket, doc_id, component): every two rows of a bucket
+    and of different components meet in a tile of about two BLOCKs of rows at most, or one. A component of BLOCK rows or
+    more has blocks of its own; smaller ones share blocks, each in one. parts is the bucket's number of blocks."""
+    sizes = staged(rows.groupBy("bucket", "component").agg(F.count("*").alias("c")))
+    own = F.col("c") >= BLOCK
+    whole = sizes.groupBy("bucket").agg(F.sum(F.when(~own, F.col("c"))).alias("n"), F.ceil(F.sum("c") / BLOCK).cast("long").alias("parts"))
+    sizes = sizes.join(whole, "bucket").withColumn("own", own)
     nth = F.when(F.col("own"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("n") / BLOCK)))
-    rows = rows.withColumn("owner", F.when(F.col("own"), F.col("component"))).withColumn("nth", nth.cast("long")).drop("c", "n", "own")
-    rows = rows.withColumn("block", F.xxhash64("bucket", F.coalesce(F.col("owner").cast("string"), F.lit("")), "nth"))
-    blocks = rows.groupBy("block", "bucket", "owner").agg((F.min("component") < F.max("component")).alias("mixed"))
+    owner = F.when(F.col("own"), F.col("component"))
+    block = F.xxhash64("bucket", F.coalesce(owner.cast("string"), F.lit("")), nth.cast("long"))
+    rows = staged(rows.join(sizes, ["bucket", "component"]).select("bucket", "doc_id", "component", "parts", owner.alias("owner"), block.alias("block")))
+    blocks = staged(rows.groupBy("block", "bucket", "owner").agg((F.min("component") < F.max("component")).alias("mixed")))
     alone = blocks.where("mixed").select("block", F.col("block").alias("tile"), F.lit(0).alias("side"))
     other = blocks.select("bucket", F.col("block").alias("to"), F.col("owner").alias("its"))
     # a row for every two blocks of a bucket, without their texts
     two = blocks.join(other, "bucket").where("block < to and (owner is null or its is null or owner <> its)").select("block", "to", F.xxhash64("block", "to").alias("tile"))
     two = two.select(F.explode(F.array(F.struct("block", "tile", F.lit(1).alias("side")), F.struct(F.col("to").alias("block"), "tile", F.lit(2).alias("side")))).alias("x")).select("x.*")
-    return rows.drop("owner", "nth", "bucket").join(alone.unionByName(two), "block").drop("block")
+    return rows.drop("owner").join(staged(alone.unionByName(two)), "block").drop("block")
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -282,14 +285,16 @@ def _verify(k: int, least: float):
 
 
 def _led(rows: DataFrame, estimate: float, least: float) -> DataFrame:
-    """(bucket, leader, doc_id) over rows(bucket, doc_id, n_shingles, least); large buckets are led in blocks, then
-    their leaders among themselves, as long as that makes them fewer. No task holds more than a block."""
+    """(bucket, leader, doc_id, parts) over rows(bucket, doc_id, n_shingles, least); large buckets are led in blocks, then
+    their leaders among themselves, as long as that makes them fewer. No task holds more than a block; parts is the
+    number of blocks of the bucket in that turn."""
     out, turn = None, 0
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    schema = "bucket long, leader long, doc_id long"
+    schema = "bucket long, leader long, doc_id long, parts long"
     while True:
-        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("n") / BLOCK).cast("long"))
-        keyed = rows.join(sizes, "bucket").withColumn("block", F.xxhash64("bucket", part)).select("block", "bucket", "doc_id", "n_shingles", "least")
+        parts = F.ceil(F.col("n") / BLOCK).cast("long")
+        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), parts)
+        keyed = rows.join(sizes, "bucket").withColumn("block", F.xxhash64("bucket", part)).select("block", "bucket", "doc_id", "n_shingles", "least", parts.alias("parts"))
         led = staged(keyed.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(_lead(estimate, least), schema))
         out = led if out is None else out.unionByName(led)
         heads = led.where("leader = doc_id").select("bucket", "doc_id")
@@ -297,7 +302,7 @@ def _led(rows: DataFrame, estimate: float, least: float) -> DataFrame:
         sizes = staged(fewer.where(F.col("k") <= 0.9 * F.col("n")).select("bucket", F.col("k").alias("n")))
         if sizes.isEmpty():
             return out
-        rows, turn = rows.join(heads.join(sizes.select("bucket"), "bucket"), ["bucket", "doc_id"], "left_semi"), turn + 1
+        rows, turn = staged(rows.join(heads.join(sizes.select("bucket"), "bucket"), ["bucket", "doc_id"], "left_semi")), turn + 1
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, repeats: int = 24, keep: int = 4, size: int = 160, margin: float = 0.09) -> DataFrame:
@@ -322,40 +327,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, repeats: in
     seen = staged(rows.where("doc_id is not null").mapInArrow(_sketch(k, repeats, keep, size), SKETCH))
     texts = seen.groupBy("text_key").agg(F.min("doc_id").alias("rep"))
     member = staged(seen.select("doc_id", "text_key").distinct().join(texts, "text_key").select("doc_id", "rep"))
-    reps = seen.join(texts.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"])
+    reps = staged(seen.join(texts.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]).drop("text_key"))
+    release(seen)
     spread = reps.select("doc_id", F.posexplode("bands").alias("band", "value")).select("doc_id", F.xxhash64("band", "value").alias("bucket"), "band")
     full = spread.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket")
     hits = spread.join(full, "bucket", "left_semi")
     bucketed = staged(hits.join(reps.select("doc_id", "n_shingles", "least"), "doc_id").select("bucket", "band", "doc_id", "n_shingles", "least"))
     led = _led(bucketed.drop("band"), estimate, least)
-    pairs = led.where("leader <> doc_id").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+
+    def pairs_of(found: DataFrame) -> DataFrame:
+        return found.groupBy(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).agg(F.max("parts").alias("parts"))
+
+    pairs = pairs_of(led.where("leader <> doc_id"))
     # texts meet ids by a merge at every size, so that the plan does not change as the table grows
     found = rows.join(bucketed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     body = staged(found.groupBy("doc_id").agg(F.min("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one, two = body.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), body.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return staged(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, least), "a long, b long, similarity double"))
+        """Pairs with their similarity. A text that is in many pairs of a large bucket is laid down once for each of the
+        bucket's parts, so that its pairs meet it in as many tasks."""
+        slots = (F.pmod(F.xxhash64(other), F.col("parts")).alias(f"slot_{end}") for end, other in ("ab", "ba"))
+        both = pairs = staged(pairs.select("a", "b", "parts", *slots))
+        for end in "ab":
+            key = [end, "parts", f"slot_{end}"]
+            heads = pairs.select(*key).distinct().join(body.select(F.col("doc_id").alias(end), F.col("text").alias(f"t{end}")), end)
+            both = both.join(heads, key)
+        return staged(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, least), "a long, b long, similarity double"))
 
     tried = verified(pairs)
     near = F.col("similarity") >= least
     parts = components(tried.where(near))
     # a bucket whose texts all lead has had all its pairs compared, if it was led in one block
     sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
-    partly = staged(led.where("leader <> doc_id").select("bucket").unionByName(sizes.where(F.col("n") > BLOCK).select("bucket")).distinct())
+    partly = led.where("leader <> doc_id").select("bucket").unionByName(sizes.where(F.col("n") > BLOCK).select("bucket")).distinct()
+    inside = staged(bucketed.select("bucket", "doc_id").join(partly, "bucket", "left_semi"))
     for most in (4, None):
-        label = bucketed.select("doc_id").distinct().join(parts, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        inside = bucketed.select("bucket", "doc_id").join(partly, "bucket", "left_semi").join(label, "doc_id")
-        mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        inside = staged(inside.join(mixed, "bucket", "left_semi"))
-        if inside.isEmpty():
+        label = inside.join(parts, inside["doc_id"] == parts["id"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        label = staged(label)
+        mixed = staged(label.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
+        if mixed.isEmpty():
             break
-        again = bucketed.join(inside, ["bucket", "doc_id"]).join(reps.select("doc_id", "bands"), "doc_id").select("bucket", "band", "doc_id", "n_shingles", "least", "component", "bands")
-        again = _tiles(again).select("tile", "side", "band", "doc_id", "n_shingles", "least", "component", "bands").repartition("tile").sortWithinPartitions("tile", "doc_id")
-        more = again.mapInArrow(_rest(estimate, least, most), "leader long, doc_id long").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = verified(more)
-        tried = tried.unionByName(new)
+        again = _tiles(staged(label.join(mixed, "bucket", "left_semi"))).join(bucketed, ["bucket", "doc_id"]).join(reps.select("doc_id", "bands"), "doc_id")
+        again = again.select("tile", "side", "band", "parts", "doc_id", "n_shingles", "least", "component", "bands").repartition("tile").sortWithinPartitions("tile", "doc_id")
+        more = staged(again.mapInArrow(_rest(estimate, least, most), "leader long, doc_id long, parts long"))
+        new = verified(pairs_of(more).join(tried, ["a", "b"], "left_anti"))
+        tried = staged(tried.unionByName(new))
         parts = components(tried.where(near))
+    release(reps, bucketed, body, inside)
     named = member.join(parts, member["rep"] == parts["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     return rows.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +30,25 @@ def bounded_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
     return df
 
 
+_swept = [0.0]
+
+
+def _sweep(spark: SparkSession, every: float = 5.0) -> None:
+    """Has the driver drop shuffle files that nothing refers to any more; Spark does so when its heap is collected, which by
+    itself may be long after the disk is full."""
+    if time.monotonic() - _swept[0] > every:
+        gc.collect()
+        spark._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again, so that its lineage ends there."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()  # the driver's cleaner drops shuffle files once nothing refers to them
+    _sweep(spark)
     table = spark.read.schema(schema).parquet(path)
     table.staged_at = path
     return table
