@@ -15,8 +15,9 @@ UNIT = 1 << 40
 def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, source, shard, slot, fraction.
 
-    Within each source rows are ranked in the order of a seeded hash; a row's fraction is (rank - 1/2) over the
-    rows of its source. Rows sorted by fraction are cut into `shards` runs whose row counts differ by at most one,
+    Within each source rows are ranked in the order of a seeded hash; a row's fraction is (rank - 1 + offset) over the
+    rows of its source, the offset being a seeded hash of the source from 0 to 1, so that small sources of one size do not
+    fall together. Rows sorted by fraction are cut into `shards` runs whose row counts differ by at most one,
     so every shard holds each source in proportion, give or take one row at either end.
 
     Ranks are summed from counts of hash ranges: a range holds about sqrt(rows) rows and a source about sqrt(rows)
@@ -50,7 +51,8 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = 17) -> Dat
         (F.sum("k").over(within.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias("before"),
     )
     rank = F.col("before") + F.row_number().over(Window.partitionBy("stratum", "cell").orderBy("u", *tie))
-    ranked = rows.join(starts, ["stratum", "cell"]).withColumn("fraction", (rank - 0.5) / F.col("n_source"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(UNIT)) / UNIT
+    ranked = rows.join(starts, ["stratum", "cell"]).withColumn("fraction", (rank - 1 + offset) / F.col("n_source"))
 
     ranked = staged(ranked.withColumn("run", F.floor(F.col("fraction") * cells).cast("int")).select("doc_id", "source", "stratum", "size", "text_crc32", "u", "fraction", "run"))
     runs = ranked.groupBy("run").agg(F.count("*").alias("k"))

@@ -261,3 +261,41 @@ def test_words_match_bytes_split():
     data = w.buf.tobytes()
     got = [[data[w.start[k] : w.end[k]] for k in range(w.word_offs[i], w.word_offs[i + 1])] for i in range(len(texts))]
     assert got == [(t or "").encode().split() for t in texts]
+
+
+def scalar_logit(p, rows, grams):
+    """One window by the equations of the network, a number at a time: rows and lists of rows of the inputs of its words."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    x = [np.concatenate([p["word"][r].astype(float), np.mean([p["gram"][g] for g in gs], axis=0)]) for r, gs in zip(rows, grams, strict=True)]
+    n, h = len(x), toxicity.HIDDEN
+    states = np.zeros((n, 2 * h))
+    for k, d in enumerate("fb"):
+        before = np.zeros(h)
+        for s in range(n) if d == "f" else range(n - 1, -1, -1):
+            a, b = x[s] @ p[f"W{d}"] + p[f"b{d}"], before @ p[f"U{d}"]
+            z, r = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+            before = (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :]) + z * before
+            states[s, k * h : (k + 1) * h] = before
+    e = np.array([np.tanh(s @ p["A"]) @ p["v"] for s in states])
+    a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return float(a @ states @ p["w"] + p["c"][0])
+
+
+def test_toxicity_against_brute_force(spark, docs):
+    """Every window of every text, word by word; the highest gives the score."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7))) for _ in range(60)] + ["élan"]
+    texts = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([1, 5, 31, 32, 33, 48, 49, 100])]
+    net = toxicity.Network(5)
+    net.scale, net.shift = 1.5, -0.2
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(texts), net).collect()}
+    for k, text in texts:
+        t = toxicity.Tokens(*utf8(pa.array([text])))
+        words = t.which.tolist()
+        grams = {w: t.gram[t.owner == w].tolist() for w in set(words)}
+        size = len(words)
+        starts = sorted({min(s, max(size - toxicity.WINDOW, 0)) for s in range(0, max(size - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE)})
+        best = max(scalar_logit(net.p, t.row[words[s : s + toxicity.WINDOW]], [grams[w] for w in words[s : s + toxicity.WINDOW]]) for s in starts)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(1.5 * best - 0.2))), abs=1e-5), k
+        covered = {w for s in starts for w in range(s, min(s + toxicity.WINDOW, size))}
+        assert covered == set(range(size))

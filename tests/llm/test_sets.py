@@ -278,6 +278,26 @@ def test_shards_follow_the_mixture(spark, docs):
     assert {r["shard"] for r in sharding.interleaved_shards(docs([(1, "a"), (2, "b")]), 16).collect()} <= set(range(16))
 
 
+def test_shards_against_brute_force(spark, docs):
+    rng = random.Random(9)
+    rows = [(rng.choice([k, k % 40, None]), rng.choice([None, "", f"text {k % 90}", "é" * (k % 30)]), None, rng.choice(["a"] * 6 + ["b", None, f"page {k}"])) for k in range(900)]
+    table = docs(rows)
+    facts = table.selectExpr("doc_id", "coalesce(concat('=', source), '') as stratum", "cast(octet_length(coalesce(text, '')) + 1 as long) as size", "crc32(cast(coalesce(text, '') as binary)) as crc")
+    facts = facts.selectExpr("*", f"pmod(xxhash64(17, doc_id, crc), {sharding.UNIT}L) as u", f"pmod(xxhash64(17, stratum), {sharding.UNIT}L) / {sharding.UNIT}L as offset").collect()
+    null_first = lambda x: (x is not None, x or 0)
+    sources = defaultdict(list)
+    for r in facts:
+        sources[r["stratum"]].append(r)
+    order = []
+    for of in sources.values():
+        of.sort(key=lambda r: (r["u"], null_first(r["doc_id"]), r["crc"], r["size"]))
+        order += [((k + r["offset"]) / len(of), r["stratum"], r["u"], null_first(r["doc_id"]), r["crc"], r["size"], r) for k, r in enumerate(of)]
+    order.sort(key=lambda x: x[:6])
+    cuts = [-(-s * len(order) // 7) for s in range(8)]
+    want = Counter((order[k][-1]["doc_id"], order[k][-1]["size"], order[k][-1]["crc"], s, k - cuts[s]) for s in range(7) for k in range(cuts[s], cuts[s + 1]))
+    assert want == Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.interleaved_shards(table, 7).collect())
+
+
 PIECES = ["\\", "<", "|", "s>", "/s>", "[", "INST]", "/INST]", "n", "\n", "a", "<|end|>", "<|turn|>", "l", "b"]
 
 
@@ -384,3 +404,33 @@ def test_pipeline_keeps_clean_documents(spark, docs, tmp_path):
     assert passage in texts[110] and passage not in texts[111] and all(texts[k] == clean[k][1] for k in range(40))
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids["substrings"]
+
+
+def test_pipeline_takes_odd_tables(spark, docs, tmp_path):
+    """An empty table, and one without languages with null and repeated ids, ties, empty texts and clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = " ".join(f"{rng.choice(words(rng, 1))}{k}" for k in range(90))
+    other = " ".join(f"{rng.choice(words(rng, 1))}x{k}" for k in range(4000))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, other), (3, other), (4, None), (5, ""), (6, " ")]
+    for name, table in (("empty", docs([])), ("odd", docs(rows))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        packed = corpus_pipeline.run(spark, folder).collect()
+        if name == "empty":
+            assert packed == []
+            continue
+        ids = [r["doc_id"] for r in packed]
+        assert set(ids) == {1, 3, None} and all(r["length"] > 0 for r in packed)
+
+
+def test_substrings_of_long_texts(spark, docs):
+    """Thousands of words, and a passage that repeats far inside both, against the windows of the texts."""
+    rng = random.Random(13)
+    passage = words(rng, 120)
+    one, two = words(rng, 9000), words(rng, 7000)
+    one[4000:4000], two[6500:6500] = passage, passage
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(two))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(docs(rows), max_level=50).collect()}
+    assert got == {1: (9120, 0), 2: (7120, 120), 3: (7120, 7120)}
