@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -96,57 +96,55 @@ def l2_normalized(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def _top(ids: list, matrix: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            tracks = np.array(batch.column(0).to_pylist(), object)
-            for track in dict.fromkeys(tracks.tolist()):
-                own = np.flatnonzero(tracks == track)
-                score = matrix @ v[own].T
+FOUND = pa.schema([("qa_id", pa.string()), ("track", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _top(k: int, at_once: int = 1024):
+    """The k best of each track for each query of a tile."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = [FOUND.empty_table()]
+        if not asked.num_rows or not rows.num_rows:
+            return found[0]
+        q, v, tracks = _matrix(asked["emb"]), _matrix(rows["emb"]), rows["track"].to_numpy(zero_copy_only=False)
+        for track in dict.fromkeys(tracks.tolist()):
+            own = np.flatnonzero(tracks == track)
+            for i in range(0, len(q), at_once):
+                score = q[i : i + at_once] @ v[own].T
                 at = np.argpartition(-score, k - 1, axis=1)[:, :k] if len(own) > k else np.broadcast_to(np.arange(len(own)), score.shape)
-                row = np.repeat(np.arange(len(ids)), at.shape[1])
-                rows = own[at.ravel()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[r] for r in row.tolist()], pa.string()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(score[row, at.ravel()])], ["qa_id", "track", "chunk_id", "score"]
-                )
+                row = np.repeat(np.arange(len(score)), at.shape[1])
+                which = pa.array(own[at.ravel()])
+                found.append(pa.table([asked["qa_id"].take(pa.array(row + i)), rows["track"].take(which), rows["chunk_id"].take(which), pa.array(score[row, at.ravel()])], schema=FOUND))
+        return pa.concat_tables(found)
 
     return run
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DENSE_POOL, block: int = 4096) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DENSE_POOL, block: int = 16_384) -> DataFrame:
     """(qa_id, chunk_id, score, track): exact inner products, the k best of each track, then of each id the best.
 
-    queries has qa_id and emb; vectors has track, chunk_id and emb, all of one length. Queries are held by every
-    task, `block` at a time; each Arrow batch gives its own k best a query and track, and a window takes the best of those.
+    queries has qa_id and emb; vectors has track, chunk_id and emb, all of one length. Both are dealt to blocks of about
+    `block` rows; every block of queries meets every block of vectors in a tile, whose task gives its own k best a query
+    and track, and a window takes the best of those. Nothing passes through the driver but the two counts.
     """
-    wanted = queries.select("qa_id", F.col("emb").cast("array<double>").alias("emb"))
-    out = None
-    for part in _blocks(wanted, block):
-        ids, matrix = [r["qa_id"] for r in part], np.array([r["emb"] for r in part], np.float64)
-        found = vectors.select("track", "chunk_id", F.col("emb").cast("array<double>").alias("emb")).mapInArrow(_top(ids, matrix, k), "qa_id string, track string, chunk_id string, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "qa_id string, chunk_id string, score double, track string")
+    across, down = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    queries, vectors = queries.where("emb is not null"), vectors.where("emb is not null")
+    emb = F.col("emb").cast("array<double>").alias("emb")
+    asked = queries.select(F.col("qa_id").cast("string").alias("qa_id"), emb, dealt("qa_id", across).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("v"))
+    rows = vectors.select(F.col("track").cast("string").alias("track"), F.col("chunk_id").cast("string").alias("chunk_id"), emb, dealt("chunk_id", down).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"))
+    tile = [F.col("q").cast("long").alias("q"), F.col("v").cast("long").alias("v")]
+    asked, rows = asked.select("qa_id", "emb", *tile), rows.select("track", "chunk_id", "emb", *tile)
+    out = asked.groupBy("q", "v").cogroup(rows.groupBy("q", "v")).applyInArrow(_top(k), "qa_id string, track string, chunk_id string, score double")
     best = Window.partitionBy("qa_id", "track").orderBy(F.desc("score"), "chunk_id")
     kept = out.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
     return kept.groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
 
 
-def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
-    """The rows of a query set, a bounded number at a time."""
-    held = []
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def ranked_pool(scores: DataFrame, pool: int) -> DataFrame:
     """The best of each query with their ranks from 1; ties go by chunk_id."""
     order = Window.partitionBy("qa_id").orderBy(F.desc("score"), "chunk_id")
