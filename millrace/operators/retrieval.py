@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, strip
-from millrace.operators.sizes import few, hinted
+from millrace.operators.containment import holding
+from millrace.operators.sizes import hinted
+from millrace.sources.tables import staged
 
 # fixed values
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -76,7 +78,7 @@ def holders(rows: DataFrame, queries: DataFrame, tokens: Callable[[Column], Colu
     """(qa_id, columns of rows) where a row's text holds a whole question.
 
     Text and question meet on the longest token inside the question, between its first and last, which a text that holds
-    it must have whole; questions of fewer than three tokens meet every text.
+    it must have whole; questions of fewer than three tokens meet texts on a gram of characters.
     """
     inner = F.slice(tokens(F.col("question")), 2, F.greatest(F.size(tokens(F.col("question"))) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
@@ -86,7 +88,7 @@ def holders(rows: DataFrame, queries: DataFrame, tokens: Callable[[Column], Colu
     short = asked.where("term is null").select("qa_id", "question")
     if short.isEmpty():
         return found
-    return found.unionByName(rows.join(few(short, "questions of fewer than three tokens"), F.contains(rows["text"], short["question"])).select("qa_id", *rows.columns))
+    return found.unionByName(holding(rows, "text", short, "question").select("qa_id", *rows.columns))
 
 
 def l2_normalized(v: Column) -> Column:
@@ -183,17 +185,24 @@ def context(hits: DataFrame, rows: DataFrame, most: int = 8) -> DataFrame:
     return told.groupBy("qa_id").agg(F.count("*").alias("n_sources"), F.array_join(listed, "\n\n").alias("context"))
 
 
+def bare_url(url: Column) -> Column:
+    """An address without white space around it and without one slash at its end."""
+    return F.regexp_replace(strip(empty_if_null(url)), "/$", "")
+
+
 def gold_chunks(rows: DataFrame, expected: DataFrame) -> DataFrame:
-    """(qa_id, chunk_id): chunks whose address, without a final slash, equals, holds or is held by an expected one.
+    """(qa_id, chunk_id): chunks whose address equals, holds or is held by an expected one, on whatever host; both as in bare_url().
 
-    expected has qa_id and url. Addresses hold one another only on one host, so they meet by host; chunks join last.
+    expected has qa_id and url. Distinct addresses meet on their rarest runs of eight characters, in either direction; empty
+    and null ones match nothing. Chunks join last.
     """
-    bare = lambda c: F.rtrim(c, F.lit("/"))
-    host = lambda c: F.regexp_extract(c, r"^(?:[a-z]+://)?([^/?#]*)", 1)
-    urls = rows.select(bare(F.col("source_url")).alias("u")).distinct().withColumn("host", host(F.col("u")))
-    wanted = expected.select("qa_id", bare(F.col("url")).alias("e")).where("e <> ''").distinct().withColumn("host", host(F.col("e")))
-    met = urls.join(wanted, "host").where(F.contains(F.col("u"), F.col("e")) | F.contains(F.col("e"), F.col("u"))).select("qa_id", "u").distinct()
-    return rows.select("chunk_id", bare(F.col("source_url")).alias("u")).join(met, "u").select("qa_id", "chunk_id").distinct()
+    chunks = rows.select("chunk_id", bare_url(F.col("source_url")).alias("u"))
+    urls = staged(chunks.where("u <> ''").select("u").distinct())
+    wanted = staged(expected.select("qa_id", bare_url(F.col("url")).alias("e")).where("e <> ''").distinct())
+    targets = wanted.select("e").distinct()
+    pairs = holding(urls, "u", targets, "e", 8).unionByName(holding(targets, "e", urls, "u", 8)).distinct()
+    met = pairs.join(wanted, "e").select("qa_id", "u").distinct()
+    return chunks.join(met, "u").select("qa_id", "chunk_id").distinct()
 
 
 def stage_ranks(stages: DataFrame, gold: DataFrame, queries: DataFrame | None = None, top: int = 5) -> DataFrame:

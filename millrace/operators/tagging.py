@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, text_score
-from millrace.operators.sizes import few
+from millrace.operators.containment import holding
+from millrace.sources.tables import staged
 
 
 def has_any(text: Column, words: Column) -> Column:
@@ -42,13 +43,20 @@ def cross_tag_summary(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def domain_matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(chunk_id, domain, match): 1 if the row carries the domain, plus 2 if host, address or title hold a rule's word.
 
-    rules (one a domain) has domain, hosts, url_words and title_words. Only short columns meet the rules.
+    rules (one a domain) has domain, hosts, url_words and title_words, and may be as many as they like. Domains and hosts
+    meet by equality, words by containment.holding(); only short columns take part. Rows alike in id, domains, address and
+    title count once.
     """
-    short = rows.select("chunk_id", "domains", empty_if_null(F.col("source_url")).alias("url"), empty_if_null(F.col("source_title")).alias("title"))
-    by_rule = F.array_contains("hosts", url_host(F.col("url"))) | has_any(F.col("url"), F.col("url_words")) | has_any(F.col("title"), F.col("title_words"))
-    tagged = F.array_contains("domains", F.col("domain"))
-    match = F.when(tagged, 1).otherwise(0).bitwiseOR(F.when(by_rule, 2).otherwise(0))
-    return short.join(few(rules, "rules"), tagged | by_rule).select("chunk_id", "domain", match.alias("match"))
+    short = rows.select("chunk_id", "domains", empty_if_null(F.col("source_url")).alias("url"), empty_if_null(F.col("source_title")).alias("title")).distinct()
+    short = staged(short.withColumn("row", F.xxhash64("chunk_id", "domains", "url", "title")))
+    kind = lambda k, c: F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value"))
+    named = short.select("chunk_id", "row", F.explode(F.concat(F.transform(F.coalesce("domains", F.array()), lambda d: kind("domain", d)), F.array(kind("host", url_host(F.col("url")))))).alias("x"))
+    names = rules.select("domain", F.explode(F.concat(F.array(kind("domain", F.col("domain"))), F.transform("hosts", lambda h: kind("host", h)))).alias("x"))
+    equal = named.select("chunk_id", "row", "x.*").join(names.select("domain", "x.*"), ["kind", "value"]).select("chunk_id", "row", "domain", F.when(F.col("kind") == "domain", 1).otherwise(2).alias("match"))
+    told = short.select("chunk_id", "row", F.explode(F.array(kind("url", F.col("url")), kind("title", F.col("title")))).alias("x")).select("chunk_id", "row", F.col("x.kind").alias("where"), "x.value")
+    words = rules.select("domain", F.explode(F.concat(F.transform("url_words", lambda w: kind("url", w)), F.transform("title_words", lambda w: kind("title", w)))).alias("x")).select("domain", "x.kind", F.col("x.value").alias("word"))
+    held = holding(told, "value", words, "word").where("where = kind").select("chunk_id", "row", "domain", F.lit(2).alias("match"))
+    return equal.unionByName(held).groupBy("chunk_id", "row", "domain").agg(F.bit_or("match").alias("match")).drop("row")
 
 
 def pool_candidates(rows: DataFrame, rules: DataFrame, extra: tuple[str, tuple[str, ...], int, int] | None = None) -> DataFrame:
@@ -80,9 +88,8 @@ def pool_summary(candidates: DataFrame, size: int = 80) -> DataFrame:
 
 
 def keyword_tags(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(chunk_id, tag) for every tag one of whose words is in the text; words (few) has tag and word."""
-    lists = words.groupBy("tag").agg(F.collect_list("word").alias("words"))
-    return rows.select("chunk_id", "text").join(few(lists, "tags"), has_any(F.col("text"), F.col("words"))).select("chunk_id", "tag").distinct()
+    """(chunk_id, tag) for every tag one of whose words is in the text; words has tag and word."""
+    return holding(rows.select("chunk_id", "text"), "text", words.select("tag", "word"), "word").select("chunk_id", "tag").distinct()
 
 
 def tag_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -108,11 +115,14 @@ def stale(rows: DataFrame, periods: dict[str, int], today: str) -> DataFrame:
 def expand_queries(queries: DataFrame, aliases: DataFrame, guarded: bool = True) -> DataFrame:
     """(qa_id, expanded): the question and each full form whose alias is in it, by the order of the dictionary.
 
-    aliases (few) has ord, alias and full. Guarded, a full form that is in the question, or was added, is left out.
+    aliases has ord, alias and full; those that begin with an underscore are comments, and an empty one is in no question. Guarded, a full form
+    that is in the question, or was added, is left out.
     """
-    used = F.contains(F.col("question"), F.col("alias")) & ~F.col("alias").startswith("_")
-    used = used & ~F.contains(F.col("question"), F.col("full")) if guarded else used
-    pair = queries.select("qa_id", "question").join(few(aliases, "aliases"), used, "left")
+    asked = queries.select("qa_id", "question")
+    used = holding(asked, "question", aliases.select("ord", "alias", "full").where(~F.col("alias").startswith("_")), "alias")
+    if guarded:
+        used = used.where(~F.contains(F.col("question"), F.col("full")))
+    pair = asked.select("*", F.lit(None).alias("ord"), F.lit(None).alias("full")).unionByName(used.select("qa_id", "question", "ord", "full"))
     forms = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("ord", "full"))), lambda s: s["full"]), lambda f: f.isNotNull())
     forms = F.array_distinct(forms) if guarded else forms
     return pair.groupBy("qa_id").agg(F.array_join(F.concat(F.array(F.first("question")), forms), " ").alias("expanded"))
@@ -121,7 +131,11 @@ def expand_queries(queries: DataFrame, aliases: DataFrame, guarded: bool = True)
 def route_queries(queries: DataFrame, tools: DataFrame) -> DataFrame:
     """(qa_id, tool): the tool of least priority one of whose words is in the question and none of whose exclusions is.
 
-    tools (few) has tool, priority, include and exclude; tool is null if none fits.
+    tools has tool, priority, include and exclude; tool is null if none fits.
     """
-    fits = has_any(F.col("question"), F.col("include")) & ~has_any(F.col("question"), F.col("exclude"))
-    return queries.join(few(tools, "tools"), fits, "left").groupBy("qa_id").agg(F.min_by("tool", "priority").alias("tool"))
+    asked = queries.select("qa_id", "question")
+    word = lambda c, out: F.transform(c, lambda w: F.struct(w.alias("word"), F.lit(out).alias("out")))
+    words = tools.select("tool", "priority", F.explode(F.concat(word("include", False), word("exclude", True))).alias("x")).select("tool", "priority", "x.*")
+    found = holding(asked, "question", words, "word").groupBy("qa_id", "question", "tool", "priority").agg(F.bool_or("out").alias("out")).where("not out")
+    every = asked.select("qa_id", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("int").alias("priority"))
+    return every.unionByName(found.select("qa_id", "tool", "priority")).groupBy("qa_id").agg(F.min_by("tool", "priority").alias("tool"))

@@ -11,7 +11,7 @@ from millrace.plans.views import VIEWS, table, view
 
 VIEWS["v_corpus"] = """
 SELECT 't' || CAST(doc_id % 2 AS STRING) AS track, 'c' || CAST(doc_id AS STRING) AS chunk_id, text, lang || ' ' || source AS title,
-  'https://' || source || '.example.org/' || CAST(doc_id % 200 AS STRING) || '/' AS source_url, CAST(1 + doc_id % 9 AS INT) AS domain
+  CASE WHEN doc_id % 11 = 5 THEN 'http://go.example.net/?to=' ELSE '' END || 'https://' || source || '.example.org/' || CAST(doc_id % 200 AS STRING) || CASE WHEN doc_id % 13 = 4 THEN '// ' ELSE '/' END AS source_url, CAST(1 + doc_id % 9 AS INT) AS domain
 FROM documents"""
 VIEWS["v_qa"] = """
 SELECT 'q' || CAST(item_id AS STRING) AS qa_id, text AS question, CAST(1 + item_id % 9 AS INT) AS domain,
@@ -162,7 +162,7 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VIEWS["v_gold"] = """
-SELECT DISTINCT e.qa_id, c.chunk_id FROM v_corpus c JOIN v_expected e ON contains(rtrim(c.source_url, '/'), rtrim(e.url, '/')) OR contains(rtrim(e.url, '/'), rtrim(c.source_url, '/'))"""
+SELECT DISTINCT e.qa_id, c.chunk_id FROM (SELECT chunk_id, regexp_replace(trim(source_url), '/$', '') AS u FROM v_corpus) c JOIN (SELECT qa_id, regexp_replace(trim(url), '/$', '') AS e FROM v_expected) e ON contains(u, e) OR contains(e, u)"""
 
 
 @query("SELECT * FROM v_gold")
