@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, strip
 from millrace.operators.containment import holding
 from millrace.operators.sizes import hinted
-from millrace.sources.tables import staged
+from millrace.sources.tables import shared_folder, staged
 
 # fixed values
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -32,46 +33,111 @@ def token_stats(rows: DataFrame, tokens: Callable[[Column], Column] = regex_toke
     return rows.groupBy("track").agg(F.count("*").alias("n_docs"), F.sum(n).cast("long").alias("n_tokens"), F.avg(n).alias("mean_tokens"), F.min(n).alias("min_tokens"), F.max(n).alias("max_tokens"))
 
 
+def counted(tokens: Column) -> Column:
+    """The distinct tokens of an array with their counts, (term, tf), from the runs of the sorted array; nothing leaves the row."""
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  the value is computed once, not once an element
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        run = lambda s: F.transform(s, lambda at, i: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(s, i + 1), F.size(t)) - at).alias("tf")))
+        return F.when(F.size(t) > 0, let(starts, run)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+    return let(F.sort_array(tokens), runs)
+
+
 class Bm25Index:
-    """Tables of an index over rows(track, chunk_id, text): postings, doc_stats, term_stats and track_stats.
+    """An inverted index over rows(track, chunk_id, text), built once and written as tables; open() reads it again.
 
-    Tracks are the few named parts of an index; their statistics go to every task. A chunk's tokens stay in one array; document frequencies come from its distinct ones, so that only (track, term) is
-    shuffled for them. Negative idf values are replaced by a quarter of the mean idf over the track's vocabulary.
+    `documents` has each chunk's length and counted terms, and its block: the chunks of a partition in order of track and length, `block` at a time, so
+    that those of one block weigh a term alike. `postings` has one row for each term of a block: its chunks with their counts and
+    lengths, and `best`, the largest weight of the term in that block. Rows are laid out by ranges of terms. No row holds more than a
+    block, however frequent the term. `term_stats` has df and idf, `track_stats` the number of chunks and their mean length. Texts are split into tokens
+    once; negative idf values are replaced by a quarter of the mean idf over the track's vocabulary.
     """
 
-    def __init__(self, rows: DataFrame, tokens: Callable[[Column], Column] = regex_tokens):
-        self.docs = rows.select("track", "chunk_id", tokens(F.col("text")).alias("tokens"))
-        self.doc_stats = self.docs.select("track", "chunk_id", F.size("tokens").alias("dl"))
-        self.track_stats = self.doc_stats.groupBy("track").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        df = self.docs.select("track", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("track", "term").agg(F.count("*").alias("df"))
-        raw = df.join(F.broadcast(self.track_stats), "track").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    TABLES = ("documents", "postings", "term_stats", "track_stats")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        self.documents, self.postings, self.term_stats, self.track_stats = (spark.read.parquet(f"{path}/{t}") for t in self.TABLES)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Bm25Index:
+        return cls(spark, path)
+
+    @classmethod
+    def build(cls, rows: DataFrame, path: str | None = None, tokens: Callable[[Column], Column] = regex_tokens, block: int = 512) -> Bm25Index:
+        """Writes the index to a new folder, by default one under spark.checkpoint.dir. An empty table gives an empty index; rows without tokens count as chunks of length 0."""
+        spark = rows.sparkSession
+        path = path or f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+        found = rows.select("track", "chunk_id", tokens(F.col("text")).alias("t")).select("track", "chunk_id", F.size("t").alias("dl"), counted(F.col("t")).alias("terms"))
+        # rows are sorted and numbered in the partition where they are read
+        ranged = found.sortWithinPartitions("track", "dl", "chunk_id")
+        place = F.monotonically_increasing_id()
+        documents = staged(ranged.withColumn("block", F.shiftright(place, 33) * (1 << 32) + F.floor(place.bitwiseAND((1 << 33) - 1) / block)), f"{path}/documents")
+        tracks = staged(documents.groupBy("track").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), f"{path}/track_stats")
+        spread = documents.select("track", "block", "chunk_id", "dl", F.inline("terms")).join(tracks.select("track", "avgdl"), "track")
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        laid = spread.withColumn("w", weight).repartitionByRange("term", "track", "block")
+        listed = laid.groupBy("term", "track", "block").agg(F.count("*").alias("n"), F.max("w").alias("best"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("chunks"))
+        postings = staged(listed.sortWithinPartitions("term", "track", "block"), f"{path}/postings")
+        df = postings.groupBy("track", "term").agg(F.sum("n").alias("df")).join(tracks.select("track", "n"), "track")
+        raw = staged(df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("track", "term", "df", "raw"))
         mean = raw.groupBy("track").agg((F.avg("raw") * FLOOR).alias("low"))
-        self.term_stats = raw.join(F.broadcast(mean), "track").select("track", "term", "df", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
-
-    @property
-    def postings(self) -> DataFrame:
-        return self._counted(self.docs.select("track", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))).drop("dl")
-
-    @staticmethod
-    def _counted(spread: DataFrame) -> DataFrame:
-        return spread.groupBy("track", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        staged(raw.join(mean, "track").select("track", "term", "df", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf")), f"{path}/term_stats")
+        return cls(spark, path)
+
+    def _wanted(self, queries: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+        """(qa_id, track, term, w): the terms of each query in each track, with idf times their count in the query."""
+        asked = queries.select("qa_id", F.inline(counted(tokens(F.col("question")))))
+        return asked.groupBy("qa_id", "term").agg(F.sum("tf").alias("times")).join(self.term_stats, "term").select("qa_id", "track", "term", (F.col("idf") * F.col("times")).alias("w"))
+
+    def _scored(self, met: DataFrame) -> DataFrame:
+        """Sums by query and chunk over postings(qa_id, track, w, chunks)."""
+        hits = met.select("qa_id", "track", "w", F.inline("chunks")).join(self.track_stats, "track")
+        part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = hits.groupBy("qa_id", "track", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+        return scored.groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
 
     def scores(self, queries: DataFrame, tokens: Callable[[Column], Column] = regex_tokens) -> DataFrame:
         """(qa_id, chunk_id, score, track) of positive scores, of several tracks the best; terms count as often as a query has them.
 
-        Tokens that no query has are dropped where they are read, before any shuffle; sums are partial before the shuffle
-        on (qa_id, chunk_id).
+        Sums are partial before the shuffle on (qa_id, chunk_id).
         """
-        terms = queries.select("qa_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qa_id", "term").agg(F.count("*").alias("times"))
-        wanted = hinted(terms.select("term").distinct())
-        spread = self.docs.select("track", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        counted = self._counted(spread.join(wanted, "term", "left_semi"))
-        used = self.term_stats.join(wanted, "term", "left_semi").select("track", "term", "idf")
-        hits = counted.join(used, ["track", "term"]).join(F.broadcast(self.track_stats), "track")
-        tf = F.col("tf")
-        weighted = hits.select("track", "term", "chunk_id", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w"))
-        scored = weighted.join(hinted(terms), "term").groupBy("qa_id", "track", "chunk_id").agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
-        return scored.groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
+        wanted = staged(self._wanted(queries, tokens))
+        return self._scored(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"]))
+
+    def top(self, queries: DataFrame, pool: int = BM25_POOL, tokens: Callable[[Column], Column] = regex_tokens, digits: int = 9, least: int = 256) -> tuple[DataFrame, DataFrame]:
+        """The `pool` best chunks of each query, as ranked_pool() of its scores rounded to `digits`, and (qa_id, n_blocks, n_read, n_postings, n_postings_read).
+
+        A block's bound for a query is the sum of its terms' best weights. The blocks of highest bound that have `pool` chunks are scored first; the score
+        in place `pool` there is certain, and of the other blocks only those are read whose bound reaches it. An index of fewer than `least` times
+        `pool` chunks is scored whole: so large a part of it is in the pool that bounds rule out nothing.
+        """
+        wanted = staged(self._wanted(queries, tokens))
+        heads = self.postings.select("track", "term", "block", "n", "best").join(wanted, ["track", "term"]).select("qa_id", "track", "term", "block", "n", "w", F.greatest(F.col("w") * F.col("best"), F.lit(0.0)).alias("most"))
+        bounds = lambda h: h.groupBy("qa_id", "track", "block").agg(F.sum("most").alias("bound"), F.max("n").alias("least"), F.sum("n").alias("n_postings"))
+        if (self.track_stats.agg(F.sum("n")).first()[0] or 0) < least * pool:
+            report = bounds(heads).groupBy("qa_id").agg(F.count("*").alias("n_blocks"), F.count("*").alias("n_read"), F.sum("n_postings").alias("n_postings"), F.sum("n_postings").alias("n_postings_read"))
+            whole = self._scored(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"]))
+            return ranked_pool(whole.withColumn("score", F.round("score", digits)), pool), report
+        heads = staged(heads)
+        bound = bounds(heads)
+        order = Window.partitionBy("qa_id").orderBy(F.desc("bound"), "track", "block")
+        before = F.sum("least").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        bound = staged(bound.withColumn("first", F.coalesce(before, F.lit(0)) < pool))
+
+        def of(blocks: DataFrame) -> DataFrame:
+            terms = heads.select("qa_id", "track", "term", "block", "w").join(blocks.select("qa_id", "track", "block"), ["qa_id", "track", "block"])
+            return self._scored(self.postings.select("track", "term", "block", "chunks").join(terms, ["track", "term", "block"])).withColumn("score", F.round("score", digits))
+
+        some = staged(of(bound.where("first")))
+        certain = ranked_pool(some, pool).where(F.col("rank") == pool).select("qa_id", F.col("score").alias("certain"))
+        open_ = staged(bound.join(certain, "qa_id", "left").withColumn("read", F.col("first") | F.coalesce(F.col("bound") >= F.col("certain") - 1e-6, F.lit(True))))
+        more = of(open_.where("read and not first"))
+        both = some.unionByName(more).groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
+        report = open_.groupBy("qa_id").agg(F.count("*").alias("n_blocks"), F.count_if("read").alias("n_read"), F.sum("n_postings").alias("n_postings"), F.sum(F.when(F.col("read"), F.col("n_postings")).otherwise(0)).alias("n_postings_read"))
+        return ranked_pool(both, pool), report
 
 
 def holders(rows: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = regex_tokens) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import retrieval as R
 from millrace.plans.registry import query
 from millrace.plans.views import VIEWS, table, view
+from millrace.sources.tables import exists, kept, kept_path, remove, staged
 
 VIEWS["v_corpus"] = """
 SELECT 't' || CAST(doc_id % 2 AS STRING) AS track, 'c' || CAST(doc_id AS STRING) AS chunk_id, text, lang || ' ' || source AS title,
@@ -27,7 +28,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qa_id, url): addresses of the documents that hold a question."""
-    return R.holders(corpus(spark, sf_dir), view(spark, sf_dir, "v_qa")).select("qa_id", F.col("source_url").alias("url")).distinct()
+    found = lambda: R.holders(corpus(spark, sf_dir), view(spark, sf_dir, "v_qa")).select("qa_id", F.col("source_url").alias("url")).distinct()
+    return kept(spark, "expected", sf_dir, found)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,19 +84,34 @@ SELECT qa_id, chunk_id, rrf_score, bm25_rank, dense_rank, row_number() OVER (PAR
 VIEWS["v_top"] = "SELECT * FROM v_hits WHERE rank <= 30"
 
 
+def index(spark: SparkSession, sf_dir: str) -> R.Bm25Index:
+    """The written index of v_corpus; the first query that needs it builds it."""
+    path = kept_path(spark, "bm25", sf_dir)
+    if exists(spark, f"{path}/term_stats"):  # the last table that is written
+        return R.Bm25Index.open(spark, path)
+    remove(spark, path)
+    return R.Bm25Index.build(corpus(spark, sf_dir), path)
+
+
 @query("SELECT track, term, df, round(idf, 6) AS idf FROM v_terms")
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.Bm25Index(corpus(spark, sf_dir)).term_stats.select("track", "term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf_dir).term_stats.select("track", "term", "df", F.round("idf", 6).alias("idf"))
 
 
-def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.Bm25Index(corpus(spark, sf_dir)).scores(view(spark, sf_dir, "v_qa"))
-    return scores.withColumn("score", F.round("score", 9))
+def bm25_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked pool of v_qa by block maxima."""
+    return kept(spark, "bm25_pool", sf_dir, lambda: index(spark, sf_dir).top(view(spark, sf_dir, "v_qa"))[0])
 
 
 @query("SELECT qa_id, chunk_id, round(score, 5) AS score, track FROM v_bm25")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.Bm25Index(corpus(spark, sf_dir)).scores(view(spark, sf_dir, "v_qa")).withColumn("score", F.round("score", 5))
+    return index(spark, sf_dir).scores(view(spark, sf_dir, "v_qa")).withColumn("score", F.round("score", 5))
+
+
+@query("SELECT qa_id, chunk_id, round(round(score, 9), 6) AS score, rank FROM v_bm25_pool")
+def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of each question, without scoring blocks that cannot hold a part of it."""
+    return bm25_pool(spark, sf_dir).select("qa_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT chunk_id, round(emb[1], 9) AS first, round(emb[64], 9) AS last, round(list_sum(emb), 6) AS total FROM v_unit")
@@ -103,20 +120,22 @@ def l2norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("chunk_id", F.round(F.get("emb", F.lit(0)), 9).alias("first"), F.round(F.get("emb", F.lit(63)), 9).alias("last"), F.round(F.aggregate("emb", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = view(spark, sf_dir, "v_vectors").select("track", "chunk_id", R.l2_normalized(F.col("emb")).alias("emb"))
-    return R.dense_topk(query_vectors(spark, sf_dir), vectors).withColumn("score", F.round("score", 9))
+def dense_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def found() -> DataFrame:
+        vectors = view(spark, sf_dir, "v_vectors").select("track", "chunk_id", R.l2_normalized(F.col("emb")).alias("emb"))
+        return R.ranked_pool(R.dense_topk(query_vectors(spark, sf_dir), vectors).withColumn("score", F.round("score", 9)), R.DENSE_POOL)
+
+    return kept(spark, "dense_pool", sf_dir, found)
 
 
 @query("SELECT qa_id, chunk_id, round(round(score, 9), 6) AS score, rank FROM v_dense_pool")
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = R.ranked_pool(dense_scores(spark, sf_dir), R.DENSE_POOL)
-    return pool.select("qa_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return dense_pool(spark, sf_dir).select("qa_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def fused(spark: SparkSession, sf_dir: str, top_k: int = 30) -> DataFrame:
-    one, two = R.ranked_pool(bm25_scores(spark, sf_dir), R.BM25_POOL), R.ranked_pool(dense_scores(spark, sf_dir), R.DENSE_POOL)
-    return R.rrf_fuse(one, two, top_k=top_k)
+    hits = kept(spark, "fused", sf_dir, lambda: R.rrf_fuse(bm25_pool(spark, sf_dir), dense_pool(spark, sf_dir), top_k=30))
+    return hits if top_k == 30 else hits.where(F.col("rank") <= top_k)
 
 
 @query("SELECT qa_id, chunk_id, round(rrf_score, 9) AS rrf_score, bm25_rank, dense_rank, rank FROM v_hits WHERE rank <= 10")
@@ -138,7 +157,7 @@ def pair_scores(hits: DataFrame) -> DataFrame:
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused pool in the order of given pair scores."""
     hits = fused(spark, sf_dir)
-    return R.rerank(hits, pair_scores(hits), 20)
+    return kept(spark, "reranked", sf_dir, lambda: R.rerank(hits, pair_scores(hits), 20))
 
 
 @query("SELECT qa_id, chunk_id, rerank_score, rank FROM v_reranked")
@@ -167,7 +186,7 @@ SELECT DISTINCT e.qa_id, c.chunk_id FROM (SELECT chunk_id, regexp_replace(trim(s
 
 @query("SELECT * FROM v_gold")
 def gold_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.gold_chunks(corpus(spark, sf_dir), expected(spark, sf_dir))
+    return kept(spark, "gold", sf_dir, lambda: R.gold_chunks(corpus(spark, sf_dir), expected(spark, sf_dir)))
 
 
 @query("""SELECT s.qa_id, stage, count(*) AS n_scored, count(g.chunk_id) AS n_gold, min(CASE WHEN g.chunk_id IS NOT NULL THEN rank END) AS best_rank, string_agg(CASE WHEN rank <= 5 THEN s.chunk_id END, ',' ORDER BY rank) AS top, CAST(NULL AS STRING) AS error FROM (
@@ -176,14 +195,12 @@ def gold_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT JOIN v_gold g ON s.qa_id = g.qa_id AND s.chunk_id = g.chunk_id WHERE s.qa_id IN (SELECT qa_id FROM v_gold) GROUP BY s.qa_id, stage
 UNION ALL SELECT qa_id, NULL, NULL, NULL, NULL, NULL, 'no gold' FROM v_qa WHERE qa_id NOT IN (SELECT qa_id FROM v_gold)""")
 def stage_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = R.ranked_pool(bm25_scores(spark, sf_dir), R.BM25_POOL), R.ranked_pool(dense_scores(spark, sf_dir), R.DENSE_POOL)
-    hits = R.rrf_fuse(one, two, top_k=30)
-    parts = {"bm25": one, "dense": two, "rrf": hits, "rerank": R.rerank(hits, pair_scores(hits), 20)}
+    parts = {"bm25": bm25_pool(spark, sf_dir), "dense": dense_pool(spark, sf_dir), "rrf": fused(spark, sf_dir), "rerank": reranked(spark, sf_dir)}
     stages = None
     for name, rows in parts.items():
         part = rows.select("qa_id", F.lit(name).alias("stage"), "chunk_id", F.col("rank").cast("long").alias("rank"))
         stages = part if stages is None else stages.unionByName(part)
-    ranks = R.stage_ranks(stages, R.gold_chunks(corpus(spark, sf_dir), expected(spark, sf_dir)), view(spark, sf_dir, "v_qa"))
+    ranks = R.stage_ranks(stages, gold_chunks(spark, sf_dir), view(spark, sf_dir, "v_qa"))
     return ranks.withColumn("top", F.array_join("top", ","))
 
 
@@ -211,11 +228,11 @@ VIEWS["v_vbm25"] = VIEWS["v_bm25"].replace("q.qa_id", "q.variant_id").replace("S
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hits of each of two texts of every question, reranked against the question itself."""
     rows = view(spark, sf_dir, "v_variants")
-    scores = R.Bm25Index(corpus(spark, sf_dir)).scores(rows.select(F.col("variant_id").alias("qa_id"), F.col("text").alias("question"))).withColumn("score", F.round("score", 9))
+    one, _ = index(spark, sf_dir).top(rows.select(F.col("variant_id").alias("qa_id"), F.col("text").alias("question")))
     unit = view(spark, sf_dir, "v_vectors").select("vec_id", "track", "chunk_id", R.l2_normalized(F.col("emb")).alias("emb"))
     asked = rows.select(F.col("variant_id").alias("qa_id"), F.col("vec").alias("vec_id")).join(unit.select("vec_id", "emb"), "vec_id").select("qa_id", "emb")
     dense_ = R.dense_topk(asked, unit.drop("vec_id")).withColumn("score", F.round("score", 9))
-    one, two = R.ranked_pool(scores, R.BM25_POOL), R.ranked_pool(dense_, R.DENSE_POOL)
+    one, two = staged(one), staged(R.ranked_pool(dense_, R.DENSE_POOL))
     ids = rows.select("variant_id", "qa_id")
     pairs = pair_scores(one.select("qa_id", "chunk_id").unionByName(two.select("qa_id", "chunk_id")).distinct().withColumnRenamed("qa_id", "variant_id").join(ids, "variant_id").select("qa_id", "chunk_id").distinct())
     return R.compare_variants(one, two, ids, pairs, keep=3).withColumn("rank", F.col("rank").cast("long"))

@@ -46,10 +46,15 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def kept_path(spark: SparkSession, name: str, of: str) -> str:
+    """Where the table `name` of an input folder is kept for all of the application."""
+    key = hashlib.sha256(f"{spark.sparkContext.applicationId}|{of}|{name}".encode()).hexdigest()[:24]
+    return f"{shared_folder(spark)}/kept-{key}"
+
+
 def kept(spark: SparkSession, name: str, of: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table `name` of an input folder: built at the first call, read again by all later ones of the same application."""
-    key = hashlib.sha256(f"{spark.sparkContext.applicationId}|{of}|{name}".encode()).hexdigest()[:24]
-    path = f"{shared_folder(spark)}/kept-{key}"
+    path = kept_path(spark, name, of)
     if not exists(spark, path):
         remove(spark, path)
         return staged(build(), path)
