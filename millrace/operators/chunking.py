@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, null_if_empty, piece_id, sha16, strip
+from millrace.sources.tables import staged
 
 # fixed values
 MAX_LENGTH, WINDOW_SIZE, OVERLAP, MIN_LENGTH = 2000, 1500, 200, 50
@@ -36,11 +34,16 @@ def articles(text: Column, pattern: str = ARTICLE) -> Column:
     return F.when(F.size(pieces) < 3, windows(text)).otherwise(F.flatten(F.transform(pieces, lambda p: windows(p))))
 
 
-def _numbered(text: Column) -> tuple[Column, Column]:
-    """Numbered items, if there are two or more and none is over-long, else windows; and whether they are items."""
-    items = _pieces(text, NUMBERED)
-    numbered = (F.size(items) >= 2) & F.forall(items, lambda p: F.length(p) <= MAX_LENGTH)
-    return F.when(numbered, items).otherwise(windows(text)), numbered
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _numbered(text: Column) -> Column:
+    """(pieces, strategy): numbered items, if there are two or more and none is over-long, else windows."""
+    of = lambda pieces, kind: F.struct(pieces.alias("pieces"), F.lit(kind).alias("strategy"))
+    fits = lambda items: (F.size(items) >= 2) & F.forall(items, lambda p: F.length(p) <= MAX_LENGTH)
+    return _let(_pieces(text, NUMBERED), lambda items: F.when(fits(items), of(items, "separator")).otherwise(of(windows(text), "window")))
 
 
 def general_pieces(text: Column) -> tuple[Column, Column]:
@@ -48,11 +51,14 @@ def general_pieces(text: Column) -> tuple[Column, Column]:
 
     The second column is the strategy: window where the whole text falls into windows, else separator.
     """
-    paragraphs = _pieces(text, PARAGRAPH)
-    each = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= MAX_LENGTH, F.array(p)).otherwise(_numbered(p)[0])))
-    whole, numbered = _numbered(text)
-    many = F.size(paragraphs) >= 2
-    return F.when(many, each).otherwise(whole), F.when(many | numbered, "separator").otherwise("window")
+    found = general_cut(text)
+    return found["pieces"], found["strategy"]
+
+
+def general_cut(text: Column) -> Column:
+    """general_pieces() as one struct (pieces, strategy)."""
+    each = lambda paragraphs: F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= MAX_LENGTH, F.array(p)).otherwise(_numbered(p)["pieces"])))
+    return _let(_pieces(text, PARAGRAPH), lambda p: F.when(F.size(p) >= 2, F.struct(each(p).alias("pieces"), F.lit("separator").alias("strategy"))).otherwise(_numbered(text)))
 
 
 def split_records(rows: DataFrame) -> DataFrame:
@@ -63,9 +69,8 @@ def split_records(rows: DataFrame) -> DataFrame:
     """
     text = empty_if_null(F.col("text"))
     article = F.regexp_count(F.concat(F.lit("\n"), text), F.lit(ARTICLE_MARK)) >= 3
-    general, kind = general_pieces(text)
     short = F.length(text) <= MAX_LENGTH
-    cut = F.when(short, F.struct(F.array(text).alias("pieces"), F.lit("none").alias("strategy"))).when(article, F.struct(articles(text).alias("pieces"), F.lit("article").alias("strategy"))).otherwise(F.struct(general.alias("pieces"), kind.alias("strategy")))
+    cut = F.when(short, F.struct(F.array(text).alias("pieces"), F.lit("none").alias("strategy"))).when(article, F.struct(articles(text).alias("pieces"), F.lit("article").alias("strategy"))).otherwise(general_cut(text))
     cut = rows.withColumn("cut", cut).withColumn("strategy", F.col("cut.strategy")).withColumn("n_pieces", F.size("cut.pieces"))
     cut = cut.select("*", F.posexplode("cut.pieces").alias("piece", "piece_text")).drop("cut")
     many = F.col("n_pieces") > 1
@@ -89,76 +94,124 @@ def _glue(a: Column, b: Column) -> Column:
     return F.concat(a, F.when(a.endswith("\n"), "").otherwise("\n\n"), b)
 
 
-def _parts(least: int):
-    """Numbers the outputs of each run of rows sorted by (file, parent, run, place); holds one output's length at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, part, size, ends = None, 0, 0, False
-        for batch in batches:
-            names = batch.schema.names
-            keys = zip(*(batch.column(names.index(c)).to_pylist() for c in ("file", "parent", "run")), strict=True)
-            rows = zip(keys, *(batch.column(names.index(c)).to_pylist() for c in ("n_chars", "ends")), strict=True)
-            out = np.empty(batch.num_rows, np.int32)
-            for k, (key, n, newline) in enumerate(rows):
-                if key != last:
-                    last, part, size, ends = key, 0, n, newline
-                elif size < least:
-                    size, ends = size + (0 if ends else 2) + n, newline or n == 0
-                else:
-                    part, size, ends = part + 1, n, newline
-                out[k] = part
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "part"])
+def _step(state: int, n: int, newline: bool, least: int) -> tuple[int, int]:
+    """State of the output behind a row of n characters, and whether the row begins one. 0: full; else 1 + 2 * length + (ends in a line feed)."""
+    begins = state == 0
+    size, ends = (n, newline) if begins else ((state - 1) // 2 + (0 if (state - 1) % 2 else 2) + n, newline or n == 0)
+    return (0 if size >= least else 1 + 2 * size + ends), int(begins)
+
+
+SUMMARY = "pid int, whole boolean, first_file string, first_parent string, last_file string, last_parent string, states array<int>, begun array<bigint>"
+ASSIGNED = "uid long, file string, parent string, out long"
+
+
+def _columns(table: pa.Table) -> list[list]:
+    table = table.sort_by("pos")
+    return [table.column(c).to_pylist() for c in ("file", "parent", "n_chars", "ends", "uid")]
+
+
+def _summary(least: int):
+    """What a range of rows does to the state that its first parent comes in with: the state and the outputs begun for each
+    such state, if all of the range is one parent; else those of its last parent alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        file, parent, n, ends, _ = _columns(table)
+        key = list(zip(file, parent, strict=True))
+        whole = key[0] == key[-1]
+        at = 0 if whole else len(key) - next(k for k, x in enumerate(reversed(key)) if x != key[-1])
+        into = list(range(1 + 2 * least)) if whole else [0]
+        states, begun = into, [0] * len(into)
+        while at < len(key) and len(set(states)) > 1:
+            stepped = [_step(s, n[at], ends[at], least) for s in states]
+            states, begun, at = [s for s, _ in stepped], [b + c for b, (_, c) in zip(begun, stepped, strict=True)], at + 1
+        state, more = states[0], 0
+        for k in range(at, len(key)):
+            state, c = _step(state, n[k], ends[k], least)
+            more += c
+        if at < len(key):
+            states = [state] * len(into)
+        row = (table.column("pid")[0].as_py(), whole, *key[0], *key[-1], states, [b + more for b in begun])
+        names = ["pid", "whole", "first_file", "first_parent", "last_file", "last_parent", "states", "begun"]
+        kinds = [pa.int32(), pa.bool_(), *[pa.string()] * 4, pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    return run
+
+
+def _assign(least: int, incoming: dict[int, tuple[int, int, bool]]):
+    """The output of each row, and as a row without uid each parent's last output if that is short and not its first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        file, parent, n, ends, uid = _columns(table)
+        state, begun, goes_on = incoming[table.column("pid")[0].as_py()]
+        out, tails = [], []
+        for k in range(len(n)):
+            if k and (file[k] != file[k - 1] or parent[k] != parent[k - 1]):
+                if state and begun > 1:
+                    tails.append((None, file[k - 1], parent[k - 1], begun - 1))
+                state, begun = 0, 0
+            state, c = _step(state, n[k], ends[k], least)
+            begun += c
+            out.append(begun - 1)
+        if not goes_on and state and begun > 1:
+            tails.append((None, file[-1], parent[-1], begun - 1))
+        rows = list(zip(uid, file, parent, out, strict=True)) + tails
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["uid", "file", "parent", "out"])
 
     return run
 
 
-def merge_small(rows: DataFrame, least: int = MIN_LENGTH, span: int = 4096) -> DataFrame:
+def merge_small(rows: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
     """Rows of a (source_file, parent_post_id), by chunk_index and chunk_id, joined until each has `least` characters.
 
     A short row at the end joins the output before it; alone it stays (an orphan). A joined row has the fields of its leftmost
     row, but for text, chunk_id (the SHA-1 start of "left|m+right", chained), and, where rows has them, char_count,
     domains and categories (sorted unions) and notes (merged_with=, chained); n_merged counts its rows. Rows without a parent
-    (null or empty) pass untouched.
+    (null or empty) pass untouched; ties in chunk_index and chunk_id go by a hash of the text.
 
-    A row of `least` characters or more always ends an output. So a parent is cut behind each such row into runs, which
-    are numbered by counts over spans of `span` indexes, and only runs with a short row are put together; no task holds a parent.
+    Which rows join depends on lengths alone: those are dealt to ranges of the order, so that one parent may take up many ranges, whatever its
+    indexes. The length of the open output and whether it ends in a line feed are all that passes from a row to the next, so each range first
+    says what it makes of every such state; composed in order (a row for each range, on the driver), those give the state
+    in which each range begins, and the ranges then number their outputs side by side. The input is computed once, and texts are shuffled to meet
+    their numbers and, in outputs of several rows, each other.
     """
     names, key = rows.columns, ["file", "parent"]
-    parent = null_if_empty(F.col("parent_post_id"))
-    alone = rows.where(parent.isNull()).withColumn("n_merged", F.lit(1))
     text = empty_if_null(F.col("text"))
-    placed = rows.where(parent.isNotNull()).withColumns({"file": empty_if_null(F.col("source_file").cast("string")), "parent": F.col("parent_post_id").cast("string"), "at": F.coalesce(F.col("chunk_index"), F.lit(0)), "n_chars": F.length(text), "ends": text.endswith("\n")})
-    placed = placed.withColumn("text", text).withColumn("span", F.floor(F.col("at") / span))
-    long = (F.col("n_chars") >= least).cast("int")
-    order = ["at", "chunk_id", "text"]
-    spans = placed.groupBy(*key, "span").agg(F.sum(long).alias("n"))
-    upto = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(*key, "span", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*key, "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    runs = placed.withColumn("longs", F.coalesce(F.sum(long).over(inside), F.lit(0))).join(spans, [*key, "span"]).withColumn("run", F.col("base") + F.col("longs")).drop("base", "longs", "span")
-    runs = runs.withColumn("n_short", F.sum(1 - long).over(Window.partitionBy(*key, "run")))
-    kept = runs.where("n_short = 0").select(*key, "run", F.lit(0).alias("part"), *names, F.lit(1).alias("n_merged"), F.lit(True).alias("closed"))
-    short = runs.where("n_short > 0").drop("n_short").repartition(*key, "run").sortWithinPartitions(*key, "run", *order)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema)
-    short = short.mapInArrow(_parts(least), f"{kinds}, part int")
-    gathered = short.groupBy(*key, "run", "part").agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*names).alias("row")))).alias("x"), (F.max("n_chars") >= least).alias("closed"))
-    first, rest = F.col("x")[0]["row"], F.expr("transform(slice(x, 2, size(x)), e -> e.row)")
-    made = gathered.select(*key, "run", "part", *[_joined(c, first, rest).alias(c) for c in names], F.size("x").alias("n_merged"), "closed")
-    made = kept.unionByName(made)
-    # an output that is still short ends its parent, and joins the output before it
-    left = (F.length("text") < least) & ((F.col("run") > 0) | (F.col("part") > 0))
-    tail = made.where(left).select(*[F.col(c).alias(f"t_{c}") for c in key], F.struct(*names, "n_merged").alias("tail"), F.when(F.col("part") > 0, F.col("run")).otherwise(F.col("run") - 1).alias("to_run"), (F.col("part") - 1).alias("to_part"))
-    before = (F.col("part") == F.col("to_part")) | ((F.col("to_part") < 0) & F.col("closed"))
-    on = (F.col("file") == F.col("t_file")) & (F.col("parent") == F.col("t_parent")) & (F.col("run") == F.col("to_run")) & before
-    met = made.where(~left).join(tail, on, "left")
-    whole, end = F.struct(*names), F.when(F.col("tail").isNotNull(), F.array("tail")).otherwise(F.array().cast(_array_of(met, "tail")))
-    met = met.withColumn("first", whole).withColumn("rest", end)
-    done = met.select(*[_joined(c, F.col("first"), F.col("rest")).alias(c) for c in names], (F.col("n_merged") + F.coalesce("tail.n_merged", F.lit(0))).alias("n_merged"))
-    return alone.unionByName(done)
-
-
-def _array_of(df: DataFrame, name: str) -> str:
-    return f"array<{df.schema[name].dataType.simpleString()}>"
+    base = staged(rows.withColumn("uid", F.monotonically_increasing_id()))
+    parent = null_if_empty(F.col("parent_post_id"))
+    alone = base.where(parent.isNull()).select(*names, F.lit(1).alias("n_merged"))
+    order = ["file", "parent", "at", "chunk_id", "h", "uid"]
+    narrow = base.where(parent.isNotNull()).select(
+        empty_if_null(F.col("source_file").cast("string")).alias("file"), F.col("parent_post_id").cast("string").alias("parent"), F.coalesce(F.col("chunk_index"), F.lit(0)).alias("at"),
+        F.col("chunk_id"), F.xxhash64(text).alias("h"), "uid", F.length(text).alias("n_chars"), text.endswith("\n").alias("ends"),
+    )
+    ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = staged(ranged.select(*key, "n_chars", "ends", "uid", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("pos")))
+    incoming, state, begun, last = {}, 0, 0, None
+    found = sorted(ranged.groupBy("pid").applyInArrow(_summary(least), SUMMARY).collect(), key=lambda r: r["pid"])  # a row for each range
+    for r, after in zip(found, [*found[1:], None][: len(found)], strict=True):
+        first = (r["first_file"], r["first_parent"])
+        if first != last:
+            state, begun = 0, 0
+        last = (r["last_file"], r["last_parent"])
+        incoming[r["pid"]] = (state, begun, after is not None and (after["first_file"], after["first_parent"]) == last)
+        state, begun = (r["states"][state], begun + r["begun"][state]) if r["whole"] else (r["states"][0], r["begun"][0])
+    assigned = staged(ranged.groupBy("pid").applyInArrow(_assign(least, incoming), ASSIGNED))
+    tails = assigned.where("uid is null").select(*key, "out", F.lit(1).alias("back"))
+    outs = assigned.where("uid is not null").join(tails, [*key, "out"], "left").select("uid", *key, F.coalesce("back", F.lit(0)).alias("back"), (F.col("out") - F.coalesce("back", F.lit(0))).alias("out"))
+    outs = outs.withColumn("n_merged", F.count("*").over(Window.partitionBy(*key, "out")).cast("int"))
+    met = base.withColumn("text", F.when(parent.isNull(), F.col("text")).otherwise(text)).join(outs, "uid")
+    single = met.where("n_merged = 1").select(*names, "n_merged")
+    places = F.struct("back", F.coalesce(F.col("chunk_index"), F.lit(0)).alias("at"), F.col("chunk_id").alias("id"), F.xxhash64("text").alias("h"), "uid", F.struct(*names).alias("row"))
+    several = met.where("n_merged > 1").groupBy(*key, "out").agg(F.sort_array(F.collect_list(places)).alias("x"), F.first("n_merged").alias("n_merged"))
+    part = lambda back: F.expr(f"transform(filter(x, e -> e.back = {back}), e -> e.row)")
+    several = several.select("n_merged", part(0).alias("head"), part(1).alias("tail"))
+    # what joins the output before it is one row by then
+    first, rest = (lambda c: F.col(c)[0]), (lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1))))
+    end = F.transform(F.slice("tail", 1, 1), lambda t: F.struct(*[_joined(c, t, rest("tail")).alias(c) for c in names]))
+    several = several.select("n_merged", first("head").alias("first"), F.concat(rest("head"), end).alias("rest"))
+    made = several.select(*[_joined(c, F.col("first"), F.col("rest")).alias(c) for c in names], "n_merged")
+    return alone.unionByName(single).unionByName(made)
 
 
 def _joined(name: str, first: Column, rest: Column) -> Column:
@@ -254,8 +307,23 @@ def domain_flow(rows: DataFrame, *after: DataFrame) -> DataFrame:
     return counted.groupBy("domain").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
-def neighbour_context(rows: DataFrame, hits: DataFrame, reach: int = 1) -> DataFrame:
-    """(chunk_id, context): for each hit the texts of its parent from `reach` rows before to `reach` after, by chunk_index."""
-    around = Window.partitionBy("parent_post_id").orderBy("chunk_index", "chunk_id").rowsBetween(-reach, reach)
-    seen = rows.withColumn("context", F.array_join(F.collect_list(empty_if_null(F.col("text"))).over(around), "\n")).select("chunk_id", "context")
-    return seen.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+def neighbour_context(rows: DataFrame, hits: DataFrame, reach: int = 1, span: int = 4096) -> DataFrame:
+    """(chunk_id, context): for each hit the texts of its parent from `reach` rows before to `reach` after, by chunk_index and chunk_id.
+
+    A row without a parent (null) has no neighbours. Rows of a parent are counted over ranges of `span` indexes, and then dealt
+    to runs of about `span` rows, each with copies of `reach` rows of the runs on either side, so that no task sorts a large parent's texts.
+    """
+    text, span = empty_if_null(F.col("text")), max(span, 2 * reach + 1)
+    alone = rows.where("parent_post_id is null").select("chunk_id", text.alias("context"))
+    rows = rows.where("parent_post_id is not null").select("parent_post_id", F.coalesce(F.col("chunk_index"), F.lit(-1)).alias("at"), "chunk_id", text.alias("text"))
+    part = F.floor(F.col("at") / span)
+    counts = rows.groupBy("parent_post_id", part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("parent_post_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("parent_post_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("parent_post_id", "part").orderBy("at", "chunk_id")
+    placed = rows.withColumn("part", part).withColumn("nth", F.row_number().over(inside)).join(counts, ["parent_post_id", "part"]).withColumn("place", F.col("base") + F.col("nth"))
+    runs = F.array_distinct(F.transform(F.array(F.lit(-reach), F.lit(0), F.lit(reach)), lambda d: F.floor((F.col("place") + d) / span)))
+    copied = placed.select("parent_post_id", "place", "chunk_id", "text", F.explode(runs).alias("run"))
+    around = Window.partitionBy("parent_post_id", "run").orderBy("place").rowsBetween(-reach, reach)
+    seen = copied.withColumn("context", F.array_join(F.collect_list("text").over(around), "\n")).where(F.floor(F.col("place") / span) == F.col("run")).select("chunk_id", "context")
+    return seen.unionByName(alone).join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")

@@ -276,10 +276,10 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT seq, strategy, CAST(len(w) AS BIGINT) AS n_pieces, md5(array_to_string(w, chr(1))) AS pieces_md5 FROM ({sql_pieces('v_long')})")
 def general_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    general, kind = chunking.general_pieces(text)
-    short = F.length(text) <= chunking.MAX_LENGTH
-    pieces, strategy = F.when(short, F.array(text)).otherwise(general), F.when(short, "none").otherwise(kind)
-    return view(spark, sf_dir, "v_long").select("seq", strategy.alias("strategy"), F.size(pieces).cast("long").alias("n_pieces"), F.md5(F.array_join(pieces, "\u0001")).alias("pieces_md5"))
+    short = F.struct(F.array(text).alias("pieces"), F.lit("none").alias("strategy"))
+    cut = view(spark, sf_dir, "v_long").select("seq", F.when(F.length(text) <= chunking.MAX_LENGTH, short).otherwise(chunking.general_cut(text)).alias("cut"))
+    pieces, strategy = F.col("cut.pieces"), F.col("cut.strategy")
+    return cut.select("seq", strategy.alias("strategy"), F.size(pieces).cast("long").alias("n_pieces"), F.md5(F.array_join(pieces, "\u0001")).alias("pieces_md5"))
 
 
 # regulations with brackets of both widths, marked or not, paragraphs, plain texts, and cells of one report
@@ -463,9 +463,9 @@ def dept_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT chunk_id, md5(context) AS context_md5 FROM (SELECT chunk_id,
   CASE WHEN lag(text) OVER w IS NULL THEN '' ELSE lag(text) OVER w || chr(10) END || text || CASE WHEN lead(text) OVER w IS NULL THEN '' ELSE chr(10) || lead(text) OVER w END AS context
-  FROM v_lines WHERE parent_post_id IS NOT NULL WINDOW w AS (PARTITION BY parent_post_id ORDER BY chunk_index, chunk_id))""")
+  FROM v_lines WHERE parent_post_id IS NOT NULL WINDOW w AS (PARTITION BY parent_post_id ORDER BY chunk_index, chunk_id)) UNION ALL SELECT chunk_id, md5(text) FROM v_lines WHERE parent_post_id IS NULL""")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where("parent_post_id is not null")
+    rows = lines(spark, sf_dir)
     return chunking.neighbour_context(rows, rows).select("chunk_id", F.md5("context").alias("context_md5"))
 
 

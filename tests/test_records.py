@@ -117,7 +117,7 @@ def test_articles_of_both_brackets_and_exact_blank_lines(spark):
 def test_merged_records_unite_what_they_carry(spark):
     rows = [("f", "p", 0, "a", "x", [3], ["1.2"], None), ("f", "p", 1, "b", "y" * 60, [1, 3], ["1.1"], "seen"), ("f", "p", 2, "c", "z", [9], [], None), ("f", "", 0, "d", "alone", [1], [], None), (None, "q", 0, "e", "", [2], [], None)]
     table = spark.createDataFrame(rows, "source_file string, parent_post_id string, chunk_index int, chunk_id string, text string, domains array<int>, categories array<string>, notes string")
-    got = {(r["parent_post_id"], r["text"][:1]): r for r in chunking.merge_small(table, span=1).collect()}
+    got = {(r["parent_post_id"], r["text"][:1]): r for r in chunking.merge_small(table).collect()}
     one = got["p", "x"]
     assert (one["n_merged"], one["domains"], one["categories"], one["chunk_index"]) == (3, [1, 3, 9], ["1.1", "1.2"], 0)
     assert one["notes"] == "merged_with=b | merged_with=c" and one["text"] == "x\n\n" + "y" * 60 + "\n\nz"
@@ -152,3 +152,31 @@ def test_holders_meet_on_inner_tokens(spark):
     got = {(r["qa_id"], r["chunk_id"]) for r in retrieval.holders(rows, asked).collect()}
     assert got == {("q1", "c1"), ("q2", "c1"), ("q2", "c2")}
     assert evaluation.validate_raw(spark.createDataFrame([(1, "no json")], "seq int, raw string"), spark.createDataFrame([], "qa_id string")).first()["errors"][1:3] == ["no id", "domain"]
+
+
+@pytest.mark.parametrize("index", ["own", "null", "equal"])
+def test_merge_small_of_a_parent_over_many_ranges(spark, index):
+    """One parent takes up several ranges of rows; tiny rows leave outputs open from one range to the next."""
+    rng = random.Random(8)
+    texts = [rng.choice(["a", "bb\n", "", "c" * 30, "d" * 70, "e" * 49]) for _ in range(600)] + ["f"] * 900 + [""] * 40 + ["g"]
+    at = {"own": lambda i: i, "null": lambda i: None, "equal": lambda i: 5}[index]
+    rows = [("f", "hot", at(i), f"{i:05d}", t) for i, t in enumerate(texts)] + [("f", f"p{i}", 0, "x", "tiny") for i in range(50)]
+    table = spark.createDataFrame(rows, "source_file string, parent_post_id string, chunk_index int, chunk_id string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chunking.merge_small(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["text"] for r in got if r["parent_post_id"] == "hot") == sorted(merge_by_hand(texts))
+    assert sum(r["n_merged"] for r in got) == len(rows) and sum(r["parent_post_id"] != "hot" for r in got) == 50
+
+
+def test_neighbours_in_runs_and_without_a_parent(spark):
+    rows = [("p", i, f"c{i:03d}", f"t{i}") for i in range(100)] + [("q", None, f"n{i}", f"n{i}") for i in range(9)] + [(None, 1, "x", "x"), (None, 2, "y", None), ("r", 7, "z", "z")]
+    table = spark.createDataFrame(rows, "parent_post_id string, chunk_index int, chunk_id string, text string")
+    for reach in (1, 2):
+        got = {r["chunk_id"]: r["context"] for r in chunking.neighbour_context(table, table, reach, span=8).collect()}
+        own = [f"t{i}" for i in range(100)]
+        assert all(got[f"c{i:03d}"] == "\n".join(own[max(0, i - reach) : i + reach + 1]) for i in range(100))
+        assert got["n4"] == "\n".join(f"n{i}" for i in range(4 - reach, 5 + reach)) and (got["x"], got["y"], got["z"]) == ("x", "", "z")
+    assert chunking.neighbour_context(table, table.limit(0)).count() == 0
