@@ -61,11 +61,13 @@ def dedup_by_text(rows: DataFrame) -> DataFrame:
     return rows.join(wins, "seq", "left_semi")
 
 
-def aliases(rows: DataFrame, exact: bool = False) -> DataFrame:
-    """(winner_chunk_id, alias_count, aliases): for each final winner the rows that it replaced, by arrival.
+def alias_pieces(rows: DataFrame, exact: bool = False, span: int = 4096) -> DataFrame:
+    """(winner_seq, winner_chunk_id, piece, place, aliases): for each final winner the rows that it replaced, by arrival, in pieces.
 
-    With exact, the rows that an id's winner replaced follow it to the winner of its text only if it was the best of that
-    text so far when it came; else they stay with it, so that a row that is no winner of its text may be listed too.
+    A piece holds those of `span` successive arrivals, so however many copies a text has, no row and no task holds more of
+    them than that; place is the number of aliases in the winner's pieces before it. With exact, the rows that an id's winner replaced follow it
+    to the winner of its text only if it was the best of that text so far when it came; else they stay with it, so that a row that is no winner of
+    its text may be listed too.
     """
     mapped = duplicate_map(rows)
     lost = mapped.where("seq <> text_win")
@@ -74,11 +76,19 @@ def aliases(rows: DataFrame, exact: bool = False) -> DataFrame:
         best = _text_pass(rows).select(F.col("seq").alias("id_win"), "best_so_far")
         lost = lost.join(best, "id_win")
         to = F.when((F.col("seq") == F.col("id_win")) | F.col("best_so_far"), F.col("text_win")).otherwise(F.col("id_win"))
-    lost = lost.where(F.col("seq") != to).select("seq", to.alias("to"))
+    lost = lost.where(F.col("seq") != to).select("seq", to.alias("winner_seq"))
     alias = F.struct("seq", "source_url", "parent_post_id", "chunk_id", "source_type", "source_file")
-    winner = rows.select(F.col("seq").alias("to"), F.col("chunk_id").alias("winner_chunk_id"))
-    listed = lost.join(rows, "seq").groupBy("to").agg(F.sort_array(F.collect_list(alias)).alias("aliases"))
-    return listed.join(winner, "to").select("winner_chunk_id", F.size("aliases").alias("alias_count"), "aliases")
+    winner = rows.select(F.col("seq").alias("winner_seq"), F.col("chunk_id").alias("winner_chunk_id"))
+    pieces = lost.join(rows, "seq").groupBy("winner_seq", F.floor(F.col("seq") / span).alias("piece")).agg(F.sort_array(F.collect_list(alias)).alias("aliases"))
+    before = Window.partitionBy("winner_seq").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.join(winner, "winner_seq").withColumn("place", F.coalesce(F.sum(F.size("aliases")).over(before), F.lit(0)))
+    return sizes.select("winner_seq", "winner_chunk_id", "piece", "place", "aliases")
+
+
+def aliases(rows: DataFrame, exact: bool = False) -> DataFrame:
+    """(winner_chunk_id, alias_count, aliases): alias_pieces() put together, a row for each winner; for texts with few copies."""
+    pieces = alias_pieces(rows, exact).groupBy("winner_seq", "winner_chunk_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "aliases"))), lambda p: p["aliases"])).alias("aliases"))
+    return pieces.select("winner_chunk_id", F.size("aliases").alias("alias_count"), "aliases")
 
 
 def _text_pass(rows: DataFrame) -> DataFrame:

@@ -82,6 +82,41 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+class Sizes:
+    """What an element holds: characters and number of its texts (not those inside NOISE), characters of the links below, and headings below."""
+
+    __slots__ = ("chars", "texts", "linked", "h2", "h3")
+
+    def __init__(self):
+        self.chars = self.texts = self.linked = self.h2 = self.h3 = 0
+
+    @property
+    def length(self) -> int:
+        """Characters of the element's text, its parts glued by one character."""
+        return self.chars + max(0, self.texts - 1)
+
+
+def measure(nodes: list[Node]) -> dict[int, Sizes]:
+    """Sizes of elements by id(); nodes are a root and all below in the order of the page, so that the last come first and each is added to its parent once."""
+    found = {id(n): Sizes() for n in nodes}
+    for node in reversed(nodes):
+        own = found[id(node)]
+        for item in node.items:
+            if not isinstance(item, Node):
+                said = len(item.strip())
+                own.chars += said
+                own.texts += said > 0
+                continue
+            below = found[id(item)]
+            if item.tag not in NOISE:
+                own.chars += below.chars
+                own.texts += below.texts
+            own.linked += below.linked + (below.length if item.tag == "a" else 0)
+            own.h2 += below.h2 + (item.tag == "h2")
+            own.h3 += below.h3 + (item.tag == "h3")
+    return found
+
+
 def container(root: Node, wanted: tuple[str, ...] = CONTAINERS) -> tuple[str, Node]:
     """The first wanted id or class of the page, else main, article, body or all of it; with its name."""
     for name in wanted:

@@ -42,33 +42,32 @@ SHORT_BODY = "(본문 짧음 - 첨부 참조)"
 def _read(page_id: int, url: str, source: str, wanted: tuple[str, ...]) -> tuple:
     root = html.parse(source)
     name, box = html.container(root, wanted)
-    title = root.first(lambda n: n.tag == "title")
-    heads = {tag: [n.text(" ") for n in root.walk() if n.tag == tag] for tag in ("h1", "h2", "h3")}
-    links, divs = [], []
-    for n in root.walk():
-        if n.tag == "a" and n.attrs.get("href"):
+    nodes = [root, *root.walk()]
+    sizes = html.measure(nodes)
+    by_tag: dict[str, list[html.Node]] = {}
+    for n in nodes:
+        by_tag.setdefault(n.tag, []).append(n)
+    heads = {tag: [n.text(" ") for n in by_tag.get(tag, ())[:most]] for tag, most in (("h1", 10), ("h2", 20), ("h3", 30))}
+    links = []
+    for n in by_tag.get("a", ()):
+        if n.attrs.get("href"):
             links.append({"text": n.text(" "), "href": urljoin(url or "", n.attrs["href"]) if not n.attrs["href"].startswith(("javascript:", "mailto:", "tel:", "#")) else n.attrs["href"]})
-        elif n.tag == "div":
-            length = len(n.text())
-            if length >= 100:
-                divs.append({"n": length, "link_ratio": sum(len(a.text()) for a in n.walk() if a.tag == "a") / length})
-    body = root.first(lambda n: n.tag == "body") or root
+    long = [s for s in (sizes[id(n)] for n in by_tag.get("div", ())) if s.length >= 100]
+    title, body = by_tag.get("title", [None])[0], by_tag.get("body", [root])[0]
     return (
-        page_id, url, title.text(" ") if title else None, name, len(source or ""), len(body.text()), heads["h1"][:10], heads["h2"][:20], heads["h3"][:30],
-        [{"path": p, "text": t} for p, t in html.sections(box)], links, html.table_rows(root), divs, box.text(), _boxes(root, wanted),
+        page_id, url, title.text(" ") if title else None, name, len(source or ""), sizes[id(body)].length, heads["h1"], heads["h2"], heads["h3"],
+        [{"path": p, "text": t} for p, t in html.sections(box)], links, html.table_rows(root), [{"n": s.length, "link_ratio": s.linked / s.length} for s in long], box.text(), _boxes(nodes, sizes, wanted),
     )
 
 
-def _boxes(root: html.Node, wanted: tuple[str, ...]) -> list[dict]:
+def _boxes(nodes: list[html.Node], sizes: dict[int, html.Sizes], wanted: tuple[str, ...]) -> list[dict]:
     """All elements of the wanted ids and classes: length of text, and headings inside."""
-    out = []
-    for name in wanted:
-        kind, value = name.split("=")
-        for n in root.walk():
-            if value in (n.attrs.get(kind) or "").split():
-                inside = [x.tag for x in n.walk()]
-                out.append({"name": name, "n": len(n.text(" ")), "h2": inside.count("h2"), "h3": inside.count("h3")})
-    return out
+    named: dict[str, list[html.Sizes]] = {}
+    for n in nodes:
+        for kind in ("id", "class"):
+            for value in dict.fromkeys((n.attrs.get(kind) or "").split()):
+                named.setdefault(f"{kind}={value}", []).append(sizes[id(n)])
+    return [{"name": name, "n": s.length, "h2": s.h2, "h3": s.h3} for name in wanted for s in named.get(name, ())]
 
 
 def _parse(wanted: tuple[str, ...]):
@@ -153,8 +152,8 @@ def link_candidates(parsed: DataFrame, score: Column | None = None, top: int = 3
     """(page_id, href, text, score, status): of each page the best distinct links that score; no_candidate without one.
 
     score is an expression over the link's text and href, link_score() of the text if none is given. direct(page_id, urls)
-    names pages whose addresses are known: those take the place of what the page links to, at score 10 (ok_direct). With
-    same_host only links to the page's own host count.
+    names pages whose addresses are known: those take the place of what the page links to, as they are listed, repeats too, at score 10 (ok_direct). Texts are
+    scored whole and shown up to 80 characters. With same_host only links to the page's own host count.
     """
     links = parsed.select("page_id", "url", F.posexplode("links").alias("ord", "link")).select("page_id", "url", "ord", "link.text", "link.href").where(~F.col("href").rlike("^(javascript:|mailto:|tel:|#)"))
     if same_host:
@@ -164,9 +163,10 @@ def link_candidates(parsed: DataFrame, score: Column | None = None, top: int = 3
     best = once.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))).where(F.col("nth") <= top)
     pages, known = parsed.select("page_id"), None
     if direct is not None:
-        known = direct.select("page_id", F.explode("urls").alias("href")).distinct()
+        known = direct.select("page_id", F.explode("urls").alias("href"))
         pages = pages.join(known.select("page_id").distinct(), "page_id", "left_anti")
-    found = pages.join(best.drop("ord", "nth"), "page_id", "left").withColumn("status", F.when(F.col("href").isNull(), "no_candidate").otherwise("ok"))
+    best = best.select("page_id", F.substring("text", 1, 80).alias("text"), "href", "score")
+    found = pages.join(best, "page_id", "left").withColumn("status", F.when(F.col("href").isNull(), "no_candidate").otherwise("ok"))
     if known is None:
         return found
     return found.unionByName(known.select("page_id", "href", F.lit("[direct_url]").alias("text"), F.lit(10).alias("score"), F.lit("ok_direct").alias("status")))

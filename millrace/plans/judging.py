@@ -68,15 +68,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("sources", sources).withColumn("expected_source_urls", F.when(F.col("expected") != "", F.array("expected")).otherwise(F.array().cast("array<string>")))
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged(spark: SparkSession, sf_dir: str, done: str = "false") -> DataFrame:
+    """Answers judged, but for those that a condition says to be done."""
     rows = answers(spark, sf_dir)
-    return E.judge_rows(rows, rows.select("qa_id", raw().alias("judge_raw")), rows.limit(0))
+    return E.judge_rows(rows, rows.select("qa_id", raw().alias("judge_raw")), rows.where(done))
 
 
-@query("""SELECT qa_id, judge_score, judge_source, CASE WHEN judge_source = 'llm' THEN 'because of it' END AS judge_reason FROM v_judged""")
+@query("""SELECT qa_id, judge_score, judge_source, CASE WHEN judge_source = 'llm' THEN 'because of it' END AS judge_reason FROM v_judged WHERE conv_id % 8 <> 3""")
 def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All answers judged, none having been before."""
-    found = judged(spark, sf_dir)
+    """All answers judged, but for those of every eighth conversation, which have been before."""
+    found = judged(spark, sf_dir, "conv_id % 8 = 3")
     return found.select("qa_id", "judge_score", "judge_source", "judge_reason")
 
 

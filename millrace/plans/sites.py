@@ -15,17 +15,32 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.parse_pages(table(spark, sf_dir, "pages"))
 
 
-@query("""SELECT page_id, CAST(length(html) AS INT) AS n_raw, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS INT) AS n_h1, 'article' AS container FROM pages""")
+# the given pages as SQL reads them: their elements are known, so texts are what stands between tags
+SQL_DECODED = lambda x: f"replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', chr(2), 'g'), '&nbsp;', chr(160)), chr(2), '&')"
+SQL_TEXTS = lambda x: f"list_filter(list_transform(regexp_split_to_array({x}, '<[^>]*>'), lambda t: trim({SQL_DECODED('t')})), lambda t: t <> '')"
+VIEWS["v_pages"] = f"""
+SELECT page_id, url, html, array_to_string({SQL_TEXTS("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, ' ') AS title, {SQL_TEXTS("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")} AS said,
+  {SQL_TEXTS("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->', '', 'g')")} AS shown,
+  list_transform(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1), lambda h: array_to_string({SQL_TEXTS('h')}, ' ')) AS h1,
+  list_transform(regexp_extract_all(html, '(?s)<div[^>]*>(.*?)</div>', 1), lambda d: length(array_to_string({SQL_TEXTS('d')}, ' '))) AS divs
+FROM pages"""
+
+
+@query("""SELECT page_id, title, CASE WHEN contains(html, '<article>') THEN 'article' ELSE 'body' END AS container, CAST(length(html) AS INT) AS n_raw, CAST(length(array_to_string(shown, ' ')) AS INT) AS n_text, array_to_string(h1[1:10], '|') AS h1,
+  '' AS h2, '' AS h3, 0 AS n_boxes, CAST(len(h1) AS INT) AS n_h1, 0 AS n_h2, 0 AS n_h3, array_to_string(list_transform(list_reverse_sort(list_filter(divs, lambda n: n >= 100))[1:15], lambda n: CAST(n AS STRING) || ':0.0'), ',') AS divs FROM v_pages""")
 def page_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.inspect(parsed(spark, sf_dir)).select("page_id", "n_raw", "n_h1", "container")
+    found = pages.inspect(parsed(spark, sf_dir))
+    divs = F.array_join(F.transform("divs", lambda d: F.concat_ws(":", d["n"].cast("string"), d["link_ratio"].cast("string"))), ",")
+    return found.select("page_id", "title", "container", "n_raw", "n_text", *[F.array_join(h, "|").alias(h) for h in ("h1", "h2", "h3")], F.size("boxes").alias("n_boxes"), "n_h1", "n_h2", "n_h3", divs.alias("divs"))
 
 
-@query()
+@query("""SELECT page_id, url, CASE WHEN title = '' THEN url ELSE title END AS title, 0 AS chunk_index, 'body' AS section_path, array_to_string(said, chr(10)) AS text FROM v_pages WHERE len(said) > 0""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_sections(parsed(spark, sf_dir))
 
 
-@query()
+@query("""SELECT page_id, url AS source_url, CASE WHEN title = '' THEN url ELSE title END AS source_title, 'T1' AS source_type, 0 AS chunk_index, 'body' AS section_path, text, CAST(length(text) AS INT) AS char_count, 'static' AS freshness,
+  substring(sha1(url || '|0|' || substring(text, 1, 256)), 1, 16) AS chunk_id FROM (SELECT *, array_to_string(said, chr(10)) AS text FROM v_pages) WHERE length(text) >= 30""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_chunks(parsed(spark, sf_dir))
 
@@ -48,7 +63,14 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("page_id % 3 < 2").select("page_id", F.col("row").cast("long").alias("row"), F.array_join("cells", ",").alias("cells"))
 
 
-@query()
+# each page's links in order, the first of each address
+VIEWS["v_links"] = f"""
+SELECT page_id, url, any_value(text ORDER BY ord) AS text, href, min(ord) AS ord FROM (SELECT page_id, url, ord, array_to_string({SQL_TEXTS('said')}, ' ') AS text, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {SQL_DECODED('place')} AS href FROM (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS place, unnest(regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1)) AS said, unnest(range(len(regexp_extract_all(html, '<a href='))))  AS ord FROM pages)) WHERE length(text) > 0 GROUP BY page_id, url, href"""
+
+
+@query("""SELECT page_id, substring(text, 1, 80) AS text, href, CAST(length(text) AS INT) AS score, 'ok' AS status FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(text) DESC, ord) AS nth FROM v_links WHERE page_id % 5 <> 0) WHERE nth <= 3
+UNION ALL SELECT page_id, NULL, NULL, NULL, 'no_candidate' FROM pages WHERE page_id % 5 <> 0 AND page_id NOT IN (SELECT page_id FROM v_links) UNION ALL SELECT page_id, '[direct_url]', url, 10, 'ok_direct' FROM pages WHERE page_id % 5 = 0""")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     direct = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select("page_id", F.array("url").alias("urls"))
     return pages.link_candidates(parsed(spark, sf_dir), F.length("text"), direct=direct)

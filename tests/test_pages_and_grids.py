@@ -1,6 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
-from millrace.operators import grids, pages
+from millrace.operators import grids, html, pages
 from millrace.schemas import CELL
 from millrace.sources import files
 
@@ -77,3 +79,22 @@ def test_files_round_trip(spark, tmp_path):
     grid = spark.createDataFrame([("r", 1, 0, 0, "x"), ("r", 1, 0, 2, "y")], "report_id string, page int, row int, col int, text string")
     files.write_grid_csv(grid, str(tmp_path / "csv"), 3)
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).select("c0", "c1", "c2").first().asDict() == {"c0": "x", "c1": None, "c2": "y"}
+
+
+def test_sizes_by_one_traversal():
+    """As walking each element gives them, and in time that grows with the elements, however deep they lie."""
+    source = "<body><div id=a>one<div><a href=x>two <b>bold</b></a><nav>menu<a>three</a><h3>n</h3></nav></div><h2>head</h2></div><div> </div></body>"
+    root = html.parse(source)
+    nodes = [root, *root.walk()]
+    sizes = html.measure(nodes)
+    for n in nodes:
+        got = sizes[id(n)]
+        below = list(n.walk())
+        assert (got.length, got.linked, got.h2, got.h3) == (len(n.text()), sum(len(x.text()) for x in below if x.tag == "a"), sum(x.tag == "h2" for x in below), sum(x.tag == "h3" for x in below))
+    took = []
+    for depth in (1_000, 4_000):
+        nodes = [root := html.parse("<div>word " * depth), *root.walk()]
+        began = time.perf_counter()
+        assert max(s.length for s in html.measure(nodes).values()) == 5 * depth - 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0]

@@ -180,3 +180,11 @@ def test_neighbours_in_runs_and_without_a_parent(spark):
         assert all(got[f"c{i:03d}"] == "\n".join(own[max(0, i - reach) : i + reach + 1]) for i in range(100))
         assert got["n4"] == "\n".join(f"n{i}" for i in range(4 - reach, 5 + reach)) and (got["x"], got["y"], got["z"]) == ("x", "", "z")
     assert chunking.neighbour_context(table, table.limit(0)).count() == 0
+
+
+def test_alias_pieces_of_a_text_with_many_copies(spark):
+    rows = chunk(spark, [(k, f"id{k}", "same" if k % 3 else f"own {k}", "T1", None, 4) for k in range(300)])
+    pieces = dedup.alias_pieces(rows, span=16).orderBy("piece").collect()
+    assert {r["winner_chunk_id"] for r in pieces} == {"id1"} and all(len(r["aliases"]) <= 16 for r in pieces) and len(pieces) == 19
+    assert [a["seq"] for r in pieces for a in r["aliases"]] == [k for k in range(2, 300) if k % 3]
+    assert [r["place"] for r in pieces] == [sum(len(q["aliases"]) for q in pieces[:i]) for i in range(len(pieces))]
