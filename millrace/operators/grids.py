@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, null_if_empty, sha16, strip
 from millrace.operators.sizes import hinted
+from millrace.sources.tables import staged
 
 # fixed values
 HEADER_WORDS = (
@@ -19,48 +22,105 @@ YEAR_KEY = "기준연도"
 PAGE = ["report_id", "page"]
 
 
-def build_grid(cells: DataFrame) -> DataFrame:
-    """(report_id, page, row, col, text): what covers the middle of each slot between the lines of a page's cells.
+LARGE_PAGE = 200_000
 
-    A cell whose corner is the slot's comes first (the first in document order), then the uppermost, leftmost one.
-    Every edge of a cell is a line of its page, so the lines are numbered, and each cell is laid on the slots between the
-    numbers of its own edges; the work grows with the grid, not with cells times slots. Cells of no width or height cover nothing.
-    """
+
+def _by_page(rows: DataFrame, large: int, usual: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """usual() of the rows dealt by page once, which all its windows and groups then share; split() of the pages with more than `large` rows, counted first."""
+    rows = staged(rows)
+    many = staged(rows.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > large).drop("n"))
+    if many.isEmpty():
+        return usual(rows.repartition(*PAGE))
+    same = [rows[c].eqNullSafe(many[c]) for c in PAGE]
+    return usual(rows.join(many, same, "left_anti").repartition(*PAGE)).unionByName(split(rows.join(many, same, "left_semi")))
+
+
+def _placed(cells: DataFrame) -> DataFrame:
+    """Cells with the numbers of their edges among the lines of their page, which one window gathers."""
+    page = Window.partitionBy(*PAGE)
+    lines = lambda at, size: F.sort_array(F.array_union(F.collect_set(at).over(page), F.collect_set(at + size).over(page)))
+    cells = cells.withColumns({"text": empty_if_null(F.col("text")), "xs": lines(F.col("x"), F.col("w")), "ys": lines(F.col("y"), F.col("h"))})
+    no = lambda all_, at: F.array_position(all_, at) - 1
+    numbers = {"x0": no(F.col("xs"), F.col("x")), "x1": no(F.col("xs"), F.col("x") + F.col("w")), "y0": no(F.col("ys"), F.col("y")), "y1": no(F.col("ys"), F.col("y") + F.col("h"))}
+    return cells.select(*PAGE, "ord", "x", "y", "text", *[c.alias(k) for k, c in numbers.items()])
+
+
+def _placed_split(cells: DataFrame) -> DataFrame:
+    """As _placed(): the distinct lines alone are numbered, and edges join them, so that a page is split over tasks."""
     own = [*PAGE, "ord", "x", "y", "w", "h"]
     edge = lambda axis, end, at: F.struct(F.lit(axis).alias("axis"), F.lit(end).alias("end"), at.alias("line"))
     ends = F.array(edge("x", "from", F.col("x")), edge("x", "to", F.col("x") + F.col("w")), edge("y", "from", F.col("y")), edge("y", "to", F.col("y") + F.col("h")))
     edges = cells.select(*own, empty_if_null(F.col("text")).alias("text"), F.explode(ends).alias("e")).select(*own, "text", "e.*")
-    numbered = edges.withColumn("no", F.dense_rank().over(Window.partitionBy(*PAGE, "axis").orderBy("line")) - 1)
+    lines = edges.select(*[F.col(c).alias(f"of_{c}") for c in (*PAGE, "axis", "line")]).distinct()
+    lines = lines.withColumn("no", F.dense_rank().over(Window.partitionBy(*[f"of_{c}" for c in (*PAGE, "axis")]).orderBy("of_line")) - 1)
+    numbered = edges.join(lines, [edges[c].eqNullSafe(lines[f"of_{c}"]) for c in (*PAGE, "axis", "line")]).select(*edges.columns, "no")
     at = lambda axis, end: F.max(F.when((F.col("axis") == axis) & (F.col("end") == end), F.col("no")))
-    placed = numbered.groupBy(*own).agg(F.min("text").alias("text"), at("x", "from").alias("x0"), at("x", "to").alias("x1"), at("y", "from").alias("y0"), at("y", "to").alias("y1")).where("x0 < x1 and y0 < y1")
+    return numbered.groupBy(*own).agg(F.min("text").alias("text"), at("x", "from").alias("x0"), at("x", "to").alias("x1"), at("y", "from").alias("y0"), at("y", "to").alias("y1"))
+
+
+def _laid(cells: DataFrame, split: bool) -> DataFrame:
+    """The first cell on each slot between the numbers of cells' edges."""
+    placed = (_placed_split if split else _placed)(cells).where("x0 < x1 and y0 < y1")
     rows = placed.withColumn("row", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("col", F.explode(F.sequence("x0", F.col("x1") - 1)))
     other = F.when((F.col("col") == F.col("x0")) & (F.col("row") == F.col("y0")), 0).otherwise(1)
     rank = F.struct(other, F.when(other == 0, F.col("ord")), "y", "x", "ord")
     return rows.groupBy(*PAGE, "row", "col").agg(F.min_by("text", rank).alias("text"))
 
 
+def build_grid(cells: DataFrame, large: int = LARGE_PAGE) -> DataFrame:
+    """(report_id, page, row, col, text): what covers the middle of each slot between the lines of a page's cells.
+
+    A cell whose corner is the slot's comes first (the first in document order), then the uppermost, leftmost one.
+    Every edge of a cell is a line of its page, so the lines are numbered, and each cell is laid on the slots between the
+    numbers of its own edges; the work grows with the grid, not with cells times slots. Cells of no width or height cover nothing. Cells are dealt
+    by page once; pages of more than `large` cells are split over tasks.
+    """
+    return _by_page(cells, large, lambda c: _laid(c, False), lambda c: _laid(c, True))
+
+
 def _headed(grid: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """The grid with its page's header row; all windows are of a page or parts of it."""
-    hits = F.sum(F.col("text").isin(*words).cast("int")).over(Window.partitionBy(*PAGE, "row"))
+    """The grid with its page's header row; all windows are of whole pages, one of them over the cells of the same row."""
+    hits = F.sum(F.col("text").isin(*words).cast("int")).over(Window.partitionBy(*PAGE).orderBy("row").rangeBetween(0, 0))
     best = F.max(F.when(F.col("hits") >= 2, F.struct("hits", (-F.col("row")).alias("up")))).over(Window.partitionBy(*PAGE))
-    return grid.repartition(*PAGE).withColumn("hits", hits).withColumn("header", F.coalesce(-best["up"], F.lit(0))).drop("hits")
+    return grid.withColumn("hits", hits).withColumn("header", F.coalesce(-best["up"], F.lit(0))).drop("hits")
 
 
-def header_rows(grid: DataFrame, words: tuple[str, ...] = HEADER_WORDS) -> DataFrame:
-    """(report_id, page, header): the row with most header words, two at least, the first of equal ones; else row 0."""
-    return _headed(grid, words).groupBy(*PAGE).agg(F.max("header").alias("header"))
+def _headers(grid: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """(report_id, page, header) by sums of rows, and the best of a page."""
+    hits = grid.groupBy(*PAGE, "row").agg(F.sum(F.col("text").isin(*words).cast("int")).alias("hits"))
+    best = F.max(F.when(F.col("hits") >= 2, F.struct("hits", (-F.col("row")).alias("up"))))
+    return hits.groupBy(*PAGE).agg(F.coalesce(-best["up"], F.lit(0)).alias("header"))
 
 
-def grid_records(grid: DataFrame, words: tuple[str, ...] = HEADER_WORDS) -> DataFrame:
-    """(report_id, page, row, record): rows below the header as maps; empty heads are left out, of equal ones the last holds, blank rows go."""
-    name = F.max(F.when(F.col("row") == F.col("header"), F.col("text"))).over(Window.partitionBy(*PAGE, "col"))
-    cells = _headed(grid, words).withColumn("name", name).where("row > header and name <> ''")
-    last = cells.groupBy(*PAGE, "row", "name").agg(F.max_by("text", "col").alias("value"))
+def header_rows(grid: DataFrame, words: tuple[str, ...] = HEADER_WORDS) -> DataFrame:
+    """(report_id, page, header): the row with most header words, two at least, the first of equal ones; else row 0."""
+    return _headers(grid, words)
+
+
+def _named(grid: DataFrame, words: tuple[str, ...], split: bool) -> DataFrame:
+    if split:
+        on = [f"of_{c}" for c in PAGE]
+        heads = _headers(grid, words).toDF(*on, "header")
+        cells = grid.join(heads, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in PAGE]).drop(*on)
+        names = cells.where("row = header").select(*[F.col(c).alias(f"of_{c}") for c in (*PAGE, "col")], F.col("text").alias("name"))
+        cells = cells.join(names, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*PAGE, "col")]).drop(*on, "of_col")
+    else:
+        name = F.max(F.when(F.col("row") == F.col("header"), F.col("text"))).over(Window.partitionBy(*PAGE, "col"))
+        cells = _headed(grid, words).withColumn("name", name)
+    last = cells.where("row > header and name <> ''").groupBy(*PAGE, "row", "name").agg(F.max_by("text", "col").alias("value"))
     record = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value"))))
     rows = last.groupBy(*PAGE, "row").agg(record.alias("record"), F.max(strip(F.col("value")) != "").alias("told"))
     return rows.where("told").drop("told")
 
 
+def grid_records(grid: DataFrame, words: tuple[str, ...] = HEADER_WORDS, large: int = LARGE_PAGE) -> DataFrame:
+    """(report_id, page, row, record): rows below the header as maps; empty heads are left out, of equal ones the last holds, blank rows go.
+
+    As in build_grid(), a page is dealt out once, and split if it has more than `large` slots.
+    """
+    return _by_page(grid, large, lambda g: _named(g, words, False), lambda g: _named(g, words, True))
+
+
 def report_meta(cells: DataFrame, above: int = 40) -> DataFrame:
     """(report_id, title, author, verifier, last_verified) from the top cells: the first title, the last of the others."""
     top = cells.where((F.col("y") < above) & (empty_if_null(F.col("text")) != ""))

@@ -1,3 +1,4 @@
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -98,3 +99,15 @@ def test_sizes_by_one_traversal():
         assert max(s.length for s in html.measure(nodes).values()) == 5 * depth - 1
         took.append(time.perf_counter() - began)
     assert took[1] < 16 * took[0]
+
+
+def test_large_pages_are_split_to_the_same_grid(spark):
+    rng = random.Random(9)
+    words = [*grids.HEADER_WORDS[:4], "", "v"]
+    rows = [(r, 1, k, x * 10, y * 10, rng.choice([10, 10, 20]), rng.choice([10, 10, 20]), rng.choice(words) if y < 2 else f"{r}{k}") for r in ("a", "b", None) for k, (y, x) in enumerate((y, x) for y in range(6) for x in range(5))]
+    cells = spark.createDataFrame(rows, "report_id string, page int, ord int, x int, y int, w int, h int, text string")
+    whole, cut = grids.build_grid(cells), grids.build_grid(cells, large=0)
+    told = lambda df: sorted((repr(tuple(r)) for r in df.collect()))
+    assert told(whole) == told(cut) and whole.count() > 90
+    assert told(grids.grid_records(whole).where("report_id is not null")) == told(grids.grid_records(whole, large=0).where("report_id is not null"))
+    assert told(grids.grid_records(whole)) == told(grids.grid_records(whole, large=0))
