@@ -167,18 +167,18 @@ def nearest(
     unless their centre and radius rule out any score above the query's k-th best so far; the result is then
     exact, whatever the vectors.
 
-    Vectors that are null, empty or zero, hold null or non-finite components, or differ in length from the most
-    common length take no part, nor do null ids. Rows that repeat an id and a vector count once; an id with
+    Vectors that are null, empty or zero, or hold null or non-finite components take no part, nor do null ids. Vectors
+    of several lengths meet as if the shorter ones ended in zeros. Rows that repeat an id and a vector count once; an id with
     several vectors can be returned for each. Columns other than vec_id and embedding are not read, unless
     `asked` names them. Fewer candidates than k give them all; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), asked.alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    facts = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     spark = vectors.sparkSession
-    if not sizes:
+    if facts["dim"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, top = sizes[0]["dim"], float(sizes[0]["top"]) ** 0.5
-    rows = rows.where(F.size("v") == dim)
+    dim, top = facts["dim"], float(facts["top"]) ** 0.5
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), dim - F.size("v"))))
     keep = k + 1
     key = F.xxhash64("v"), F.xxhash64(F.lit(seed), "v")
     local = rows.select("vec_id", "v").mapInArrow(_gather(keep), "ids array<long>, v array<double>")

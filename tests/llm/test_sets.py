@@ -244,8 +244,9 @@ def test_nearest_is_exact_with_odd_vectors(spark):
     for r in neighbours.nearest(table, F.col("vec_id") % 5 == 0, k=10, window=16, block=64).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     want = {}
-    for q in range(0, 300, 5):
-        scores = [(sum(a * b for a, b in zip(m[q], v, strict=True)), i) for i, v in enumerate(m) if i != q]
+    points = {**dict(enumerate(m)), 1025: np.array([1.0, 2.0] + [0.0] * 6)}  # a shorter vector ends in zeros
+    for q in [*range(0, 300, 5), 1025]:
+        scores = [(sum(a * b for a, b in zip(points[q], v, strict=True)), i) for i, v in points.items() if i != q]
         want[q] = sorted(((round(-s, 9), i) for s, i in scores))[:10]
     assert set(got) == set(want)
     for q in want:
