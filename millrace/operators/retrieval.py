@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, strip
 from millrace.operators.containment import holding
 from millrace.operators.sizes import hinted
-from millrace.sources.tables import shared_folder, staged
+from millrace.sources.tables import remove, shared_folder, staged
 
 # fixed values
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -23,8 +24,7 @@ FALLBACK_SCORE = 0.15
 
 def regex_tokens(text: Column) -> Column:
     """Lower-case runs of letters or of digits; single digits are dropped. The slot for other analysers."""
-    found = F.regexp_extract_all(F.lower(empty_if_null(text)), F.lit(r"(\p{L}+|\d+)"), 1)
-    return F.filter(found, lambda t: ~t.rlike(r"^\d$"))
+    return F.regexp_extract_all(F.lower(empty_if_null(text)), F.lit(r"\p{L}+|\d{2,}"), F.lit(0))
 
 
 def token_stats(rows: DataFrame, tokens: Callable[[Column], Column] = regex_tokens) -> DataFrame:
@@ -45,14 +45,44 @@ def counted(tokens: Column) -> Column:
     return let(F.sort_array(tokens), runs)
 
 
+def _listed(schema: str):
+    """Posting lists of the blocks in batches of (track, block, chunk_id, dl, t), block after block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            track, block, chunk, dl, t = batch.columns
+            new = np.flatnonzero(np.diff(block.to_numpy()) != 0) + 1
+            turn = np.flatnonzero(pc.fill_null(pc.not_equal(track[1:], track[:-1]), True).to_numpy(zero_copy_only=False)) + 1
+            cuts = np.unique(np.concatenate([[0], new, turn, [len(batch)]]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = t.slice(i, j - i)
+                words = part.flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                rows = np.repeat(np.arange(j - i), np.diff(part.offsets.to_numpy()))
+                met, tf = np.unique(words.indices.to_numpy().astype(np.int64) * (j - i) + rows, return_counts=True)
+                code, row = np.divmod(met, j - i)
+                ends = np.searchsorted(code, np.arange(len(words.dictionary) + 1))
+                row = pa.array(row + i)
+                item = pa.StructArray.from_arrays([chunk.take(row), pa.array(tf.astype(np.int32)), dl.take(row)], ["chunk_id", "tf", "dl"])
+                n = len(words.dictionary)
+                yield pa.RecordBatch.from_arrays(
+                    [track.take(pa.array(np.full(n, i))), words.dictionary, pa.array(np.full(n, block[i].as_py())), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item)], names
+                )
+
+    return run
+
+
 class Bm25Index:
     """An inverted index over rows(track, chunk_id, text), built once and written as tables; open() reads it again.
 
-    `documents` has each chunk's length and counted terms, and its block: the chunks of a partition in order of track and length, `block` at a time, so
-    that those of one block weigh a term alike. `postings` has one row for each term of a block: its chunks with their counts and
-    lengths, and `best`, the largest weight of the term in that block. Rows are laid out by ranges of terms. No row holds more than a
+    `documents` has each chunk's length and its block: the chunks of a partition in order of track and length, `block` at a time, so
+    that those of one block weigh a term alike. `postings` has a row for each term of a block (two, if a block was read in two pieces): its
+    chunks with their counts and lengths, and `best`, the largest weight of the term there. All terms of a block stand in one file, sorted by term, so
+    no posting is shuffled: not to be laid down, and in scores() only a chunk's sum over its terms is. No row holds more than a
     block, however frequent the term. `term_stats` has df and idf, `track_stats` the number of chunks and their mean length. Texts are split into tokens
-    once; negative idf values are replaced by a quarter of the mean idf over the track's vocabulary.
+    once; negative idf values are replaced by a quarter of the mean idf over the track's vocabulary. Rows without a track are in no track.
     """
 
     TABLES = ("documents", "postings", "term_stats", "track_stats")
@@ -70,17 +100,21 @@ class Bm25Index:
         """Writes the index to a new folder, by default one under spark.checkpoint.dir. An empty table gives an empty index; rows without tokens count as chunks of length 0."""
         spark = rows.sparkSession
         path = path or f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
-        found = rows.select("track", "chunk_id", tokens(F.col("text")).alias("t")).select("track", "chunk_id", F.size("t").alias("dl"), counted(F.col("t")).alias("terms"))
+        t = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
         # rows are sorted and numbered in the partition where they are read
-        ranged = found.sortWithinPartitions("track", "dl", "chunk_id")
+        ranged = rows.select("track", "chunk_id", t.alias("t")).withColumn("dl", F.size("t")).sortWithinPartitions("track", "dl", "chunk_id")
         place = F.monotonically_increasing_id()
-        documents = staged(ranged.withColumn("block", F.shiftright(place, 33) * (1 << 32) + F.floor(place.bitwiseAND((1 << 33) - 1) / block)), f"{path}/documents")
+        number = F.shiftright(place, 33) * (1 << 32) + F.floor(place.bitwiseAND((1 << 33) - 1) / block)
+        split = staged(ranged.select("track", number.alias("block"), "chunk_id", "dl", "t"), f"{path}/tokens")
+        documents = staged(split.drop("t"), f"{path}/documents")
         tracks = staged(documents.groupBy("track").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), f"{path}/track_stats")
-        spread = documents.select("track", "block", "chunk_id", "dl", F.inline("terms")).join(tracks.select("track", "avgdl"), "track")
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        laid = spread.withColumn("w", weight).repartitionByRange("term", "track", "block")
-        listed = laid.groupBy("term", "track", "block").agg(F.count("*").alias("n"), F.max("w").alias("best"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("chunks"))
-        postings = staged(listed.sortWithinPartitions("term", "track", "block"), f"{path}/postings")
+        kind = rows.schema["chunk_id"].dataType.simpleString()
+        schema = f"track {rows.schema['track'].dataType.simpleString()}, term string, block long, n long, chunks array<struct<chunk_id:{kind},tf:int,dl:int>>"
+        weight = lambda c: c["tf"] * (K1 + 1) / (c["tf"] + K1 * (1 - B + B * c["dl"] / F.col("avgdl")))
+        listed = split.mapInArrow(_listed(schema), schema).join(tracks.select("track", "avgdl"), "track")
+        laid = listed.select("term", "track", "block", "n", F.array_max(F.transform("chunks", weight)).alias("best"), "chunks")
+        postings = staged(laid.sortWithinPartitions("term", "track", "block"), f"{path}/postings")
+        remove(spark, f"{path}/tokens")
         df = postings.groupBy("track", "term").agg(F.sum("n").alias("df")).join(tracks.select("track", "n"), "track")
         raw = staged(df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).select("track", "term", "df", "raw"))
         mean = raw.groupBy("track").agg((F.avg("raw") * FLOOR).alias("low"))
@@ -121,15 +155,14 @@ class Bm25Index:
             report = bounds(heads).groupBy("qa_id").agg(F.count("*").alias("n_blocks"), F.count("*").alias("n_read"), F.sum("n_postings").alias("n_postings"), F.sum("n_postings").alias("n_postings_read"))
             whole = self._scored(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"]))
             return ranked_pool(whole.withColumn("score", F.round("score", digits)), pool), report
-        heads = staged(heads)
         bound = bounds(heads)
         order = Window.partitionBy("qa_id").orderBy(F.desc("bound"), "track", "block")
         before = F.sum("least").over(order.rowsBetween(Window.unboundedPreceding, -1))
         bound = staged(bound.withColumn("first", F.coalesce(before, F.lit(0)) < pool))
 
         def of(blocks: DataFrame) -> DataFrame:
-            terms = heads.select("qa_id", "track", "term", "block", "w").join(blocks.select("qa_id", "track", "block"), ["qa_id", "track", "block"])
-            return self._scored(self.postings.select("track", "term", "block", "chunks").join(terms, ["track", "term", "block"])).withColumn("score", F.round("score", digits))
+            met = self.postings.select("track", "term", "block", "chunks").join(wanted, ["track", "term"]).join(blocks.select("qa_id", "track", "block"), ["qa_id", "track", "block"])
+            return self._scored(met).withColumn("score", F.round("score", digits))
 
         some = staged(of(bound.where("first")))
         certain = ranked_pool(some, pool).where(F.col("rank") == pool).select("qa_id", F.col("score").alias("certain"))
