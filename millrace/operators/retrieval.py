@@ -74,6 +74,11 @@ def _listed(schema: str):
     return run
 
 
+def _best_track(sums: DataFrame) -> DataFrame:
+    """A chunk's best score, and the track that has it."""
+    return sums.groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
+
+
 class Bm25Index:
     """An inverted index over rows(track, chunk_id, text), built once and written as tables; open() reads it again.
 
@@ -126,12 +131,16 @@ class Bm25Index:
         asked = queries.select("qa_id", F.inline(counted(tokens(F.col("question")))))
         return asked.groupBy("qa_id", "term").agg(F.sum("tf").alias("times")).join(self.term_stats, "term").select("qa_id", "track", "term", (F.col("idf") * F.col("times")).alias("w"))
 
-    def _scored(self, met: DataFrame) -> DataFrame:
-        """Sums by query and chunk over postings(qa_id, track, w, chunks)."""
+    def _sums(self, met: DataFrame) -> DataFrame:
+        """(qa_id, track, chunk_id, score): positive sums over postings(qa_id, track, w, chunks). They are whole before the shuffle but for split files."""
         hits = met.select("qa_id", "track", "w", F.inline("chunks")).join(self.track_stats, "track")
         part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = hits.groupBy("qa_id", "track", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
-        return scored.groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
+        return hits.groupBy("qa_id", "track", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+
+    def _pooled(self, met: DataFrame, pool: int, digits: int) -> DataFrame:
+        """Each query's `pool` best sums of each track: the best of all tracks are among them. Each task passes on no more than that of a query."""
+        order = Window.partitionBy("qa_id", "track").orderBy(F.desc("score"), "chunk_id")
+        return self._sums(met).withColumn("score", F.round("score", digits)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool).drop("place")
 
     def scores(self, queries: DataFrame, tokens: Callable[[Column], Column] = regex_tokens) -> DataFrame:
         """(qa_id, chunk_id, score, track) of positive scores, of several tracks the best; terms count as often as a query has them.
@@ -139,7 +148,7 @@ class Bm25Index:
         Sums are partial before the shuffle on (qa_id, chunk_id).
         """
         wanted = staged(self._wanted(queries, tokens))
-        return self._scored(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"]))
+        return _best_track(self._sums(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"])))
 
     def top(self, queries: DataFrame, pool: int = BM25_POOL, tokens: Callable[[Column], Column] = regex_tokens, digits: int = 9, least: int = 256) -> tuple[DataFrame, DataFrame]:
         """The `pool` best chunks of each query, as ranked_pool() of its scores rounded to `digits`, and (qa_id, n_blocks, n_read, n_postings, n_postings_read).
@@ -153,8 +162,8 @@ class Bm25Index:
         bounds = lambda h: h.groupBy("qa_id", "track", "block").agg(F.sum("most").alias("bound"), F.max("n").alias("least"), F.sum("n").alias("n_postings"))
         if (self.track_stats.agg(F.sum("n")).first()[0] or 0) < least * pool:
             report = bounds(heads).groupBy("qa_id").agg(F.count("*").alias("n_blocks"), F.count("*").alias("n_read"), F.sum("n_postings").alias("n_postings"), F.sum("n_postings").alias("n_postings_read"))
-            whole = self._scored(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"]))
-            return ranked_pool(whole.withColumn("score", F.round("score", digits)), pool), report
+            whole = self._pooled(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"]), pool, digits)
+            return ranked_pool(_best_track(whole), pool), report
         bound = bounds(heads)
         order = Window.partitionBy("qa_id").orderBy(F.desc("bound"), "track", "block")
         before = F.sum("least").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -162,15 +171,14 @@ class Bm25Index:
 
         def of(blocks: DataFrame) -> DataFrame:
             met = self.postings.select("track", "term", "block", "chunks").join(wanted, ["track", "term"]).join(blocks.select("qa_id", "track", "block"), ["qa_id", "track", "block"])
-            return self._scored(met).withColumn("score", F.round("score", digits))
+            return self._pooled(met, pool, digits)
 
         some = staged(of(bound.where("first")))
-        certain = ranked_pool(some, pool).where(F.col("rank") == pool).select("qa_id", F.col("score").alias("certain"))
+        certain = ranked_pool(_best_track(some), pool).where(F.col("rank") == pool).select("qa_id", F.col("score").alias("certain"))
         open_ = staged(bound.join(certain, "qa_id", "left").withColumn("read", F.col("first") | F.coalesce(F.col("bound") >= F.col("certain") - 1e-6, F.lit(True))))
         more = of(open_.where("read and not first"))
-        both = some.unionByName(more).groupBy("qa_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("track", F.struct("score", "track")).alias("track"))
         report = open_.groupBy("qa_id").agg(F.count("*").alias("n_blocks"), F.count_if("read").alias("n_read"), F.sum("n_postings").alias("n_postings"), F.sum(F.when(F.col("read"), F.col("n_postings")).otherwise(0)).alias("n_postings_read"))
-        return ranked_pool(both, pool), report
+        return ranked_pool(_best_track(some.unionByName(more)), pool), report
 
 
 def holders(rows: DataFrame, queries: DataFrame, tokens: Callable[[Column], Column] = regex_tokens) -> DataFrame:
