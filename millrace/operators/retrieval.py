@@ -46,12 +46,13 @@ def counted(tokens: Column) -> Column:
 
 
 def _listed(schema: str):
-    """Posting lists of the blocks in batches of (track, block, chunk_id, dl, t), block after block."""
+    """Posting lists of the blocks in batches of (track, block, chunk_id, dl, t, avgdl), block after block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            track, block, chunk, dl, t = batch.columns
+            track, block, chunk, dl, t, avgdl = batch.columns
+            length = dl.to_numpy() / avgdl.to_numpy()
             new = np.flatnonzero(np.diff(block.to_numpy()) != 0) + 1
             turn = np.flatnonzero(pc.fill_null(pc.not_equal(track[1:], track[:-1]), True).to_numpy(zero_copy_only=False)) + 1
             cuts = np.unique(np.concatenate([[0], new, turn, [len(batch)]]))
@@ -64,11 +65,12 @@ def _listed(schema: str):
                 met, tf = np.unique(words.indices.to_numpy().astype(np.int64) * (j - i) + rows, return_counts=True)
                 code, row = np.divmod(met, j - i)
                 ends = np.searchsorted(code, np.arange(len(words.dictionary) + 1))
+                best = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row + i])), ends[:-1])
                 row = pa.array(row + i)
                 item = pa.StructArray.from_arrays([chunk.take(row), pa.array(tf.astype(np.int32)), dl.take(row)], ["chunk_id", "tf", "dl"])
                 n = len(words.dictionary)
                 yield pa.RecordBatch.from_arrays(
-                    [track.take(pa.array(np.full(n, i))), words.dictionary, pa.array(np.full(n, block[i].as_py())), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item)], names
+                    [track.take(pa.array(np.full(n, i))), words.dictionary, pa.array(np.full(n, block[i].as_py())), pa.array(np.diff(ends)), pa.array(best), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item)], names
                 )
 
     return run
@@ -114,10 +116,8 @@ class Bm25Index:
         documents = staged(split.drop("t"), f"{path}/documents")
         tracks = staged(documents.groupBy("track").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), f"{path}/track_stats")
         kind = rows.schema["chunk_id"].dataType.simpleString()
-        schema = f"track {rows.schema['track'].dataType.simpleString()}, term string, block long, n long, chunks array<struct<chunk_id:{kind},tf:int,dl:int>>"
-        weight = lambda c: c["tf"] * (K1 + 1) / (c["tf"] + K1 * (1 - B + B * c["dl"] / F.col("avgdl")))
-        listed = split.mapInArrow(_listed(schema), schema).join(tracks.select("track", "avgdl"), "track")
-        laid = listed.select("term", "track", "block", "n", F.array_max(F.transform("chunks", weight)).alias("best"), "chunks")
+        schema = f"track {rows.schema['track'].dataType.simpleString()}, term string, block long, n long, best double, chunks array<struct<chunk_id:{kind},tf:int,dl:int>>"
+        laid = split.join(tracks.select("track", "avgdl"), "track").select("track", "block", "chunk_id", "dl", "t", "avgdl").mapInArrow(_listed(schema), schema)
         postings = staged(laid.sortWithinPartitions("term", "track", "block"), f"{path}/postings")
         remove(spark, f"{path}/tokens")
         df = postings.groupBy("track", "term").agg(F.sum("n").alias("df")).join(tracks.select("track", "n"), "track")
