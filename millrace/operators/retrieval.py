@@ -150,12 +150,13 @@ class Bm25Index:
         wanted = staged(self._wanted(queries, tokens))
         return _best_track(self._sums(self.postings.select("track", "term", "chunks").join(wanted, ["track", "term"])))
 
-    def top(self, queries: DataFrame, pool: int = BM25_POOL, tokens: Callable[[Column], Column] = regex_tokens, digits: int = 9, least: int = 256) -> tuple[DataFrame, DataFrame]:
+    def top(self, queries: DataFrame, pool: int = BM25_POOL, tokens: Callable[[Column], Column] = regex_tokens, digits: int = 9, least: int = 256, most_sent: int = 500_000) -> tuple[DataFrame, DataFrame]:
         """The `pool` best chunks of each query, as ranked_pool() of its scores rounded to `digits`, and (qa_id, n_blocks, n_read, n_postings, n_postings_read).
 
         A block's bound for a query is the sum of its terms' best weights. The blocks of highest bound that have `pool` chunks are scored first; the score
         in place `pool` there is certain, and of the other blocks only those are read whose bound reaches it. An index of fewer than `least` times
-        `pool` chunks is scored whole: so large a part of it is in the pool that bounds rule out nothing.
+        `pool` chunks is scored whole: so large a part of it is in the pool that bounds rule out nothing. Up to `most_sent` (query, block) pairs, counted, go to
+        every task; more meet the lists in a shuffled join.
         """
         wanted = staged(self._wanted(queries, tokens))
         heads = self.postings.select("track", "term", "block", "n", "best").join(wanted, ["track", "term"]).select("qa_id", "track", "term", "block", "n", "w", F.greatest(F.col("w") * F.col("best"), F.lit(0.0)).alias("most"))
@@ -170,7 +171,11 @@ class Bm25Index:
         bound = staged(bound.withColumn("first", F.coalesce(before, F.lit(0)) < pool))
 
         def of(blocks: DataFrame) -> DataFrame:
-            met = self.postings.select("track", "term", "block", "chunks").join(wanted, ["track", "term"]).join(blocks.select("qa_id", "track", "block"), ["qa_id", "track", "block"])
+            lists, chosen = self.postings.select("track", "term", "block", "chunks"), blocks.select("qa_id", "track", "block")
+            if chosen.limit(most_sent + 1).count() <= most_sent:
+                met = lists.join(wanted, ["track", "term"]).join(F.broadcast(chosen), ["qa_id", "track", "block"])
+            else:  # lists are shuffled once, not once a query
+                met = lists.join(wanted.join(chosen, ["qa_id", "track"]), ["track", "term", "block"])
             return self._pooled(met, pool, digits)
 
         some = staged(of(bound.where("first")))
