@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from millrace.functions import text as T
 from millrace.operators import chunking, dedup, tagging
 from millrace.plans.registry import query
 from millrace.plans.views import VIEWS, view
+from millrace.sources import files
+from millrace.sources.tables import shared_folder
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -590,6 +594,19 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("seq", "chunk_id", F.md5("text").alias("text_md5"), "source_url", "parent_post_id", "notes", F.md5("_passage").alias("passage_md5"))
 
 
+@query("SELECT seq, chunk_id, md5(text) AS text_md5, source_url, parent_post_id, notes, md5(passage) AS passage_md5 FROM v_upserted")
+def upsert_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upsert() of a written table, of which only the parts that hold a new address are written again."""
+    rows = chunks(spark, sf_dir)
+    new = dedup.prepare_new(rows.where("source_type = 'T2'"), noise="id=42&")
+    old = rows.where("source_type <> 'T2'").withColumns({c: F.lit(None).cast(new.schema[c].dataType) for c in new.columns if c not in rows.columns})
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    files.write_by_address(old, path)
+    files.upsert_by_address(spark, path, new)
+    done = files.read_by_address(spark, path)
+    return done.select("seq", "chunk_id", F.md5("text").alias("text_md5"), "source_url", "parent_post_id", "notes", F.md5("_passage").alias("passage_md5"))
+
+
 SQL_HOST = "regexp_extract(source_url, '^[a-z]+://([^/?#]+)', 1)"
 
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.dedup import upsert, upsert_counts
 from millrace.schemas import CHUNK, CHUNK_FIELDS
+from millrace.sources.tables import staged
 
 # fixed values
 LEFT_OUT = ("faq_seeds.jsonl", "dept_grad_candidates.jsonl")
@@ -54,6 +56,41 @@ def write_groups(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("_retrieval_group").mode("overwrite").parquet(path)
 
 
+def _parted(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with url_part; adaptive execution splits a part that one address makes large, and joins small ones."""
+    return rows.withColumn("url_part", F.pmod(F.xxhash64("source_url"), F.lit(parts)).cast("int")).hint("rebalance", "url_part")
+
+
+def write_by_address(rows: DataFrame, path: str, parts: int = 256) -> None:
+    """A table laid out by a hash of source_url, one folder a part, for upsert_by_address() with the same `parts`."""
+    _parted(rows, parts).write.partitionBy("url_part").mode("overwrite").parquet(path)
+
+
+def read_by_address(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("url_part")
+
+
+def upsert_by_address(spark: SparkSession, path: str, new: DataFrame, *facets: str, parts: int = 256) -> DataFrame:
+    """dedup.upsert() of a table of write_by_address(): only parts that hold a new address are read and written, other files stay.
+
+    Returns upsert_counts() by the facets, of the parts written alone: rows elsewhere do not change. The new parts are written beside the table first, and
+    replace the old ones when that is done. Rows without an address are never replaced. No new rows change nothing; columns that new rows lack are null
+    there, and columns that the table lacks are an error.
+    """
+    table = spark.read.parquet(path)
+    absent = [c for c in new.columns if c not in table.columns]
+    if absent:
+        raise ValueError("the table lacks: " + ", ".join(absent))
+    new = staged(new.withColumn("url_part", F.pmod(F.xxhash64("source_url"), F.lit(parts)).cast("int")))
+    touched = [r.url_part for r in new.select("url_part").distinct().collect()]  # at most `parts` numbers
+    before = table.where(F.col("url_part").isin(touched))
+    after = staged(upsert(before, new).select(*table.columns))
+    counts = staged(upsert_counts(before, after, *facets)) if facets else None
+    if touched:
+        after.hint("rebalance", "url_part").write.partitionBy("url_part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return counts
+
+
 def write_chunks(rows: DataFrame, path: str) -> None:
     rows.select(*[c for c in CHUNK_FIELDS if c in rows.columns]).write.mode("overwrite").json(path)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import chunking, dedup, evaluation, retrieval, tagging
+from millrace.sources import files
 
 CHUNK = "seq int, chunk_id string, text string, source_type string, freshness string, char_count int, source_url string, parent_post_id string, source_file string"
 
@@ -188,3 +189,26 @@ def test_alias_pieces_of_a_text_with_many_copies(spark):
     assert {r["winner_chunk_id"] for r in pieces} == {"id1"} and all(len(r["aliases"]) <= 16 for r in pieces) and len(pieces) == 19
     assert [a["seq"] for r in pieces for a in r["aliases"]] == [k for k in range(2, 300) if k % 3]
     assert [r["place"] for r in pieces] == [sum(len(q["aliases"]) for q in pieces[:i]) for i in range(len(pieces))]
+
+
+def test_upsert_by_address(spark, tmp_path):
+    path = str(tmp_path / "table")
+    old = [(f"c{i}", f"http://a/{i % 50}", "x", "ko") for i in range(200)] + [("n", None, "x", "ko")]
+    fields = "chunk_id string, source_url string, text string, lang string"
+    files.write_by_address(spark.createDataFrame(old, fields), path, parts=16)
+    listed = lambda: {str(p) for p in (tmp_path / "table").rglob("*.parquet")}
+    was = listed()
+    new = [("d1", "http://a/3", "y"), ("d2", "http://a/3", "y"), ("d3", "http://new", "y"), ("d4", None, "y")]
+    counts = files.upsert_by_address(spark, path, spark.createDataFrame(new, "chunk_id string, source_url string, text string"), "text", parts=16)
+    want = {r[:3] for r in old if r[1] != "http://a/3"} | set(new)
+    got = files.read_by_address(spark, path)
+    assert {tuple(r) for r in got.select("chunk_id", "source_url", "text").collect()} == want and got.count() == len(want)
+    now, part = listed(), lambda f: f.split("url_part=")[1].split("/")[0]
+    touched = {part(f) for f in now - was}
+    assert 1 <= len(touched) <= 3 and {part(f) for f in was - now} <= touched and len(was & now) >= 10
+    change = {r.value: r.n_after - r.n_before for r in counts.collect()}
+    assert change == {"x": -4, "y": 4}
+    files.upsert_by_address(spark, path, spark.createDataFrame([], fields), parts=16)
+    assert listed() == now
+    with pytest.raises(ValueError, match="other"):
+        files.upsert_by_address(spark, path, spark.createDataFrame([("c", "u", 1)], "chunk_id string, source_url string, other int"), parts=16)
