@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import mix, prefix, ranges, words_of
@@ -16,6 +16,8 @@ from millrace.llm.staging import bounded_batches, release, staged
 
 TOP = np.uint64(2**64 - 1)
 BLOCK = 2048
+#: shingles of one side that are aligned in one task
+WEIGHT = 2_000_000
 
 
 def labelled(hashes: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,24 +175,30 @@ def _lead(estimate: float, least: float):
     return run
 
 
-def _rest(estimate: float, least: float, most: int | None):
-    """Pairs of a tile's rows of different components that look alike: for each two components the `most` nearest, or
-    all. Rows of side 0 meet each other, those of side 1 meet those of side 2. A pair is given in the first of the
-    sketches that it shares; all buckets that hold both have tiles for it."""
+def _apart(t: pa.Table, estimate: float, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a tile the rows of other components that look like it, and the estimates. Rows of side 0 meet each
+    other, those of side 1 meet those of side 2. A pair is given in the first of the sketches that it shares; all
+    buckets that hold both have tiles for it."""
+    size, sig, part = t.column("n_shingles").to_numpy(), _signatures(t), t.column("component").to_numpy()
+    side, band = t.column("side").to_numpy(), t.column("band")[0].as_py()
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)[:, :band]
+    other = np.flatnonzero(side == 2)
+    for row in np.flatnonzero(side < 2):
+        rest = other if side[row] else np.arange(row + 1, t.num_rows)
+        hit, near = _alike(sig, size, row, rest[part[rest] != part[row]], estimate, least)
+        first = ~(bands[hit] == bands[row]).any(axis=1)
+        yield row, hit[first], near[first]
+
+
+def _rest(estimate: float, least: float, most: int):
+    """Pairs of a tile's rows of different components that look alike: for each two components the `most` nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            ids, size, sig = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
-            part, side, band, parts = t.column("component").to_numpy(), t.column("side").to_numpy(), t.column("band")[0].as_py(), t.column("parts")[0].as_py()
-            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :band]
-            other = np.flatnonzero(side == 2)
+            ids, part, parts = t.column("doc_id").to_numpy(), t.column("component").to_numpy(), t.column("parts")[0].as_py()
             one, two, close, held = [], [], [], 0
-            for row in np.flatnonzero(side < 2):
-                rest = other if side[row] else np.arange(row + 1, len(ids))
-                hit, near = _alike(sig, size, row, rest[part[rest] != part[row]], estimate, least)
-                first = ~(bands[hit] == bands[row]).any(axis=1)
-                hit, near = hit[first], near[first]
-                if most is not None and len(hit) > most:
+            for row, hit, near in _apart(t, estimate, least):
+                if len(hit) > most:
                     order = np.lexsort((-near, part[hit]))
                     own = part[hit][order]
                     order = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
@@ -199,10 +207,7 @@ def _rest(estimate: float, least: float, most: int | None):
                 two.append(hit)
                 close.append(near)
                 held += len(hit)
-                if most is None and held > 100_000:
-                    yield _pairs(ids, one, two, parts)
-                    one, two, close, held = [], [], [], 0
-            if most is not None and held > most:
+            if held > most:
                 x, y, near = np.concatenate(one), np.concatenate(two), np.concatenate(close)
                 low, high = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
                 order = np.lexsort((-near, high, low))
@@ -217,6 +222,94 @@ def _rest(estimate: float, least: float, most: int | None):
     return run
 
 
+MARKED = ["tile", "side", "doc_id", "component", "n_shingles"]
+
+
+def _marked(estimate: float, least: float):
+    """The rows of a tile, not their pairs, that look like a row of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            marked = np.zeros(t.num_rows, bool)
+            for row, hit, _ in _apart(t, estimate, least):
+                marked[hit] = True
+                marked[row] |= len(hit) > 0
+            yield from t.select(MARKED).filter(pa.array(marked)).to_batches()
+
+    return run
+
+
+def _shingles(k: int):
+    """(doc_id, shingles): the labelled shingles of each text in text order, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, w in words_of(batch.column(1)):
+                value, cuts = labelled(w.hash, w.word_offs, k)
+                rows = [value[cuts[x] : cuts[x + 1]].tobytes() for x in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
+def _sliced(marked: DataFrame) -> DataFrame:
+    """marked, dealt to slices of its tiles of about WEIGHT shingles on each side, every two that must meet under one
+    `tile`; nearly all tiles are one slice."""
+    weight = marked.groupBy("tile", "side").agg(F.ceil(F.sum("n_shingles") / WEIGHT).cast("int").alias("slices"))
+    slices = weight.groupBy("tile").agg(*(F.coalesce(F.max(F.when(F.col("side") == x, F.col("slices"))), F.lit(1)).alias(f"s{x}") for x in range(3)))
+
+    def of(number: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(number)).cast("int")
+
+    def to(number: str) -> Column:
+        return F.sequence(F.lit(0), F.col(number) - 1)
+
+    mine = F.when(F.col("side") == 0, of("s0")).when(F.col("side") == 1, of("s1")).otherwise(of("s2"))
+    meets = F.when(F.col("side") == 0, to("s0")).when(F.col("side") == 1, to("s2")).otherwise(to("s1"))
+    rows = marked.join(slices, "tile").withColumn("mine", mine).withColumn("its", F.explode(meets))
+    first = F.when(F.col("side") == 0, F.least("mine", "its")).when(F.col("side") == 1, F.col("mine")).otherwise(F.col("its"))
+    second = F.when(F.col("side") == 0, F.greatest("mine", "its")).when(F.col("side") == 1, F.col("its")).otherwise(F.col("mine"))
+    side = F.when(F.col("side") > 0, F.col("side")).when(F.col("mine") == F.col("its"), 0).when(F.col("mine") < F.col("its"), 1).otherwise(2)
+    return rows.select(F.xxhash64("tile", first, second).alias("tile"), side.alias("side"), "doc_id", "component")
+
+
+def joining(ids: np.ndarray, side: np.ndarray, part: np.ndarray, shingles: list[np.ndarray], least: float) -> list[tuple[int, int, float]]:
+    """Links of `least` or more that join the components of a tile wherever any link does: at most one less than there
+    are components. Shared shingles are counted over all rows at once; only pairs whose unordered similarity reaches
+    `least`, and whose components no link has joined so far, are aligned, nearest first."""
+    size = np.array([len(x) for x in shingles])
+    text = np.repeat(np.arange(len(ids)), size)
+    value = np.concatenate(shingles)
+    order = np.argsort(value, kind="stable")
+    value, text = value[order], text[order]
+    label, out = part.copy(), []
+    for row in np.flatnonzero(side < 2):
+        low, high = np.searchsorted(value, shingles[row], "left"), np.searchsorted(value, shingles[row], "right")
+        count = high - low
+        first = np.repeat(low - np.cumsum(count) + count, count)
+        shared = np.bincount(text[first + np.arange(len(first))], minlength=len(ids))
+        fit = (side == 2) if side[row] else (np.arange(len(ids)) > row)
+        near = shared / (size + size[row] - shared)
+        hit = np.flatnonzero(fit & (label != label[row]) & (near >= least))
+        for x in hit[np.argsort(-near[hit], kind="stable")].tolist():
+            if label[x] != label[row]:
+                similarity = aligned_similarity(shingles[row], shingles[x], least)
+                if similarity >= least:
+                    out.append((int(ids[row]), int(ids[x]), similarity))
+                    label[label == label[x]] = label[row]
+    return out
+
+
+def _joining(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            links = joining(t.column("doc_id").to_numpy(), t.column("side").to_numpy(), t.column("component").to_numpy(), shingles, least)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], d) for c, d in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    return run
+
+
 def _pairs(ids: np.ndarray, one: list[np.ndarray], two: list[np.ndarray], parts: int) -> pa.RecordBatch:
     a, b = ids[np.concatenate(one)], ids[np.concatenate(two)]
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), parts))], ["leader", "doc_id", "parts"])
@@ -312,8 +405,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, repeats: in
     occurrence-labelled k-word shingles under a hash order, in text order. Texts that agree in a sketch share a
     bucket; in a bucket, texts are compared with leaders by a signature of `size` hashes, and pairs whose estimate is at
     least `least - margin` are verified by aligning their shingles. Then all texts of a bucket that are not linked
-    otherwise are compared, in tiles of blocks; first the nearest few of every two classes are verified, and then
-    all pairs. Links join texts to classes.
+    otherwise are compared, in tiles of blocks; first the nearest few of every two classes are verified, and then the
+    texts that still look like one of another class meet as shingles, tile by tile, and only links that join classes
+    are laid down, no pairs. Links join texts to classes.
 
     At a similarity of 0.8 a pair shares no sketch with a probability below 1e-5, and is estimated too low with one of
     about 2e-3; both fall steeply above.
@@ -361,18 +455,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, repeats: in
     sizes = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
     partly = led.where("leader <> doc_id").select("bucket").unionByName(sizes.where(F.col("n") > BLOCK).select("bucket")).distinct()
     inside = staged(bucketed.select("bucket", "doc_id").join(partly, "bucket", "left_semi"))
-    for most in (4, None):
+
+    def apart() -> DataFrame | None:
+        """Tiles of the buckets that hold texts of several components, sorted by tile; None if there are none."""
         label = inside.join(parts, inside["doc_id"] == parts["id"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         label = staged(label)
         mixed = staged(label.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
         if mixed.isEmpty():
-            break
+            return None
         again = _tiles(staged(label.join(mixed, "bucket", "left_semi"))).join(bucketed, ["bucket", "doc_id"]).join(reps.select("doc_id", "bands"), "doc_id")
-        again = again.select("tile", "side", "band", "parts", "doc_id", "n_shingles", "least", "component", "bands").repartition("tile").sortWithinPartitions("tile", "doc_id")
-        more = staged(again.mapInArrow(_rest(estimate, least, most), "leader long, doc_id long, parts long"))
-        new = verified(pairs_of(more).join(tried, ["a", "b"], "left_anti"))
-        tried = staged(tried.unionByName(new))
-        parts = components(tried.where(near))
+        again = again.select("tile", "side", "band", "parts", "doc_id", "n_shingles", "least", "component", "bands")
+        return again.repartition("tile").sortWithinPartitions("tile", "doc_id")
+
+    links = tried.where(near).select("a", "b")
+    again = apart()
+    if again is not None:
+        more = staged(again.mapInArrow(_rest(estimate, least, 4), "leader long, doc_id long, parts long"))
+        links = links.unionByName(verified(pairs_of(more).join(tried, ["a", "b"], "left_anti")).where(near).select("a", "b"))
+        parts = components(links)
+        again = apart()
+    if again is not None:
+        marked = staged(again.mapInArrow(_marked(estimate, least), "tile long, side int, doc_id long, component long, n_shingles int"))
+        wanted = body.join(marked.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        values = staged(wanted.mapInArrow(_shingles(k), "doc_id long, shingles binary"))
+        met = staged(_sliced(marked)).join(values.hint("merge"), "doc_id").select("tile", "side", "doc_id", "component", "shingles")
+        met = met.repartition("tile").sortWithinPartitions("tile", "doc_id")
+        links = links.unionByName(staged(met.mapInArrow(_joining(least), "a long, b long, similarity double")).select("a", "b"))
+        parts = components(links)
+        release(marked, values)
     release(reps, bucketed, body, inside)
     named = member.join(parts, member["rep"] == parts["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     return rows.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -146,6 +146,75 @@ def test_no_task_holds_a_large_bucket(spark, docs, monkeypatch):
     assert got == classes(rows) and len(set(got.values())) < len(rows)
 
 
+def families(rng, n):
+    """Two families of n texts each, about 0.95 alike inside and 0.76 across: many pairs that look alike, no link between them."""
+    one = words(rng, 800)
+    two = list(one)
+    for k in range(22):
+        two[k * 36 + 9] = f"other{k}"
+
+    def member(text):
+        other = list(text)
+        for at in rng.sample(range(790), 2):
+            other[at] = words(rng, 1)[0]
+        return " ".join(other)
+
+    return [(k, member(two if k % 2 else one)) for k in range(2 * n)]
+
+
+def test_unlinked_families_lay_down_few_pairs(spark, docs, monkeypatch):
+    rows = families(random.Random(5), 150)
+    held = []
+    inner = neardup.staged
+
+    def counting(df):
+        table = inner(df)
+        if table.columns == ["a", "b", "parts", "slot_a", "slot_b"]:
+            held.append(table.count())
+        return table
+
+    monkeypatch.setattr(neardup, "staged", counting)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(rows)).collect()}
+    assert got == {k: k % 2 for k, _ in rows}
+    assert 0 < sum(held) < 3_000  # 22,500 pairs lie between the families
+
+
+@pytest.mark.parametrize("weight", [300, 2_000_000])
+def test_classes_joined_in_tiles_of_shingles(spark, docs, monkeypatch, weight):
+    """Without the links between the nearest of two classes, those of the tiles join all that belong together."""
+    import pyarrow as pa
+
+    def alone(batches):
+        for t in neardup._groups(batches):
+            ids, bucket, parts = (t.column(c).combine_chunks() for c in ("doc_id", "bucket", "parts"))
+            # the second text is tried with the first, since a bucket in which nothing is led counts as compared
+            leader = pa.array([ids[0].as_py() if x == 1 else v for x, v in enumerate(ids.to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([bucket, leader, ids, parts], ["bucket", "leader", "doc_id", "parts"])
+
+    def none(batches):
+        yield from (b for b in batches if b.num_rows < 0)
+
+    rng = random.Random(weight)
+    rows = [(k, t) for k, (_, t) in enumerate(planted(rng) + planted(rng))] + [(1000 + k, t) for k, t in enumerate(chain(3))]
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "WEIGHT", weight)
+    monkeypatch.setattr(neardup, "_rest", lambda *_: none)
+    monkeypatch.setattr(neardup, "_lead", lambda *_: alone)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(rows)).collect()}
+    assert got == classes(rows)
+
+
+def test_joining_links_span_components():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    texts = [np.concatenate([base[: 100 - k], rng.integers(0, 2**63, k).astype(np.uint64)]) for k in (0, 2, 4, 30, 60)] + [np.concatenate([base[50:], base[:50]])]
+    ids, part = np.arange(6) + 10, np.array([10, 11, 11, 13, 14, 15])
+    links = neardup.joining(ids, np.zeros(6, np.int8), part, texts, 0.8)
+    assert [(a, b) for a, b, _ in links] == [(10, 11)]
+    assert neardup.joining(ids, np.array([1, 1, 1, 2, 2, 2]), part, texts, 0.8) == []
+    assert len(neardup.joining(ids, np.array([1, 2, 2, 2, 2, 2]), part, texts, 0.8)) == 1
+
+
 def test_near_duplicates_odd_rows(spark, docs):
     rng = random.Random(9)
     base = " ".join(words(rng, 60))
