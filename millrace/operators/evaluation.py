@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import empty_if_null, judged_reason, judged_score
-from millrace.operators.sizes import few
+from millrace.sources.tables import staged
 
 # fixed values
 KS = (1, 5, 10, 20)
@@ -111,13 +111,26 @@ def pending(questions: DataFrame, answers: DataFrame) -> DataFrame:
 def threshold_sweep(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """For each threshold what it would unblock: fallback rows of at least that score, answers won, fallbacks lost.
 
-    rows has used_fallback, top_rerank_score, judge_score, gold_in_sources and is_fallback_expected; thresholds are few.
+    rows has used_fallback, top_rerank_score, judge_score, gold_in_sources and is_fallback_expected. Rows are counted by
+    score; scores and thresholds are dealt to ranges, and a threshold gets what lies above it in its range and the sums of
+    the ranges above. A null threshold unblocks nothing; a repeated one gives a row each time.
     """
-    blocked = rows.where("used_fallback and top_rerank_score is not null")
+    names = ["unblocked", "recovery", "regression"]
     won, lost = F.count_if((F.col("judge_score") == 0) & F.col("gold_in_sources")), F.count_if(F.col("is_fallback_expected"))
-    freed = blocked.join(few(thresholds, "thresholds"), F.col("top_rerank_score") >= F.col("t")).groupBy("t").agg(F.count("*").alias("unblocked"), won.alias("recovery"), lost.alias("regression"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return thresholds.join(freed, "t", "left").select("t", zero("unblocked"), zero("recovery"), zero("regression"), (F.coalesce("recovery", F.lit(0)) - F.coalesce("regression", F.lit(0))).alias("net"))
+    blocked = rows.where("used_fallback and top_rerank_score is not null").groupBy(F.col("top_rerank_score").cast("double").alias("x"))
+    counts = blocked.agg(F.count("*").alias("unblocked"), won.alias("recovery"), lost.alias("regression"))
+    asked = thresholds.where("t is not null").select(F.col("t").cast("double").alias("x"), *[F.lit(0).cast("long").alias(c) for c in names])
+    points = counts.unionByName(asked).groupBy("x").agg(*[F.sum(c).alias(c) for c in names])
+    points = staged(points.repartitionByRange("x").withColumn("range", F.spark_partition_id()))
+    # a row for each range
+    sums = points.groupBy("range").agg(F.max("x").alias("top"), *[F.sum(c).alias(f"{c}_range") for c in names])
+    above = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", *[F.coalesce(F.sum(f"{c}_range").over(above), F.lit(0)).alias(f"{c}_above") for c in names])
+    upto = Window.partitionBy("range").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    freed = points.join(F.broadcast(sums), "range").select("x", *[(F.sum(c).over(upto) + F.col(f"{c}_above")).alias(c) for c in names])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    placed = thresholds.select("t").join(freed, F.col("t").cast("double") == F.col("x"), "left")
+    return placed.select("t", *[zero(c).alias(c) for c in names], (zero("recovery") - zero("regression")).alias("net"))
 
 
 def score_percentiles(rows: DataFrame, percents: tuple[int, ...] = (10, 25, 50, 75)) -> DataFrame:

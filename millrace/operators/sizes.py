@@ -9,10 +9,3 @@ from pyspark.sql import functions as F
 def hinted(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     """The rows with a broadcast hint, if they are counted to be `most` at most; else as they are, for a shuffled join."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
-def few(rows: DataFrame, what: str, most: int = 10_000) -> DataFrame:
-    """Rows that meet every row of another table on no equal key, with a broadcast hint; more than `most` are an error."""
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} {what}: every row is tried with each of them")
-    return F.broadcast(rows)

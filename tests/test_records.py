@@ -212,3 +212,25 @@ def test_upsert_by_address(spark, tmp_path):
     assert listed() == now
     with pytest.raises(ValueError, match="other"):
         files.upsert_by_address(spark, path, spark.createDataFrame([("c", "u", 1)], "chunk_id string, source_url string, other int"), parts=16)
+
+
+def test_threshold_sweep_by_brute_force(spark):
+    """More thresholds than rows, repeated and null ones, scores equal to thresholds, rows that count for nothing."""
+    from millrace.operators.evaluation import threshold_sweep
+
+    rows = [(k % 5 > 0, None if k % 11 == 0 else (k * 37 % 400) / 400, k % 3 // 2, k % 2 == 0, None if k % 13 == 0 else k % 7 == 0) for k in range(500)]
+    asked = [k / 12_000 for k in range(12_000)] + [0.25, 0.25, 2.0, -1.0, None]
+    schema = "used_fallback boolean, top_rerank_score double, judge_score int, gold_in_sources boolean, is_fallback_expected boolean, x int, range string"
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], schema)
+    got = sorted(map(tuple, threshold_sweep(table, spark.createDataFrame([(t,) for t in asked], "t double")).collect()), key=repr)
+
+    def swept(t):
+        freed = [r for r in rows if t is not None and r[0] and r[1] is not None and r[1] >= t]
+        won, lost = sum(r[2] == 0 and r[3] for r in freed), sum(bool(r[4]) for r in freed)
+        return t, len(freed), won, lost, won - lost
+
+    few = {t: swept(t) for t in set(asked)}
+    assert got == sorted((few[t] for t in asked), key=repr)
+    empty = spark.createDataFrame([], schema)
+    assert [tuple(r) for r in threshold_sweep(empty, spark.createDataFrame([(0.5,)], "t double")).collect()] == [(0.5, 0, 0, 0, 0)]
+    assert threshold_sweep(table, spark.createDataFrame([], "t double")).count() == 0
