@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import mix, prefix, ranges, words_of
 from millrace.llm.quality import covered
-from millrace.llm.staging import bounded_batches, staged
+from millrace.llm.staging import bounded_batches, release, staged, sweep
 
 
 def local_minima(hashes: np.ndarray, offs: np.ndarray, size: int) -> np.ndarray:
@@ -110,22 +110,46 @@ def _windows(size: int):
 
 WINDOW = "doc_id long, text_key binary, at int, h1 long, h2 long"
 KEY = ["doc_id", "text_key"]
+BASE = 25
 EMPTY_SHA256 = hashlib.sha256().hexdigest()
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Window rows whose hash occurs in two documents, with the least doc_id that has it.
 
     The hashes are staged, so that the rows meet a plain table, and adaptive execution can split the rows of a frequent one.
     """
+    return rows.join(_repeated(rows) if repeated is None else repeated, ["h1", "h2"])
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(h1, h2, first_doc): hashes that occur in two documents, staged."""
     least = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return rows.join(staged(least.where("first_doc < last_doc").drop("last_doc")), ["h1", "h2"])
+    return staged(least.where("first_doc < last_doc").drop("last_doc"))
+
+
+def _survivors(rows: DataFrame) -> DataFrame:
+    """_shared() of a staged level, staged; the level's own rows are deleted."""
+    repeated = _repeated(rows)
+    kept = staged(_shared(rows, repeated))
+    release(rows, repeated)
+    sweep(rows.sparkSession, 0)
+    return kept
+
+
+def _widened(rows: DataFrame, size: int, to: int) -> DataFrame:
+    """Windows of `to` words, twice `size` at most, whose first and last `size` words are given windows of the text; the rows move once."""
+    later = Window.partitionBy(*KEY).orderBy("at").rangeBetween(to - size, to - size)
+    met = rows.select(*KEY, "at", "h1", "h2", F.first("h1").over(later).alias("g1"), F.first("h2").over(later).alias("g2")).where("g1 is not null")
+    return met.select(*KEY, "at", F.xxhash64("h1", "g1").alias("h1"), F.xxhash64("h2", "g2", F.lit(to)).alias("h2"))
 
 
-def _doubled(rows: DataFrame, size: int) -> DataFrame:
-    """Windows of twice the length, both halves of which are given."""
-    later = rows.select(*KEY, (F.col("at") - size).alias("at"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    return rows.join(later, [*KEY, "at"]).select(*KEY, "at", F.xxhash64("h1", "g1").alias("h1"), F.xxhash64("h2", "g2", F.lit(size)).alias("h2"))
+def ladder(size: int, base: int) -> list[int]:
+    """The levels up to `size`, each at most twice the one before; the first has `base` words at most, and two at least if size has."""
+    levels = [size]
+    while levels[0] > max(base, 2):
+        levels.insert(0, -(-levels[0] // 2))
+    return levels
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -140,37 +164,45 @@ class RepeatedWindows:
     smaller doc_id; texts: the texts that hold a repeated half window; starts: first words, ascending, of the windows
     to remove; levels (if asked for): the longest level at which a window of the document is repeated.
 
-    Levels are size // 2, size, 2 * size, ... words. At the first, local minima stand for all windows (any
-    repeated window of `size` words holds one that is repeated); only places of repeated ones are extended to
-    `size` words, and from there windows repeated in several documents alone are extended to twice their length,
-    until none survives or max_level is passed. Equal texts are one text at all levels.
+    Levels climb by doubling: `base` words or fewer, then about twice as many each time up to `size` (25, 50), then 2 * size,
+    4 * size, ... Before the first, local minima of half its length stand for all windows (any repeated window of the first level holds one
+    that is repeated), and only places of repeated ones are read as windows of the first level. From there on no text is
+    read: windows repeated in several documents alone meet those that end a window of the next level, until none survives or
+    max_level is passed. Equal texts are one text at all levels.
     """
 
-    def __init__(self, docs: DataFrame, size: int, max_level: int | None):
-        half = size // 2
+    def __init__(self, docs: DataFrame, size: int, max_level: int | None, base: int = BASE):
+        first, *higher = ladder(size, base)
         keyed = _keyed(bounded_batches(docs))
-        self.seen = seen = staged(keyed.mapInArrow(_anchors(half), SEEN))
+        self.seen = seen = staged(keyed.mapInArrow(_anchors(first // 2), SEEN))
         used = seen.where("doc_id is not null")
         least = used.where(F.col("n_words") >= size).groupBy("text_key").agg(F.min("doc_id").alias("rep"))
         self.copies = used.select(*KEY, "n_words").where(F.col("n_words") >= size).join(least, "text_key").where("doc_id > rep").select(*KEY).distinct()
         reps = used.where(F.size("anchor") > 0).join(least.withColumnRenamed("rep", "doc_id"), KEY, "left_semi").dropDuplicates(KEY)
         spread = reps.select(*KEY, F.explode(F.arrays_zip("anchor", "at")).alias("x")).select(*KEY, "x.anchor", "x.at")
         hot = staged(spread.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
-        places = spread.join(hot, "anchor", "left_semi").groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("hot"))
-        self.texts = staged(keyed.join(staged(places), KEY).dropDuplicates(KEY))
-        windows = self.texts.mapInArrow(_windows(size), WINDOW)
+        places = staged(spread.join(hot, "anchor", "left_semi").groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("hot")))
+        self.texts = staged(keyed.join(places, KEY).dropDuplicates(KEY))
+        release(hot, places)
+        windows = staged(self.texts.mapInArrow(_windows(first), WINDOW))
+        for level in higher:
+            shared = _survivors(windows)
+            windows = staged(_widened(shared, first, level))
+            release(shared)
+            sweep(docs.sparkSession, 0)
+            first = level
         self.levels = None
         if max_level == size:
             shared = _shared(windows)
         else:
-            shared = staged(_shared(windows))
+            shared = _survivors(windows)
             self._climb(shared, size, max_level)
         self.starts = shared.where("first_doc < doc_id").groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("starts"))
 
     def _climb(self, rows: DataFrame, size: int, max_level: int | None) -> None:
         found = rows.groupBy(*KEY).agg(F.lit(size).alias("level"))
         while max_level is None or size * 2 <= max_level:
-            rows = staged(_shared(_doubled(rows, size)))
+            rows = _survivors(staged(_widened(rows, size, 2 * size)))
             size *= 2
             if rows.isEmpty():
                 break
@@ -199,12 +231,12 @@ def _cut(size: int):
 CUT = "doc_id long, text_key binary, n_cut long, cut_sha256 string, cut_text string"
 
 
-def substring_dedup(docs: DataFrame, size: int = 50, max_level: int | None = None, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 50, max_level: int | None = None, keep_text: bool = True, base: int = BASE) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, on request, kept_text; longest_level (the
     longest level of RepeatedWindows at which a window of it is repeated) unless max_level is size.
 
     A word is removed if a window of `size` words over it also starts in a document with a smaller doc_id; all
-    windows are judged on the input. kept_text, null where nothing is removed, is the kept words joined by one
+    windows are judged on the input, and found by doubling from `base` words or fewer. kept_text, null where nothing is removed, is the kept words joined by one
     space; kept_sha256 is always of the joined words.
 
     A null text has no words; a text shorter than `size` words loses nothing. A row whose doc_id is
@@ -212,7 +244,7 @@ def substring_dedup(docs: DataFrame, size: int = 50, max_level: int | None = Non
     for the comparison: they lose only words that also stand in a smaller doc_id. An empty table gives no rows;
     other columns of docs are not read.
     """
-    found = RepeatedWindows(docs, size, max_level)
+    found = RepeatedWindows(docs, size, max_level, base)
     cut = found.texts.join(found.starts, KEY).select(*KEY, "text", "starts").mapInArrow(_cut(size), CUT)
     whole = found.copies.withColumn("whole", F.lit(True))
     cut = staged(cut) if keep_text else cut.drop("cut_text")

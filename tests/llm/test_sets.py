@@ -504,3 +504,20 @@ def test_substrings_of_long_texts(spark, docs):
     rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(two))]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(docs(rows), max_level=50).collect()}
     assert got == {1: (9120, 0), 2: (7120, 120), 3: (7120, 7120)}
+
+
+@pytest.mark.parametrize(("size", "base", "levels"), [(9, 3, [3, 5, 9]), (7, 2, [2, 4, 7]), (50, 25, [25, 50])])
+def test_substrings_climb_to_their_size(spark, docs, monkeypatch, size, base, levels):
+    """The windows that are removed come from joins of shorter ones, level by level, and equal those of brute force."""
+    import hashlib
+
+    steps, join = [], substrings._widened
+    monkeypatch.setattr(substrings, "_widened", lambda rows, a, b: steps.append((a, b)) or join(rows, a, b))
+    rng = random.Random(size)
+    shared = [words(rng, n) for n in (size - 1, size, size + 1, 2 * size + 3)]
+    rows = [(k, " ".join(words(rng, 4) + shared[k % 4] + words(rng, 3) + shared[(k + 1 + k // 4) % 4] * (1 + k % 2))) for k in range(16)]
+    rows += [(99, rows[3][1]), (5, " ".join(shared[3])), (None, rows[0][1]), (98, None)]
+    got = substrings.substring_dedup(docs(rows), size, max_level=size, keep_text=False, base=base).collect()
+    want = [(str(d), n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute_cut(rows, size)]
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+    assert steps == list(zip(levels[:-1], levels[1:])) and substrings.ladder(size, base) == levels
