@@ -234,3 +234,25 @@ def test_threshold_sweep_by_brute_force(spark):
     empty = spark.createDataFrame([], schema)
     assert [tuple(r) for r in threshold_sweep(empty, spark.createDataFrame([(0.5,)], "t double")).collect()] == [(0.5, 0, 0, 0, 0)]
     assert threshold_sweep(table, spark.createDataFrame([], "t double")).count() == 0
+
+
+def test_merge_small_deals_ranges_by_their_rows(spark, monkeypatch):
+    """Ranges hold about `span` rows whatever Spark coalesces, and outputs go on across them."""
+    kind, asked = type(spark.range(1)), []
+    deal = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *by: asked.append(by[0]) or deal(self, *by))
+    rng = random.Random(9)
+    texts = [rng.choice(["a", "bb\n", "", "d" * 70, "e" * 49]) for _ in range(500)]
+    rows = [("f", "hot", i, f"{i:05d}", t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "source_file string, parent_post_id string, chunk_index int, chunk_id string, text string")
+    got = chunking.merge_small(table, span=40).orderBy("chunk_index").collect()
+    assert asked == [13] and [r["text"] for r in got] == merge_by_hand(texts)
+
+
+def test_rechunk_splits_once(spark):
+    rows = [("c1", "day/dept_info", "a > b > c", "x\n\n" * 900, None, None, 0), ("c2", "f", "s", "tiny", "p", None, 0)]
+    table = spark.createDataFrame(rows, "chunk_id string, source_file string, section_path string, text string, parent_post_id string, notes string, chunk_index int")
+    table = table.selectExpr("*", "array(1) AS domains", "array('1') AS categories", "'u' AS source_url", "'2024' AS posted_at")
+    for part in chunking.rechunk(table, F.expr("source_file LIKE '%dept_info%'")):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "piece_text" not in plan and part.count() > 0
