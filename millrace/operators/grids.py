@@ -23,16 +23,23 @@ PAGE = ["report_id", "page"]
 
 
 LARGE_PAGE = 200_000
+LARGE_RECORDS = 2_000
+DEAL = 250_000
 
 
 def _by_page(rows: DataFrame, large: int, usual: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """usual() of the rows dealt by page once, which all its windows and groups then share; split() of the pages with more than `large` rows, counted first."""
+    """usual() of the rows dealt by page once, which all its windows and groups then share; split() of the pages with more than `large` rows, counted first.
+
+    Pages are dealt to a task for each DEAL rows, so that none grows with the table.
+    """
     rows = staged(rows)
-    many = staged(rows.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > large).drop("n"))
+    counts = rows.groupBy(*PAGE).agg(F.count("*").alias("n"))
+    many = staged(counts.where(F.col("n") > large).drop("n"))
+    dealt = lambda part: part.repartition(max(1, -(-rows.count() // DEAL)), *PAGE)
     if many.isEmpty():
-        return usual(rows.repartition(*PAGE))
+        return usual(dealt(rows))
     same = [rows[c].eqNullSafe(many[c]) for c in PAGE]
-    return usual(rows.join(many, same, "left_anti").repartition(*PAGE)).unionByName(split(rows.join(many, same, "left_semi")))
+    return usual(dealt(rows.join(many, same, "left_anti"))).unionByName(split(rows.join(many, same, "left_semi")))
 
 
 def _placed(cells: DataFrame) -> DataFrame:
@@ -121,6 +128,14 @@ def grid_records(grid: DataFrame, words: tuple[str, ...] = HEADER_WORDS, large:
     return _by_page(grid, large, lambda g: _named(g, words, False), lambda g: _named(g, words, True))
 
 
+def cell_records(cells: DataFrame, words: tuple[str, ...] = HEADER_WORDS, large: int = LARGE_RECORDS) -> DataFrame:
+    """grid_records(build_grid(cells)), for which pages are dealt out once: their grids are neither written nor dealt again.
+
+    A page of n cells has at most 4 * n * n slots, and those of its tasks' windows; pages of more than `large` cells are split over tasks.
+    """
+    return _by_page(cells, large, lambda c: _named(_laid(c, False), words, False), lambda c: _named(_laid(c, True), words, True))
+
+
 def report_meta(cells: DataFrame, above: int = 40) -> DataFrame:
     """(report_id, title, author, verifier, last_verified) from the top cells: the first title, the last of the others."""
     top = cells.where((F.col("y") < above) & (empty_if_null(F.col("text")) != ""))

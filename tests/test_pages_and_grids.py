@@ -111,3 +111,18 @@ def test_large_pages_are_split_to_the_same_grid(spark):
     assert told(whole) == told(cut) and whole.count() > 90
     assert told(grids.grid_records(whole).where("report_id is not null")) == told(grids.grid_records(whole, large=0).where("report_id is not null"))
     assert told(grids.grid_records(whole)) == told(grids.grid_records(whole, large=0))
+
+
+def test_records_of_cells_deal_pages_once(spark, monkeypatch):
+    """The records of written grids, from one deal by page, to a task for each DEAL cells; pages split or not."""
+    rng = random.Random(6)
+    words = [*grids.HEADER_WORDS[:4], "", "v"]
+    rows = [(r, p, i, 10 * rng.randint(0, 5), 10 * rng.randint(0, 7), 10 * rng.randint(0, 3), 10 * rng.randint(1, 3), rng.choice(words)) for r in ("a", "b", None) for p in range(4) for i in range(30)]
+    cells = spark.createDataFrame(rows, "report_id string, page int, ord int, x int, y int, w int, h int, text string")
+    told = lambda df: sorted((str(r["report_id"]), r["page"], r["row"], sorted(r["record"].items())) for r in df.collect())
+    want = told(grids.grid_records(grids.build_grid(cells)))
+    monkeypatch.setattr(grids, "DEAL", 50)
+    once = grids.cell_records(cells)
+    plan = once._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "hashpartitioning(report_id" in plan and ", 8)" in plan
+    assert want and told(once) == want == told(grids.cell_records(cells, large=0))
