@@ -14,6 +14,8 @@ from millrace.llm.staging import bounded_batches
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
+#: Texts that are judged at once, and rows of a batch: a worker keeps what its largest run took, and later stages share it.
+RUN_BYTES, BATCH_ROWS = 1 << 19, 500
 REPORT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
@@ -101,7 +103,7 @@ def repeated_lines(w: Words) -> np.ndarray:
 
 def _reports(column: pa.Array, min_words: int, max_repeat_percent: int, min_repeat: int, max_covered: float, max_longest: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """For runs of texts the columns of REPORT after doc_id."""
-    for i, j, w in words_of(column):
+    for i, j, w in words_of(column, RUN_BYTES):
         n_words = np.diff(w.word_offs)
         lcp = longest_shared(w.hash, w.word_offs)
         total = len(lcp)
@@ -135,7 +137,7 @@ def quality_report(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
             for i, j, columns in _reports(batch.column(1), *limits):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, columns)], names)
 
-    return bounded_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, REPORT)
+    return bounded_batches(docs, BATCH_ROWS).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, REPORT)
 
 
 def quality_filter(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_repeat: int = 16, max_covered: float = 0.3, max_longest: int = 50) -> DataFrame:
@@ -149,7 +151,7 @@ def quality_filter(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs, BATCH_ROWS).mapInArrow(run, docs.schema)
 
 
 OP5_SQL = r"""

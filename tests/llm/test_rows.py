@@ -299,3 +299,18 @@ def test_toxicity_against_brute_force(spark, docs):
         assert got[k] == pytest.approx(1 / (1 + np.exp(-(1.5 * best - 0.2))), abs=1e-5), k
         covered = {w for s in starts for w in range(s, min(s + toxicity.WINDOW, size))}
         assert covered == set(range(size))
+
+
+def test_quality_holds_little_at_once():
+    """A worker's memory is that of its largest run of texts, not of its batch."""
+    import random
+    import tracemalloc
+
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(5000)]
+    column = pa.array([" ".join(r.choices(words, k=1000)) for _ in range(1500)])
+    tracemalloc.start()
+    n = sum(j - i for i, j, _ in quality._reports(column, 50, 50, 16, 0.3, 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1500 and peak < 60e6
