@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import chunking, dedup, evaluation, retrieval, tagging
+from millrace.plans import corpus
 from millrace.sources import files
 
 CHUNK = "seq int, chunk_id string, text string, source_type string, freshness string, char_count int, source_url string, parent_post_id string, source_file string"
@@ -256,3 +257,31 @@ def test_rechunk_splits_once(spark):
     for part in chunking.rechunk(table, F.expr("source_file LIKE '%dept_info%'")):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert "piece_text" not in plan and part.count() > 0
+
+
+def test_rechunk_joins_pieces_in_the_order_of_their_records(spark):
+    """Two records of one post give pieces of equal indexes: the earlier record's come first, whatever their ids are."""
+    rows = [(f"{post}-{who}", "f", "s", who * 4 + "\n\n" + who.upper() * 2000, f"p{post}", None, i) for post in range(8) for i, who in enumerate("ab")]
+    table = spark.createDataFrame(rows, "chunk_id string, source_file string, section_path string, text string, parent_post_id string, notes string, chunk_index int")
+    table = table.selectExpr("*", "array(1) AS domains", "array('1') AS categories", "'u' AS source_url", "'2024' AS posted_at")
+    merged = chunking.rechunk(table, F.expr("false"))[1]
+    got = {(r["parent_post_id"], r["text"]): r["n_merged"] for r in merged.collect()}
+    assert got == {(f"p{post}", text): n for post in range(8) for text, n in (("aaaa\n\nbbbb\n\n" + "A" * 2000, 3), ("B" * 2000, 1))}
+    assert not {"record_place", "uid"} & set(merged.columns)
+
+
+def test_rechunk_stats_takes_every_step(spark, tmp_path):
+    """Cleaning, numbered items, joining of a post's records, an orphan, a cell and its section, and the figures of each file and domain."""
+    items = ". ".join("i" * 100 for _ in range(40))
+    texts = {0: "tiny", 15: "short one", 20: "short two", 25: "y" * 60, 11: items, 8: "cell\u00a0 text<표>", 4: "\u200b \n", 5: None}
+    docs = [(k, t, "en", "web", len(t or "")) for k, t in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r["scope"], r["name"]): r for r in corpus.rechunk_stats(spark, str(tmp_path)).collect()}
+    whole = rows["all", None].asDict()
+    want = {"n_in": 6, "split_sources": 1, "split_article": 0, "split_separator": 1, "split_window": 0, "split_pieces": 40, "merge_sources": 2, "merge_results": 42, "orphans": 1, "n_cells": 1, "n_sections": 1, "n_out": 44, "short_out": 2, "long_out": 0}
+    assert {k: whole[k] for k in want} == want
+    assert whole["mean_in"] == round((4 + 9 + 9 + 60 + len("i" * 101 + "\n11) ") * 39 + 100 + 9) / 6, 6)
+    files = {k[1]: (r["n_in"], r["n_out"]) for k, r in rows.items() if k[0] == "file"}
+    assert files == {"day0/rules.jsonl": (2, 41), "day1/rules.jsonl": (3, 1), "day1/dept_info.jsonl": (1, 1), "day1/dept_merged.jsonl": (0, 1)}
+    domains = {k[1]: (r["n_in"], r["n_out"]) for k, r in rows.items() if k[0] == "domain"}
+    assert domains == {"1": (1, 1), "3": (3, 43), "4": (1, 1), "6": (1, 40), "7": (1, 1), "8": (1, 1), "9": (1, 2), "2": (1, 1)}
